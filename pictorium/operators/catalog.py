@@ -244,7 +244,7 @@ def regenerate_queue(library: DataFrame, existing: DataFrame | None = None) -> D
 
     ``existing`` (``full_path``) drops photos whose file is gone.
     """
-    queue = library.filter(T.is_incomplete(F.col("description")))
+    queue = library.filter(F.col("description").isNotNull() & T.is_incomplete(F.col("description")))
     if existing is not None:
         queue = queue.join(existing.select("full_path").distinct(), "full_path", "left_semi")
     return queue.select("photo_id", "filename", "full_path", "description")

@@ -11,7 +11,7 @@ from pictorium.operators.ordering import numbered
 # In a document written with an indent of two, every photo object opens on such a line.
 # Line breaks within texts are escaped there, so nothing else looks like it.
 PHOTO_START = "\n    {\n"
-PHOTO_END = r"(?s)^(.*?)\n    \}(?:,|\n).*$"
+PHOTO_END = "\n    }"
 
 
 def _typed(photo: Column, photo_id: Column) -> list[Column]:
@@ -43,8 +43,8 @@ def read_library(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     )
-    body = F.regexp_extract("value", PHOTO_END, 1)
-    photos = raw.filter(body != "").select(
+    body = F.substring_index("value", PHOTO_END, 1)
+    photos = raw.filter(F.contains("value", F.lit(PHOTO_END))).select(
         "_path", "_block", "_line",
         F.from_json(F.concat(F.lit("{"), body, F.lit("}")), schemas.PHOTO_JSON).alias("photo"),
     ).filter(F.col("photo.filename").isNotNull())
@@ -94,6 +94,14 @@ def write_library(library: DataFrame, path: str) -> None:
     library.select(photo_json(library).alias("value")).write.mode("errorifexists").text(path)
 
 
+def write_indented(library: DataFrame, path: str) -> None:
+    """Photos in the layout of an indented document, one part for each partition, below a new path."""
+    json = photo_json(library)
+    body = F.substr(json, F.lit(2), F.length(json) - 2)
+    rows = library.select(F.concat(F.lit("      "), body, F.lit("\n    },")).alias("value"))
+    rows.write.mode("errorifexists").text(path, lineSep=PHOTO_START)
+
+
 def read_library_lines(spark: SparkSession, path: str) -> DataFrame:
     """Photos from JSON lines, in file order."""
     raw = spark.read.schema(schemas.PHOTO_JSON).json(path)

@@ -11,7 +11,8 @@ from pictorium.operators.ordering import numbered
 
 def append_search_log(entries: DataFrame, path: str) -> None:
     """Append log rows; absent values are written as null."""
-    entries.write.mode("append").option("ignoreNullFields", False).json(path)
+    writer = entries.write.mode("append").option("ignoreNullFields", False)
+    writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
 
 
 def read_search_log(spark: SparkSession, path: str) -> DataFrame:

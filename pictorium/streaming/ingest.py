@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,12 +33,12 @@ def upload_records(uploads: DataFrame, directory: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Ids of the earlier micro-batches."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
+    """Ids of the earlier micro-batches; None before the first one."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:
         return None
-    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id).select("photo_id")
+    return stored.filter(F.col("batch_id") < batch_id).select("photo_id")
 
 
 def ingest_stream(
