@@ -65,7 +65,7 @@ def face_stats(faces: DataFrame) -> DataFrame:
 
 
 def face_label(face: Column) -> Column:
-    percent = F.format_number(face["match_confidence"] * 100, "0.0")
+    percent = F.format_string("%.1f", face["match_confidence"] * 100)
     return F.concat(
         F.lit("Match: "), percent, F.lit("% confidence (ref: "), face["reference_image"], F.lit(")")
     )

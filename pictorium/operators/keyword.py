@@ -144,7 +144,7 @@ def _evaluated(pairs: DataFrame, *keep: str) -> DataFrame:
     """Snippets of the first matching group of each joined (query, text) row."""
     number = K.first_matching_group(F.col("lowered"), F.col("groups"), F.col("d"))
     chosen = pairs.select("query_id", "photo_id", *keep, "tokens", "lowered", "d", "groups", number.alias("group_no"))
-    items = F.filter("groups", lambda g: g["group_no"] == F.col("group_no"))[0]["items"]
+    items = F.get(F.filter("groups", lambda g: g["group_no"] == F.col("group_no")), F.lit(0))["items"]
     return chosen.select(
         "query_id",
         "photo_id",
@@ -238,9 +238,8 @@ def keyword_search(
     packed = me.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("pack")).agg(
         F.collect_list("query_id").alias("query_ids")
     )
-    answered = known.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).cast("long")).join(
-        packed, "pack"
-    )
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(packs - 1).cast("long"))
+    answered = known.withColumn("pack", F.explode(numbers)).join(packed, "pack")
     return hits.unionByName(answered.withColumn("query_id", F.explode("query_ids")).select(*columns))
 
 
@@ -263,7 +262,8 @@ def item_matches(queries: DataFrame, library: DataFrame, kind: str, distance: in
         _one_group(F.array(F.struct("kind", "keywords"))).alias("groups"),
     )
     hits = _hits(parsed, library)
-    return hits.select("query_id.*", "photo_id", F.explode("matches").alias("label", "snippets"))
+    only = F.get(F.map_entries("matches"), F.lit(0))
+    return hits.select("query_id.*", "photo_id", only["key"].alias("label"), only["value"].alias("snippets"))
 
 
 def and_groups(queries: DataFrame, library: DataFrame, distance: int = K.DEFAULT_DISTANCE) -> DataFrame:

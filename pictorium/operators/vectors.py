@@ -141,15 +141,19 @@ def _topk_schema(queries: DataFrame) -> str:
     )
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def _blocks(queries: DataFrame, corpus: DataFrame, corpus_key: Column) -> tuple[DataFrame, DataFrame]:
     """Both sides with block numbers ``qb, cb``; every query block meets every corpus block once."""
     n_q = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     n_c = max(1, math.ceil(corpus.count() / CORPUS_BLOCK))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).cast("long")
+        "cb", F.explode(_numbers(n_c))
     )
     right = corpus.withColumn("cb", F.pmod(F.xxhash64(corpus_key), F.lit(n_c))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long")
+        "qb", F.explode(_numbers(n_q))
     )
     return left, right
 

@@ -1,6 +1,6 @@
 """Composed jobs: the registered queries, their input views and their check SQL."""
 
-from pictorium.plans import catalog_queries, search_queries
+from pictorium.plans import catalog_queries, curation_queries, search_queries
 from pictorium.plans.registry import CHECKS, QUERIES
 
-__all__ = ["CHECKS", "QUERIES", "catalog_queries", "search_queries"]
+__all__ = ["CHECKS", "QUERIES", "catalog_queries", "curation_queries", "search_queries"]

@@ -124,14 +124,14 @@ def _(inputs):
 
 
 _LOG = f"""SELECT row_number() OVER (ORDER BY logged_at, seq) AS seq, {S.stamp('logged_at')} AS timestamp,
-    query, expanded_query, results_count, round(top_score, 4) AS top_score, round(top_3_avg, 4) AS top_3_avg
+    query, expanded_query, results_count, round(top_score, 4) AS top_score, round(top_3_avg, 6) AS top_3_avg
     FROM searchlog"""
 
 
 def log_rows(inputs: Inputs) -> DataFrame:
     return inputs.searchlog.select(
         F.col("logged_at").alias("timestamp"), "query", "expanded_query", "results_count",
-        F.round("top_score", 4).alias("top_score"), F.round("top_3_avg", 4).alias("top_3_avg"),
+        F.round("top_score", 4).alias("top_score"), F.round("top_3_avg", 6).alias("top_3_avg"),
         F.create_map().cast("map<string,boolean>").alias("filters"),
     )
 

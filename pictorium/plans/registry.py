@@ -37,7 +37,9 @@ def query(name: str, check: str | None = None, uses: tuple[str, ...] = ()):
         if check is not None:
             prefix = views.check_cte(uses)
             body = check.strip()
-            if prefix and body.upper().startswith("WITH "):
+            if prefix and body.startswith("WITH RECURSIVE "):
+                prefix, body = "WITH RECURSIVE " + prefix[5:], ",\n" + body[15:]
+            elif prefix and body.startswith("WITH "):
                 body = ",\n" + body[5:]
             CHECKS[name] = prefix + body
         return fn

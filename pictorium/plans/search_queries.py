@@ -55,7 +55,7 @@ _ITEM_HITS = _items("boolean_queries") + rf""",
               FROM (SELECT h.*, t, least(pos, 3) AS bef, least(len(t) - pos - 1, 3) AS aft, len(t) - pos - 1 AS room
                     FROM word_hits h JOIN toks USING (photo_id) WHERE n = 1))),
     pair_snips AS (
-        SELECT query_id, group_no, item_no, photo_id, min(p1) AS p1, arg_min(p2, p1 * 1000000 + p2) AS p2, snip
+        SELECT query_id, group_no, item_no, photo_id, min(p1) AS p1, arg_min(p2, p1::BIGINT * 1000000 + p2) AS p2, snip
         FROM (SELECT query_id, group_no, item_no, photo_id, p1, p2,
                      array_to_string(list_transform(
                          range(greatest(least(p1, p2) - 3, 0), least(greatest(p1, p2) + 3, len(t) - 1) + 1),
@@ -426,21 +426,14 @@ _RELATED = """(
     (starts_with(p.noun, w[-1]) AND len(list_filter(w[1:-2], lambda x: starts_with(p.adj, x))) > 0)
     OR (starts_with(p.noun, w[1]) AND len(list_filter(w[2:], lambda x: starts_with(p.adj, x))) > 0))"""
 
-# Texts of one or two words from the file names give as many queries as there are sources.
 _PAIR_QUERIES = """pair_queries AS (
-    SELECT query_id, query FROM search_queries
-    UNION ALL SELECT 1000 + conv_id, concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2))
-    FROM conversations WHERE turn = 0)"""
+    SELECT query_id, query FROM search_queries UNION ALL SELECT 1000 + item_id, text FROM benchmark)"""
 
 
 def pair_queries(inputs: Inputs) -> DataFrame:
-    """The search queries, and the opening two words of every conversation as further queries."""
-    opening = inputs.conversations.filter("turn = 0").select(
-        (F.col("conv_id") + 1000).alias("query_id"),
-        F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))
-        .alias("query"),
-    )
-    return inputs.search_queries.select(F.col("query_id").cast("long").alias("query_id"), "query").unionByName(opening)
+    """The search queries, and every benchmark text as a further query."""
+    texts = inputs.benchmark.select((F.col("item_id") + 1000).alias("query_id"), F.col("text").alias("query"))
+    return inputs.search_queries.select(F.col("query_id").cast("long").alias("query_id"), "query").unionByName(texts)
 
 
 @query("adj_noun_match", f"""

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pictorium.session import spread
+
 GIVEN = ("documents", "labels", "embeddings", "events", "conversations", "benchmark")
 
 _SUFFIX = "CASE d.lang WHEN 'en' THEN '.jpg' WHEN 'fr' THEN '.HEIC' WHEN 'de' THEN '.png' ELSE '.webp' END"
@@ -102,8 +104,13 @@ def _uses(text: str) -> list[str]:
     return [n for n in GIVEN if re.search(r"(?<!\{)\{" + n + r"\}(?!\})", text)]
 
 
+# Texts are worth spreading when one file with one row group holds all of them.
+TEXTS = ("documents", "conversations")
+
+
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in TEXTS else table
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
