@@ -42,11 +42,54 @@ def round4(values: np.ndarray) -> np.ndarray:
 MAX_CELLS = 4_000_000  # scores held at a time
 
 
-def _hits_between(hits, start: int, stop: int):
-    if hits is None:
-        return None
-    inside = (hits[0] >= start) & (hits[0] < stop)
-    return (hits[0][inside] - start, *(part[inside] for part in hits[1:]))
+def _offsets(column: pa.ListArray) -> np.ndarray:
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+class WordEvidence:
+    """What a table of queries asks of words, and the factors that follow for a batch of texts.
+
+    ``asked[t, q]`` counts how often query ``q`` names term ``t``; ``total[q]``
+    is its number of words.
+    """
+
+    def __init__(self, asked: np.ndarray, total: np.ndarray, boost: float, scattered: float, missing: float):
+        self.asked = asked.astype(np.float32)
+        self.total = total.astype(np.int64)
+        self.boost, self.scattered, self.missing = boost, scattered, missing
+
+    def chunk_rows(self) -> int:
+        return max(1, MAX_CELLS // max(1, *self.asked.shape))
+
+    def batch(self, terms: pa.ListArray, phrases: pa.ListArray, grammatical: pa.ListArray | None):
+        """A function from a row range to dense ``factor, phrase, words`` for all queries."""
+        lists = {"terms": terms, "phrases": phrases}
+        if grammatical is not None:
+            lists["grammatical"] = grammatical
+        offsets = {n: _offsets(c) for n, c in lists.items()}
+        values = {n: c.flatten().to_numpy(zero_copy_only=False) for n, c in lists.items()}
+
+        def marks(name: str, lo: int, hi: int, width: int, dtype) -> np.ndarray:
+            cells = np.zeros((hi - lo, width), dtype=dtype)
+            at = offsets[name][lo : hi + 1]
+            cells[np.repeat(np.arange(hi - lo), np.diff(at)), values[name][at[0] : at[-1]]] = 1
+            return cells
+
+        def dense(lo: int, hi: int):
+            n_terms, n_queries = self.asked.shape
+            words = (marks("terms", lo, hi, n_terms, np.float32) @ self.asked).astype(np.int32)
+            phrase = marks("phrases", lo, hi, n_queries, bool)
+            related = np.broadcast_to(self.total == 1, words.shape)
+            if grammatical is not None:
+                related = related | marks("grammatical", lo, hi, n_queries, bool)
+            share = words / np.maximum(self.total, 1)
+            factor = np.where((words > 0) & (self.total > 1), 1.0 - self.missing * (1.0 - share), 1.0)
+            complete = (words == self.total) & (self.total > 0)
+            factor = np.where(complete, np.where(related, self.boost, self.scattered), factor)
+            return np.where(phrase, self.boost, factor), phrase, words
+
+        return dense
 
 
 class TopK:
@@ -62,24 +105,21 @@ class TopK:
         self.kept: list[dict[str, np.ndarray] | None] = [None] * len(queries)
         self.scale = norms(queries) if len(queries) else np.zeros(0)
 
-    def add(self, ids: np.ndarray, rows: np.ndarray, hits=None) -> None:
-        """Score one batch. ``hits`` gives sparse (row, query, factor, phrase, words)."""
-        if not len(ids) or not len(self.queries):
-            return
-        step = max(1, MAX_CELLS // len(self.queries))
-        if len(ids) > step:
-            for start in range(0, len(ids), step):
-                part = slice(start, start + step)
-                self.add(ids[part], rows[part], _hits_between(hits, start, start + step))
+    def add(self, ids: np.ndarray, rows: np.ndarray, evidence=None, step: int | None = None) -> None:
+        """Score one batch; ``evidence(lo, hi)`` gives dense factor, phrase and words of its rows."""
+        if not len(self.queries):
             return
+        step = step or max(1, MAX_CELLS // len(self.queries))
+        for lo in range(0, len(ids), step):
+            hi = min(lo + step, len(ids))
+            self._add(ids[lo:hi], rows[lo:hi], None if evidence is None else evidence(lo, hi))
+
+    def _add(self, ids: np.ndarray, rows: np.ndarray, dense) -> None:
         rough = rows @ self.queries.T
         shape = rough.shape
-        factor = np.ones(shape)
-        phrase = np.zeros(shape, dtype=bool)
-        words = np.zeros(shape, dtype=np.int32)
-        if hits is not None:
-            r, q, f, p, w = hits
-            factor[r, q], phrase[r, q], words[r, q] = f, p, w
+        if dense is None:
+            dense = np.ones(shape), np.zeros(shape, dtype=bool), np.zeros(shape, dtype=np.int32)
+        factor, phrase, words = dense
         slack = SLACK * (1.0 + norms(rows)[:, None] * self.scale[None, :])
         possible = np.ones(shape, dtype=bool) if self.min_score is None else rough >= self.min_score - slack
         final = np.where(possible, rough * factor, -np.inf)
@@ -134,19 +174,29 @@ class TopK:
 
 
 def sparse_hits(column, query_ids: pa.Array):
-    """Hits of a batch as (row, query, factor, phrase, words) arrays; ``column`` is a list of structs."""
+    """Evidence of a batch from a list of structs for each row, as a function of a row range."""
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    rows = np.repeat(np.arange(len(column)), lengths)
+    offsets = _offsets(column)
     flat = column.flatten()
     known = pc.index_in(flat.field("query_id"), value_set=query_ids).fill_null(-1).to_numpy(zero_copy_only=False)
-    keep = known >= 0
-
-    def part(name: str) -> np.ndarray:
-        return flat.field(name).to_numpy(zero_copy_only=False)[keep]
-
-    return rows[keep], known[keep], part("factor"), part("phrase_matched").astype(bool), part("word_matches")
+    factors, phrases, counts = (
+        flat.field(n).to_numpy(zero_copy_only=False) for n in ("factor", "phrase_matched", "word_matches")
+    )
+
+    def dense(lo: int, hi: int):
+        at = offsets[lo : hi + 1]
+        part = slice(at[0], at[-1])
+        keep = known[part] >= 0
+        row, query = np.repeat(np.arange(hi - lo), np.diff(at))[keep], known[part][keep]
+        shape = (hi - lo, len(query_ids))
+        factor, phrase, words = np.ones(shape), np.zeros(shape, dtype=bool), np.zeros(shape, dtype=np.int32)
+        factor[row, query] = factors[part][keep]
+        phrase[row, query] = phrases[part][keep]
+        words[row, query] = counts[part][keep]
+        return factor, phrase, words
+
+    return dense
 
 
 def pairs_above(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, min_score: float):

@@ -8,18 +8,28 @@ those meet their descriptions again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pictorium.functions import ranking as R
 from pictorium.functions import text as T
+from pictorium.functions.kernels import WordEvidence
 from pictorium.operators import vectors as V
 from pictorium.operators.catalog import FLAGS, flag_filter
 from pictorium.operators.keyword import substring_match
 from pictorium.session import rows_within
 
-MAX_LITERAL_QUERIES = 512
+MAX_LITERAL_QUERIES = 64
+MAX_KNOWN_QUERIES = 2_048
+MAX_TERM_CELLS = 20_000_000
+FEW_TERMS = 48
+LONG_WORD = 128
+MAX_BROADCAST_HITS = 100_000
 
 
 def query_words(queries: DataFrame) -> DataFrame:
@@ -114,6 +124,106 @@ def _photo_hits(library: DataFrame, literal: Column) -> DataFrame:
     return texts.select("photo_id", hits.alias("hits"))
 
 
+class _KnownQueries:
+    """A small query table on the driver: its terms, and what each query asks of them.
+
+    Only made when the table and the term-by-query counts are within bounds.
+    """
+
+    def __init__(self, rows: list[Row]):
+        self.rows = rows
+        self.terms = sorted({w for r in rows for w in r["words"]})
+        self.number = {t: i for i, t in enumerate(self.terms)}
+        self.lengths = sorted({len(t) for t in self.terms})
+
+    @classmethod
+    def within_bounds(cls, asked: DataFrame, max_queries: int) -> _KnownQueries | None:
+        rows = rows_within(asked, max_queries)
+        if rows is None:
+            return None
+        known = cls(rows)
+        return known if len(known.terms) * len(rows) <= MAX_TERM_CELLS else None
+
+    def evidence(self, query_ids: pa.Array) -> WordEvidence:
+        """Counts with queries in the order of the vector table."""
+        place = {q: i for i, q in enumerate(query_ids.to_pylist())}
+        asked = np.zeros((max(1, len(self.terms)), len(place)))
+        total = np.zeros(len(place))
+        for row in self.rows:
+            for word in row["words"]:
+                asked[self.number[word], place[row["query_id"]]] += 1
+            total[place[row["query_id"]]] = len(row["words"])
+        return WordEvidence(asked, total, R.BOOST, R.SCATTERED, R.MISSING_PENALTY)
+
+    def photo_evidence(self, library: DataFrame) -> DataFrame:
+        """``photo_id, terms, phrases, grammatical``: numbers of found terms, and of queries by their place.
+
+        Few terms are looked for in the text one by one. Many are found from the
+        text's side: each piece of a word that has the length of a term is
+        looked up in the term table.
+        """
+        place = {r["query_id"]: i for i, r in enumerate(self.rows)}
+        whole = [{"no": place[r["query_id"]], "full": r["full"]} for r in self.rows if r["several"]]
+        phrases = F.transform(
+            F.filter(_constant(whole, "no:int,full:string"), lambda q: F.contains(F.col("lowered"), q["full"])),
+            lambda q: q["no"],
+        )
+        related = [{"no": place[r["query_id"]], "words": r["words"]} for r in self.rows if len(r["words"]) > 1]
+        grammatical = F.transform(
+            F.filter(
+                _constant(related, "no:int,words:array<string>"), lambda q: R.adj_noun_match(q["words"], F.col("pairs"))
+            ),
+            lambda q: q["no"],
+        )
+        texts = library.select("photo_id", "pairs", F.lower("description").alias("lowered"))
+        own = {"phrases": phrases, "grammatical": F.when(F.size("pairs") > 0, grammatical)}
+        if len(self.terms) <= FEW_TERMS:
+            numbered = _constant([{"no": i, "term": t} for i, t in enumerate(self.terms)], "no:int,term:string")
+            found = F.transform(
+                F.filter(numbered, lambda t: F.contains(F.col("lowered"), t["term"])), lambda t: t["no"]
+            )
+            return texts.select("photo_id", found.alias("terms"), *[c.alias(n) for n, c in own.items()])
+
+        # The empty piece keeps texts without any term in the result.
+        entries = [("", None), *((t, i) for i, t in enumerate(self.terms))]
+        table = library.sparkSession.createDataFrame(entries, "term string, term_no int")
+        pieces = F.array_append(self._pieces(F.col("lowered")), F.lit(""))
+        read = texts.select("photo_id", *[c.alias(n) for n, c in own.items()], pieces.alias("pieces"))
+        # Never empty; the outer form keeps the optimizer from testing for that by making the pieces twice.
+        exploded = read.select("photo_id", *own, F.explode_outer("pieces").alias("term"))
+        return (
+            exploded.join(F.broadcast(table), "term")
+            .groupBy("photo_id")
+            .agg(
+                F.collect_set("term_no").alias("terms"),
+                *[F.max(F.when(F.col("term") == "", F.col(n))).alias(n) for n in own],
+            )
+        )
+
+    def _pieces(self, lowered: Column) -> Column:
+        """Pieces of the text's words that may be terms. Very long words are searched for the terms instead."""
+        lengths = F.array(*[F.lit(n) for n in self.lengths])
+        terms = F.from_json(F.lit(json.dumps(self.terms)), "array<string>")
+
+        def of_length(word: Column, n: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.length(word) - n + 1)
+            return F.transform(starts, lambda i: F.substr(word, i, n))
+
+        def of_word(word: Column) -> Column:
+            fitting = F.filter(lengths, lambda n: n <= F.length(word))
+            short = F.flatten(F.transform(fitting, lambda n: of_length(word, n)))
+            return F.when(F.length(word) <= LONG_WORD, short).otherwise(
+                F.filter(terms, lambda t: F.contains(word, t))
+            )
+
+        return F.flatten(F.transform(F.array_distinct(T.blank_split(lowered)), of_word))
+
+
+def _constant(items: list[dict], fields: str) -> Column:
+    """A list of records as one constant array."""
+    return F.from_json(F.lit(json.dumps(items)), f"array<struct<{fields}>>")
+
+
 def _indexed_hits(asked: DataFrame, library: DataFrame) -> DataFrame:
     """Hits of a query table of any size: ``photo_id, query_id, factor, phrase_matched, word_matches``."""
     every = asked.withColumn("parts", T.blank_split(F.col("full")))
@@ -191,7 +301,7 @@ def hybrid_search(
     has_cars: bool | None = None,
     encoder=None,
     dim: int = 64,
-    max_literal: int = MAX_LITERAL_QUERIES,
+    max_queries: int = MAX_KNOWN_QUERIES,
 ) -> DataFrame:
     """Best ``top_k`` photos of each query by semantic score times lexical factor.
 
@@ -204,16 +314,21 @@ def hybrid_search(
     wanted = flag_filter(library, has_characters, has_dogs, has_cars)
     asked = query_vectors(whole_query_phrases(queries) if phrases is None else phrases, encoder, dim)
     source = _with_pairs(wanted, pairs)
-    literal = _literal_queries(_asked(queries), max_literal)
     stored = vectors.select("photo_id", "embedding")
-    if literal is not None:
-        corpus = _photo_hits(source, literal).join(stored, "photo_id")
-        partial = V.partial_topk(asked, corpus, top_k, min_score, rounded=True, max_broadcast=max_literal)
+    known = _KnownQueries.within_bounds(_asked(queries), max_queries)
+    if known is not None:
+        corpus = known.photo_evidence(source).join(stored, "photo_id")
+        partial = V.partial_topk(
+            asked, corpus, top_k, min_score, rounded=True, evidence=known.evidence, max_broadcast=max_queries
+        )
     else:
         corpus = wanted.select("photo_id").join(stored, "photo_id")
         hits = _indexed_hits(_asked(queries), source)
         partial = V.partial_topk(asked, corpus, top_k, min_score, rounded=True, hits=hits)
     best = V.ranked(partial, top_k)
+    if known is not None and len(known.rows) * top_k <= MAX_BROADCAST_HITS:
+        # So few hits meet their texts without a shuffle of the library.
+        best = F.broadcast(best)
     flags = [c for c in FLAGS if c in library.columns]
     return best.join(library.select("photo_id", "filename", "description", *flags), "photo_id").select(
         "query_id", "rank", "photo_id", "filename", "description", "similarity",

@@ -165,13 +165,16 @@ def partial_topk(
     min_score: float | None = None,
     rounded: bool = False,
     hits: DataFrame | None = None,
+    evidence: Callable[[pa.Array], kernels.WordEvidence] | None = None,
     max_broadcast: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Best ``k`` rows of every query in every part of the corpus; a superset of the final top-k.
 
-    ``corpus`` has ``photo_id, embedding`` and may have ``hits``, an array of
-    ``query_id, factor, phrase_matched, word_matches``; ``hits`` as a table of
-    those columns with ``photo_id`` serves query tables of any size.
+    ``corpus`` has ``photo_id, embedding``. Word evidence comes in one of two
+    forms: ``evidence`` (for the query ids in their order) together with the
+    corpus columns ``terms``, ``phrases`` and maybe ``grammatical``; or, for
+    query tables of any size, a table ``hits`` of ``photo_id, query_id, factor,
+    phrase_matched, word_matches``.
     """
     dim = _dim_of(queries)
     corpus = _usable(corpus, dim)
@@ -183,15 +186,23 @@ def partial_topk(
         query_ids, vectors = _single(table, "query_id"), kernels.matrix(table.column("embedding"), dim)
         if hits is not None:
             corpus = corpus.join(_hits_by_photo(hits), "photo_id", "left")
+        words = None if evidence is None else evidence(query_ids)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state = kernels.TopK(vectors, k, min_score, rounded)
             for batch in batches:
-                found = kernels.sparse_hits(batch.column("hits"), query_ids) if "hits" in batch.schema.names else None
+                column = dict(zip(batch.schema.names, batch.columns))
+                found, step = None, None
+                if words is not None:
+                    found = words.batch(column["terms"], column["phrases"], column.get("grammatical"))
+                    step = words.chunk_rows()
+                elif "hits" in column:
+                    found = kernels.sparse_hits(column["hits"], query_ids)
                 state.add(
-                    batch.column("photo_id").to_numpy(zero_copy_only=False),
-                    kernels.matrix(batch.column("embedding"), dim),
+                    column["photo_id"].to_numpy(zero_copy_only=False),
+                    kernels.matrix(column["embedding"], dim),
                     found,
+                    step,
                 )
             yield state.result(query_ids)
 
