@@ -64,8 +64,9 @@ def _index_range(tokens: Column, first: Column, last: Column) -> Column:
 
 
 def keyword_positions(lowered: Column, keyword: Column) -> Column:
-    marked = F.transform(lowered, lambda word, i: F.when(term_match(keyword, word), i))
-    return F.array_compact(marked)
+    equal = F.transform(lowered, lambda word, i: F.when(word == keyword, i))
+    within = F.transform(lowered, lambda word, i: F.when(F.contains(word, keyword), i))
+    return F.array_compact(F.when(F.length(keyword) < 3, equal).otherwise(within))
 
 
 def any_keyword_positions(lowered: Column, keywords: Column) -> Column:
@@ -176,7 +177,8 @@ def item_snippets(tokens: Column, lowered: Column, keywords: Column, distance: C
 
 
 def standalone_matches(lowered: Column, keyword: Column) -> Column:
-    return F.exists(lowered, lambda word: term_match(keyword, word))
+    within = F.exists(lowered, lambda word: F.contains(word, keyword))
+    return F.when(F.length(keyword) < 3, F.array_contains(lowered, keyword)).otherwise(within)
 
 
 def pair_matches(lowered: Column, keywords: Column, distance: Column) -> Column:
@@ -207,14 +209,15 @@ def all_items_match(lowered: Column, items: Column, distance: Column) -> Column:
     return F.forall(items, lambda i: item_matches(lowered, i["keywords"], distance))
 
 
+GROUP = "struct<group_no:int,items:array<struct<kind:string,keywords:array<string>>>>"
+
+
 def first_matching_group(lowered: Column, groups: Column, distance: Column) -> Column:
-    """Number of the first OR group whose items all match; later groups are not evaluated."""
+    """The first OR group whose items all match, or NULL; later groups are not evaluated."""
     return F.aggregate(
         groups,
-        F.lit(None).cast("int"),
-        lambda found, g: F.coalesce(
-            found, F.when(all_items_match(lowered, g["items"], distance), g["group_no"])
-        ),
+        F.lit(None).cast(GROUP),
+        lambda found, g: F.coalesce(found, F.when(all_items_match(lowered, g["items"], distance), g)),
     )
 
 

@@ -108,20 +108,23 @@ def _hit(q: Column, phrase: Column, matched: Column, pairs: Column) -> Column:
     )
 
 
-def _photo_hits(library: DataFrame, literal: Column) -> DataFrame:
-    """``photo_id, hits`` in one pass over the library, without a shuffle."""
-    texts = library.select("photo_id", "pairs", F.lower("description").alias("lowered"))
+def _photo_hits(library: DataFrame, literal: Column, pairs: DataFrame | None) -> DataFrame:
+    """``photo_id, hits`` in one pass over the library; texts are not shuffled."""
+    texts = library.select("photo_id", F.lower("description").alias("lowered"))
     evidence = F.transform(
         literal,
         lambda q: F.struct(
-            q.alias("q"),
+            q["query_id"].alias("query_id"),
+            q["words"].alias("words"),
             (q["several"] & F.contains(F.col("lowered"), q["full"])).alias("phrase"),
             F.size(F.filter(q["words"], lambda w: F.contains(F.col("lowered"), w))).alias("matched"),
         ),
     )
     found = F.filter(evidence, lambda e: e["phrase"] | (e["matched"] > 0))
-    hits = F.transform(found, lambda e: _hit(e["q"], e["phrase"], e["matched"], F.col("pairs")))
-    return texts.select("photo_id", hits.alias("hits"))
+    read = texts.select("photo_id", F.explode_outer(found).alias("e")).filter(F.col("e").isNotNull())
+    met = _meet_pairs(read, library, pairs)
+    hit = _hit(F.col("e"), F.col("e.phrase"), F.col("e.matched"), F.col("pairs"))
+    return met.select("photo_id", hit.alias("hit")).select("photo_id", "hit.*")
 
 
 class _KnownQueries:
@@ -155,19 +158,17 @@ class _KnownQueries:
             total[place[row["query_id"]]] = len(row["words"])
         return WordEvidence(asked, total, R.BOOST, R.SCATTERED, R.MISSING_PENALTY)
 
-    def photo_evidence(self, library: DataFrame) -> DataFrame:
-        """``photo_id, terms, phrases, grammatical``: numbers of found terms, and of queries by their place.
-
-        Few terms are looked for in the text one by one. Many are found from the
-        text's side: each piece of a word that has the length of a term is
-        looked up in the term table.
-        """
+    def photo_evidence(self, library: DataFrame, pairs: DataFrame | None) -> DataFrame:
+        """``photo_id, terms, phrases`` and maybe ``grammatical``: term numbers, and queries by their place."""
         place = {r["query_id"]: i for i, r in enumerate(self.rows)}
         whole = [{"no": place[r["query_id"]], "full": r["full"]} for r in self.rows if r["several"]]
         phrases = F.transform(
             F.filter(_constant(whole, "no:int,full:string"), lambda q: F.contains(F.col("lowered"), q["full"])),
             lambda q: q["no"],
         )
+        found = self._found_terms(library, phrases)
+        if pairs is None and "pairs" not in library.columns:
+            return found
         related = [{"no": place[r["query_id"]], "words": r["words"]} for r in self.rows if len(r["words"]) > 1]
         grammatical = F.transform(
             F.filter(
@@ -175,29 +176,33 @@ class _KnownQueries:
             ),
             lambda q: q["no"],
         )
-        texts = library.select("photo_id", "pairs", F.lower("description").alias("lowered"))
-        own = {"phrases": phrases, "grammatical": F.when(F.size("pairs") > 0, grammatical)}
+        met = _meet_pairs(found, library, pairs)
+        return met.select("photo_id", "terms", "phrases", F.when(F.size("pairs") > 0, grammatical).alias("grammatical"))
+
+    def _found_terms(self, library: DataFrame, phrases: Column) -> DataFrame:
+        """``photo_id, terms, phrases``.
+
+        Few terms are looked for in the text one by one. Many are found from the
+        text's side: each piece of a word that has the length of a term is
+        looked up in the term table.
+        """
+        texts = library.select("photo_id", F.lower("description").alias("lowered"))
         if len(self.terms) <= FEW_TERMS:
             numbered = _constant([{"no": i, "term": t} for i, t in enumerate(self.terms)], "no:int,term:string")
-            found = F.transform(
+            terms = F.transform(
                 F.filter(numbered, lambda t: F.contains(F.col("lowered"), t["term"])), lambda t: t["no"]
             )
-            return texts.select("photo_id", found.alias("terms"), *[c.alias(n) for n, c in own.items()])
+            return texts.select("photo_id", terms.alias("terms"), phrases.alias("phrases"))
 
         # The empty piece keeps texts without any term in the result.
         entries = [("", None), *((t, i) for i, t in enumerate(self.terms))]
         table = library.sparkSession.createDataFrame(entries, "term string, term_no int")
         pieces = F.array_append(self._pieces(F.col("lowered")), F.lit(""))
-        read = texts.select("photo_id", *[c.alias(n) for n, c in own.items()], pieces.alias("pieces"))
+        read = texts.select("photo_id", phrases.alias("phrases"), pieces.alias("pieces"))
         # Never empty; the outer form keeps the optimizer from testing for that by making the pieces twice.
-        exploded = read.select("photo_id", *own, F.explode_outer("pieces").alias("term"))
-        return (
-            exploded.join(F.broadcast(table), "term")
-            .groupBy("photo_id")
-            .agg(
-                F.collect_set("term_no").alias("terms"),
-                *[F.max(F.when(F.col("term") == "", F.col(n))).alias(n) for n in own],
-            )
+        exploded = read.select("photo_id", "phrases", F.explode_outer("pieces").alias("term"))
+        return exploded.join(F.broadcast(table), "term").groupBy("photo_id").agg(
+            F.collect_set("term_no").alias("terms"), F.max(F.when(F.col("term") == "", F.col("phrases"))).alias("phrases")
         )
 
     def _pieces(self, lowered: Column) -> Column:
@@ -224,7 +229,7 @@ def _constant(items: list[dict], fields: str) -> Column:
     return F.from_json(F.lit(json.dumps(items)), f"array<struct<{fields}>>")
 
 
-def _indexed_hits(asked: DataFrame, library: DataFrame) -> DataFrame:
+def _indexed_hits(asked: DataFrame, library: DataFrame, pairs: DataFrame | None) -> DataFrame:
     """Hits of a query table of any size: ``photo_id, query_id, factor, phrase_matched, word_matches``."""
     every = asked.withColumn("parts", T.blank_split(F.col("full")))
     terms = every.select("query_id", F.explode("parts").alias("term")).groupBy("query_id", "term").agg(
@@ -247,23 +252,30 @@ def _indexed_hits(asked: DataFrame, library: DataFrame) -> DataFrame:
     )
     # The whole phrase can only occur where each of its words does.
     worth_reading = (F.col("matched") > 0) | (F.col("several") & (F.col("terms_found") == F.col("terms_asked")))
-    texts = library.select("photo_id", "pairs", F.lower("description").alias("lowered"))
-    read = counts.filter(worth_reading).join(texts, "photo_id")
+    texts = library.select("photo_id", F.lower("description").alias("lowered"))
     phrase = F.col("several") & F.contains(F.col("lowered"), F.col("full"))
-    hit = _hit(F.struct("query_id", "words"), phrase, F.col("matched"), F.col("pairs"))
-    return read.select("photo_id", hit.alias("hit")).select("photo_id", "hit.*").filter(
-        F.col("phrase_matched") | (F.col("word_matches") > 0)
-    )
+    read = counts.filter(worth_reading).join(texts, "photo_id").select(
+        "photo_id", "query_id", "words", "matched", phrase.alias("phrase")
+    ).filter(F.col("phrase") | (F.col("matched") > 0))
+    hit = _hit(F.struct("query_id", "words"), F.col("phrase"), F.col("matched"), F.col("pairs"))
+    return _meet_pairs(read, library, pairs).select("photo_id", hit.alias("hit")).select("photo_id", "hit.*")
+
 
+def _gathered(pairs: DataFrame) -> DataFrame:
+    """``photo_id, pairs``: the distinct pairs of each text."""
+    return pairs.groupBy("photo_id").agg(F.collect_set(F.struct("adj", "noun")).alias("pairs"))
 
-def _with_pairs(library: DataFrame, pairs: DataFrame | None) -> DataFrame:
-    """Library with its ``pairs`` column: its own, one joined on, or an empty one (no parser)."""
+
+def _meet_pairs(narrow: DataFrame, library: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """``narrow`` (by ``photo_id``, without texts) with ``pairs``; none without a parser.
+
+    Pairs are joined to the evidence, not to the library, so texts stay where they are.
+    """
     if pairs is not None:
-        gathered = pairs.groupBy("photo_id").agg(F.collect_set(F.struct("adj", "noun")).alias("pairs"))
-        return library.join(gathered, "photo_id", "left")
+        return narrow.join(_gathered(pairs), "photo_id", "left")
     if "pairs" in library.columns:
-        return library
-    return library.withColumn("pairs", F.array().cast("array<struct<adj:string,noun:string>>"))
+        return narrow.join(library.select("photo_id", "pairs"), "photo_id", "left")
+    return narrow.withColumn("pairs", F.array().cast("array<struct<adj:string,noun:string>>"))
 
 
 def lexical_factors(
@@ -276,12 +288,9 @@ def lexical_factors(
 
     Pairs that are not listed have factor 1.
     """
-    asked, source = _asked(queries), _with_pairs(library, pairs)
+    asked = _asked(queries)
     literal = _literal_queries(asked, max_literal)
-    if literal is None:
-        hits = _indexed_hits(asked, source)
-    else:
-        hits = _photo_hits(source, literal).select("photo_id", F.inline("hits"))
+    hits = _indexed_hits(asked, library, pairs) if literal is None else _photo_hits(library, literal, pairs)
     return hits.select("query_id", "photo_id", "phrase_matched", "word_matches", "factor")
 
 
@@ -313,17 +322,16 @@ def hybrid_search(
     """
     wanted = flag_filter(library, has_characters, has_dogs, has_cars)
     asked = query_vectors(whole_query_phrases(queries) if phrases is None else phrases, encoder, dim)
-    source = _with_pairs(wanted, pairs)
     stored = vectors.select("photo_id", "embedding")
     known = _KnownQueries.within_bounds(_asked(queries), max_queries)
     if known is not None:
-        corpus = known.photo_evidence(source).join(stored, "photo_id")
+        corpus = known.photo_evidence(wanted, pairs).join(stored, "photo_id")
         partial = V.partial_topk(
             asked, corpus, top_k, min_score, rounded=True, evidence=known.evidence, max_broadcast=max_queries
         )
     else:
         corpus = wanted.select("photo_id").join(stored, "photo_id")
-        hits = _indexed_hits(_asked(queries), source)
+        hits = _indexed_hits(_asked(queries), wanted, pairs)
         partial = V.partial_topk(asked, corpus, top_k, min_score, rounded=True, hits=hits)
     best = V.ranked(partial, top_k)
     if known is not None and len(known.rows) * top_k <= MAX_BROADCAST_HITS:

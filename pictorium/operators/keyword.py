@@ -142,15 +142,14 @@ def _any_probe(library: DataFrame, probes: list[str]) -> DataFrame:
 
 def _evaluated(pairs: DataFrame, *keep: str) -> DataFrame:
     """Snippets of the first matching group of each joined (query, text) row."""
-    number = K.first_matching_group(F.col("lowered"), F.col("groups"), F.col("d"))
-    chosen = pairs.select("query_id", "photo_id", *keep, "tokens", "lowered", "d", "groups", number.alias("group_no"))
-    items = F.get(F.filter("groups", lambda g: g["group_no"] == F.col("group_no")), F.lit(0))["items"]
+    group = K.first_matching_group(F.col("lowered"), F.col("groups"), F.col("d"))
+    chosen = pairs.select("query_id", "photo_id", *keep, "tokens", "lowered", "d", group.alias("group"))
     return chosen.select(
         "query_id",
         "photo_id",
         *keep,
-        "group_no",
-        K.snippet_map(F.col("tokens"), F.col("lowered"), items, F.col("d")).alias("matches"),
+        F.col("group.group_no").alias("group_no"),
+        K.snippet_map(F.col("tokens"), F.col("lowered"), F.col("group.items"), F.col("d")).alias("matches"),
     )
 
 

@@ -91,6 +91,37 @@ def numbered(
     )
 
 
+FILE_PLACE = ("_path", "_block", "_line")
+
+
+def file_place() -> list[Column]:
+    """File, split and running line of rows that come straight from a file scan (filters allowed)."""
+    return [
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    ]
+
+
+def numbered_by_file(lines: DataFrame, name: str) -> DataFrame:
+    """Rows of a scan numbered from 0 in file order, without moving them.
+
+    Lines run on within a split, so a row's number is its distance from the
+    first line of its split plus the rows of all earlier splits. Only the
+    table of splits is sorted.
+    """
+    splits = lines.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_line").alias("_first"))
+    in_file = W.partitionBy("_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    in_files = W.orderBy("_path").rowsBetween(W.unboundedPreceding, -1)
+    files = splits.groupBy("_path").agg(F.sum("_n").alias("_rows")).select(
+        "_path", F.coalesce(F.sum("_rows").over(in_files), F.lit(0)).alias("_before")
+    )
+    starts = splits.withColumn("_start", F.coalesce(F.sum("_n").over(in_file), F.lit(0))).join(files, "_path")
+    place = F.col("_line") - F.col("_first") + F.col("_start") + F.col("_before")
+    kept = [c for c in lines.columns if c not in FILE_PLACE]
+    return lines.join(starts.drop("_n"), ["_path", "_block"]).select(*kept, place.alias(name))
+
+
 def page(df: DataFrame, order: Order, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Rows ``offset .. offset + limit`` in ``order``.
 

@@ -95,12 +95,8 @@ def dot(left: Column, right: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
 
 
-def combine_phrases(phrases: DataFrame) -> DataFrame:
-    """One vector for each query: the weighted sum of its phrase vectors, in phrase order.
-
-    Scores are linear in the query vector, so one product per pair replaces one
-    per phrase. Input: ``query_id, phrase_no, weight, embedding``.
-    """
+def _weighted_sum(parts: DataFrame, *keys: str) -> DataFrame:
+    """One vector for each key: the weighted sum of its parts, in phrase order."""
     ordered = F.array_sort(F.collect_list(F.struct("phrase_no", "weight", "embedding")))
     zero = F.transform(F.element_at("parts", 1)["embedding"], lambda x: F.lit(0.0))
     total = F.aggregate(
@@ -108,7 +104,23 @@ def combine_phrases(phrases: DataFrame) -> DataFrame:
         zero,
         lambda acc, p: F.zip_with(acc, p["embedding"], lambda a, x: a + p["weight"] * x.cast("double")),
     )
-    return phrases.groupBy("query_id").agg(ordered.alias("parts")).select("query_id", total.alias("embedding"))
+    return parts.groupBy(*keys).agg(ordered.alias("parts"), F.min("phrase_no").alias("phrase_no")).select(
+        *keys, "phrase_no", F.lit(1.0).alias("weight"), total.alias("embedding")
+    )
+
+
+def combine_phrases(phrases: DataFrame) -> DataFrame:
+    """One vector for each query: the weighted sum of its phrase vectors, in phrase order.
+
+    Scores are linear in the query vector, so one product per pair replaces one
+    per phrase. Spans of phrases are summed first, so a query with very many
+    phrases is not gathered in one place. Input: ``query_id, phrase_no, weight, embedding``.
+    """
+    parts = phrases.select("query_id", "phrase_no", "weight", "embedding")
+    for bits in (10, 20):
+        spans = parts.withColumn("span", F.shiftright(F.col("phrase_no").cast("long"), bits))
+        parts = _weighted_sum(spans, "query_id", "span").drop("span")
+    return _weighted_sum(parts, "query_id").select("query_id", "embedding")
 
 
 # ---------------------------------------------------------------- scoring

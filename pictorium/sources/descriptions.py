@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pictorium.functions import text as T
+from pictorium.operators.ordering import file_place
 
 # The opening of an entry. It starts its line and its name has no slash.
 ENTRY = r"^([^/]+?\.[a-zA-Z]{2,5})\s*-\s*Description:"
@@ -31,12 +32,12 @@ def parse_descriptions(spark: SparkSession, path: str) -> DataFrame:
     large file is never held by one task. Entries with an empty text are
     dropped after numbering.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
-    ).withColumn("_opens", F.col("value").rlike(ENTRY).cast("int"))
+    lines = (
+        spark.read.text(path)
+        .select("value", *file_place())
+        .withColumnRenamed("_path", "source_file")
+        .withColumn("_opens", F.col("value").rlike(ENTRY).cast("int"))
+    )
 
     in_split = W.partitionBy("source_file", "_block").orderBy("_line")
     earlier = W.partitionBy("source_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

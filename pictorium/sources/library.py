@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pictorium import schemas
-from pictorium.operators.ordering import numbered
+from pictorium.operators.ordering import file_place, numbered_by_file
 
 # In a document written with an indent of two, every photo object opens on such a line.
 # Line breaks within texts are escaped there, so nothing else looks like it.
@@ -37,19 +37,11 @@ def read_library(spark: SparkSession, path: str) -> DataFrame:
     Records are cut at the opening lines of the photo objects, so one large
     document is read by many tasks.
     """
-    raw = spark.read.text(path, lineSep=PHOTO_START).select(
-        "value",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
+    raw = spark.read.text(path, lineSep=PHOTO_START).filter(F.contains("value", F.lit(PHOTO_END)))
     body = F.substring_index("value", PHOTO_END, 1)
-    photos = raw.filter(F.contains("value", F.lit(PHOTO_END))).select(
-        "_path", "_block", "_line",
-        F.from_json(F.concat(F.lit("{"), body, F.lit("}")), schemas.PHOTO_JSON).alias("photo"),
-    ).filter(F.col("photo.filename").isNotNull())
-    placed = numbered(photos, [("_path", True), ("_block", True), ("_line", True)], name="_place")
-    return placed.select(*_typed(F.col("photo"), F.col("_place") - 1))
+    photo = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), schemas.PHOTO_JSON)
+    placed = numbered_by_file(raw.select(photo.alias("photo"), *file_place()), "_place")
+    return placed.select(*_typed(F.col("photo"), F.col("_place")))
 
 
 def read_library_document(spark: SparkSession, path: str) -> DataFrame:
@@ -103,13 +95,7 @@ def write_indented(library: DataFrame, path: str) -> None:
 
 
 def read_library_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Photos from JSON lines, in file order."""
+    """Photos from JSON lines, numbered in file order."""
     raw = spark.read.schema(schemas.PHOTO_JSON).json(path)
-    photos = raw.select(
-        F.struct(*raw.columns).alias("photo"),
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
-    placed = numbered(photos, [("_path", True), ("_block", True), ("_line", True)], name="_place")
-    return placed.select(*_typed(F.col("photo"), F.col("_place") - 1))
+    photos = raw.select(F.struct(*raw.columns).alias("photo"), *file_place())
+    return numbered_by_file(photos, "_place").select(*_typed(F.col("photo"), F.col("_place")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pictorium import schemas
-from pictorium.operators.ordering import numbered
+from pictorium.operators.ordering import FILE_PLACE, file_place, numbered
 
 
 def append_search_log(entries: DataFrame, path: str) -> None:
@@ -18,11 +18,5 @@ def append_search_log(entries: DataFrame, path: str) -> None:
 def read_search_log(spark: SparkSession, path: str) -> DataFrame:
     """Log rows with ``seq`` from 1: by time, then by place in the files."""
     raw = spark.read.schema(schemas.SEARCH_LOG).json(path)
-    lines = raw.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
-    order = [("timestamp", True), ("_path", True), ("_block", True), ("_line", True)]
-    return numbered(lines, order, name="seq").select("seq", *raw.columns)
+    order = [(c, True) for c in ("timestamp", *FILE_PLACE)]
+    return numbered(raw.select("*", *file_place()), order, name="seq").select("seq", *raw.columns)
