@@ -51,10 +51,14 @@ class WordEvidence:
     """What a table of queries asks of words, and the factors that follow for a batch of texts.
 
     ``asked[t, q]`` counts how often query ``q`` names term ``t``; ``total[q]``
-    is its number of words.
+    is its number of words. ``place[i]`` is the column of the query that the
+    batches call ``i``.
     """
 
-    def __init__(self, asked: np.ndarray, total: np.ndarray, boost: float, scattered: float, missing: float):
+    def __init__(
+        self, asked: np.ndarray, total: np.ndarray, place: np.ndarray, boost: float, scattered: float, missing: float
+    ):
+        self.place = place
         self.asked = asked.astype(np.float32)
         self.total = total.astype(np.int64)
         self.boost, self.scattered, self.missing = boost, scattered, missing
@@ -69,6 +73,8 @@ class WordEvidence:
             lists["grammatical"] = grammatical
         offsets = {n: _offsets(c) for n, c in lists.items()}
         values = {n: c.flatten().to_numpy(zero_copy_only=False) for n, c in lists.items()}
+        for name in lists.keys() - {"terms"}:
+            values[name] = self.place[values[name]]
 
         def marks(name: str, lo: int, hi: int, width: int, dtype) -> np.ndarray:
             cells = np.zeros((hi - lo, width), dtype=dtype)

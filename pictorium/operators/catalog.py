@@ -287,7 +287,8 @@ def delete_photos(library: DataFrame, vectors: DataFrame, names: DataFrame) -> t
     """Both tables without the named photos; every record with the name goes."""
     gone = names.select("filename").distinct()
     ids = library.join(gone, "filename", "left_semi").select("photo_id")
-    return library.join(gone, "filename", "left_anti"), vectors.join(ids, "photo_id", "left_anti")
+    kept = library.join(gone, "filename", "left_anti").select(*library.columns)
+    return kept, vectors.join(ids, "photo_id", "left_anti").select(*vectors.columns)
 
 
 def append_photos(table: DataFrame, new: DataFrame) -> DataFrame:

@@ -149,14 +149,15 @@ class _KnownQueries:
 
     def evidence(self, query_ids: pa.Array) -> WordEvidence:
         """Counts with queries in the order of the vector table."""
-        place = {q: i for i, q in enumerate(query_ids.to_pylist())}
-        asked = np.zeros((max(1, len(self.terms)), len(place)))
-        total = np.zeros(len(place))
-        for row in self.rows:
+        column = {q: i for i, q in enumerate(query_ids.to_pylist())}
+        place = np.array([column[r["query_id"]] for r in self.rows], dtype=np.int64)
+        asked = np.zeros((max(1, len(self.terms)), len(column)))
+        total = np.zeros(len(column))
+        for row, q in zip(self.rows, place):
             for word in row["words"]:
-                asked[self.number[word], place[row["query_id"]]] += 1
-            total[place[row["query_id"]]] = len(row["words"])
-        return WordEvidence(asked, total, R.BOOST, R.SCATTERED, R.MISSING_PENALTY)
+                asked[self.number[word], q] += 1
+            total[q] = len(row["words"])
+        return WordEvidence(asked, total, place, R.BOOST, R.SCATTERED, R.MISSING_PENALTY)
 
     def photo_evidence(self, library: DataFrame, pairs: DataFrame | None) -> DataFrame:
         """``photo_id, terms, phrases`` and maybe ``grammatical``: term numbers, and queries by their place."""

@@ -217,12 +217,10 @@ def keyword_search(
     ``word_count`` column reports 0, as records without metadata do.
     """
     count = F.coalesce("word_count", F.lit(0)) if "word_count" in library.columns else F.lit(0)
-    source = library.withColumn("word_count", count)
+    source = library.withColumns({"word_count": count, "description_length": F.length("description")})
     columns = ["query_id", "photo_id", "filename", "matches", "full_path", "description_length", "word_count"]
     hits = keyword_hits(
-        queries,
-        source.withColumn("description_length", F.length("description")),
-        "filename", "full_path", "description_length", "word_count",
+        queries, source, "filename", "full_path", "description_length", "word_count",
         distance=distance, max_broadcast=max_broadcast,
     ).select(*columns)
     if faces is None:
