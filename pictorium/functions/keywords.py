@@ -237,15 +237,14 @@ def snippet_map(tokens: Column, lowered: Column, items: Column, distance: Column
     return F.map_from_entries(F.array_distinct(entries))
 
 
-def word_proximity(description: Column, query_words: Column, distance: Column | int = DEFAULT_DISTANCE) -> Column:
-    """All words close together among blank-separated words, by substring.
+def word_proximity(tokens: Column, query_words: Column, distance: Column | int = DEFAULT_DISTANCE) -> Column:
+    """All words close together among the blank-separated lower-case ``tokens``, by substring.
 
     Two words: any pair of hits at most ``distance`` apart. More: some hit of the
     first word has every other word within ``distance`` on either side. Fewer
     than two words: always true.
     """
     distance = F.lit(distance) if isinstance(distance, int) else distance
-    tokens = text.blank_split(F.lower(description))
     first = F.element_at(query_words, 1)
     others = F.slice(query_words, 2, F.greatest(F.size(query_words) - 1, F.lit(0)))
 

@@ -5,8 +5,8 @@ between keywords). Library columns: ``photo_id``, ``filename``,
 ``description``, ``full_path``.
 
 Two exact ways lead to the candidate pairs. While the query table is small
-(checked), the library is scanned once with the queries broadcast and no
-shuffle. Beyond that, candidates come from equi-joins over the vocabulary:
+(checked), the library is scanned once with the queries as a constant, without
+a join or a shuffle. Beyond that, candidates come from equi-joins over the vocabulary:
 keyword and word meet on a shared three-letter piece, so neither side is
 broadcast and no pairing is exhaustive. Both ways end in the same row-local
 evaluation.
@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pictorium.functions import keywords as K
 from pictorium.functions import text as T
 from pictorium.session import rows_within
 
-MAX_BROADCAST_QUERIES = 2_000
+MAX_LITERAL_QUERIES = 1_000
 MAX_LITERAL_PROBES = 256
 ANSWERED_TOGETHER = 1_000
 
@@ -153,16 +153,35 @@ def _evaluated(pairs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def _scan_pairs(parsed: DataFrame, probes: list[str], library: DataFrame, *keep: str) -> DataFrame:
-    """Small query table: one scan, queries broadcast, exact test inside the join condition."""
+def _matching(texts: DataFrame, table: DataFrame, json_rows: list[str], hit) -> DataFrame:
+    """Each text with each query of a small table that ``hit`` accepts, as columns of the query.
+
+    The queries stand in the plan as one constant array, so there is no join.
+    The outer explode keeps the optimizer from testing for empty arrays, which
+    would evaluate every query twice.
+    """
+    constant = F.from_json(F.lit("[" + ",".join(json_rows) + "]"), f"array<{table.schema.simpleString()}>")
+    found = texts.select("*", F.explode_outer(F.filter(constant, hit)).alias("_q")).filter(F.col("_q").isNotNull())
+    return found.select(*texts.columns, "_q.*")
+
+
+def _as_json(table: DataFrame) -> Column:
+    return F.to_json(F.struct(*table.columns)).alias("json")
+
+
+def _scan_pairs(parsed: DataFrame, known: list[Row], library: DataFrame, *keep: str) -> DataFrame:
+    """Small query table: one pass over the library, exact test in place, no shuffle."""
+    probes = [p for row in known for p in row["probes"]]
     texts = tokenised(_any_probe(library, probes), *keep, "description").withColumn(
         "lowered_text", F.lower("description")
     )
-    small = parsed.withColumn("probes", _group_probes(F.col("groups")))
-    hit = _may_contain(F.col("lowered_text"), F.col("probes")) & K.first_matching_group(
-        F.col("lowered"), F.col("groups"), F.col("d")
-    ).isNotNull()
-    return texts.join(F.broadcast(small), hit).drop("lowered_text", "probes")
+
+    def hit(q: Column) -> Column:
+        found = K.first_matching_group(F.col("lowered"), q["groups"], q["d"]).isNotNull()
+        return _may_contain(F.col("lowered_text"), q["probes"]) & found
+
+    with_probes = parsed.withColumn("probes", _group_probes(F.col("groups")))
+    return _matching(texts, with_probes, [r["json"] for r in known], hit).drop("lowered_text", "probes")
 
 
 def _index_pairs(parsed: DataFrame, library: DataFrame, *keep: str) -> DataFrame:
@@ -183,12 +202,10 @@ def _index_pairs(parsed: DataFrame, library: DataFrame, *keep: str) -> DataFrame
     return joined.drop(F.col("q.photo_id"))
 
 
-def _hits(parsed: DataFrame, library: DataFrame, *keep: str, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    known = rows_within(parsed.select(_group_probes(F.col("groups")).alias("probes")), max_broadcast)
-    if known is None:
-        pairs = _index_pairs(parsed, library, *keep)
-    else:
-        pairs = _scan_pairs(parsed, [p for row in known for p in row["probes"]], library, *keep)
+def _hits(parsed: DataFrame, library: DataFrame, *keep: str, max_literal: int = MAX_LITERAL_QUERIES) -> DataFrame:
+    probed = parsed.withColumn("probes", _group_probes(F.col("groups")))
+    known = rows_within(probed.select("probes", _as_json(probed)), max_literal)
+    pairs = _index_pairs(parsed, library, *keep) if known is None else _scan_pairs(parsed, known, library, *keep)
     return _evaluated(pairs, *keep)
 
 
@@ -197,10 +214,10 @@ def keyword_hits(
     library: DataFrame,
     *keep: str,
     distance: int = K.DEFAULT_DISTANCE,
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
+    max_literal: int = MAX_LITERAL_QUERIES,
 ) -> DataFrame:
     """``query_id, photo_id, <keep>, group_no, matches`` of every match."""
-    return _hits(parsed_queries(queries, distance), library, *keep, max_broadcast=max_broadcast)
+    return _hits(parsed_queries(queries, distance), library, *keep, max_literal=max_literal)
 
 
 def keyword_search(
@@ -208,7 +225,7 @@ def keyword_search(
     library: DataFrame,
     distance: int = K.DEFAULT_DISTANCE,
     faces: DataFrame | None = None,
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
+    max_literal: int = MAX_LITERAL_QUERIES,
 ) -> DataFrame:
     """The full search: ``query_id, photo_id, filename, matches, full_path, description_length, word_count``.
 
@@ -221,7 +238,7 @@ def keyword_search(
     columns = ["query_id", "photo_id", "filename", "matches", "full_path", "description_length", "word_count"]
     hits = keyword_hits(
         queries, source, "filename", "full_path", "description_length", "word_count",
-        distance=distance, max_broadcast=max_broadcast,
+        distance=distance, max_literal=max_literal,
     ).select(*columns)
     if faces is None:
         return hits
@@ -282,18 +299,22 @@ def word_proximity(
     queries: DataFrame,
     library: DataFrame,
     distance: int = K.DEFAULT_DISTANCE,
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
+    max_literal: int = MAX_LITERAL_QUERIES,
 ) -> DataFrame:
     """Pairs ``query_id, photo_id`` whose query words lie close together (blank-separated, by substring).
 
     Queries with fewer than two words ask for nothing and are left out.
     """
     words = queries.select("query_id", T.blank_split(F.lower("query")).alias("words")).filter(F.size("words") > 1)
-    texts = library.select("photo_id", "description", F.lower("description").alias("lowered_text"))
-    close = K.word_proximity(F.col("description"), F.col("words"), distance)
-    if rows_within(words.select("query_id"), max_broadcast) is not None:
-        hit = F.forall("words", lambda w: F.contains(F.col("lowered_text"), w)) & close
-        return texts.join(F.broadcast(words), hit).select("query_id", "photo_id")
+    texts = library.select("photo_id", F.lower("description").alias("lowered_text"))
+    texts = texts.withColumn("tokens", T.blank_split(F.col("lowered_text")))
+    known = rows_within(words.select(_as_json(words)), max_literal)
+    if known is not None:
+        def hit(q: Column) -> Column:
+            present = F.forall(q["words"], lambda w: F.contains(F.col("lowered_text"), w))
+            return present & K.word_proximity(F.col("tokens"), q["words"], distance)
+
+        return _matching(texts, words, [r["json"] for r in known], hit).select("query_id", "photo_id")
 
     probes = words.select("query_id", _probe(F.col("words")).alias("term"))
     held = library.select(
@@ -302,6 +323,7 @@ def word_proximity(
     matched = substring_match(probes.select("term").distinct(), held.select("word").distinct())
     holders = held.join(matched, "word").select("term", "photo_id").distinct()
     candidates = holders.join(probes, "term").select("query_id", "photo_id")
+    close = K.word_proximity(F.col("tokens"), F.col("words"), distance)
     joined = candidates.join(words, "query_id").alias("q").join(
         texts.alias("t"), (F.col("q.photo_id") == F.col("t.photo_id")) & close
     )

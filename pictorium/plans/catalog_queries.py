@@ -548,37 +548,21 @@ def _(inputs):
 @query("append_photo", """
     SELECT photo_id, filename, description, has_dogs FROM library
     UNION ALL
-    SELECT conv_id + 1000000, concat('upload_', CAST(conv_id AS STRING), '.jpg'), text, NULL
-    FROM conversations WHERE turn = 0
+    SELECT 1000000000 + conv_id * 1000 + turn,
+           concat('upload_', CAST(conv_id AS STRING), '_', CAST(turn AS STRING), '.jpg'), text, NULL
+    FROM conversations
 """, ("library",))
 def _(inputs):
-    new = inputs.conversations.filter("turn = 0").select(
-        (F.col("conv_id") + 1000000).alias("photo_id"),
-        F.concat(F.lit("upload_"), F.col("conv_id").cast("string"), F.lit(".jpg")).alias("filename"),
+    number = F.concat_ws("_", F.lit("upload"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    new = inputs.conversations.select(
+        (F.lit(1000000000) + F.col("conv_id") * 1000 + F.col("turn")).alias("photo_id"),
+        F.concat(number, F.lit(".jpg")).alias("filename"),
         F.col("text").alias("description"),
     )
     twice = new.unionByName(inputs.library.select("photo_id", "filename", "description"))
     return C.append_photos(inputs.library, twice).select("photo_id", "filename", "description", "has_dogs")
 
 
-@query("merge_descriptions", f"""
-    SELECT photo_id, CASE WHEN coalesce(t.text, '') <> '' THEN t.text ELSE description END AS description,
-           CAST(length(CASE WHEN coalesce(t.text, '') <> '' THEN t.text ELSE description END) AS INT) AS description_length,
-           CAST(len({S.blank_words("CASE WHEN coalesce(t.text, '') <> '' THEN t.text ELSE description END")}) AS INT) AS word_count,
-           coalesce(t.text, '') <> '' AS updated
-    FROM library LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) t ON t.conv_id = photo_id
-""", ("library",))
-def _(inputs):
-    new = inputs.conversations.filter("turn = 1").select(
-        F.col("conv_id").alias("photo_id"), F.col("text").alias("new_description")
-    )
-    merged = C.merge_descriptions(records(inputs), new)
-    return merged.select(
-        "photo_id", "description", F.col("metadata.description_length").alias("description_length"),
-        F.col("metadata.word_count").alias("word_count"), "updated",
-    )
-
-
 @query("merge_flags", """
     SELECT l.photo_id,
            CASE WHEN c.conv_id IS NOT NULL THEN c.n > 3 ELSE l.has_characters END AS has_characters,

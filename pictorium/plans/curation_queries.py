@@ -13,6 +13,7 @@ from pictorium.operators import modelout as M
 from pictorium.operators import querylog as Q
 from pictorium.operators import vectors as V
 from pictorium.plans import sqlbits as S
+from pictorium.plans.catalog_queries import records
 from pictorium.plans.registry import Inputs, query
 from pictorium.plans.search_queries import hashed
 from pictorium.session import scratch_path
@@ -250,6 +251,25 @@ def _(inputs):
     return M.continue_candidate(M.best_candidate(inputs.candidates), continuations)
 
 
+_NEW_TEXT = "CASE WHEN coalesce(best, '') <> '' THEN best ELSE description END"
+
+
+@query("merge_descriptions", f"""
+    WITH {_BEST} SELECT photo_id, {_NEW_TEXT} AS description,
+           CAST(length({_NEW_TEXT}) AS INT) AS description_length,
+           CAST(len({S.blank_words(_NEW_TEXT)}) AS INT) AS word_count,
+           coalesce(best, '') <> '' AS updated
+    FROM library LEFT JOIN best USING (photo_id)
+""", ("candidates", "library"))
+def _(inputs):
+    new = M.best_candidate(inputs.candidates).select("photo_id", F.col("best").alias("new_description"))
+    merged = C.merge_descriptions(records(inputs), new)
+    return merged.select(
+        "photo_id", "description", F.col("metadata.description_length").alias("description_length"),
+        F.col("metadata.word_count").alias("word_count"), "updated",
+    )
+
+
 def _measure():
     """A stand-in model: the number of characters; it refuses texts that do not end a sentence."""
 

@@ -206,7 +206,7 @@ def _(inputs):
 
 @query("keyword_search_indexed", _KEYWORD_CHECK, _KEYWORD_VIEWS)
 def _(inputs):
-    hits = KW.keyword_search(inputs.boolean_queries, _searchable(inputs), max_broadcast=0)
+    hits = KW.keyword_search(inputs.boolean_queries, _searchable(inputs), max_literal=0)
     return hits.withColumn("matches", matches_text(F.col("matches")))
 
 
@@ -401,8 +401,8 @@ def _(inputs):
                (w.seen AND NOT w.cut) OR a.upos = 'ADJ',
                ((w.seen AND NOT w.cut) OR a.upos = 'ADJ') AND a.upos = 'NOUN' AND coalesce(a.next_upos = 'NOUN', false)
         FROM walk w JOIN a ON a.photo_id = w.photo_id AND a.chunk = w.chunk AND a.pos = w.pos + 1)
-    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY token_count DESC, start) AS phrase_no,
-           phrase, token_count
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY token_count DESC, start) AS INT) AS phrase_no,
+           phrase, CAST(token_count AS INT) AS token_count
     FROM (SELECT w.photo_id AS query_id, string_agg(a.token, ' ' ORDER BY a.pos) AS phrase, count(*) AS token_count,
                  min(a.pos) AS start
           FROM walk w JOIN a ON a.photo_id = w.photo_id AND a.pos = w.pos GROUP BY w.photo_id, w.chunk, w.part)

@@ -147,7 +147,7 @@ def test_parse_query(spark):
 
 def test_word_proximity(spark):
     def near(words, places):
-        df = spark.createDataFrame([(words, positions_text(places))], "q array<string>, t string")
+        df = spark.createDataFrame([(words, positions_text(places).split())], "q array<string>, t array<string>")
         return df.select(K.word_proximity(F.col("t"), F.col("q")).alias("r")).first()["r"]
 
     assert near(["xx", "yy", "zz"], [("xx", 6), ("yy", 0), ("zz", 3)]) is False

@@ -97,7 +97,7 @@ QUERIES = ("red dog", "dog or cat", "red hair and dog", "red and cat or order",
 
 def test_both_search_paths_agree_and_keep_blank_and_face_queries_out(spark, library, queries):
     def run(limit):
-        hits = KW.keyword_search(queries(*QUERIES), library(*TEXTS), max_broadcast=limit)
+        hits = KW.keyword_search(queries(*QUERIES), library(*TEXTS), max_literal=limit)
         return {(r["query_id"], r["photo_id"]): r["matches"] for r in hits.collect()}
 
     scan, indexed = run(2_000), run(0)
@@ -157,7 +157,7 @@ def test_substring_match_equals_brute_force(spark):
 @pytest.mark.parametrize("limit", [2_000, 0])
 def test_word_proximity_paths(spark, library, queries, limit):
     lib = library("vibrant pink hair", "dark brown hair and a long grey pink shirt", "hairpink")
-    got = KW.word_proximity(queries("pink hair", "pink"), lib, max_broadcast=limit).collect()
+    got = KW.word_proximity(queries("pink hair", "pink"), lib, max_literal=limit).collect()
     assert {tuple(r) for r in got} == {(0, 0), (0, 2)}
 
 
