@@ -63,34 +63,50 @@ def _range_of(order: Order, bounds: list[dict], first: int = 0) -> Column:
     )
 
 
-def numbered(
+def running_sum(
     df: DataFrame,
     order: Order,
+    value: str,
     within: tuple[str, ...] = (),
-    name: str = "row_no",
+    name: str = "before",
     range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """``df`` with row numbers from 1 in ``order``, over the table or within the columns ``within``.
+    """``df`` with the sum of ``value`` over the earlier rows, over the table or within columns.
 
-    ``order`` must not leave ties.
+    ``order`` must not leave ties. A table of at most ``range_rows`` rows is one
+    range; larger ones are summed range by range, and the totals of the earlier
+    ranges are added.
     """
     bounds = _bounds(df, order, df.count(), range_rows)
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    if not bounds:
+        window = W.partitionBy(*within).orderBy(*_sort_columns(order)) if within else W.orderBy(*_sort_columns(order))
+        return df.withColumn(name, F.coalesce(F.sum(value).over(earlier(window)), F.lit(0)))
     ranged = df.withColumn("_range", _range_of(order, bounds))
     groups = [*within, "_range"]
-    counts = ranged.groupBy(*groups).agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
-    before = before.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*groups, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy(*groups).orderBy(*_sort_columns(order)))
-    rows = ranged.withColumn("_inside", inside)
-    joined = rows.alias("r").join(
-        starts.alias("s"), reduce(lambda a, b: a & b, [F.col(f"r.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups])
-    )
-    return joined.select(
-        *[F.col(f"r.{c}") for c in df.columns], (F.col("_inside") + F.col("_start")).cast("long").alias(name)
+    totals = ranged.groupBy(*groups).agg(F.sum(value).alias("_total"))
+    ranges = (W.partitionBy(*within) if within else W.partitionBy(F.lit(0))).orderBy("_range")
+    starts = totals.select(*groups, F.coalesce(F.sum("_total").over(earlier(ranges)), F.lit(0)).alias("_start"))
+    inside = earlier(W.partitionBy(*groups).orderBy(*_sort_columns(order)))
+    rows = ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups])
+    return rows.alias("r").join(starts.alias("s"), same).select(
+        *[F.col(f"r.{c}") for c in df.columns], (F.col("_inside") + F.col("_start")).alias(name)
     )
 
 
+def numbered(
+    df: DataFrame,
+    order: Order,
+    within: tuple[str, ...] = (),
+    name: str = "row_no",
+    range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """``df`` with row numbers from 1 in ``order``, over the table or within the columns ``within``."""
+    counted = running_sum(df.withColumn("_one", F.lit(1)), order, "_one", within, name, range_rows)
+    return counted.drop("_one").withColumn(name, (F.col(name) + 1).cast("long"))
+
+
 FILE_PLACE = ("_path", "_block", "_line")
 
 
@@ -112,10 +128,8 @@ def numbered_by_file(lines: DataFrame, name: str) -> DataFrame:
     """
     splits = lines.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_line").alias("_first"))
     in_file = W.partitionBy("_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    in_files = W.orderBy("_path").rowsBetween(W.unboundedPreceding, -1)
-    files = splits.groupBy("_path").agg(F.sum("_n").alias("_rows")).select(
-        "_path", F.coalesce(F.sum("_rows").over(in_files), F.lit(0)).alias("_before")
-    )
+    files = splits.groupBy("_path").agg(F.sum("_n").alias("_rows"))
+    files = running_sum(files, [("_path", True)], "_rows", name="_before").drop("_rows")
     starts = splits.withColumn("_start", F.coalesce(F.sum("_n").over(in_file), F.lit(0))).join(files, "_path")
     place = F.col("_line") - F.col("_first") + F.col("_start") + F.col("_before")
     kept = [c for c in lines.columns if c not in FILE_PLACE]

@@ -231,3 +231,34 @@ def test_entry_runs(spark, sf_dir):
 def test_names_share_one_rule(spark):
     rows = spark.createDataFrame([("IMG_1.HEIC",)], "name string")
     assert rows.select(N.thumbnail_name(F.col("name"))).first()[0] == "IMG_1_HEIC.jpg"
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, tmp_path, library):
+    from pictorium.operators import vectors as V
+    from pictorium.sources import tables
+
+    lib = library(*[f"text {i}" for i in range(50)])
+    tables.save_bucketed(lib, "t_library", 4, str(tmp_path / "l"))
+    tables.save_bucketed(V.embed_text(lib).withColumn("model_name", F.lit("m")), "t_vectors", 4, str(tmp_path / "v"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        met = V.attach_embeddings(tables.read_table(spark, "t_library"), tables.read_table(spark, "t_vectors"), "m")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert met.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE t_library")
+        spark.sql("DROP TABLE t_vectors")
+
+
+def test_no_registered_query_pairs_everything(spark, sf_dir):
+    """Plans of the searches hold no cross join, and keyword search moves no rows."""
+    for name in ("keyword_search", "keyword_search_indexed", "hybrid_search", "cosine_topk", "listing_order", "term_match"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+        if name == "keyword_search":
+            assert "hashpartitioning" not in plan and plan.count("regexp_extract_all") == 1
+        if name == "hybrid_search":
+            assert "WindowGroupLimit" in plan
