@@ -11,6 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    import ahocorasick
+except ImportError:  # the searches then look up the pieces of each word
+    ahocorasick = None
+
 SLACK = 1e-9  # far above the rounding error of a product of double vectors
 
 
@@ -205,6 +210,30 @@ def sparse_hits(column, query_ids: pa.Array):
     return dense
 
 
+def term_finder(terms: list[str], phrases: list[tuple[str, list[int]]]):
+    """A function from texts to list columns: numbers of the found terms, and of the queries whose phrase occurs.
+
+    One pass over each text finds all terms and phrases at once, however many there are.
+    """
+    automaton = ahocorasick.Automaton()
+    for number, term in enumerate(terms):
+        automaton.add_word(term, (number, ()))
+    for phrase, queries in phrases:
+        automaton.add_word(phrase, (None, tuple(queries)))
+    if len(automaton):
+        automaton.make_automaton()
+
+    def find(texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+        found_terms, found_queries = [], []
+        for text in texts:
+            hits = {hit for _, hit in automaton.iter(text)} if text and len(automaton) else ()
+            found_terms.append([n for n, _ in hits if n is not None])
+            found_queries.append([q for _, queries in hits for q in queries])
+        return pa.array(found_terms, pa.list_(pa.int32())), pa.array(found_queries, pa.list_(pa.int32()))
+
+    return find
+
+
 def pairs_above(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, min_score: float):
     """``(query position, photo_id, score)`` of the pairs that reach ``min_score``."""
     rough = rows @ queries.T

@@ -9,6 +9,7 @@ those meet their descriptions again.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pictorium.functions import kernels
 from pictorium.functions import ranking as R
 from pictorium.functions import text as T
 from pictorium.functions.kernels import WordEvidence
@@ -167,7 +169,7 @@ class _KnownQueries:
             F.filter(_constant(whole, "no:int,full:string"), lambda q: F.contains(F.col("lowered"), q["full"])),
             lambda q: q["no"],
         )
-        found = self._found_terms(library, phrases)
+        found = self._found_terms(library, phrases, whole)
         if pairs is None and "pairs" not in library.columns:
             return found
         related = [{"no": place[r["query_id"]], "words": r["words"]} for r in self.rows if len(r["words"]) > 1]
@@ -180,12 +182,13 @@ class _KnownQueries:
         met = _meet_pairs(found, library, pairs)
         return met.select("photo_id", "terms", "phrases", F.when(F.size("pairs") > 0, grammatical).alias("grammatical"))
 
-    def _found_terms(self, library: DataFrame, phrases: Column) -> DataFrame:
+    def _found_terms(self, library: DataFrame, phrases: Column, whole: list[dict]) -> DataFrame:
         """``photo_id, terms, phrases``.
 
-        Few terms are looked for in the text one by one. Many are found from the
-        text's side: each piece of a word that has the length of a term is
-        looked up in the term table.
+        Few terms are looked for in the text one by one. Many are found together
+        in one pass over each text where a multi-pattern matcher is installed;
+        otherwise from the text's side, where each piece of a word that has the
+        length of a term is looked up in the term table.
         """
         texts = library.select("photo_id", F.lower("description").alias("lowered"))
         if len(self.terms) <= FEW_TERMS:
@@ -195,6 +198,9 @@ class _KnownQueries:
             )
             return texts.select("photo_id", terms.alias("terms"), phrases.alias("phrases"))
 
+        if kernels.ahocorasick is not None:
+            return self._matched_terms(texts, whole)
+
         # The empty piece keeps texts without any term in the result.
         entries = [("", None), *((t, i) for i, t in enumerate(self.terms))]
         table = library.sparkSession.createDataFrame(entries, "term string, term_no int")
@@ -206,6 +212,21 @@ class _KnownQueries:
             F.collect_set("term_no").alias("terms"), F.max(F.when(F.col("term") == "", F.col("phrases"))).alias("phrases")
         )
 
+    def _matched_terms(self, texts: DataFrame, whole: list[dict]) -> DataFrame:
+        terms, queries = self.terms, {}
+        for q in whole:
+            queries.setdefault(q["full"], []).append(q["no"])
+
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = kernels.term_finder(terms, list(queries.items()))
+            for batch in batches:
+                found = find(batch.column("lowered").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("photo_id"), *found], names=["photo_id", "terms", "phrases"]
+                )
+
+        return texts.mapInArrow(match, "photo_id long, terms array<int>, phrases array<int>")
+
     def _pieces(self, lowered: Column) -> Column:
         """Pieces of the text's words that may be terms. Very long words are searched for the terms instead."""
         lengths = F.array(*[F.lit(n) for n in self.lengths])

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -126,15 +127,16 @@ def combine_phrases(phrases: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- scoring
 
 
-def _small_table(df: DataFrame, cap: int) -> pa.Table | None:
-    """A table of at most ``cap`` rows as Arrow, or None when it has more."""
-    table = df.limit(cap + 1).toArrow()
-    return table.combine_chunks() if table.num_rows <= cap else None
+def _asking_side(vectors: DataFrame, cap: int) -> tuple[int, pa.Table | None]:
+    """The common size of the vectors, and the table itself when it has at most ``cap`` rows.
 
-
-def _dim_of(vectors: DataFrame) -> int:
-    first = vectors.select(F.size("embedding").alias("dim")).limit(1).collect()
-    return first[0]["dim"] if first else 0
+    Vectors of another size than the first one raise.
+    """
+    table = vectors.filter(F.col("embedding").isNotNull()).limit(cap + 1).toArrow().combine_chunks()
+    sizes = pc.unique(pc.list_value_length(table.column("embedding"))).to_pylist()
+    if len(sizes) > 1:
+        raise ValueError(f"query vectors of several sizes: {sorted(sizes)}")
+    return (sizes[0] if sizes else 0), (table if table.num_rows <= cap else None)
 
 
 def _usable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -188,11 +190,10 @@ def partial_topk(
     query tables of any size, a table ``hits`` of ``photo_id, query_id, factor,
     phrase_matched, word_matches``.
     """
-    dim = _dim_of(queries)
-    corpus = _usable(corpus, dim)
-    queries = _usable(queries.select("query_id", "embedding"), dim)
+    queries = queries.select("query_id", "embedding")
     schema = _topk_schema(queries)
-    table = _small_table(queries, max_broadcast)
+    dim, table = _asking_side(queries, max_broadcast)
+    corpus, queries = _usable(corpus, dim), _usable(queries, dim)
 
     if table is not None:
         query_ids, vectors = _single(table, "query_id"), kernels.matrix(table.column("embedding"), dim)
@@ -283,11 +284,10 @@ def scores_above(
     queries: DataFrame, vectors: DataFrame, min_score: float, max_broadcast: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
     """Every pair ``query_id, photo_id, score`` that reaches ``min_score``."""
-    dim = _dim_of(queries)
+    dim, table = _asking_side(queries.select("query_id", "embedding"), max_broadcast)
     corpus = _usable(vectors.select("photo_id", "embedding"), dim)
     queries = _usable(queries.select("query_id", "embedding"), dim)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, photo_id long, score double"
-    table = _small_table(queries, max_broadcast)
 
     def found(ids: pa.Array, matrix: np.ndarray, photo_ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
         q, photo, score = kernels.pairs_above(photo_ids, rows, matrix, min_score)
@@ -337,10 +337,9 @@ def nearest_reference(
 
     ``photo_id, face_no, ref_id, ref_name, distance, match_confidence, matched``.
     """
-    dim = _dim_of(refs)
+    dim, table = _asking_side(refs.select("ref_id", "embedding"), max_broadcast)
     refs = _usable(refs, dim).select("ref_id", "ref_name", "embedding")
     usable = _usable(faces, dim).select("photo_id", "face_no", "embedding")
-    table = _small_table(refs.select("ref_id", "embedding"), max_broadcast)
     schema = "photo_id long, face_no int, ref_id long, distance double"
 
     def best(photo, face, rows: np.ndarray, numbers: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:

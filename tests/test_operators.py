@@ -258,10 +258,11 @@ def test_repair_writes_only_when_vectors_have_drifted(spark, library, tmp_path):
 WORDS = ["red", "dog", "hair", "old", "house", "carpet", "à", "it", "longword" * 40]
 
 
-@pytest.mark.parametrize("few", [48, 0])
-@pytest.mark.parametrize("known", [2_048, 0])
-def test_hybrid_search_equals_brute_force(spark, library, queries, monkeypatch, few, known):
+@pytest.mark.parametrize("few, matcher, known", [(48, True, 2_048), (0, True, 2_048), (0, False, 2_048), (48, True, 0)])
+def test_hybrid_search_equals_brute_force(spark, library, queries, monkeypatch, few, matcher, known):
     monkeypatch.setattr(H, "FEW_TERMS", few)
+    if not matcher:
+        monkeypatch.setattr(kernels, "ahocorasick", None)
     monkeypatch.setattr(V, "QUERY_BLOCK", 2)
     rng = random.Random(9)
     texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 6))) for _ in range(40)]
