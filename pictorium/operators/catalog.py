@@ -93,9 +93,8 @@ def album_page(
     """One page of an album by file name, and the one-row total."""
     files = in_albums(paths, root).filter(F.col("album") == album)
     shown = page(files, [("name", True), (key, True)], limit, offset)
-    return shown.select(*dict.fromkeys([key]), F.col("name").alias("filename"), "album", "rel_path"), files.agg(
-        F.count("*").alias("total")
-    )
+    named = shown.select(key, F.col("name").alias("filename"), "album", "rel_path")
+    return named, files.agg(F.count("*").alias("total"))
 
 
 def missing_thumbnails(photos: DataFrame, thumbnails: DataFrame) -> DataFrame:

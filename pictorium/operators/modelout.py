@@ -44,8 +44,8 @@ def run_model(
     """Apply a model over partitions: kept columns, the output columns, ``status``, ``error``.
 
     ``load`` runs once in each task and returns a function from a batch of rows
-    to a data frame of outputs. A batch that fails is tried row by row; a row
-    that fails gets NULL outputs and status ``error``, and the rest goes on.
+    to a data frame of outputs. A batch that fails is halved until the failing
+    rows stand alone; those get NULL outputs and status ``error``, the rest goes on.
     """
     produced = ST.StructType.fromDDL(outputs)
     kept = ST.StructType([df.schema[c] for c in keep])
@@ -63,21 +63,23 @@ def run_model(
             out = pd.concat([rows[list(keep)].reset_index(drop=True), result], axis=1)
             return out.assign(status="ok", error=None)
 
+        def halved(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            try:
+                done = attempt(rows)
+            except Exception as failure:
+                if len(rows) > 1:
+                    middle = len(rows) // 2
+                    yield from halved(rows.iloc[:middle])
+                    yield from halved(rows.iloc[middle:])
+                    return
+                nulls = {n: [None] for n in names}
+                message = f"{type(failure).__name__}: {failure}"
+                done = rows[list(keep)].reset_index(drop=True).assign(**nulls, status="error", error=message)
+            yield done
+
         for frame in frames:
             for start in range(0, len(frame), batch):
-                rows = frame.iloc[start : start + batch]
-                try:
-                    yield attempt(rows)
-                except Exception:
-                    for i in range(len(rows)):
-                        row = rows.iloc[i : i + 1]
-                        try:
-                            yield attempt(row)
-                        except Exception as failure:
-                            nulls = {n: [None] for n in names}
-                            yield row[list(keep)].reset_index(drop=True).assign(
-                                **nulls, status="error", error=f"{type(failure).__name__}: {failure}"
-                            )
+                yield from halved(frame.iloc[start : start + batch])
 
     return df.mapInPandas(apply, schema)
 
