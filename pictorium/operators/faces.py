@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pictorium import schemas
 from pictorium.operators.ordering import numbered
 from pictorium.operators.vectors import MAX_BROADCAST_ROWS, nearest_reference
 
-FACE_STRUCT = (
-    "struct<has_faces:boolean,face_count:bigint,has_known_faces:boolean,"
-    "known_faces:array<struct<match_confidence:double,reference_image:string,distance:double>>>"
-)
+_KNOWN = "array<struct<face_no:int,match_confidence:double,reference_image:string,distance:double>>"
 
 
 def photo_faces(photos: DataFrame, matches: DataFrame) -> DataFrame:
@@ -34,7 +32,7 @@ def photo_faces(photos: DataFrame, matches: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(known)).alias("known"),
     )
     faces = F.transform(
-        F.coalesce("known", F.array().cast("array<struct<face_no:int,match_confidence:double,reference_image:string,distance:double>>")),
+        F.coalesce("known", F.array().cast(_KNOWN)),
         lambda k: F.struct(k["match_confidence"].alias("match_confidence"),
                            k["reference_image"].alias("reference_image"), k["distance"].alias("distance")),
     )
@@ -44,7 +42,8 @@ def photo_faces(photos: DataFrame, matches: DataFrame) -> DataFrame:
         F.coalesce("has_known", F.lit(False)).alias("has_known_faces"),
         faces.alias("known_faces"),
     )
-    return photos.select("photo_id").join(rolled, "photo_id", "left").select("photo_id", face.cast(FACE_STRUCT).alias("face"))
+    met = photos.select("photo_id").join(rolled, "photo_id", "left")
+    return met.select("photo_id", face.cast(schemas.FACE).alias("face"))
 
 
 def match_faces(

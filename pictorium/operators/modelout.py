@@ -9,18 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from pictorium import schemas
 from pictorium.functions import text as T
 
-FLAG_SCHEMA = (
-    "has_characters boolean, characters array<struct<type:string,count:int>>, "
-    "has_dogs boolean, dogs array<struct<type:string,count:int>>, "
-    "has_cars boolean, cars array<struct<type:string,count:int>>"
-)
-FLAG_STRUCT = (
-    "struct<has_characters:boolean,characters:array<struct<type:string,count:int>>,"
-    "has_dogs:boolean,dogs:array<struct<type:string,count:int>>,"
-    "has_cars:boolean,cars:array<struct<type:string,count:int>>>"
-)
 EMPTY_FLAGS = (
     '{"has_characters":false,"characters":[],"has_dogs":false,"dogs":[],"has_cars":false,"cars":[]}'
 )
@@ -98,11 +89,11 @@ def json_span(response: Column) -> Column:
 def parse_flags(text: Column) -> Column:
     """Flags of a complete JSON object, NULL for anything else."""
     valid = F.try_parse_json(text)
-    return F.when(valid.isNotNull(), F.from_json(text, FLAG_SCHEMA))
+    return F.when(valid.isNotNull(), F.from_json(text, schemas.FLAGS))
 
 
 def empty_flags() -> Column:
-    return F.from_json(F.lit(EMPTY_FLAGS), FLAG_SCHEMA)
+    return F.from_json(F.lit(EMPTY_FLAGS), schemas.FLAGS)
 
 
 def mended_json(response: Column) -> Column:

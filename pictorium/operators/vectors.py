@@ -33,9 +33,7 @@ CORPUS_BLOCK = 200_000
 def hash_buckets(text: Column, dim: int) -> Column:
     """The bucket of every word: leading 32 bits of its md5, modulo ``dim``."""
     words = F.transform(T.words(text), F.lower)
-    return F.transform(
-        words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long").__mod__(dim).cast("int")
-    )
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
 
 
 def hash_embed(df: DataFrame, key: str, text_column: str, dim: int = 64) -> DataFrame:

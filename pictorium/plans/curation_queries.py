@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pictorium.functions import text as T
 from pictorium.operators import catalog as C
 from pictorium.operators import faces as FA
 from pictorium.operators import modelout as M

@@ -41,13 +41,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/pictorium/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage through a table in the shared folder."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def rows_within(df: DataFrame, cap: int) -> list[Row] | None:
     """The rows of a small table, or None when it has more than ``cap`` rows.
 
