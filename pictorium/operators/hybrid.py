@@ -24,7 +24,7 @@ from pictorium.functions.kernels import WordEvidence
 from pictorium.operators import vectors as V
 from pictorium.operators.catalog import FLAGS, flag_filter
 from pictorium.operators.keyword import substring_match
-from pictorium.session import rows_within
+from pictorium.session import rows_within, ship_package
 
 MAX_LITERAL_QUERIES = 64
 MAX_KNOWN_QUERIES = 2_048
@@ -213,6 +213,7 @@ class _KnownQueries:
         )
 
     def _matched_terms(self, texts: DataFrame, whole: list[dict]) -> DataFrame:
+        ship_package(texts.sparkSession)
         terms, queries = self.terms, {}
         for q in whole:
             queries.setdefault(q["full"], []).append(q["no"])

@@ -11,6 +11,7 @@ from pyspark.sql import types as ST
 
 from pictorium import schemas
 from pictorium.functions import text as T
+from pictorium.session import ship_package
 
 EMPTY_FLAGS = (
     '{"has_characters":false,"characters":[],"has_dogs":false,"dogs":[],"has_cars":false,"cars":[]}'
@@ -38,6 +39,7 @@ def run_model(
     to a data frame of outputs. A batch that fails is halved until the failing
     rows stand alone; those get NULL outputs and status ``error``, the rest goes on.
     """
+    ship_package(df.sparkSession)
     produced = ST.StructType.fromDDL(outputs)
     kept = ST.StructType([df.schema[c] for c in keep])
     schema = ST.StructType(

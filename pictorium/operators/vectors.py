@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pictorium.functions import kernels
 from pictorium.functions import text as T
+from pictorium.session import ship_package
 
 ENCODE_BATCH = 32  # fixed value: texts for each call of an encoder
 MAX_BROADCAST_ROWS = 4_096
@@ -41,6 +42,7 @@ def hash_embed(df: DataFrame, key: str, text_column: str, dim: int = 64) -> Data
 
     A text without words gets the zero vector.
     """
+    ship_package(df.sparkSession)
     key_type = df.schema[key].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,6 +72,7 @@ def embed_text(
     """``key, embedding`` with unit vectors from an injected encoder, or from the built-in one."""
     if encoder is None:
         return hash_embed(df, key, text_column, dim)
+    ship_package(df.sparkSession)
     key_type = df.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +133,7 @@ def _asking_side(vectors: DataFrame, cap: int) -> tuple[int, pa.Table | None]:
 
     Vectors of another size than the first one raise.
     """
+    ship_package(vectors.sparkSession)
     table = vectors.filter(F.col("embedding").isNotNull()).limit(cap + 1).toArrow().combine_chunks()
     sizes = pc.unique(pc.list_value_length(table.column("embedding"))).to_pylist()
     if len(sizes) > 1:

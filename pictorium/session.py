@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: dict[str, str] = {}
 
 
 def local_session(cores: int = 8, name: str = "pictorium") -> SparkSession:
@@ -26,6 +28,25 @@ def local_session(cores: int = 8, name: str = "pictorium") -> SparkSession:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, once for each application.
+
+    The driver hands the sources to Spark, which gives them to every executor;
+    it does nothing that ``--py-files`` would not do.
+    """
+    context = spark.sparkContext
+    if _SHIPPED.get("application") == context.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):
+        name = os.path.basename(root)
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), name), "zip", os.path.dirname(root), name
+        )
+        context.addPyFile(archive)
+    _SHIPPED["application"] = context.applicationId
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor sees: what the cluster names, or a temporary one in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
