@@ -36,6 +36,19 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in raw.splitlines() if line)}
 
 
+def cut(text: str) -> tuple[str, list[str]]:
+    """The first word of a text and the others, each of which follows a blank.
+
+    No match of the pattern goes on behind a blank that stands before something
+    else than a blank, so words are encoded one by one and repeat. A text with
+    other blanks is one word.
+    """
+    if _BLANKS.search(text):
+        return text, []
+    first, *rest = text.split(" ")
+    return first, rest
+
+
 class _Memory(dict):
     """A dictionary that computes what it misses and starts anew when it is full."""
 
@@ -145,14 +158,10 @@ class Vocabulary:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word)))
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
-
-        No match of the pattern goes on behind a blank that stands before
-        something else than a blank, so a text is cut there and words repeat.
-        """
-        if _BLANKS.search(text):
-            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
-        first, *rest = text.split(" ")
+        """Ids as little-endian unsigned 32-bit integers."""
+        first, rest = cut(text)
+        if not rest:
+            return self._word(first)
         return self.words[first] + b"".join(map(self.blank_words.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
