@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pictorium.llm import bpe, exact_dedup, packing, quality
+from pictorium.llm import bpe, exact_dedup, near_dedup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -80,3 +80,22 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op10_near_dedup", check=rf"""
+    WITH RECURSIVE d AS (
+           SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x20\x09-\x0D]+'),
+                                      lambda w: w <> '') AS w FROM documents),
+         p AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d WHERE len(w) >= 5),
+         g AS (SELECT doc_id, x || ' ' || lead(x, 1) OVER s || ' ' || lead(x, 2) OVER s || ' ' || lead(x, 3) OVER s
+                      || ' ' || lead(x, 4) OVER s AS gram FROM p WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+         h AS (SELECT DISTINCT doc_id, gram FROM g WHERE gram IS NOT NULL
+               UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+         n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+         j AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM h a JOIN h b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+         e AS (SELECT u, v FROM j JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
+         r AS (SELECT doc_id AS s, doc_id AS t FROM d UNION SELECT r.s, e.v FROM r JOIN e ON e.u = r.t),
+         k AS (SELECT s AS doc_id, min(t) AS component_id FROM r GROUP BY s)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM k LEFT JOIN n USING (doc_id)""")
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
