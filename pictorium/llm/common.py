@@ -13,14 +13,24 @@ from pictorium.session import scratch_path, ship_package
 # Bytes of text that a Python task looks at together.
 BATCH_BYTES = 4 << 20
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _TABLES: dict[str, list[str]] = {}
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
-    """Write a table into the cluster's shared folder and read it back: lineage ends there."""
+    """Write a table into the cluster's shared folder and read it back: lineage ends there.
+
+    Nothing needs the shuffle files of the write afterwards, so Spark is asked
+    to remove them with it.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pictorium.llm import bpe, exact_dedup, near_dedup, packing, quality
+from pictorium.llm import bpe, exact_dedup, near_dedup, packing, quality, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -99,3 +99,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM k LEFT JOIN n USING (doc_id)""")
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
+# A hexadecimal digest in bare upper-case base32: five hexadecimal digits are four letters.
+_BASE32 = """list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform([15, 10, 5, 0], lambda b:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr({hex}, CAST(5 * g + 1 AS INT), 5) AS INT) >> CAST(b AS INT)) & 31) + 1 AS INT), 1)),
+    'string_agg', '')), 'string_agg', '')"""
+
+
+@query("op1_warc", check=f"""
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+         f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+    SELECT page_id, octet_length(b) AS payload_bytes, {_BASE32.format(hex="h")} AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM p JOIN f USING (h)""")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    folder = warc.archive_folder(spark)
+    files = warc.write_archives(pages, folder, min_bytes=0)
+    return warc.page_records(warc.read_archives(spark, files, folder))
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
