@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pictorium.llm import bpe, exact_dedup, near_dedup, packing, pii, quality, suffix_dedup, warc
+from pictorium.llm import bpe, exact_dedup, near_dedup, packing, pii, quality, suffix_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -136,3 +136,44 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS),
         F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("pii_spans")).alias("spans"),
     )
+
+
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+@query("op8_url_filter", check=rf"""
+    WITH u AS (SELECT page_id, coalesce(url, '') AS url,
+                      translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}') AS host,
+                      regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+         t AS (SELECT page_id, host, path, CASE WHEN contains(url, '://') THEN list_sort(list_distinct(
+                 list_transform(list_filter([lower(split_part(url, '://', 1))], lambda x: x <> ''), lambda x: 's:' || x)
+                 || list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x)
+                 || list_transform(list_filter(string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/'), lambda x: x <> ''), lambda x: 'p:' || x)
+                 || list_transform(list_filter(list_transform(string_split(regexp_extract(url, '(?s)^[^#?]*\?([^#]*)', 1), '&'),
+                      lambda x: split_part(x, '=', 1)), lambda x: x <> ''), lambda x: 'q:' || x)
+                 || list_transform(list_filter([regexp_extract(url, '(?s)^[^#]*#(.*)$', 1)], lambda x: x <> ''), lambda x: 'f:' || x)))
+               ELSE [] END AS tokens FROM u),
+         l AS (SELECT doc_id, bool_or(quality = 0) AS bad FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+         i AS (SELECT tokens, bad FROM t JOIN l ON doc_id = page_id),
+         e AS (SELECT row_number() OVER () AS r, bad, tokens FROM i),
+         x AS (SELECT r, bad, unnest(tokens) AS k FROM e),
+         c AS (SELECT [k] AS s, bad FROM x
+               UNION ALL SELECT [a.k, b.k], a.bad FROM x a JOIN x b ON a.r = b.r AND a.k < b.k
+               UNION ALL SELECT [a.k, b.k, c.k], a.bad FROM x a JOIN x b ON a.r = b.r AND a.k < b.k JOIN x c ON a.r = c.r AND b.k < c.k),
+         m AS (SELECT s FROM c GROUP BY s
+               HAVING count_if(bad) >= ceil(greatest({url_filter.MIN_SUPPORT}, {url_filter.MIN_COUNT} / (SELECT count(*) FROM i)) * (SELECT count(*) FROM i))
+                  AND count_if(bad) >= {url_filter.MIN_CONFIDENCE} * count(*)),
+         v AS (SELECT page_id, host, path, CASE
+                 WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                 WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                 WHEN ends_with('.' || host, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                 WHEN ends_with('.' || host, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                 WHEN ends_with('.' || host, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+               EXISTS (SELECT 1 FROM m WHERE list_has_all(t.tokens, m.s)) AS mined FROM t)
+    SELECT page_id, host, path, rule, mined,
+           CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR mined THEN 'block' ELSE 'allow' END AS verdict FROM v""")
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
+    return url_filter.judge(pages, labels, URL_RULES)
