@@ -18,6 +18,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
@@ -26,35 +27,66 @@ from pictorium.llm import bpe, common
 
 WINDOW = 2048
 END_ID = 1
-WORDS_KEPT = 250_000
+# Entries of a task's memories before they start anew, and matches tokenised in one call.
+KEPT = 400_000
+MATCHES_JOINED = 2_000
 # Combinations for each length, and steps of the solver.
 PARTNERS = 12
 STEPS = 400
 
 
 class Words:
-    """Ids of the words of a text, each word tokenised once as long as it is remembered."""
+    """Ids of texts by a tokenizer: words are cut into the matches of its pattern, each tokenised once as long as it is remembered."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(raw)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.after_blank: dict[str, bytes] = {}
-
-    def _learn(self, known: dict, words: set, blank: str) -> None:
-        new = list(words.difference(known))
-        if len(known) + len(new) > WORDS_KEPT:
-            known.clear()
-            new = list(words)
-        found = self.tokenizer.encode_batch_fast([blank + w for w in new], add_special_tokens=False)
-        known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
+        self.pattern = regex.compile(pattern)
+        (self.tab,) = self.tokenizer.encode("\t", add_special_tokens=False).ids
+        self.matches: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _joined(self, matches: list[str]) -> Iterator[bytes]:
+        """Ids of matches, many in one call: a tab between matches without blanks, but for the first character, is an id of its own."""
+        for at in range(0, len(matches), MATCHES_JOINED):
+            part = matches[at:at + MATCHES_JOINED]
+            ids = np.asarray(self.tokenizer.encode("\t".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.tab)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the tokenizer does not keep a tab between matches apart")
+            raw, start = ids.tobytes(), 0
+            for stop in (4 * cuts).tolist():
+                yield raw[start:stop]
+                start = stop + 4
+            yield raw[start:]
+
+    def _learn(self, matches: set[str]) -> None:
+        new = list(matches.difference(self.matches))
+        if len(self.matches) + len(new) > KEPT:
+            self.matches.clear()
+            new = list(matches)
+        plain = [m for m in new if not m[-1].isspace()]
+        self.matches.update(zip(plain, self._joined(plain)))
+        other = [m for m in new if m[-1].isspace()]
+        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        self.matches.update((m, np.asarray(e.ids, "<u4").tobytes()) for m, e in zip(other, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, little-endian unsigned 32-bit integers. Only words after a blank are kept whole."""
         cut = [bpe.cut(t) for t in texts]
-        self._learn(self.first, {c[0] for c in cut}, "")
-        self._learn(self.after_blank, set().union(*(c[1] for c in cut)), " ")
-        return [self.first[first] + b"".join(map(self.after_blank.__getitem__, rest)) for first, rest in cut]
+        words = set().union(*(rest for _, rest in cut))
+        new = list(words.difference(self.words))
+        if len(self.words) + len(new) > KEPT:
+            self.words.clear()
+            new = list(words)
+        firsts = [self.pattern.findall(first) for first, _ in cut]
+        parts = [self.pattern.findall(" " + w) for w in new]
+        self._learn(set().union(*firsts, *parts))
+        one = self.matches.__getitem__
+        self.words.update((w, b"".join(map(one, p))) for w, p in zip(new, parts))
+        known = self.words.__getitem__
+        return [b"".join(map(one, first)) + b"".join(map(known, rest)) for first, (_, rest) in zip(firsts, cut)]
 
 
 _LOADED: dict[int, Words] = {}
@@ -65,11 +97,12 @@ _RUNS = pa.schema([
 RUNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, place long, ids binary"
 
 
-def token_runs(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False,
+def token_runs(docs: DataFrame, tokenizer_path: str, pattern: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs of token ids of every document, ``end_id`` last: full windows and what remains.
 
-    ``start`` counts the ids before the run, ``doc_tokens`` those of the whole
+    ``pattern`` is the one by which the tokenizer of ``tokenizer_path`` splits
+    texts; no id crosses its matches. ``start`` counts the ids before the run, ``doc_tokens`` those of the whole
     document, ``ids_crc32`` is over little-endian unsigned 32-bit ids, which
     ``with_ids`` also returns. ``part, place`` number the runs of each length
     within a partition. A null or empty text is the one id ``end_id``; an empty
@@ -80,9 +113,9 @@ def token_runs(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_i
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(raw.value)
+        key = hash((raw.value, pattern))
         if key not in _LOADED:
-            _LOADED[key] = Words(raw.value)
+            _LOADED[key] = Words(raw.value, pattern)
         part, places = TaskContext.get().partitionId(), [0] * (window + 1)
         for batch in common.pieces(batches, "text"):
             rows = []
@@ -276,8 +309,8 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False,
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise and pack whole documents: the columns of ``token_runs`` without ``part, place``, with ``sequence_id, offset``."""
-    runs = token_runs(docs, tokenizer_path, window, end_id, with_ids, id_col, text_col)
+    runs = token_runs(docs, tokenizer_path, pattern, window, end_id, with_ids, id_col, text_col)
     return pack(common.store(runs, "token-runs"), window)
