@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pictorium.llm import bpe, exact_dedup, near_dedup, packing, pii, quality, suffix_dedup, url_filter, warc
+from pictorium.llm import bpe, common, exact_dedup, near_dedup, packing, pii, quality, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -177,3 +177,11 @@ URL_RULES = [
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
     return url_filter.judge(pages, labels, URL_RULES)
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = common.crc_fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
