@@ -11,8 +11,9 @@ apart before the full sets are compared.
 A bucket may hold a third of all classes, so it never gives all of its pairs.
 First every class is compared with a few hubs of its buckets. Components of the
 links found so leave pairs open only between different components, and only
-those are looked at, in blocks of a bounded size. A link is confirmed on full
-sets always. A pair with exactly the wanted similarity has more than the
+those are looked at, in blocks of a bounded size; how many shingles of a set
+stand in no other open class bounds its similarity with all of them. A link is
+confirmed on full sets always. A pair with exactly the wanted similarity has more than the
 allowed slots different with a probability of 1e-9 at 0.85 and 3e-6 at 0.8.
 """
 
@@ -112,10 +113,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(a: pa.RecordBatch | dict, i: np.ndarray, j: np.ndarray, limits: tuple[int, int], percent: int) -> np.ndarray:
-    """Which pairs of rows may have the similarity: by size and by both signature distances."""
-    n = a["n"]
-    small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    may = np.flatnonzero(100 * small >= percent * large)
+    """Which pairs of rows may have the similarity: by the sizes of their sets and both signature distances.
+
+    ``shared`` bounds what a set can have in common with any other.
+    """
+    n, shared = a["n"], a["shared"]
+    most = np.minimum(np.minimum(shared[i], shared[j]), np.minimum(n[i], n[j]))
+    may = np.flatnonzero(100 * most >= percent * (n[i] + n[j] - most))
     apart = (a["sig"][i[may]] != a["sig"][j[may]]).sum(1)
     near = apart <= limits[0]
     may, apart = may[near], apart[near]
@@ -128,8 +132,9 @@ def _near_hubs(limits: tuple[int, int], percent: int):
             for at in range(0, len(batch), 4000):
                 part = batch.slice(at, 4000)
                 m = len(part)
+                n = np.concatenate([part.column("n").to_numpy(), part.column("hub_n").to_numpy()])
                 both = {
-                    "n": np.concatenate([part.column("n").to_numpy(), part.column("hub_n").to_numpy()]),
+                    "n": n, "shared": n,
                     "sig": np.concatenate([_rows_of(part.column(c), np.uint16) for c in ("sig", "hub_sig")]),
                     "more": np.concatenate([_rows_of(part.column(c), np.uint8) for c in ("more", "hub_more")]),
                 }
@@ -169,7 +174,7 @@ def _across(limits: tuple[int, int], percent: int):
             step += 1
 
     def columns(batch: pa.RecordBatch) -> dict:
-        rows = {c: batch.column(c).to_numpy() for c in ("key", "a", "b", "block", "node", "component", "n")}
+        rows = {c: batch.column(c).to_numpy() for c in ("key", "a", "b", "block", "node", "component", "n", "shared")}
         rows["sig"], rows["more"] = _rows_of(batch.column("sig"), np.uint16), _rows_of(batch.column("more"), np.uint8)
         change = (np.diff(rows["key"], prepend=-1) != 0) | (np.diff(rows["a"], prepend=-1) != 0) | (np.diff(rows["b"], prepend=-1) != 0)
         rows["group"] = np.cumsum(change)
@@ -194,6 +199,16 @@ def _across(limits: tuple[int, int], percent: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            part = batch.slice(at, 500)
+            found = shingles.sets([unpack(b) for b in part.column("body").to_pylist()])
+            nodes = np.repeat(part.column("node").to_numpy(), [len(s) for s in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes)], ["shingle", "node"])
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -267,8 +282,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     first = common.store(components(links), "near-components")
     open_members = members.select("key", "size", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = open_members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    open_members = common.store(open_members.join(mixed.select("key"), "key"), "near-mixed")
+    # Shingles that no other class of these buckets has cannot be common to a pair; a set with too many of them has no links left.
+    of_node = open_members.select("node").distinct().join(classes.select("node", "body"), "node")
+    own = common.map_batches(of_node, _shingles, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    own = own.filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    marks = common.store(marks.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "near-shared")
+    marks = marks.filter(100 * F.col("shared") >= percent * F.col("n"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    open_members = open_members.join(mixed.select("key"), "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks)})
+    open_members = open_members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks)})
     open_members = open_members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "component"
     )
