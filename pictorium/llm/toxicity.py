@@ -63,8 +63,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [unpack(b) for b in batch.column("body").slice(at, 1000).to_pylist()]
             label = np.array(batch.column("label").slice(at, 1000).to_pylist(), np.int64)
             found, counts = words(texts)
-            pairs, which = np.unique(bigrams(found, counts), return_inverse=True)
-            toxic = np.bincount(which, np.repeat(label, counts), len(pairs)).astype(np.int64)
+            pairs, text = bigrams(found, counts), np.repeat(np.arange(len(texts)), counts)
+            # A text counts a pair once: one that repeats its words proves no more than one that does not.
+            order = np.lexsort((text, pairs))
+            pairs, text = pairs[order], text[order]
+            new = (np.diff(pairs, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0)
+            pairs, which = np.unique(pairs[new], return_inverse=True)
+            toxic = np.bincount(which, label[text[new]], len(pairs)).astype(np.int64)
             every = np.bincount(which, minlength=len(pairs))
             yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64)), pa.array(toxic), pa.array(every - toxic)], schema=_COUNTS)
 
