@@ -58,6 +58,11 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, id_name: str = "doc_i
     return df.select(F.col(f"`{id_col}`").cast("long").alias(id_name), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def boxed(df: DataFrame, **extra: Column) -> DataFrame:
+    """Each row as one struct ``row`` beside ``extra`` columns: names of the input cannot clash with the operator's own."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(n) for n, c in extra.items()))
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` whose workers can import this package."""
     ship_package(df.sparkSession)

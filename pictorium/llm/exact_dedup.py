@@ -269,16 +269,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, all columns as they were.
 
     Rows are told apart by id and text: of repeated rows with the same id and
-    text one stays.
+    text one stays, whichever its other columns are.
     """
-    names = ("__id", "__sha", "__n")
-    if set(names) & set(docs.columns):
-        raise ValueError(f"columns {names} are taken")
-    stay = owners(docs, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias("__k"), F.col("text_sha256").alias("__s"))
-    marked = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__sha": text_digest(text_col)})
-    joined = marked.join(stay, F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__sha") == F.col("__s")), "left_semi")
-    same = Window.partitionBy("__id", "__sha").orderBy(F.lit(0))
-    return joined.withColumn("__n", F.row_number().over(same)).filter("__n = 1").drop(*names)
+    stay = owners(docs, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
+    rows = common.boxed(docs, id=F.col(f"`{id_col}`").cast("long"), sha=text_digest(text_col))
+    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("sha") == F.col("stay_sha")), "left_semi")
+    same = Window.partitionBy("id", "sha").orderBy(F.lit(0))
+    return rows.withColumn("n", F.row_number().over(same)).filter("n = 1").select("row.*")
 
 
 def text_digest(text_col: str):

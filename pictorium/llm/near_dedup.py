@@ -64,7 +64,7 @@ def signatures(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SETS = pa.schema([
-    ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("more", pa.binary()),
+    ("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("more", pa.binary()),
     ("body", pa.binary()),
 ])
 
@@ -82,7 +82,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sig[i], more[i] = a.tobytes(), b.tobytes()
                 key[i], body[i] = blake2b(found[i].tobytes(), digest_size=16).digest(), packer.compress(texts[i])
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(key, pa.binary()),
+            batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in found], pa.int64()), pa.array(key, pa.binary()),
             pa.array(sig, pa.binary()), pa.array(more, pa.binary()), pa.array(body, pa.binary()),
         ], schema=_SETS)
 
@@ -240,7 +240,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return common.map_batches(both.select("u", "v", "body", "other"), _confirm(percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", with_marks: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Letters A-Z are lower-cased; words are what stands between blanks (space,
@@ -253,11 +253,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     text, or null where it is linked with nothing else. Repeated rows are linked
     as equal texts; rows that share an id but not a text are told apart by text.
     An empty table gives an empty result; other columns are not looked at.
+    ``with_marks`` adds ``mark``, the ``xxhash64`` of the text.
     """
-    spark = docs.sparkSession
     limits = (2 * CHUNKS - 1, allowed(KEY_SLOTS + MORE_SLOTS, percent / 100))
-    texts = common.id_and_text(docs, id_col, text_col)
-    schema = "doc_id long, n_shingles long, set_key binary, sig binary, more binary, body binary"
+    texts = common.id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    schema = "doc_id long, mark long, n_shingles long, set_key binary, sig binary, more binary, body binary"
     rows = common.store(common.map_batches(texts, _sets, schema), "near-sets")
     full = rows.filter(F.col("set_key").isNotNull())
     # Equal sets have equal signatures; whichever body comes first has the same set.
@@ -302,5 +302,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     final = common.store(components(joined), "near-components")
 
     of_set = classes.select("set_key", "node").join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    found = rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    found = rows.select("doc_id", "mark", "n_shingles", "set_key").join(of_set, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept, *(["mark"] if with_marks else []))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that link to a smaller id, all columns as they were.
+
+    Rows are told apart by id and text. Rows with a null id stay.
+    """
+    found = near_duplicates(docs, percent, id_col, text_col, with_marks=True)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    rows = common.boxed(docs, id=F.col(f"`{id_col}`").cast("long"), mark=F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    return rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti").select("row.*")

@@ -15,6 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pictorium.llm import common
+
 KINDS = ("email", "ip", "card", "phone")
 # The patterns by kind, so written that Java neither backtracks nor recurses over long runs:
 # a match can only start where a run of its first class starts, or at the end of the match before.
@@ -115,14 +117,13 @@ def _entity(kind: str, value: Column) -> Column:
 
 def _each(kind: str, use) -> Column:
     """``use(kind, span)`` for the spans of one kind."""
-    return F.transform(F.col(f"__{kind}"), lambda s: use(kind, s))
+    return F.transform(F.col(kind), lambda s: use(kind, s))
 
 
 def _found(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with the spans of each kind (``__email`` and so on) beside its own columns."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    df = docs.withColumn("__text", text)
-    return df.withColumns({f"__{k}": base_spans(F.col("__text"), k) for k in KINDS})
+    """Rows of ``docs`` as structs, their text, and the spans of each kind."""
+    df = common.boxed(docs, text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return df.withColumns({k: base_spans(F.col("text"), k) for k in KINDS})
 
 
 def _entities(df: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def _disclosures(df: DataFrame, min_contexts: int) -> DataFrame:
     beside = beside.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = beside.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
     entities = places.groupBy("entity").agg(F.count("*").alias("of_entity"))
-    words = df.select(F.explode(F.regexp_extract_all(F.lower("__text"), F.lit(rf"({TERM})"), F.lit(1))).alias("term"))
+    words = df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"({TERM})"), F.lit(1))).alias("term"))
     counts = words.groupBy("term").agg(F.count("*").alias("of_term"))
     total = F.broadcast(counts.agg(F.sum("of_term").alias("total")))
     judged = pairs.join(entities, "entity").join(counts, "term").withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
@@ -164,35 +165,38 @@ def detect(docs: DataFrame, text_col: str = "text", min_contexts: int = MIN_CONT
     """``docs`` with ``pii_spans``: all spans by kind, then start, each ``kind, start, stop, label``.
 
     Kinds are email, ip, card, phone and term. A null or empty text has no
-    spans; repeated rows have the same ones; an empty table stays empty. Columns
-    whose names start with two underscores, or ``pii_spans``, must not be there.
+    spans; repeated rows have the same ones; an empty table stays empty. A
+    column ``pii_spans`` of the input is replaced, all others stay as they are.
     """
-    taken = [c for c in docs.columns if c.startswith("__") or c == "pii_spans"]
-    if taken:
-        raise ValueError(f"columns {taken} are taken")
+    return _detect(docs, text_col, min_contexts, remove, generalise).select(
+        *(F.col(f"row.`{c}`") for c in docs.columns if c != "pii_spans"), "pii_spans"
+    )
+
+
+def _detect(docs: DataFrame, text_col: str, min_contexts: int = MIN_CONTEXTS, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     df = _found(docs, text_col)
     revealing = _disclosures(df, min_contexts).filter(F.col("disclosure") >= generalise)
     # Texts are told apart by length and two hashes; equal texts have equal spans.
-    key = F.concat_ws(":", F.length("__text"), F.xxhash64("__text"), F.hash("__text"))
-    df = df.withColumn("__key", F.when(reduce(lambda a, b: a | b, (F.size(f"__{k}") > 0 for k in KINDS)), key))
-    holders = df.filter(F.col("__key").isNotNull()).select("__key", F.explode(F.array_distinct(F.concat(*(
+    key = F.concat_ws(":", F.length("text"), F.xxhash64("text"), F.hash("text"))
+    df = df.withColumn("key", F.when(reduce(lambda a, b: a | b, (F.size(k) > 0 for k in KINDS)), key))
+    holders = df.filter(F.col("key").isNotNull()).select("key", F.explode(F.array_distinct(F.concat(*(
         _each(k, lambda kind, s: _entity(kind, s["value"])) for k in KINDS
     )))).alias("entity")).distinct()
-    terms = holders.join(revealing, "entity").groupBy("__key", "term").agg(F.max("disclosure").alias("disclosure"))
-    terms = terms.groupBy("__key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "disclosure")))).alias("__terms"))
-    df = df.join(terms, "__key", "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("__terms"), "|"), F.lit(r")(?!\p{L})"))
+    terms = holders.join(revealing, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+    terms = terms.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "disclosure")))).alias("terms"))
+    df = df.join(terms, "key", "left")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("terms"), "|"), F.lit(r")(?!\p{L})"))
     base = F.concat(*(_each(k, lambda kind, s: F.struct(
         F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(LABELS[kind]).alias("label")
     )) for k in KINDS))
-    df = df.withColumn("__base", base)
-    free = F.filter(hits(F.col("__text"), pattern), lambda s: ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    df = df.withColumn("base", base)
+    free = F.filter(hits(F.col("text"), pattern), lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     extra = F.transform(free, lambda s: F.struct(
         F.lit("term").alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"),
-        F.when(F.try_element_at("__terms", F.lower(s["value"])) >= remove, F.lit("")).otherwise(F.lit(GENERAL)).alias("label"),
+        F.when(F.try_element_at("terms", F.lower(s["value"])) >= remove, F.lit("")).otherwise(F.lit(GENERAL)).alias("label"),
     ))
-    spans = F.when(F.col("__terms").isNull(), F.col("__base")).otherwise(F.concat("__base", extra))
-    return df.withColumn("pii_spans", spans).drop("__text", "__key", "__terms", "__base", *(f"__{k}" for k in KINDS))
+    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", extra))
+    return df.withColumn("pii_spans", spans).select("row", "text", "pii_spans")
 
 
 def span_list(spans: Column) -> Column:
@@ -206,8 +210,8 @@ def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     Of overlapping spans the one that starts first gives the label, and all of
     their characters go. A null text stays null.
     """
-    found = detect(docs, text_col, **options)
-    text = F.col(f"`{text_col}`").cast("string")
+    found = _detect(docs, text_col, **options)
+    text = F.col("text")
     inorder = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["label"].alias("label"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate(
@@ -218,5 +222,5 @@ def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
         )),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))),
     )
-    clean = F.when(F.size("pii_spans") > 0, done).otherwise(text)
-    return found.withColumn(text_col, clean).select(*(F.col(f"`{c}`") for c in docs.columns))
+    clean = F.when(F.size("pii_spans") > 0, done).otherwise(F.col(f"row.`{text_col}`").cast("string")).alias(text_col)
+    return found.select(*(clean if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))

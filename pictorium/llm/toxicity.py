@@ -231,14 +231,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def reject(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns as they were."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    text = "__text"
-    if text in docs.columns:
-        raise ValueError(f"column {text} is taken")
-    names = docs.columns
+    rows = common.boxed(docs, text=F.col(f"`{text_col}`").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, text):
-            clean = shipped.value.scores(common.utf8(batch.column(text))) < 0.5
-            yield batch.select(names).filter(pa.array(clean))
+        for batch in common.pieces(batches, "text"):
+            clean = shipped.value.scores(common.utf8(batch.column("text"))) < 0.5
+            yield batch.select(["row"]).filter(pa.array(clean))
 
-    return common.map_batches(docs.withColumn(text, F.col(f"`{text_col}`").cast("string")), run, docs.schema)
+    return common.map_batches(rows, run, rows.select("row").schema).select("row.*")
