@@ -284,11 +284,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Fal
         raise ValueError("the window must hold two grams and 232 bytes at most")
     texts = common.id_and_text(docs, id_col, text_col)
     found = common.map_batches(texts, _find_runs(length), "gram long, stretch long, doc long, place long")
-    shared = found.groupBy("gram").count().filter("count > 1").select("gram")
+    # Stored, so that the join below is one of two shuffled tables and Spark can split a frequent gram.
+    shared = common.store(found.groupBy("gram").count().filter("count > 1").select("gram"), "suffix-grams")
     found = common.store(found.join(shared, "gram"), "suffix-shared")
     kinds = found.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one"))
-    several = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
-    kinds = common.store(kinds.join(several, "gram").select("gram", "stretch", "n", "one.doc", "one.place", "kinds"), "suffix-kinds")
+    kinds = common.store(kinds, "suffix-stretches")
+    several = common.store(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "suffix-several")
+    kinds = common.store(kinds.join(several, "gram", "left").select("gram", "stretch", "n", "one.doc", "one.place", "kinds"), "suffix-kinds")
     whole = common.store(found.join(kinds.filter("n > 1").select("gram", "stretch"), ["gram", "stretch"]).select("doc", "place"), "suffix-whole")
 
     bodies = common.map_batches(texts, _bodies, "doc long, doc_id long, body binary")
