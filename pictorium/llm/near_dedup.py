@@ -272,6 +272,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         F.count("*").alias("size"), F.min("node").alias("hub0"),
         *(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"hub{k}") for k in (1, 2)),
     ).filter("size > 1")
+    buckets = common.store(buckets, "near-buckets")
     members = common.store(keys.join(buckets, "key"), "near-members")
     hubs = members.select("node", F.explode(F.array("hub0", "hub1", "hub2")).alias("hub")).filter("node <> hub")
     stars = hubs.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
@@ -282,6 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     first = common.store(components(links), "near-components")
     open_members = members.select("key", "size", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = open_members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    mixed = common.store(mixed, "near-mixed-keys")
     open_members = common.store(open_members.join(mixed.select("key"), "key"), "near-mixed")
     # Shingles that no other class of these buckets has cannot be common to a pair; a set with too many of them has no links left.
     of_node = open_members.select("node").distinct().join(classes.select("node", "body"), "node")
