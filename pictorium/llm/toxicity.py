@@ -162,7 +162,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     packed = common.map_batches(texts.select("doc_id", F.col("fold").cast("int").alias("fold"), "text"), _pack, "doc_id long, fold int, body binary")
     marks = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = common.store(packed.join(marks, "doc_id").select("fold", "body", F.when(F.col("label") == 1, 1).otherwise(0).alias("label")), "toxic-labelled")
+    # One way to join at every size: labels grow with the texts.
+    rows = common.store(packed.join(marks.hint("merge"), "doc_id").select("fold", "body", F.when(F.col("label") == 1, 1).otherwise(0).alias("label")), "toxic-labelled")
 
     def pairs() -> DataFrame:
         counted = common.map_batches(rows.filter(F.col("fold") != CALIBRATE).select("body", "label"), _count, "pair long, toxic long, ordinary long")
