@@ -153,11 +153,11 @@ def _disclosures(df: DataFrame, min_contexts: int) -> DataFrame:
     pairs = beside.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
     entities = places.groupBy("entity").agg(F.count("*").alias("of_entity"))
     words = df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"({TERM})"), F.lit(1))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("of_term"))
-    total = F.broadcast(counts.agg(F.sum("of_term").alias("total")))
-    judged = pairs.join(entities, "entity").join(counts, "term").withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
+    counts = common.store(words.groupBy("term").agg(F.count("*").alias("of_term")), "pii-terms")
+    total = counts.agg(F.sum("of_term").alias("total")).first()["total"] or 1
+    judged = pairs.join(entities, "entity").join(counts, "term")
     rate = F.least(F.lit(1.0), F.col("together") / F.col("of_term"))
-    prior = F.least(F.lit(0.5), F.col("of_entity") / F.col("total"))
+    prior = F.least(F.lit(0.5), F.col("of_entity") / F.lit(total))
     return judged.select("entity", "term", (F.log2(rate / prior) / -F.log2(prior)).alias("disclosure"))
 
 

@@ -151,8 +151,8 @@ def test_mined_rules_equal_counting_all_combinations(spark):
     assert verdicts[1000] == "block" and verdicts[1001] == "allow"
 
 
-@pytest.fixture()
-def labelled(documents, spark):
+@pytest.fixture(scope="module")
+def labelled(spark):
     rows, labels = [], []
     for i in range(600):
         toxic = i % 4 == 0
@@ -162,13 +162,14 @@ def labelled(documents, spark):
                 words[random.Random(i + k).randrange(60)] = random.Random(7 * i + k).choice(["trash", "moron", "vile", "scum"])
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
-    return documents(*rows), spark.createDataFrame(labels + [(None, 1), (1, None)], "doc_id long, toxic int"), dict(labels)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return docs, spark.createDataFrame(labels + [(None, 1), (1, None)], "doc_id long, toxic int"), dict(labels)
 
 
 def test_toxic_texts_of_the_held_out_fold_are_found(labelled, odd_documents):
     docs, labels, truth = labelled
     model = toxicity.learn(docs, labels)
-    found = toxicity.score(docs, model).collect()
+    found = toxicity.score(docs.union(odd_documents.select("doc_id", "text").filter("doc_id is null")), model).collect()
     held = [r for r in found if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
@@ -176,11 +177,10 @@ def test_toxic_texts_of_the_held_out_fold_are_found(labelled, odd_documents):
     assert len(odd) == odd_documents.count() and all(0 <= r.score <= 1 for r in odd)
     left = toxicity.reject(odd_documents, model)
     assert left.columns == odd_documents.columns and left.count() == sum(r.predicted == 0 for r in odd)
+    assert toxicity.score(docs.limit(0), model).collect() == []
 
 
 def test_toxicity_without_both_classes(labelled, odd_documents):
     docs, labels, _ = labelled
-    for given in (labels.limit(0), labels.filter("toxic = 0")):
-        scores = toxicity.score(odd_documents, toxicity.learn(docs, given)).collect()
-        assert all(r.score == 0 and r.predicted == 0 for r in scores)
-    assert toxicity.score(docs.limit(0), toxicity.learn(docs.limit(0), labels)).collect() == []
+    scores = toxicity.score(odd_documents, toxicity.learn(docs, labels.limit(0))).collect()
+    assert all(r.score == 0 and r.predicted == 0 for r in scores)
