@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pictorium.functions import text as T
 from pictorium.operators.ordering import file_place
 
-# The opening of an entry. It starts its line and its name has no slash.
-ENTRY = r"^([^/]+?\.[a-zA-Z]{2,5})\s*-\s*Description:"
+# An entry's text follows this word; before it stand a name with a suffix, blanks and a hyphen.
+# Blanks may hold line breaks, and a name holds neither a slash nor a line break.
+TEXT_MARK = "Description:"
+OPENING = r"([^/\n]+?\.[a-zA-Z]{2,5})\s*-\s*$"
 ENTRY_TEXT = " - Description: "
 
 
@@ -27,41 +29,52 @@ def write_descriptions(described: DataFrame, path: str) -> None:
 def parse_descriptions(spark: SparkSession, path: str) -> DataFrame:
     """Entries ``source_file, line_number, filename, description``; numbers count entries of a file from 1.
 
-    Files are read line by line in splits. Entries are numbered within each
-    split, and the entry counts of the file's earlier splits are added, so a
-    large file is never held by one task. Entries with an empty text are
-    dropped after numbering.
+    The first entry of a file may open anywhere, so after a slash too; every
+    later one opens at a line start. Files are cut at the mark between opening
+    and text and read in splits: a piece ends with the opening of the entry
+    whose text follows. Entries are numbered within each split, and the entry
+    counts of the file's earlier splits are added, so a large file is never held
+    by one task. Entries with an empty text are dropped after numbering.
     """
-    lines = (
-        spark.read.text(path)
+    pieces = (
+        spark.read.text(path, lineSep=TEXT_MARK)
         .select("value", *file_place())
         .withColumnRenamed("_path", "source_file")
-        .withColumn("_opens", F.col("value").rlike(ENTRY).cast("int"))
+        .withColumns({
+            "_first": F.regexp_extract("value", OPENING, 1),
+            "_later": F.regexp_extract("value", r"\n" + OPENING, 1),
+        })
     )
+    # Only the earliest opening of a file may stand within a line.
+    earliest = pieces.filter("_first <> ''").groupBy("source_file").agg(F.min(F.struct("_block", "_line")).alias("_at"))
+    pieces = pieces.join(earliest, "source_file").withColumn(
+        "_name", F.when(F.struct("_block", "_line") == F.col("_at"), F.col("_first")).otherwise(F.col("_later"))
+    ).withColumn("_opens", (F.col("_name") != "").cast("int"))
 
-    in_split = W.partitionBy("source_file", "_block").orderBy("_line")
+    in_split = W.partitionBy("source_file", "_block").orderBy("_line").rowsBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy("source_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        lines.groupBy("source_file", "_block")
+        pieces.groupBy("source_file", "_block")
         .agg(F.sum("_opens").alias("_n"))
         .select("source_file", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     )
-    numbered = lines.withColumn("_inside", F.sum("_opens").over(in_split)).join(starts, ["source_file", "_block"])
-    entries = (
-        numbered.select(
-            "source_file", "_block", "_line", "value", (F.col("_inside") + F.col("_start")).alias("line_number")
+    # A piece that opens an entry is the last of the one before; its name belongs to the next.
+    inside = F.coalesce(F.sum("_opens").over(in_split), F.lit(0))
+    placed = pieces.withColumn("_inside", inside).join(starts, ["source_file", "_block"]).withColumn(
+        "_entry", F.col("_inside") + F.col("_start")
+    )
+    text = F.when(F.col("_opens") == 1, F.regexp_replace("value", r"\n" + OPENING, "")).otherwise(F.col("value"))
+    texts = placed.filter("_entry > 0").select("source_file", F.col("_entry").alias("line_number"), "_block", "_line", text.alias("value"))
+    names = placed.filter("_opens = 1").select("source_file", (F.col("_entry") + 1).alias("line_number"), F.col("_name").alias("filename"))
+    return (
+        texts.groupBy("source_file", "line_number")
+        .agg(F.array_sort(F.collect_list(F.struct("_block", "_line", "value"))).alias("parts"))
+        .join(names, ["source_file", "line_number"])
+        .select(
+            "source_file",
+            "line_number",
+            T.strip(F.col("filename")).alias("filename"),
+            T.strip(F.array_join(F.transform("parts", lambda r: r["value"]), TEXT_MARK)).alias("description"),
         )
-        .filter(F.col("line_number") > 0)
-        .groupBy("source_file", "line_number")
-        .agg(F.array_sort(F.collect_list(F.struct("_block", "_line", "value"))).alias("lines"))
-        .select("source_file", "line_number",
-                F.array_join(F.transform("lines", lambda r: r["value"]), "\n").alias("entry"))
+        .filter((F.col("filename") != "") & (F.col("description") != ""))
     )
-    name = F.regexp_extract("entry", ENTRY, 1)
-    opening = F.regexp_extract("entry", ENTRY, 0)
-    return entries.select(
-        "source_file",
-        "line_number",
-        T.strip(name).alias("filename"),
-        T.strip(F.substr("entry", F.length(opening) + 1)).alias("description"),
-    ).filter((F.col("filename") != "") & (F.col("description") != ""))

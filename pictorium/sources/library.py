@@ -32,11 +32,20 @@ def _typed(photo: Column, photo_id: Column) -> list[Column]:
 
 
 def read_library(spark: SparkSession, path: str) -> DataFrame:
-    """Photos of indented documents, with array order as ``photo_id`` from 0.
+    """Photos of documents in any JSON layout, with array order as ``photo_id`` from 0.
 
-    Records are cut at the opening lines of the photo objects, so one large
-    document is read by many tasks.
+    Documents with an indent of two are cut at the opening lines of the photo
+    objects, so one large document is read by many tasks. What stands before the
+    first cut tells the layout of a file: a header that ends where the list of
+    photos opens, or the fields of a photo. If any file has another layout, every
+    file is parsed as a whole by one task, numbered over the files in order.
     """
+    pieces = spark.read.text(path, lineSep=PHOTO_START).select("value", *file_place())
+    head = pieces.filter("_block = 0").groupBy("_path").agg(F.min_by("value", "_line").alias("head"))
+    known = F.col("head").rlike(r'"photos"\s*:\s*\[\s*$') | F.startswith("head", F.lit('      "')) | (F.col("head") == "")
+    if head.filter(~known).limit(1).count():
+        photos = _whole_documents(spark, path).select("photo", F.lit(0).cast("long").alias("_block"), F.col("pos").cast("long").alias("_line"), "_path")
+        return numbered_by_file(photos, "_place").select(*_typed(F.col("photo"), F.col("_place")))
     raw = spark.read.text(path, lineSep=PHOTO_START).filter(F.contains("value", F.lit(PHOTO_END)))
     body = F.substring_index("value", PHOTO_END, 1)
     photo = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), schemas.PHOTO_JSON)
@@ -44,13 +53,15 @@ def read_library(spark: SparkSession, path: str) -> DataFrame:
     return placed.select(*_typed(F.col("photo"), F.col("_place")))
 
 
+def _whole_documents(spark: SparkSession, path: str) -> DataFrame:
+    schema = f"metadata struct<{_fields(schemas.DOCUMENT_HEADER)}>, photos array<struct<{_fields(schemas.PHOTO_JSON)}>>"
+    documents = spark.read.schema(schema).json(path, multiLine=True).select("photos", F.col("_metadata.file_path").alias("_path"))
+    return documents.select("_path", F.posexplode("photos").alias("pos", "photo"))
+
+
 def read_library_document(spark: SparkSession, path: str) -> DataFrame:
     """Photos of documents in any JSON layout; a file is one task, array order is ``photo_id``."""
-    schema = f"metadata struct<{_fields(schemas.DOCUMENT_HEADER)}>, photos array<struct<{_fields(schemas.PHOTO_JSON)}>>"
-    documents = spark.read.schema(schema).json(path, multiLine=True)
-    return documents.select(F.posexplode("photos").alias("pos", "photo")).select(
-        *_typed(F.col("photo"), F.col("pos"))
-    )
+    return _whole_documents(spark, path).select(*_typed(F.col("photo"), F.col("pos")))
 
 
 def read_library_header(spark: SparkSession, path: str) -> DataFrame:

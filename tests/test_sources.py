@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from pictorium.functions import names as N
@@ -64,6 +65,15 @@ def test_library_document_with_all_keyword_forms(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("layout", [{"indent": 2}, {"indent": 4}, {}, {"separators": (",", ":")}])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_every_layout_gives_every_photo(spark, tmp_path, layout, line_end):
+    path = tmp_path / "descriptions.json"
+    path.write_bytes(json.dumps(document([photo(0, ["man"]), photo(1, FLAGGED), photo(2, {})]), **layout).replace("\n", line_end).encode())
+    rows = L.read_library(spark, str(path)).orderBy("photo_id").collect()
+    assert [(r["photo_id"], r["filename"]) for r in rows] == [(0, "p0.jpg"), (1, "p1.jpg"), (2, "p2.jpg")]
+
+
 def test_library_is_read_alike_in_many_splits(spark, tmp_path):
     path = str(tmp_path / "big.json")
     with open(path, "w", encoding="utf-8") as f:
@@ -89,19 +99,17 @@ f.jpg - Description: last
 """
 
 
-def parsed_by_pattern(text):
-    """The entry rule as one pattern over the whole text."""
-    head = r"[^/\n]+?\.[a-zA-Z]{2,5}\s*-\s*Description:"
-    found = re.findall(rf"(?ms)^(?P<n>[^/\n]+?\.[a-zA-Z]{{2,5}})[ ]*-[ ]*Description:(.*?)(?=\n{head}|\Z)", text)
-    return [(i, n.strip(), d.strip()) for i, (n, d) in enumerate(found, 1) if n.strip() and d.strip()]
+ENTRIES_FOUND = [
+    (1, "a.jpg", "one\ntwo lines"), (2, "b c.HEIC", "spaced"), (4, "d.jpeg", "see x/y.jpg - Description: not an entry\n/e.jpg - Description: neither, it has a slash"),
+    (5, "f.jpg", "last"),
+]
 
 
 def test_descriptions_in_one_and_in_many_splits(spark, tmp_path):
     path = tmp_path / "d.txt"
     body = ENTRIES + "".join(f"g{i}.jpg - Description: text {i}\nmore {'x' * (i % 90)}\n" for i in range(200))
     path.write_text(body, encoding="utf-8")
-    want = parsed_by_pattern(body)
-    assert want[0] == (1, "a.jpg", "one\ntwo lines") and want[2][0] == 4
+    want = ENTRIES_FOUND + [(6 + i, f"g{i}.jpg", f"text {i}\nmore {'x' * (i % 90)}".strip()) for i in range(200)]
 
     def parse():
         rows = descriptions.parse_descriptions(spark, str(path)).orderBy("line_number").collect()
@@ -116,6 +124,20 @@ def test_descriptions_in_one_and_in_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@pytest.mark.parametrize("text, found", [
+    ("/photos/a.jpg - Description: one\nb.jpg\n - Description: two\nc.jpg - Description: three",
+     [(1, "a.jpg", "one"), (2, "b.jpg", "two"), (3, "c.jpg", "three")]),
+    ("intro x.png-\n\nDescription:one\r\ny.png - Description: two", [(1, "intro x.png", "one"), (2, "y.png", "two")]),
+    ("no entry here\nDescription: none", []),
+    ("", []),
+])
+def test_openings_within_a_line_and_over_lines(spark, tmp_path, text, found):
+    path = tmp_path / "d.txt"
+    path.write_bytes(text.encode())
+    rows = descriptions.parse_descriptions(spark, str(path)).orderBy("line_number").collect()
+    assert [(r["line_number"], r["filename"], r["description"]) for r in rows] == found
+
+
 def test_written_descriptions_come_back(spark, tmp_path):
     rows = [("a.jpg", "line one\nline two"), ("b.PNG", "été")]
     df = spark.createDataFrame(rows, "filename string, description string")
