@@ -247,15 +247,22 @@ def pairs_above(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, min_scor
 def nearest(rows: np.ndarray, refs: np.ndarray, numbers: np.ndarray):
     """For each row the reference at the smallest cosine distance, the first one on ties.
 
-    ``refs`` are in the order of ``numbers``. Returns ``(ref_no, distance)``.
+    ``refs`` are in the order of ``numbers``. Returns ``(ref_no, distance)``; the
+    distance from or to a zero vector is infinite. Rows are taken in steps, so
+    that no more than ``MAX_CELLS`` distances are held at a time.
     """
-    row_squares, ref_squares = ordered_dots(rows, rows), ordered_dots(refs, refs)
-    scale = np.sqrt(row_squares[:, None] * ref_squares[None, :])
-    rough = 1.0 - (rows @ refs.T) / scale
-    close = rough <= rough.min(axis=1, keepdims=True) + SLACK
-    r, c = np.nonzero(close)
-    exact = 1.0 - ordered_dots(rows[r], refs[c]) / scale[r, c]
-    order = np.lexsort((numbers[c], exact, r))
-    _, first = np.unique(r[order], return_index=True)
-    chosen = order[first]
-    return numbers[c[chosen]], exact[chosen]
+    ref_squares = ordered_dots(refs, refs)
+    step = max(1, MAX_CELLS // max(1, len(refs)))
+    found, distances = np.empty(len(rows), numbers.dtype), np.empty(len(rows))
+    for at in range(0, len(rows), step):
+        part = rows[at:at + step]
+        scale = np.sqrt(ordered_dots(part, part)[:, None] * ref_squares[None, :])
+        near = scale > 0
+        rough = np.where(near, 1.0 - (part @ refs.T) / np.where(near, scale, 1.0), np.inf)
+        r, c = np.nonzero(rough <= rough.min(axis=1, keepdims=True) + SLACK)
+        exact = np.where(near[r, c], 1.0 - ordered_dots(part[r], refs[c]) / np.where(near[r, c], scale[r, c], 1.0), np.inf)
+        order = np.lexsort((numbers[c], exact, r))
+        _, first = np.unique(r[order], return_index=True)
+        chosen = order[first]
+        found[at:at + step], distances[at:at + step] = numbers[c[chosen]], exact[chosen]
+    return found, distances

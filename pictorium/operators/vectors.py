@@ -131,14 +131,14 @@ def combine_phrases(phrases: DataFrame) -> DataFrame:
 def _asking_side(vectors: DataFrame, cap: int) -> tuple[int, pa.Table | None]:
     """The common size of the vectors, and the table itself when it has at most ``cap`` rows.
 
-    Vectors of another size than the first one raise.
+    Vectors of several sizes raise, however many rows there are.
     """
     ship_package(vectors.sparkSession)
-    table = vectors.filter(F.col("embedding").isNotNull()).limit(cap + 1).toArrow().combine_chunks()
-    sizes = pc.unique(pc.list_value_length(table.column("embedding"))).to_pylist()
-    if len(sizes) > 1:
-        raise ValueError(f"query vectors of several sizes: {sorted(sizes)}")
-    return (sizes[0] if sizes else 0), (table if table.num_rows <= cap else None)
+    known = vectors.filter(F.col("embedding").isNotNull())
+    size = known.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), F.count("*").alias("n")).first()
+    if size["n"] and size["low"] != size["high"]:
+        raise ValueError(f"query vectors of several sizes: {size['low']} to {size['high']}")
+    return size["low"] or 0, (known.toArrow().combine_chunks() if size["n"] <= cap else None)
 
 
 def _usable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -337,9 +337,14 @@ def nearest_reference(
 ) -> DataFrame:
     """The closest reference of each face by cosine distance, the first one on ties.
 
-    ``photo_id, face_no, ref_id, ref_name, distance, match_confidence, matched``.
+    ``photo_id, face_no, ref_id, ref_name, distance, match_confidence, matched``:
+    a row for every face. A face whose vector is null, zero or of another size
+    than the references is near none: its reference and distance are null. A
+    zero reference is near no face. No references at all raise.
     """
     dim, table = _asking_side(refs.select("ref_id", "embedding"), max_broadcast)
+    if not dim:
+        raise ValueError("there are no reference faces")
     refs = _usable(refs, dim).select("ref_id", "ref_name", "embedding")
     usable = _usable(faces, dim).select("photo_id", "face_no", "embedding")
     schema = "photo_id long, face_no int, ref_id long, distance double"
@@ -388,10 +393,22 @@ def nearest_reference(
             .select("photo_id", "face_no", "near.ref_id", "near.distance")
         )
 
-    return found.join(refs.select("ref_id", "ref_name"), "ref_id").select(
+    far = F.lit(float("inf"))
+    found = found.withColumns({
+        "ref_id": F.when(F.col("distance") < far, F.col("ref_id")), "distance": F.when(F.col("distance") < far, F.col("distance")),
+    })
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    apart = faces.filter(F.col("embedding").isNull() | (size != dim)).select(
+        F.col("photo_id").cast("long"), F.col("face_no").cast("int"), F.lit(None).cast("long").alias("ref_id"),
+        F.lit(None).cast("double").alias("distance"),
+    )
+    names = refs.select("ref_id", "ref_name")
+    if table is not None:
+        names = F.broadcast(names)  # no more rows than were just brought into the tasks
+    return found.unionByName(apart).join(names, "ref_id", "left").select(
         "photo_id", "face_no", "ref_id", "ref_name", "distance",
         (1.0 - F.col("distance") / 2.0).alias("match_confidence"),
-        (F.col("distance") < threshold).alias("matched"),
+        F.coalesce(F.col("distance") < threshold, F.lit(False)).alias("matched"),
     )
 
 

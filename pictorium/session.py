@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -48,10 +49,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: what the cluster names, or a temporary one in tests."""
+    """Folder that every executor sees: what the cluster names, or a temporary one on a single machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="pictorium-")
     return _LOCAL["dir"]
@@ -72,9 +75,9 @@ def rows_within(df: DataFrame, cap: int) -> list[Row] | None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition for each core.
+    """Give a scan of a single split one partition for each core.
 
-    Inputs with enough splits are left alone, so large tables are not shuffled.
+    A split is bounded by ``spark.sql.files.maxPartitionBytes``, so what is moved
+    here is too, on any cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df

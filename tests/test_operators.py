@@ -436,3 +436,28 @@ def test_run_model_goes_on_after_errors(spark):
     got = {r["id"]: (r["double"], r["status"]) for r in M.run_model(df, load, "double long", ("id",), batch=4).collect()}
     assert got[3] == (None, "error")
     assert {i: v for i, v in got.items() if i != 3} == {i: (2 * i, "ok") for i in (0, 1, 2, 4, 5)}
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_every_face_counts(spark, limit):
+    faces = spark.createDataFrame(
+        [(1, 0, [1.0, 0.0]), (1, 1, [1.0, 0.0, 0.0]), (2, 0, None), (3, 0, [0.0, 0.0]), (4, 0, [0.0, 1.0])],
+        "photo_id long, face_no int, embedding array<float>",
+    )
+    refs = spark.createDataFrame([(7, "r7", [2.0, 0.0]), (8, "r8", [0.0, 0.0])], "ref_id long, ref_name string, embedding array<float>")
+    photos = spark.createDataFrame([(i,) for i in range(1, 6)], "photo_id long")
+    found = {(r["photo_id"], r["face_no"]): r for r in V.nearest_reference(faces, refs, 0.4, limit).collect()}
+    assert len(found) == 5 and found[1, 0]["ref_name"] == "r7" and found[1, 0]["matched"]
+    assert [found[k]["ref_id"] for k in ((1, 1), (2, 0), (3, 0))] == [None] * 3 and not found[4, 0]["matched"]
+    rolled = {r["photo_id"]: r["face"] for r in FA.match_faces(photos, faces, refs, 0.4, limit).collect()}
+    assert [rolled[i]["face_count"] for i in range(1, 6)] == [2, 1, 1, 1, 0]
+    assert [rolled[i]["has_known_faces"] for i in range(1, 6)] == [True, False, False, False, False]
+    with pytest.raises(ValueError, match="no reference faces"):
+        V.nearest_reference(faces, refs.limit(0), 0.4, limit)
+
+
+@pytest.mark.parametrize("limit", [0, 1, 100])
+def test_query_vectors_of_several_sizes_raise_at_every_bound(spark, limit):
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0])], "query_id int, embedding array<float>")
+    with pytest.raises(ValueError, match="several sizes"):
+        V._asking_side(asked, limit)
