@@ -14,7 +14,7 @@ links found so leave pairs open only between different components, and only
 those are looked at, in blocks of a bounded size; how many shingles of a set
 stand in no other open class bounds its similarity with all of them. A link is
 confirmed on full sets always. A pair with exactly the wanted similarity has more than the
-allowed slots different with a probability of 1e-9 at 0.85 and 3e-6 at 0.8.
+allowed slots different with a probability of 1.3e-8 at 0.85 and 3.3e-6 at 0.8.
 """
 
 from __future__ import annotations
@@ -304,7 +304,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     final = common.store(components(joined), "near-components")
 
     of_set = classes.select("set_key", "node").join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    found = rows.select("doc_id", "mark", "n_shingles", "set_key").join(of_set, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    # Empty sets match no class; a key of their own deals them out.
+    alone = F.concat(F.lit("-"), F.xxhash64("doc_id", "mark", "n_shingles").cast("string")).cast("binary")
+    found = rows.select("doc_id", "mark", "n_shingles", F.coalesce("set_key", alone).alias("set_key")).join(of_set, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
     return found.select("doc_id", "n_shingles", "component_id", kept, *(["mark"] if with_marks else []))
 

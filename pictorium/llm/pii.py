@@ -177,9 +177,9 @@ def _detect(docs: DataFrame, text_col: str, min_contexts: int = MIN_CONTEXTS, re
     df = _found(docs, text_col)
     revealing = _disclosures(df, min_contexts).filter(F.col("disclosure") >= generalise)
     # Texts are told apart by length and two hashes; equal texts have equal spans.
-    key = F.concat_ws(":", F.length("text"), F.xxhash64("text"), F.hash("text"))
-    df = df.withColumn("key", F.when(reduce(lambda a, b: a | b, (F.size(k) > 0 for k in KINDS)), key))
-    holders = df.filter(F.col("key").isNotNull()).select("key", F.explode(F.array_distinct(F.concat(*(
+    # Every row has a key, so that those without an entity are dealt out as well.
+    df = df.withColumn("key", F.concat_ws(":", F.length("text"), F.xxhash64("text"), F.hash("text")))
+    holders = df.filter(reduce(lambda a, b: a | b, (F.size(k) > 0 for k in KINDS))).select("key", F.explode(F.array_distinct(F.concat(*(
         _each(k, lambda kind, s: _entity(kind, s["value"])) for k in KINDS
     )))).alias("entity")).distinct()
     terms = holders.join(revealing, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
