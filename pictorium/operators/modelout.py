@@ -98,26 +98,33 @@ def empty_flags() -> Column:
     return F.from_json(F.lit(EMPTY_FLAGS), schemas.FLAGS)
 
 
+# Values of the fields that a cut answer may lack.
+_ABSENT = {"has_cars": "false", "cars": "[]"}
+
+
 def mended_json(response: Column) -> Column:
-    """The answer from its first brace on, with the ending that a cut answer lacks."""
+    """The answer from its first brace on; a cut one is closed and gets the fields it lacks, with empty values.
+
+    An answer that says it has no cars can only lack what follows; one that was
+    cut in its list of dogs lacks the end of the list and everything about cars.
+    """
     partial = F.substr(response, F.instr(response, "{"))
     body = F.rtrim(partial, F.lit(T.WHITESPACE))
-
-    def lacks(key: str) -> Column:
-        return ~F.contains(partial, F.lit(f'"{key}":'))
-
-    open_ended = ~F.endswith(body, F.lit("}"))
-    no_cars = F.contains(partial, F.lit('"has_cars": false')) & open_ended
-    in_dogs = F.contains(partial, F.lit('"has_dogs": true')) & F.contains(partial, F.lit('"dogs": ['))
-    cars_tail, flags_tail = ',\n  "cars": []\n}', ',\n  "has_cars": false,\n  "cars": []\n}'
-    return (
-        F.when(no_cars & lacks("cars"), F.concat(body, F.lit(cars_tail)))
-        .when(no_cars, F.concat(body, F.lit("\n}")))
-        .when(in_dogs & lacks("has_cars") & F.endswith(body, F.lit("]")), F.concat(body, F.lit(flags_tail)))
-        .when(in_dogs & lacks("has_cars"), F.concat(body, F.lit("\n  ]" + flags_tail)))
-        .when(in_dogs & open_ended, F.concat(body, F.lit("\n}")))
-        .otherwise(partial)
+    holds = lambda piece: F.contains(partial, F.lit(piece))
+    fields = lambda *names: F.lit("".join(f',"{n}":{_ABSENT[n]}' for n in names))
+
+    cut = ~F.endswith(body, F.lit("}"))
+    said_no_cars = holds('"has_cars": false') & cut
+    listing_dogs = holds('"has_dogs": true') & holds('"dogs": [')
+    silent_on_cars = listing_dogs & ~holds('"has_cars":')
+    list_end = F.when(silent_on_cars & ~F.endswith(body, F.lit("]")), F.lit("]")).otherwise(F.lit(""))
+    lacking = (
+        F.when(silent_on_cars, fields("has_cars", "cars"))
+        .when(said_no_cars & ~holds('"cars":'), fields("cars"))
+        .otherwise(F.lit(""))
     )
+    mend = said_no_cars | silent_on_cars | (listing_dogs & cut)
+    return F.when(mend, F.concat(body, list_end, lacking, F.lit("}"))).otherwise(partial)
 
 
 def extract_json(responses: DataFrame) -> DataFrame:

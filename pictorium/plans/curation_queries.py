@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pictorium.functions import names as N
 from pictorium.operators import catalog as C
 from pictorium.operators import faces as FA
 from pictorium.operators import modelout as M
@@ -323,7 +324,7 @@ _ADMITTED = f"""
                       regexp_replace({S.stem('name')}, '[^a-zA-Z0-9_-]', '_', 'g'), {S.ext('name')}) AS filename,
                {S.ext('name')} AS file_extension
         FROM (SELECT path_id, modified, size, {S.base('path')} AS name FROM paths) JOIN documents ON doc_id = path_id
-        WHERE {S.ext('name')} IN ('.jpg', '.jpeg', '.png', '.heic', '.heif', '.webp', '.gif') AND size <= 52428800)"""
+        WHERE {S.ext('name')} IN ({S.quoted(N.UPLOAD_SUFFIXES)}) AND size <= 52428800)"""
 
 
 @query("ingest_stream", f"""
