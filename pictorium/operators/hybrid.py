@@ -334,6 +334,7 @@ def hybrid_search(
     encoder=None,
     dim: int = 64,
     max_queries: int = MAX_KNOWN_QUERIES,
+    model_name: str | None = None,
 ) -> DataFrame:
     """Best ``top_k`` photos of each query by semantic score times lexical factor.
 
@@ -341,11 +342,17 @@ def hybrid_search(
     semantic_score, phrase_matched, word_matches`` and the flags. ``phrases``
     (``query_id, phrase_no, phrase, token_count``) come from
     ``noun_phrase_split``; without them the whole query is one phrase.
-    ``min_score`` applies before the factor.
+    ``min_score`` applies before the factor. A null query, or one without a
+    phrase, finds nothing, however many queries there are. ``vectors`` of several
+    models need ``model_name``.
     """
+    queries = queries.filter(F.col("query").isNotNull())
+    if phrases is not None:
+        queries = queries.join(phrases.select("query_id").distinct(), "query_id", "left_semi")
+        phrases = phrases.join(queries.select("query_id"), "query_id", "left_semi")
     wanted = flag_filter(library, has_characters, has_dogs, has_cars)
     asked = query_vectors(whole_query_phrases(queries) if phrases is None else phrases, encoder, dim)
-    stored = vectors.select("photo_id", "embedding")
+    stored = V.same_model(vectors, model_name).select("photo_id", "embedding")
     known = _KnownQueries.within_bounds(_asked(queries), max_queries)
     if known is not None:
         corpus = known.photo_evidence(wanted, pairs).join(stored, "photo_id")

@@ -258,8 +258,19 @@ def ranked(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def same_model(vectors: DataFrame, model_name: str | None) -> DataFrame:
-    return vectors if model_name is None else vectors.filter(F.col("model_name") == model_name)
+def same_model(vectors: DataFrame, model_name: str | None = None) -> DataFrame:
+    """Vectors of one model: of the named one, or all of a table that has no more than one.
+
+    Vectors of several models without a name raise; the names are aggregated
+    when the plan is made.
+    """
+    if model_name is not None:
+        return vectors.filter(F.col("model_name") == model_name)
+    if "model_name" in vectors.columns:
+        names = vectors.agg(F.min("model_name").alias("low"), F.max("model_name").alias("high")).first()
+        if names["low"] != names["high"]:
+            raise ValueError(f"vectors of several models ({names['low']}, {names['high']}): give model_name")
+    return vectors
 
 
 def cosine_topk(
@@ -452,12 +463,14 @@ def _similarities(library: DataFrame, stored: DataFrame, fresh: DataFrame) -> Da
     return library.select("photo_id", "filename").join(pair, "photo_id", "left")
 
 
-def embedding_drift(library: DataFrame, stored: DataFrame, fresh: DataFrame, threshold: float = 0.90) -> DataFrame:
+def embedding_drift(
+    library: DataFrame, stored: DataFrame, fresh: DataFrame, threshold: float = 0.90, model_name: str | None = None
+) -> DataFrame:
     """Photos whose stored vector is missing or far from a fresh one.
 
     ``photo_id, filename, similarity, status``; a missing vector counts as 0.
     """
-    compared = _similarities(library, stored, fresh)
+    compared = _similarities(library, same_model(stored, model_name), fresh)
     return compared.filter(F.col("similarity").isNull() | (F.col("similarity") < threshold)).select(
         "photo_id",
         "filename",
@@ -467,11 +480,12 @@ def embedding_drift(library: DataFrame, stored: DataFrame, fresh: DataFrame, thr
 
 
 def verify_sample(
-    stored: DataFrame, fresh: DataFrame, sample_size: int = 50, tolerance: float = 0.999, seed: int = 0
+    stored: DataFrame, fresh: DataFrame, sample_size: int = 50, tolerance: float = 0.999, seed: int = 0,
+    model_name: str | None = None,
 ) -> DataFrame:
     """A reproducible random sample of ids with their similarity and whether it is near enough."""
     order = F.md5(F.concat(F.col("photo_id").cast("string"), F.lit(f"#{seed}")))
-    sample = stored.select("photo_id", "embedding").orderBy(order, "photo_id").limit(sample_size)
+    sample = same_model(stored, model_name).select("photo_id", "embedding").orderBy(order, "photo_id").limit(sample_size)
     return sample.join(fresh.select("photo_id", F.col("embedding").alias("fresh")), "photo_id").select(
         "photo_id",
         dot(F.col("embedding"), F.col("fresh")).alias("similarity"),

@@ -461,3 +461,20 @@ def test_query_vectors_of_several_sizes_raise_at_every_bound(spark, limit):
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0])], "query_id int, embedding array<float>")
     with pytest.raises(ValueError, match="several sizes"):
         V._asking_side(asked, limit)
+
+
+@pytest.mark.parametrize("max_queries", [0, 64])
+def test_null_and_phraseless_queries_find_nothing_at_every_bound(spark, library, max_queries):
+    photos = library("red dog runs", "blue car")
+    vectors = V.hash_embed(photos, "photo_id", "description").withColumn("model_name", F.lit("m"))
+    asked = spark.createDataFrame([(1, "red dog"), (2, None), (3, "blue car")], "query_id int, query string")
+    phrases = spark.createDataFrame([(1, 0, "red dog", 2), (2, 0, "x", 1)], "query_id int, phrase_no int, phrase string, token_count int")
+    found = H.hybrid_search(asked, phrases, photos, vectors, max_queries=max_queries).collect()
+    assert {r["query_id"] for r in found} == {1} and found[0]["description"] == "red dog runs"
+    whole = H.hybrid_search(asked, None, photos, vectors, max_queries=max_queries).collect()
+    assert {r["query_id"] for r in whole} == {1, 3}
+    both = vectors.union(vectors.withColumn("model_name", F.lit("n")))
+    with pytest.raises(ValueError, match="several models"):
+        H.hybrid_search(asked, None, photos, both, max_queries=max_queries)
+    named = H.hybrid_search(asked, None, photos, both, max_queries=max_queries, model_name="n").collect()
+    assert sorted((r["query_id"], r["photo_id"], r["rank"]) for r in named) == sorted((r["query_id"], r["photo_id"], r["rank"]) for r in whole)
