@@ -49,7 +49,7 @@ def cut(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
-class _Memory(dict):
+class Memory(dict):
     """A dictionary that computes what it misses and starts anew when it is full."""
 
     def __init__(self, compute, most: int):
@@ -79,10 +79,10 @@ class Vocabulary:
             if len(token) == 1 or self.halves[rank] is not None:
                 self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.fits = _Memory(self._fits, PAIRS_KEPT)
-        self.pieces = _Memory(self._piece, WORDS_KEPT)
-        self.words = _Memory(self._word, WORDS_KEPT)
-        self.blank_words = _Memory(lambda w: self._word(" " + w), WORDS_KEPT)
+        self.fits = Memory(self._fits, PAIRS_KEPT)
+        self.pieces = Memory(self._piece, WORDS_KEPT)
+        self.words = Memory(self._word, WORDS_KEPT)
+        self.blank_words = Memory(lambda w: self._word(" " + w), WORDS_KEPT)
         lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)

@@ -12,7 +12,7 @@ adding the counts of earlier partitions, so no length is numbered in one task.
 
 from __future__ import annotations
 
-import os
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -27,66 +27,38 @@ from pictorium.llm import bpe, common
 
 WINDOW = 2048
 END_ID = 1
-# Entries of a task's memories before they start anew, and matches tokenised in one call.
-KEPT = 400_000
-MATCHES_JOINED = 2_000
+# Entries of a task's memories before they start anew.
+KEPT = 500_000
 # Combinations for each length, and steps of the solver.
 PARTNERS = 12
 STEPS = 400
 
 
+# How a byte-level tokenizer spells bytes: printable ones as themselves, the others by the characters from 256 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELLED = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
+
+
 class Words:
-    """Ids of texts by a tokenizer: words are cut into the matches of its pattern, each tokenised once as long as it is remembered."""
+    """Ids of texts by a byte-level tokenizer: its model gets each match of its pattern once as long as that is remembered."""
 
     def __init__(self, raw: bytes, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_buffer(raw)
-        self.tokenizer.encode_special_tokens = True
-        self.pattern = regex.compile(pattern)
-        (self.tab,) = self.tokenizer.encode("\t", add_special_tokens=False).ids
-        self.matches: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _joined(self, matches: list[str]) -> Iterator[bytes]:
-        """Ids of matches, many in one call: a tab between matches without blanks, but for the first character, is an id of its own."""
-        for at in range(0, len(matches), MATCHES_JOINED):
-            part = matches[at:at + MATCHES_JOINED]
-            ids = np.asarray(self.tokenizer.encode("\t".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.tab)
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the tokenizer does not keep a tab between matches apart")
-            raw, start = ids.tobytes(), 0
-            for stop in (4 * cuts).tolist():
-                yield raw[start:stop]
-                start = stop + 4
-            yield raw[start:]
-
-    def _learn(self, matches: set[str]) -> None:
-        new = list(matches.difference(self.matches))
-        if len(self.matches) + len(new) > KEPT:
-            self.matches.clear()
-            new = list(matches)
-        plain = [m for m in new if not m[-1].isspace()]
-        self.matches.update(zip(plain, self._joined(plain)))
-        other = [m for m in new if m[-1].isspace()]
-        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-        self.matches.update((m, np.asarray(e.ids, "<u4").tobytes()) for m, e in zip(other, found))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, little-endian unsigned 32-bit integers. Only words after a blank are kept whole."""
-        cut = [bpe.cut(t) for t in texts]
-        words = set().union(*(rest for _, rest in cut))
-        new = list(words.difference(self.words))
-        if len(self.words) + len(new) > KEPT:
-            self.words.clear()
-            new = list(words)
-        firsts = [self.pattern.findall(first) for first, _ in cut]
-        parts = [self.pattern.findall(" " + w) for w in new]
-        self._learn(set().union(*firsts, *parts))
-        one = self.matches.__getitem__
-        self.words.update((w, b"".join(map(one, p))) for w, p in zip(new, parts))
-        known = self.words.__getitem__
-        return [b"".join(map(one, first)) + b"".join(map(known, rest)) for first, (_, rest) in zip(firsts, cut)]
+        self.model = Tokenizer.from_buffer(raw).model
+        self.find = regex.compile(pattern).findall
+        self.matches = bpe.Memory(self._match, KEPT)
+        self.words = bpe.Memory(lambda word: self._ids(" " + word), KEPT)
+
+    def _match(self, match: str) -> bytes:
+        spelled = match.encode().decode("latin-1").translate(_SPELLED)
+        return array("I", [token.id for token in self.model.tokenize(spelled)]).tobytes()
+
+    def _ids(self, text: str) -> bytes:
+        return b"".join(map(self.matches.__getitem__, self.find(text)))
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        first, rest = bpe.cut(text)
+        return self._ids(first) + b"".join(map(self.words.__getitem__, rest))
 
 
 _LOADED: dict[int, Words] = {}
@@ -119,8 +91,8 @@ def token_runs(docs: DataFrame, tokenizer_path: str, pattern: str, window: int =
         part, places = TaskContext.get().partitionId(), [0] * (window + 1)
         for batch in common.pieces(batches, "text"):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), _LOADED[key].encode([t or "" for t in batch.column("text").to_pylist()])):
-                ids += end
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                ids = _LOADED[key].encode(text or "") + end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     held = ids[4 * start:4 * (start + window)]
