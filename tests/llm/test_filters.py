@@ -59,12 +59,12 @@ def test_redaction_replaces_spans_only(documents):
 
 
 def test_terms_that_give_an_entity_away_go(documents):
-    rows = [(i, f"{prose(i, 6)} agent Zorblatt uses zz@spy.org with the {prose(50 + i, 6)}. Zorblatt again") for i in range(12)]
+    rows = [(i, f"{prose(i, 6)} agent Zorblatt uses zz@spy.org with the {prose(50 + i, 6)}") for i in range(12)]
     rows += [(100 + i, "the agent uses tools with care " + prose(200 + i, 30)) for i in range(40)]
     found = {r.doc_id: r for r in pii.detect(documents(*rows)).collect()}
     for i in range(12):
         terms = [rows[i][1][s.start:s.stop] for s in found[i].pii_spans if s.kind == "term"]
-        assert terms == ["Zorblatt", "Zorblatt"]
+        assert terms == ["Zorblatt"]
     assert not any(s.kind == "term" for i in range(100, 140) for s in found[i].pii_spans)
 
 
