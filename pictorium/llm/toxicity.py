@@ -3,27 +3,32 @@
 Two bigram models, of toxic and of ordinary labelled texts, are compared on
 every text: the mean difference of their log-likelihoods over its words. Both
 discount their counts and back off to one shared distribution, in which a word
-weighs as many different words as it follows in either class. An n-gram too rare
-to be compared falls to the next lower order in both models alike, and a rare
-word says nothing.
-
-Counts cover all labelled texts of the learning folds and are summed in shuffles.
-What the tasks get is bounded: an n-gram is kept if it makes up a given share of
-the words of a class, so at most one over that share are kept for each class. A
-logistic regression on another fold turns the comparison into a probability.
+weighs as many different words as it follows in either class. A pair that no
+labelled text has, or whose first word only one class has, falls to the single
+word in both models alike; a word that no labelled text has says nothing.
+
+Counts cover all labelled texts of the learning folds and all their n-grams, and
+are summed in shuffles. The model is a table of n-grams: a word has its
+difference, a pair what it adds to that of its word. So a text sums up over its
+n-grams, each looked up by itself. Tasks get the most frequent n-grams, at most
+one over a given share for each class and order; all others are joined to the
+table. Differences are whole multiples of 1 / ``UNIT``: sums are the same in any
+order and for any share. A logistic regression on another fold turns the
+comparison into a probability.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pictorium.llm import common, shingles
 
@@ -31,11 +36,13 @@ FOLDS = 5
 HELD_OUT = 0
 CALIBRATE = 4
 DISCOUNT = 0.75
-# Least share of the words of a class that an n-gram of the model makes up, and least count.
+# Share of the words of a class from which an n-gram is brought into the tasks; rarer ones are joined.
 SHARE = 2.0**-20
-LEAST = 3
+UNIT = 1 << 20
 # Difference of log-likelihoods from which a word counts as a strong sign.
 STRONG = 2.0
+# Upper half of the key of a single word; that of a pair is the word before.
+_SINGLE = -1 << 32
 _SPLIT = bytes(32 if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127) else c for c in range(256)).lower()
 
 
@@ -81,57 +88,98 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), pa.array(bodies, pa.binary())], ["doc_id", "fold", "body"])
 
 
+# What an n-gram adds to a text: difference, strong sign, number of strong signs.
+_ADDS = ("diff", "strong", "signs")
+
+
+@dataclass
+class Head:
+    """The n-grams that tasks look up in place: sorted keys with what each adds."""
+
+    key: np.ndarray
+    adds: np.ndarray
+    whole: bool  # no other n-gram is in the model
+
+    def rows(self, texts: list[bytes], ids: pa.Array, labels: pa.Array) -> Iterator[pa.RecordBatch]:
+        """For each text a row of sums (label, words and what its n-grams of the head add), and one for each other n-gram."""
+        found, counts = words(texts)
+        text = np.tile(np.repeat(np.arange(len(texts)), counts), 2)
+        keys = np.concatenate([found | _SINGLE, bigrams(found, counts)])
+        at, known = _find(self.key, keys)
+        sums = [np.bincount(text[known], self.adds[at[known], j], len(texts)) for j in range(len(_ADDS))]
+        sums = np.stack([np.array(labels.to_pylist(), np.int64), counts, *sums], 1).astype(np.int64)
+        ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(sums.tolist(), pa.list_(pa.int64()))], schema=_ROWS)
+        if not self.whole and not known.all():
+            keys, text = keys[~known], text[~known]
+            order = np.lexsort((text, keys))
+            keys, text = keys[order], text[order]
+            first = np.flatnonzero((np.diff(keys, prepend=keys[0] - 1) != 0) | (np.diff(text, prepend=-1) != 0))
+            n = np.diff(first, append=len(keys))
+            for i in range(0, len(first), 100_000):
+                part = first[i:i + 100_000]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[text[part]]), pa.array(keys[part]), pa.array(n[i:i + 100_000].astype(np.int64)), pa.nulls(len(part), pa.list_(pa.int64()))
+                ], schema=_ROWS)
+
+
+_ROWS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sums", pa.list_(pa.int64()))])
+
+
 @dataclass
 class Model:
-    """Sorted n-grams with their counts by class, and the totals."""
-
-    word: np.ndarray
-    word_counts: np.ndarray  # toxic, ordinary, different words before
-    pair: np.ndarray
-    pair_counts: np.ndarray  # toxic, ordinary
-    context: np.ndarray
-    context_counts: np.ndarray  # toxic, ordinary occurrences before a word; different words after, by class
-    totals: np.ndarray  # words by class, different words by class, different pairs
+    """The n-grams in two parts, and the calibration."""
+
+    head: Head
+    others: DataFrame | None = None
     weights: np.ndarray | None = None
     shift: float = 0.0
 
-    def differences(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Log-likelihood of each word in the toxic model less that in the ordinary one."""
-        out = np.zeros(len(found))
-        if not len(found) or not len(self.word) or self.totals[:2].min() <= 0:
-            return out
-        at, known = _find(self.word, found)
-        shared = np.maximum(self.word_counts[at, 2], 1) / self.totals[4]
-        single = []
-        for c in (0, 1):
-            n, kinds = self.totals[c], self.totals[2 + c]
-            single.append(np.maximum(self.word_counts[at, c] - DISCOUNT, 0) / n + DISCOUNT * kinds / n * shared)
-        pairs = bigrams(found, counts)
-        two, has_two = _find(self.pair, pairs)
-        before, has_before = _find(self.context, pairs >> 32)
-        use = known & has_two & has_before & (self.context_counts[before, :2].min(1) > 0) if len(self.pair) and len(self.context) else np.zeros(len(found), bool)
-        for c in (0, 1):
-            if use.any():
-                n = self.context_counts[before[use], c]
-                kinds = self.context_counts[before[use], 2 + c]
-                single[c][use] = np.maximum(self.pair_counts[two[use], c] - DISCOUNT, 0) / n + DISCOUNT * kinds / n * single[c][use]
-        out[known] = np.log(single[0][known]) - np.log(single[1][known])
-        return out
-
-    def features(self, texts: list[bytes]) -> np.ndarray:
-        """For each text: mean difference, mean of the strong signs, and how many strong signs there are (logarithm)."""
-        found, counts = words(texts)
-        diff = self.differences(found, counts)
-        strong = np.where(diff > STRONG, diff, 0.0)
-        text = np.repeat(np.arange(len(texts)), counts)
-        n = np.maximum(counts, 1)
-        total = lambda v: np.bincount(text, v, len(texts))
-        return np.stack([total(diff) / n, total(strong) / n, np.log1p(total((diff > STRONG).astype(float)))], 1)
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def features(self, texts: DataFrame) -> DataFrame:
+        """``id, label, copies, values`` from ``id, label`` and ``text`` or packed ``body``; rows with one id have equal texts and labels.
+
+        The values are mean difference, mean of the strong signs, and how many
+        strong signs there are (logarithm).
+        """
+        shipped = texts.sparkSession.sparkContext.broadcast(self.head)
+        packed = "body" in texts.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unpack = zstandard.ZstdDecompressor().decompress
+            for batch in batches if packed else common.pieces(batches, "text"):
+                for at in range(0, len(batch), 1000):
+                    part = batch.slice(at, 1000)
+                    bodies = [unpack(b) for b in part.column("body").to_pylist()] if packed else common.utf8(part.column("text"))
+                    yield from shipped.value.rows(bodies, part.column("id"), part.column("label"))
+
+        rows = common.map_batches(texts, run, "id long, key long, n long, sums array<long>")
+        own = F.col("sums").isNotNull()
+        if self.others is None:
+            rows = rows.select("id", *(F.col("sums")[i].alias(c) for i, c in enumerate(("label", "words", *_ADDS))), F.lit(1).alias("copies"))
+        else:
+            # One way to join at every size. The row of sums of a text is dealt out by its id; what it may meet there is not added.
+            rows = rows.join(self.others.hint("merge"), "key", "left").filter(own | F.col("diff").isNotNull())
+            rows = rows.select(
+                "id", *(F.when(own, F.col("sums")[i]).otherwise(0).alias(c) for i, c in enumerate(("label", "words"))),
+                *(F.when(own, F.col("sums")[i + 2]).otherwise(F.col("n") * F.col(c)).alias(c) for i, c in enumerate(_ADDS)), own.cast("int").alias("copies"),
+            )
+        total = rows.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("label", "words", *_ADDS, "copies")))
+        # Every copy of a text adds the same.
+        n = F.greatest(F.col("words"), F.lit(1)) * F.lit(float(UNIT))
+        values = F.array(F.col("diff") / n, F.col("strong") / n, F.log1p(F.col("signs") / F.col("copies")))
+        return total.select("id", (F.col("label") / F.col("copies")).alias("label"), F.col("copies").cast("double").alias("copies"), values.alias("values"))
+
+    def scores(self, docs: DataFrame) -> DataFrame:
+        """``id, score`` for every different text of ``docs``, by its hash."""
         if self.weights is None:
-            return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights + self.shift, -30, 30)))
+            return docs.select(_text_id(F.col("text")).alias("id")).distinct().withColumn("score", F.lit(0.0))
+        texts = docs.select(_text_id(F.col("text")).alias("id"), F.lit(0).alias("label"), "text")
+        line = reduce(lambda a, b: a + b, (F.col("values")[i] * float(w) for i, w in enumerate(self.weights)))
+        return self.features(texts).select("id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line + self.shift))))).alias("score"))
+
+
+def _text_id(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,21 +189,22 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _arrays(df: DataFrame, key: str, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _head(df: DataFrame, whole: bool) -> Head:
     """A bounded table as sorted keys with their values."""
-    table = df.select(key, *values).toArrow().sort_by(key)
-    columns = [table.column(v).to_numpy().astype(np.float32) for v in values]
-    return table.column(key).to_numpy().astype(np.int64), np.stack(columns, 1) if len(table) else np.zeros((0, len(values)), np.float32)
+    table = df.select("key", *_ADDS).toArrow().sort_by("key")
+    adds = np.stack([table.column(c).to_numpy() for c in _ADDS], 1) if len(table) else np.zeros((0, len(_ADDS)))
+    return Head(table.column("key").to_numpy().astype(np.int64), adds.astype(np.int32), whole)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic",
-          share: float = SHARE, least: int = LEAST) -> Model:
+          share: float = SHARE) -> Model:
     """The two models and their calibration from all labelled rows outside the held-out fold.
 
     The fold of a row is the CRC-32 of its id as text modulo ``FOLDS``. Rows of
     the fold ``CALIBRATE`` fit the regression, the others are counted. Null
     labels and null ids are no labels; an id with several labels is toxic if one
     of them is 1. Without labelled rows of both classes the model scores 0.
+    ``share`` only says which n-grams are brought into the tasks.
     """
     fold = common.crc_fold(F.col("doc_id"), FOLDS)
     texts = common.id_and_text(docs, id_col, text_col).filter(F.col("doc_id").isNotNull()).withColumn("fold", fold).filter(F.col("fold") != HELD_OUT)
@@ -163,50 +212,52 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     # One way to join at every size: labels grow with the texts.
-    rows = common.store(packed.join(marks.hint("merge"), "doc_id").select("fold", "body", F.when(F.col("label") == 1, 1).otherwise(0).alias("label")), "toxic-labelled")
-
-    def pairs() -> DataFrame:
-        counted = common.map_batches(rows.filter(F.col("fold") != CALIBRATE).select("body", "label"), _count, "pair long, toxic long, ordinary long")
-        return counted.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-    # Each of the three tables sums the pairs anew, so that they are never stored as a whole.
-    word = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
-    all_words = common.store(pairs().groupBy(word.alias("word")).agg(
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("*").alias("before")
-    ), "toxic-words")
-    total = all_words.agg(
-        F.sum("toxic"), F.sum("ordinary"), F.count_if(F.col("toxic") > 0), F.count_if(F.col("ordinary") > 0), F.sum("before")
-    ).first()
-    totals = np.array([v or 0 for v in total], float)
+    rows = common.store(packed.join(marks.hint("merge"), "doc_id").select("doc_id", "fold", "body", F.when(F.col("label") == 1, 1).otherwise(0).alias("label")), "toxic-labelled")
+    counted = common.map_batches(rows.filter(F.col("fold") != CALIBRATE).select("body", "label"), _count, "pair long, toxic long, ordinary long")
+    pairs = common.store(counted.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxic-pairs")
+    sums = [F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")]
+    singles = common.store(pairs.groupBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")).agg(*sums, F.count("*").alias("before")), "toxic-words")
+    total = singles.agg(*sums, F.count_if(F.col("toxic") > 0), F.count_if(F.col("ordinary") > 0), F.sum("before")).first()
+    totals = [float(v or 0) for v in total]
+    if min(totals[:2]) <= 0:
+        return Model(Head(np.zeros(0, np.int64), np.zeros((0, len(_ADDS)), np.int32), True))
     # No more than 1 / share n-grams of a class can reach the share.
-    floor = [max(least, int(np.ceil(share * n))) for n in totals[:2]]
-    frequent = (F.col("toxic") >= floor[0]) | (F.col("ordinary") >= floor[1])
-    known = _arrays(all_words.filter(frequent), "word", ["toxic", "ordinary", "before"])
-    kept = common.store(pairs().filter(frequent), "toxic-pairs")
-    pair = _arrays(kept, "pair", ["toxic", "ordinary"])
-    # Contexts by word before; only those of kept words can matter.
-    before = F.shiftrightunsigned("pair", 32)
-    after = common.store(pairs().groupBy(before.alias("word")).agg(
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count_if(F.col("toxic") > 0).alias("toxic_after"),
-        F.count_if(F.col("ordinary") > 0).alias("ordinary_after"),
-    ).filter(frequent), "toxic-contexts")
-    context = _arrays(after, "word", ["toxic", "ordinary", "toxic_after", "ordinary_after"])
-    model = Model(*known, *pair, *context, totals)
-    if totals[:2].min() <= 0:
-        return model
-    shipped = rows.sparkSession.sparkContext.broadcast(model)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                texts = [unpack(b) for b in batch.column("body").slice(at, 1000).to_pylist()]
-                found = shipped.value.features(texts).tolist()
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(at, 1000).cast(pa.float64()), pa.array(found, pa.list_(pa.float64()))], ["label", "values"])
-
-    held = common.store(common.map_batches(rows.filter(F.col("fold") == CALIBRATE).select("body", "label"), features, "label double, values array<double>"), "toxic-features")
+    floor = [int(np.ceil(share * n)) for n in totals[:2]]
+    frequent = ((F.col("toxic") >= floor[0]) | (F.col("ordinary") >= floor[1])).alias("frequent")
+
+    def likelihood(n: Column, of: Column, kinds: Column, lower: Column) -> Column:
+        return F.greatest(n - DISCOUNT, F.lit(0.0)) / of + DISCOUNT * kinds / of * lower
+
+    def adds(toxic: Column, ordinary: Column, lower: tuple[Column, ...] = (F.lit(0),) * len(_ADDS)) -> list[Column]:
+        diff = F.round((F.log(toxic) - F.log(ordinary)) * UNIT).cast("long")
+        strong = diff > int(STRONG * UNIT)
+        return [(v - low).cast("long").alias(c) for c, v, low in zip(_ADDS, (diff, F.when(strong, diff).otherwise(0), strong.cast("int")), lower)]
+
+    shared = F.col("before") / totals[4]
+    single = singles.select("word", "toxic", "ordinary", *(
+        likelihood(F.col(c), F.lit(totals[i]), F.lit(totals[2 + i]), shared).alias(f"p_{c}") for i, c in enumerate(("toxic", "ordinary"))
+    ))
+    words_ = single.select("word", frequent, "p_toxic", "p_ordinary", *adds(F.col("p_toxic"), F.col("p_ordinary")))
+    context = F.shiftrightunsigned("pair", 32).alias("context")
+    after = pairs.groupBy(context).agg(
+        F.sum("toxic").alias("n_toxic"), F.sum("ordinary").alias("n_ordinary"), F.count_if(F.col("toxic") > 0).alias("k_toxic"),
+        F.count_if(F.col("ordinary") > 0).alias("k_ordinary"),
+    ).filter((F.col("n_toxic") > 0) & (F.col("n_ordinary") > 0))
+    two = pairs.select("pair", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word"), context, "toxic", "ordinary", frequent)
+    two = two.join(after.hint("merge"), "context").join(words_.drop("frequent").hint("merge"), "word").select("pair", "frequent", *adds(
+        *(likelihood(F.col(c), F.col(f"n_{c}"), F.col(f"k_{c}"), F.col(f"p_{c}")) for c in ("toxic", "ordinary")), tuple(F.col(c) for c in _ADDS)
+    ))
+    table = common.store(words_.select(F.col("word").bitwiseOR(F.lit(_SINGLE)).alias("key"), "frequent", *_ADDS).union(
+        two.withColumnRenamed("pair", "key").select("key", "frequent", *_ADDS)
+    ), "toxic-model")
+    others = table.filter(~F.col("frequent")).drop("frequent")
+    whole = others.isEmpty()
+    model = Model(_head(table.filter("frequent"), whole), None if whole else others)
+    held = rows.filter(F.col("fold") == CALIBRATE).select(F.xxhash64("doc_id", "body", "label").alias("id"), "label", "body")
+    held = common.store(model.features(held).select("label", "copies", "values"), "toxic-features")
     if held.select("label").distinct().count() == 2:
-        fitted = LogisticRegression(featuresCol="vector", labelCol="label", regParam=1e-4, maxIter=100).fit(held.select("label", array_to_vector("values").alias("vector")))
+        given = held.select("label", "copies", array_to_vector("values").alias("vector"))
+        fitted = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="copies", regParam=1e-4, maxIter=100).fit(given)
         model.weights, model.shift = np.array(fitted.coefficients.toArray()), float(fitted.intercept)
     return model
 
@@ -219,24 +270,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Repeated rows have equal scores; an empty table gives an empty result; other
     columns are not looked at.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shipped.value.scores(common.utf8(batch.column("text"))))], ["doc_id", "score"])
-
-    found = common.map_batches(common.id_and_text(docs, id_col, text_col), run, "doc_id long, score double")
+    texts = common.id_and_text(docs, id_col, text_col)
+    rows = texts.select("doc_id", _text_id(F.col("text")).alias("id"))
+    found = rows.join(model.scores(texts), "id").select("doc_id", "score")
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def reject(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns as they were."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    rows = common.boxed(docs, text=F.col(f"`{text_col}`").cast("string"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, "text"):
-            clean = shipped.value.scores(common.utf8(batch.column("text"))) < 0.5
-            yield batch.select(["row"]).filter(pa.array(clean))
-
-    return common.map_batches(rows, run, rows.select("row").schema).select("row.*")
+    toxic = common.store(model.scores(common.id_and_text(docs, id_col, text_col)).filter(F.col("score") >= 0.5).select("id"), "toxic-texts")
+    rows = common.boxed(docs, id=_text_id(F.col(f"`{text_col}`").cast("string")))
+    return rows.join(toxic, "id", "left_anti").select("row.*")
