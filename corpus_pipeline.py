@@ -58,7 +58,7 @@ def remove_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each run of tokens of each document lies in which sequence."""
-    found = packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    found = packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, added_tokens=True)
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

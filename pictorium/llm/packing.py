@@ -40,10 +40,18 @@ _SPELLED = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - _PRIN
 
 
 class Words:
-    """Ids of texts by a byte-level tokenizer: its model gets each match of its pattern once as long as that is remembered."""
+    """Ids of texts by a byte-level tokenizer: its model gets each match of its pattern once as long as that is remembered.
 
-    def __init__(self, raw: bytes, pattern: str):
-        self.model = Tokenizer.from_buffer(raw).model
+    With ``added``, texts that hold the content of an added token are given to
+    the tokenizer as a whole, which gives such contents their own ids; else they
+    are text like any other.
+    """
+
+    def __init__(self, raw: bytes, pattern: str, added: bool = False):
+        self.whole = Tokenizer.from_buffer(raw)
+        contents = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
+        self.added = regex.compile("|".join(map(regex.escape, contents))) if contents else None
+        self.model = self.whole.model
         self.find = regex.compile(pattern).findall
         self.matches = bpe.Memory(self._match, KEPT)
         self.words = bpe.Memory(lambda word: self._ids(" " + word), KEPT)
@@ -57,6 +65,8 @@ class Words:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if self.added and self.added.search(text):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         first, rest = bpe.cut(text)
         return self._ids(first) + b"".join(map(self.words.__getitem__, rest))
 
@@ -70,11 +80,12 @@ RUNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, p
 
 
 def token_runs(docs: DataFrame, tokenizer_path: str, pattern: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Runs of token ids of every document, ``end_id`` last: full windows and what remains.
 
     ``pattern`` is the one by which the tokenizer of ``tokenizer_path`` splits
-    texts; no id crosses its matches. ``start`` counts the ids before the run, ``doc_tokens`` those of the whole
+    texts; no id crosses its matches. ``added_tokens`` gives the
+    contents of its added tokens their ids, as the tokenizer does unless told otherwise. ``start`` counts the ids before the run, ``doc_tokens`` those of the whole
     document, ``ids_crc32`` is over little-endian unsigned 32-bit ids, which
     ``with_ids`` also returns. ``part, place`` number the runs of each length
     within a partition. A null or empty text is the one id ``end_id``; an empty
@@ -85,9 +96,9 @@ def token_runs(docs: DataFrame, tokenizer_path: str, pattern: str, window: int =
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((raw.value, pattern))
+        key = hash((raw.value, pattern, added_tokens))
         if key not in _LOADED:
-            _LOADED[key] = Words(raw.value, pattern)
+            _LOADED[key] = Words(raw.value, pattern, added_tokens)
         part, places = TaskContext.get().partitionId(), [0] * (window + 1)
         for batch in common.pieces(batches, "text"):
             rows = []
@@ -282,7 +293,7 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Tokenise and pack whole documents: the columns of ``token_runs`` without ``part, place``, with ``sequence_id, offset``."""
-    runs = token_runs(docs, tokenizer_path, pattern, window, end_id, with_ids, id_col, text_col)
+    runs = token_runs(docs, tokenizer_path, pattern, window, end_id, with_ids, id_col, text_col, added_tokens)
     return pack(common.store(runs, "token-runs"), window)

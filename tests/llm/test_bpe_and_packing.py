@@ -9,7 +9,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from .samples import noise
-from pictorium.llm import bpe, packing
+from pictorium.llm import bpe, packing, queries
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,6 +75,15 @@ def test_every_id_has_one_place(odd_documents, window):
     assert sorted(s.n_tokens for s in sequences) == sorted(sum(n for _, n in p) for p in by_sequence.values())
 
 
+def test_query_gives_added_tokens_their_ids(spark, tmp_path):
+    texts = ["a text <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext| >", "  plain\n\n text ", "", *(noise(s, 40) for s in range(40))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    found = queries.op3_packing(spark, str(tmp_path)).collect()
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids + [packing.END_ID] for t in texts]
+    assert sorted((r.doc_id, r.start, r.doc_tokens, r.ids_crc32) for r in found) == [(i, 0, len(e), zlib.crc32(ids_of(e))) for i, e in enumerate(expected)]
+
+
 def test_empty_table_has_no_runs(odd_documents):
     assert packed(odd_documents.limit(0), 2048).collect() == []
 
