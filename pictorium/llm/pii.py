@@ -1,10 +1,11 @@
 """Private data: patterns, and terms of the corpus that give protected values away.
 
 Four kinds are found by pattern. Every value found so is a protected entity. A
-term near an entity may reveal it: the corpus tells how often the term stands
-beside that entity and how often it stands anywhere. The disclosure of an entity
-by a term is their pointwise mutual information over the information content of
-the entity; it is 1 when the term never stands anywhere else. In texts that hold
+term in a text with an entity may reveal it: the corpus tells how many texts hold
+both and how many hold the term. The disclosure of an entity by a term is their
+pointwise mutual information over the information content of the entity, with
+the lower confidence bound of the share of the term's texts that hold the entity;
+it nears 1 when many texts hold the term and all of them the entity. In texts that hold
 the entity, terms over the higher threshold are removed, those over the lower one
 are generalised. Everything is DataFrame functions; positions are code points.
 """
@@ -33,9 +34,10 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 GENERAL = "[TERM]"
 
-CONTEXT = 64
 TERM = r"\p{L}{4,}"
-MIN_CONTEXTS = 5
+MIN_CONTEXTS = 2
+# Square of the normal quantile by which a rate is lowered: few contexts prove less than many.
+DOUBT = 1.96**2
 REMOVE = 0.95
 GENERALISE = 0.85
 _STEP = 64
@@ -58,7 +60,7 @@ def _bind(value: Column, use) -> Column:
 
 
 def hits(text: Column, pattern: Column) -> Column:
-    """Matches of a pattern, leftmost and not overlapping: start, stop, value and the text beside each.
+    """Matches of a pattern, leftmost and not overlapping: start, stop and value.
 
     What lies between the matches and the matches themselves, in turn, sum up to the positions.
     """
@@ -67,7 +69,6 @@ def hits(text: Column, pattern: Column) -> Column:
         steps = F.transform(found, lambda v, i: (F.char_length(F.get(gaps, i)) + F.char_length(v)).cast("long"))
         return _bind(running_totals(steps), lambda stops: F.transform(found, lambda v, i: F.struct(
             (F.get(stops, i) - F.char_length(v)).cast("long").alias("start"), F.get(stops, i).alias("stop"), v.alias("value"),
-            F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("right"),
         )))
 
     return _bind(F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), spans)
@@ -99,7 +100,7 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-_SPAN = "array<struct<start:bigint,stop:bigint,value:string,left:string,right:string>>"
+_SPAN = "array<struct<start:bigint,stop:bigint,value:string>>"
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -121,42 +122,56 @@ def _each(kind: str, use) -> Column:
 
 
 def _found(docs: DataFrame, text_col: str) -> DataFrame:
-    """Rows of ``docs`` as structs, their text, and the spans of each kind."""
+    """Rows of ``docs`` as structs, their text, its key, and the spans of each kind."""
     df = common.boxed(docs, text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    # Texts are told apart by length and two hashes; equal texts have equal spans.
+    # Every row has a key, so that those without an entity are dealt out as well.
+    df = df.withColumn("key", F.concat_ws(":", F.length("text"), F.xxhash64("text"), F.hash("text")))
     return df.withColumns({k: base_spans(F.col("text"), k) for k in KINDS})
 
 
-def _entities(df: DataFrame) -> DataFrame:
-    """A row for each place of an entity: ``entity, context, terms`` (the distinct terms beside it)."""
-    each = lambda k, s: F.struct(_entity(k, s["value"]).alias("entity"), F.concat_ws(" ", F.lit(""), s["left"], s["right"]).alias("beside"))
-    places = df.select(F.explode(F.concat(*(_each(k, each) for k in KINDS))).alias("p")).select("p.*")
-    return places.select(
-        "entity", F.xxhash64("beside").alias("context"), F.array_distinct(F.regexp_extract_all(F.lower("beside"), F.lit(rf"[^\p{{L}}]({TERM})(?!\p{{L}})"), F.lit(1))).alias("terms")
-    )
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"({TERM})"), F.lit(1)))
+
+
+def _named() -> Column:
+    """The distinct entities of a text."""
+    return F.array_distinct(F.concat(*(_each(k, lambda kind, s: _entity(kind, s["value"])) for k in KINDS)))
+
+
+def _holds() -> Column:
+    return reduce(lambda a, b: a | b, (F.size(k) > 0 for k in KINDS))
 
 
 def disclosures(docs: DataFrame, text_col: str = "text", min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """``entity, term, disclosure``: how far a term gives an entity away, from counts over all texts.
 
-    Only pairs seen beside each other in ``min_contexts`` different contexts are
-    judged: copies of one passage are one context, and a term seen once reveals
-    nothing reliably. Counts of a term are its occurrences in the whole corpus.
+    Pairs are judged that stand together in ``min_contexts`` different texts,
+    wherever in them: copies of one text are one context, and a term seen once
+    reveals nothing reliably. The share of a term's texts that hold the entity is
+    lowered to its confidence bound (Wilson) for as many contexts.
     """
     return _disclosures(_found(docs, text_col), min_contexts)
 
 
 def _disclosures(df: DataFrame, min_contexts: int) -> DataFrame:
-    places = _entities(df)
-    beside = places.select("entity", "context", F.explode("terms").alias("term"))
-    # Places with one context are counted first, so that a passage with very many copies is one row.
-    beside = beside.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    pairs = beside.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
+    # Equal texts are one row with their number, so that very many copies cost no more than one.
+    held = df.filter(_holds()).select("key", _named().alias("entities"), _terms(F.col("text")).alias("terms"))
+    held = common.store(held.groupBy("key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "pii-holders")
+    named = held.select("key", "copies", F.explode("entities").alias("entity"))
+    # An entity in fewer texts than contexts are needed has no pair to judge.
+    repeated = named.groupBy("entity").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_contexts).select("entity")
+    beside = named.join(repeated, "entity").join(held.select("key", "terms"), "key").select("entity", "copies", F.explode("terms").alias("term"))
+    pairs = beside.groupBy("entity", "term").agg(F.sum("copies").alias("together"), F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
+    places = df.select(F.explode(F.concat(*(_each(k, lambda kind, s: _entity(kind, s["value"])) for k in KINDS))).alias("entity"))
     entities = places.groupBy("entity").agg(F.count("*").alias("of_entity"))
     words = df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"({TERM})"), F.lit(1))).alias("term"))
-    counts = common.store(words.groupBy("term").agg(F.count("*").alias("of_term")), "pii-terms")
-    total = counts.agg(F.sum("of_term").alias("total")).first()["total"] or 1
+    counts = df.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
+    total = words.agg(F.count("*").alias("total")).first()["total"] or 1
     judged = pairs.join(entities, "entity").join(counts, "term")
-    rate = F.least(F.lit(1.0), F.col("together") / F.col("of_term"))
+    share = F.least(F.lit(1.0), F.col("together") / F.col("of_term"))
+    n = F.col("contexts") / share
+    rate = (share + DOUBT / (2 * n) - F.sqrt(DOUBT * (share * (1 - share) / n + DOUBT / (4 * n * n)))) / (1 + DOUBT / n)
     prior = F.least(F.lit(0.5), F.col("of_entity") / F.lit(total))
     return judged.select("entity", "term", (F.log2(rate / prior) / -F.log2(prior)).alias("disclosure"))
 
@@ -176,12 +191,7 @@ def detect(docs: DataFrame, text_col: str = "text", min_contexts: int = MIN_CONT
 def _detect(docs: DataFrame, text_col: str, min_contexts: int = MIN_CONTEXTS, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     df = _found(docs, text_col)
     revealing = _disclosures(df, min_contexts).filter(F.col("disclosure") >= generalise)
-    # Texts are told apart by length and two hashes; equal texts have equal spans.
-    # Every row has a key, so that those without an entity are dealt out as well.
-    df = df.withColumn("key", F.concat_ws(":", F.length("text"), F.xxhash64("text"), F.hash("text")))
-    holders = df.filter(reduce(lambda a, b: a | b, (F.size(k) > 0 for k in KINDS))).select("key", F.explode(F.array_distinct(F.concat(*(
-        _each(k, lambda kind, s: _entity(kind, s["value"])) for k in KINDS
-    )))).alias("entity")).distinct()
+    holders = df.filter(_holds()).select("key", F.explode(_named()).alias("entity")).distinct()
     terms = holders.join(revealing, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
     terms = terms.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "disclosure")))).alias("terms"))
     df = df.join(terms, "key", "left")

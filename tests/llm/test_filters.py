@@ -68,6 +68,17 @@ def test_terms_that_give_an_entity_away_go(documents):
     assert not any(s.kind == "term" for i in range(100, 140) for s in found[i].pii_spans)
 
 
+def test_terms_beside_an_entity_in_few_texts_and_far_away_go(documents):
+    rows = [(i, f"{prose(i, 5)} Quixbury {prose(20 + i, 60)} qq@spy.org {prose(40 + i, 5)}") for i in range(4)]
+    rows += [(100 + i, prose(200 + i, 80)) for i in range(400)]
+    found = {r.doc_id: r for r in pii.detect(documents(*rows)).collect()}
+    for i in range(4):
+        assert "Quixbury" in [rows[i][1][s.start:s.stop] for s in found[i].pii_spans if s.kind == "term"]
+    # One text and its copies are one context.
+    once = {r.doc_id: r for r in pii.detect(documents(*([rows[0]] * 4 + rows[4:]))).collect()}
+    assert not any(s.kind == "term" for r in once.values() for s in r.pii_spans)
+
+
 def test_running_totals_of_long_arrays(spark):
     df = spark.range(1).select(pii.running_totals(F.sequence(F.lit(1).cast("long"), F.lit(500).cast("long"))).alias("t"))
     assert df.first().t == np.cumsum(np.arange(1, 501)).tolist()
