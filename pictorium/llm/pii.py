@@ -5,9 +5,9 @@ term in a text with an entity may reveal it: the corpus tells how many texts hol
 both and how many hold the term. The disclosure of an entity by a term is their
 pointwise mutual information over the information content of the entity, with
 the lower confidence bound of the share of the term's texts that hold the entity;
-it nears 1 when many texts hold the term and all of them the entity. In texts that hold
-the entity, terms over the higher threshold are removed, those over the lower one
-are generalised. Everything is DataFrame functions; positions are code points.
+it nears 1 when many texts hold the term and all of them the entity. In all texts, also those
+without the entity, terms over the higher threshold are removed, those over the
+lower one are generalised. Everything is DataFrame functions; positions are code points.
 """
 
 from __future__ import annotations
@@ -191,8 +191,9 @@ def detect(docs: DataFrame, text_col: str = "text", min_contexts: int = MIN_CONT
 def _detect(docs: DataFrame, text_col: str, min_contexts: int = MIN_CONTEXTS, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     df = _found(docs, text_col)
     revealing = _disclosures(df, min_contexts).filter(F.col("disclosure") >= generalise)
-    holders = df.filter(_holds()).select("key", F.explode(_named()).alias("entity")).distinct()
-    terms = holders.join(revealing, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+    # Stored, so that Spark knows its size before it plans the join with the terms of all texts.
+    revealing = common.store(revealing.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-revealing")
+    terms = df.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(revealing, "term").distinct()
     terms = terms.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "disclosure")))).alias("terms"))
     df = df.join(terms, "key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("terms"), "|"), F.lit(r")(?!\p{L})"))

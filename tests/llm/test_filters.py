@@ -79,6 +79,13 @@ def test_terms_beside_an_entity_in_few_texts_and_far_away_go(documents):
     assert not any(s.kind == "term" for r in once.values() for s in r.pii_spans)
 
 
+def test_revealing_terms_go_from_texts_without_the_entity(documents):
+    rows = [(i, f"{prose(i, 6)} Quixbury is at qq@spy.org {prose(40 + i, 6)}") for i in range(30)]
+    rows += [(50, f"{prose(50, 6)} QUIXBURY has no address here")] + [(100 + i, prose(200 + i, 80)) for i in range(100)]
+    found = {r.doc_id: r.text for r in pii.redact(documents(*rows, (51, None))).collect()}
+    assert "QUIXBURY" not in found[50] and "has no address here" in found[50] and found[51] is None
+
+
 def test_running_totals_of_long_arrays(spark):
     df = spark.range(1).select(pii.running_totals(F.sequence(F.lit(1).cast("long"), F.lit(500).cast("long"))).alias("t"))
     assert df.first().t == np.cumsum(np.arange(1, 501)).tolist()
