@@ -13,11 +13,14 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pictorium.llm import common
+
 UNWANTED = "label:unwanted"
 MIN_SUPPORT = 0.002
 MIN_COUNT = 10
 MIN_CONFIDENCE = 0.6
-MAX_TOKENS = 3
+# Longer rules that a rule of up to so many tokens covers are left out: they change no verdict.
+COVERING = 3
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -66,16 +69,15 @@ def listed(host_: Column, path_: Column, rules: list[tuple[str, str, str]]) -> C
 
 
 def mine(urls: DataFrame, labels: DataFrame, url_col: str = "url", id_col: str = "page_id", label_id: str = "doc_id", label_col: str = "quality",
-         bad: int = 0, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE,
-         max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Rules ``tokens, confidence, n``: combinations of up to ``max_tokens`` tokens whose labelled URLs are mostly unwanted.
+         bad: int = 0, min_support: float = 0.0, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rules ``tokens, confidence, n``: combinations of any number of tokens whose labelled URLs are mostly unwanted.
 
     URLs and labels meet by id; an id is unwanted when any of its labels is
     ``bad``, null labels count for nothing. A rule needs ``n`` unwanted URLs, at
     least ``min_support`` of all labelled ones and ``min_count``, and their share
-    among the labelled URLs with its tokens must reach ``min_confidence``. The
-    support bounds the rules: a URL of k tokens is in at most 2^k combinations,
-    so there are no more than 2^k / ``min_support``.
+    among the labelled URLs with its tokens must reach ``min_confidence``. Of the
+    rules with more than ``COVERING`` tokens, those that hold a shorter rule of
+    up to so many are left out. The least number does not grow with the table.
     """
     judged = labels.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{label_id}`").isNotNull()).groupBy(F.col(f"`{label_id}`").cast("long").alias("__id")).agg(
         F.bool_or(F.col(f"`{label_col}`") == bad).alias("__bad")
@@ -87,8 +89,11 @@ def mine(urls: DataFrame, labels: DataFrame, url_col: str = "url", id_col: str =
     if not total:
         return empty
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / total)), minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter((F.element_at("consequent", 1) == UNWANTED) & (F.size("antecedent") <= max_tokens))
-    return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * total).cast("long").alias("n"))
+    rules = model.associationRules.filter(F.element_at("consequent", 1) == UNWANTED)
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * total).cast("long").alias("n"))
+    rules = common.store(rules, "url-rules")
+    short, long = rules.filter(F.size("tokens") <= COVERING), rules.filter(F.size("tokens") > COVERING)
+    return short.union(long.join(matches(long.select("tokens"), short), "tokens", "left_anti"))
 
 
 def matches(token_sets: DataFrame, rules: DataFrame) -> DataFrame:

@@ -163,6 +163,15 @@ def test_mined_rules_equal_counting_all_combinations(spark):
     assert verdicts[1000] == "block" and verdicts[1001] == "allow"
 
 
+def test_rules_of_more_than_three_tokens_are_mined(spark):
+    # Only all four bits together are unwanted, in 15 of 6,015 labelled URLs.
+    bits = [[k >> j & 1 for j in range(4)] for k in range(15)] * 401 + [[1, 1, 1, 1]] * 15
+    rows = [(i, "http://x.y/?" + "&".join(f"{'abcd'[j]}{v}" for j, v in enumerate(b)), int(not all(b))) for i, b in enumerate(bits)]
+    pages, labels = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string"), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    verdicts = {r.page_id: r.verdict for r in url_filter.judge(pages, labels, []).collect()}
+    assert verdicts == {i: "allow" if q else "block" for i, _, q in rows}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rows, labels = [], []
