@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pictorium.llm import bpe, common, exact_dedup, near_dedup, packing, pii, quality, suffix_dedup, toxicity, url_filter, warc
+from pictorium.llm import bpe, common, exact_dedup, merkle, near_dedup, packing, pii, quality, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -185,3 +185,50 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = common.crc_fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+# CRC-32 of an ASCII text, bit by bit.
+_CRC32 = """list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"""
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in merkle.FIELDS) + ")"
+
+
+@query("op11_merkle_manifest", check=f"""
+    WITH RECURSIVE d AS (
+           SELECT doc_id, lang, {_LEAF} AS leaf,
+                  {_LEAF.replace("n_chars", f"(n_chars + CASE WHEN xor({_CRC32.format(text='CAST(doc_id AS VARCHAR)')}, 4294967295) % 7 = 0 THEN 1 ELSE 0 END)")} AS claimed
+           FROM documents),
+         o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos FROM d),
+         t AS (SELECT lang, 0 AS lvl, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM o
+               UNION ALL
+               SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 2),
+         s AS (SELECT lang, h AS subroot, lvl AS top, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM t WHERE n = 1),
+         u AS (SELECT 0 AS lvl, place AS pos, subroot AS h, count(*) OVER () AS n FROM s
+               UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, pos // 2),
+         p AS (SELECT o.lang, pos AS row, 0 AS lvl, pos, '' AS proof, claimed AS f FROM o
+               UNION ALL
+               SELECT p.lang, p.row, p.lvl + 1, p.pos // 2, p.proof || coalesce(t.h, ''),
+                      sha256(CASE WHEN p.pos % 2 = 0 THEN p.f || coalesce(t.h, '') ELSE t.h || p.f END)
+               FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang AND p.lvl < s.top
+               LEFT JOIN t ON t.lang IS NOT DISTINCT FROM p.lang AND t.lvl = p.lvl AND t.pos = xor(p.pos, 1)),
+         g AS (SELECT p.lang, p.row, 0 AS lvl, s.place AS pos, p.proof, p.f FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang AND p.lvl = s.top
+               UNION ALL
+               SELECT g.lang, g.row, g.lvl + 1, g.pos // 2, g.proof || coalesce(u.h, ''),
+                      sha256(CASE WHEN g.pos % 2 = 0 THEN g.f || coalesce(u.h, '') ELSE u.h || g.f END)
+               FROM g LEFT JOIN u ON u.lvl = g.lvl AND u.pos = xor(g.pos, 1) WHERE g.lvl < (SELECT max(lvl) FROM u))
+    SELECT o.doc_id, o.leaf, s.subroot, r.h AS root, sha256(g.proof) AS proof_sha256, g.f AS folded_root, g.f = r.h AS verified
+    FROM o JOIN s ON s.lang IS NOT DISTINCT FROM o.lang JOIN (SELECT h FROM u WHERE n = 1) r ON true
+    JOIN g ON g.lang IS NOT DISTINCT FROM o.lang AND g.row = o.pos AND g.lvl = (SELECT max(lvl) FROM u)""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    column = {c: F.col(c) for c in merkle.FIELDS}
+    tampered = column | {"n_chars": F.when(common.crc_fold(F.col("doc_id"), 7) == 0, F.try_add("n_chars", F.lit(1))).otherwise(F.col("n_chars"))}
+    leaves = docs.select(
+        F.col("lang").alias("grp"), F.col("doc_id").alias("id"), merkle.leaf_digest(*column.values()).alias("leaf"),
+        merkle.leaf_digest(*tampered.values()).alias("claimed"),
+    )
+    found = merkle.prove(merkle.build(leaves))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified",
+    )
