@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pictorium.llm import bpe, common, exact_dedup, fingerprints, merkle, near_dedup, packing, pii, quality, suffix_dedup, toxicity, url_filter, warc
+from pictorium.llm import bpe, common, conversations, exact_dedup, fingerprints, merkle, near_dedup, packing, pii, quality, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -239,3 +239,65 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.edited(documents(spark, sf_dir))
     text = lambda c: F.lower(F.hex(c)).alias(c)
     return found.select("doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
+
+
+_STATES = "[2, 2, 3, 2][{0} + 1]"
+_CONV_KIND = "xor(" + _CRC32.format(text="(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))") + ", 4294967295) % 20"
+
+
+@query("op13_conversation_repair", check=rf"""
+    WITH RECURSIVE d AS (
+           SELECT conv_id, turn, {_CONV_KIND} AS kind, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+         m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                      CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                      unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+         o AS (SELECT *, row_number() OVER w - 1 AS i, CASE WHEN role = '' THEN ' ' ELSE substr(role, 1, 1) END AS c,
+                      regexp_extract(text, '(?s)([^ 	-
+])[ 	-
+]*$', 1) AS last,
+                      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+               FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text), copy)),
+         r AS (SELECT *, CASE WHEN last = '' THEN 'b' WHEN again THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+                      lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM o),
+         n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'b') AS blank,
+                      count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) + 1 AS rows
+               FROM r GROUP BY conv_id),
+         k AS (SELECT unnest([0, 1, 2]) AS ins),
+         x AS (SELECT s, ins, CASE ins WHEN 0 THEN s WHEN 1 THEN {_STATES.format("s")} ELSE {_STATES.format(_STATES.format("s"))} END AS e,
+                      CASE ins WHEN 0 THEN '' WHEN 1 THEN CASE {_STATES.format("s")} WHEN 2 THEN chr(10) || 'user:' ELSE chr(10) || 'assistant:' END
+                        ELSE CASE {_STATES.format("s")} WHEN 2 THEN chr(10) || 'user:' || chr(10) || 'assistant:' ELSE chr(10) || 'assistant:' || chr(10) || 'user:' END END AS put
+               FROM k, (SELECT unnest([0, 1, 2, 3]) AS s)),
+         v AS (SELECT s, ins, put, e, op, CASE op WHEN 'D' THEN e WHEN 'R' THEN {_STATES.format("e")}
+                        WHEN 's' THEN CASE WHEN e = 0 THEN 1 END WHEN 'u' THEN CASE WHEN e <> 2 THEN 2 END ELSE CASE WHEN e = 2 THEN 3 END END AS z
+               FROM x, (SELECT unnest(['D', 'R', 's', 'u', 'a']) AS op)),
+         z AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, {{'cost': CAST(0 AS BIGINT), 'audit': ''}} AS best, '' AS body FROM n
+               UNION ALL
+               SELECT z.conv_id, z.i + 1, v.z,
+                      min({{'cost': z.best.cost + 3 * v.ins + CASE v.op WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN v.op <> 'D' AND r.fault = 't' THEN 3 ELSE 0 END,
+                            'audit': z.best.audit || repeat('I', v.ins) || CASE WHEN v.op IN ('D', 'R') THEN v.op ELSE 'K' END}}),
+                      arg_min(z.body || v.put || CASE v.op WHEN 'D' THEN '' WHEN 'R' THEN chr(10) || CASE v.z WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || r.text
+                                ELSE chr(10) || r.role || ':' || r.text END,
+                              {{'cost': z.best.cost + 3 * v.ins + CASE v.op WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN v.op <> 'D' AND r.fault = 't' THEN 3 ELSE 0 END,
+                                'audit': z.best.audit || repeat('I', v.ins) || CASE WHEN v.op IN ('D', 'R') THEN v.op ELSE 'K' END}})
+               FROM z JOIN r ON r.conv_id IS NOT DISTINCT FROM z.conv_id AND r.i = z.i
+               JOIN v ON v.s = z.s AND v.z IS NOT NULL AND (v.op = 'D' OR (r.fault NOT IN ('b', 'd') AND (v.op = 'R' OR v.op = r.c)))
+               GROUP BY z.conv_id, z.i, v.z),
+         f AS (SELECT z.conv_id, min({{'cost': z.best.cost + 3 * x.ins, 'audit': z.best.audit || repeat('I', x.ins)}}) AS best,
+                      arg_min(z.body || x.put, {{'cost': z.best.cost + 3 * x.ins, 'audit': z.best.audit || repeat('I', x.ins)}}) AS body
+               FROM z JOIN n ON n.conv_id IS NOT DISTINCT FROM z.conv_id AND z.i = n.rows JOIN x ON x.s = z.s AND x.e IN (0, 3) GROUP BY z.conv_id)
+    SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+           CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(f.best.cost, 0) AS BIGINT) AS cost, coalesce(f.best.audit, '') AS audit, sha256(coalesce(substr(f.body, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id
+    LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM a.conv_id""")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    repaired = conversations.repair(conversations.damage(rows))
+    # Its rows are read once more: the digests of all conversations with rows.
+    said = conversations.digests(repaired.rows)
+    every = rows.select(F.col("conv_id").alias("every")).distinct()
+    found = repaired.summary.withColumnRenamed("conv_id", "own").join(said, F.col("own").eqNullSafe(F.col("conv_id"))).drop("conv_id")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("every").eqNullSafe(F.col("own")), "left").select(
+        F.col("every").alias("conv_id"), *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
