@@ -74,10 +74,28 @@ def rows_within(df: DataFrame, cap: int) -> list[Row] | None:
     return rows if len(rows) <= cap else None
 
 
+# Splits of the largest size that a spread may move, on any cluster.
+SPREAD_SPLITS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of a single split one partition for each core.
+    """Give each core a partition of a scan of few small files, whose rows else lie in a task for each row group.
 
-    A split is bounded by ``spark.sql.files.maxPartitionBytes``, so what is moved
-    here is too, on any cluster.
+    Splits of one row group but the one with its middle are empty, so partitions
+    of the scan say nothing; files and bytes do. Only fewer files than half the
+    cores, with at most ``SPREAD_SPLITS`` times ``spark.sql.files.maxPartitionBytes``,
+    are moved.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or 2 * len(files) > cores:
+        return df
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in (path(f) for f in files))
+    return df.repartition(cores) if size <= SPREAD_SPLITS * split_bytes(spark) else df
+
+
+def split_bytes(spark: SparkSession) -> int:
+    """``spark.sql.files.maxPartitionBytes`` as a number."""
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()

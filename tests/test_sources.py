@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pictorium.operators import catalog as C
 from pictorium.operators import querylog as Q
 from pictorium.plans import QUERIES, registry
 from pictorium.sources import descriptions, embeddings, media, searchlog
+from pictorium.session import spread
 from pictorium.sources import library as L
 from pictorium.streaming import ingest, monitor
 
@@ -129,6 +131,12 @@ def test_descriptions_in_one_and_in_many_splits(spark, tmp_path):
      [(1, "a.jpg", "one"), (2, "b.jpg", "two"), (3, "c.jpg", "three")]),
     ("intro x.png-\n\nDescription:one\r\ny.png - Description: two", [(1, "intro x.png", "one"), (2, "y.png", "two")]),
     ("no entry here\nDescription: none", []),
+    ("a.jpg - Description: one\nb.jpg - ", [(1, "a.jpg", "one\nb.jpg -")]),
+    ("a.jpg - Description: one\nb.jpg - Description:", [(1, "a.jpg", "one")]),
+    ("a.jpg - Description: one Description:", [(1, "a.jpg", "one Description:")]),
+    ("x/a.jpg - ", []),
+    ("q/a.jpg - Description: one\nz/b.jpg - Description: two\n.jpg - Description: 3\nc.d.jpg-Description:4",
+     [(1, "a.jpg", "one\nz/b.jpg - Description: two\n.jpg - Description: 3"), (2, "c.d.jpg", "4")]),
     ("", []),
 ])
 def test_openings_within_a_line_and_over_lines(spark, tmp_path, text, found):
@@ -138,6 +146,36 @@ def test_openings_within_a_line_and_over_lines(spark, tmp_path, text, found):
     assert [(r["line_number"], r["filename"], r["description"]) for r in rows] == found
 
 
+def test_long_descriptions_take_linear_time(spark, tmp_path):
+    path = tmp_path / "d.txt"
+    path.write_text("".join(f"g{i}.jpg - Description: {'word ' * 20_000}x{i}\n" for i in range(20)))
+    count = lambda: descriptions.parse_descriptions(spark, str(path)).filter(F.length("description") > 100_000).count()
+    assert count() == 20
+    start = time.perf_counter()
+    assert count() == 20 and time.perf_counter() - start < 20
+
+
+def test_files_are_numbered_by_themselves(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.txt").write_text("".join(f"a{i}.jpg - Description: {k} {i}\n" for i in range(k + 1)))
+    rows = descriptions.parse_descriptions(spark, str(tmp_path)).collect()
+    assert sorted((r["line_number"], r["description"]) for r in rows) == sorted((i + 1, f"{k} {i}") for k in range(3) for i in range(k + 1))
+
+
+def test_one_row_group_reaches_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(1000).select("id", F.repeat(F.lit("text "), 200).alias("text")).coalesce(1).write.parquet(path)
+    rows = lambda df: [n for n in df.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert len(rows(spark.read.parquet(path))) == 1 and len(rows(spread(spark.read.parquet(path)))) == spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        # A table beyond the bound stays where it is.
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        assert len(rows(spread(spark.read.parquet(path)))) < spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_written_descriptions_come_back(spark, tmp_path):
     rows = [("a.jpg", "line one\nline two"), ("b.PNG", "été")]
     df = spark.createDataFrame(rows, "filename string, description string")
