@@ -56,11 +56,23 @@ _RECORD = f"""filename, description, full_path, {_TAGS} AS tags, {S.ext('filenam
     SELECT row_number() OVER (ORDER BY photo_id) - 1 AS photo_id, {_RECORD} FROM library
 """, ("library",))
 def _(inputs):
-    path = scratch_path(inputs.spark, "indented")
-    library.write_indented(records(inputs).orderBy("photo_id"), path)
+    path = scratch_path(inputs.spark, "document")
+    library.write_document(records(inputs), path, "descriptions.txt", "/photos")
     return record_columns(library.read_library(inputs.spark, path), "photo_id")
 
 
+@query("write_document", f"""
+    SELECT count(*) AS total_photos, 'descriptions.txt' AS source_file, count(*) AS n_photos, sum(CAST(strlen(description) AS BIGINT))::BIGINT AS bytes FROM library
+""", ("library",))
+def _(inputs):
+    path = scratch_path(inputs.spark, "document")
+    # A version is there already, and is replaced.
+    library.write_document(records(inputs).filter("photo_id % 2 = 0"), path, "old.txt")
+    library.write_document(records(inputs), path, "descriptions.txt", "/photos")
+    photos = library.read_library(inputs.spark, path).agg(F.count("*").alias("n_photos"), F.sum(F.octet_length("description").cast("long")).alias("bytes"))
+    return library.read_library_header(inputs.spark, path).select("total_photos", "source_file").join(photos, F.lit(True))
+
+
 @query("write_library", f"SELECT {_RECORD} FROM library", ("library",))
 def _(inputs):
     path = scratch_path(inputs.spark, "lines")

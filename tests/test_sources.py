@@ -1,13 +1,16 @@
 """Readers, writers and streams: round trips, splits, restarts."""
 
+import contextlib
 import datetime as dt
 import json
+import random
 import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from pictorium.functions import jsoncuts
 from pictorium.functions import names as N
 from pictorium.operators import catalog as C
 from pictorium.operators import querylog as Q
@@ -69,25 +72,101 @@ def test_library_document_with_all_keyword_forms(spark, tmp_path):
 
 @pytest.mark.parametrize("layout", [{"indent": 2}, {"indent": 4}, {}, {"separators": (",", ":")}])
 @pytest.mark.parametrize("line_end", ["\n", "\r\n"])
-def test_every_layout_gives_every_photo(spark, tmp_path, layout, line_end):
+def test_every_layout_is_read_by_many_tasks(spark, tmp_path, layout, line_end):
+    odd = photo(3, ["a}b", "]"], full_path="\\\\", note={"photos": [{"filename": "no photo"}]})
+    photos = [photo(0, ["man"]), photo(1, FLAGGED), photo(2, {}), odd] + [photo(i, []) for i in range(4, 40)]
     path = tmp_path / "descriptions.json"
-    path.write_bytes(json.dumps(document([photo(0, ["man"]), photo(1, FLAGGED), photo(2, {})]), **layout).replace("\n", line_end).encode())
-    rows = L.read_library(spark, str(path)).orderBy("photo_id").collect()
-    assert [(r["photo_id"], r["filename"]) for r in rows] == [(0, "p0.jpg"), (1, "p1.jpg"), (2, "p2.jpg")]
-
-
-def test_library_is_read_alike_in_many_splits(spark, tmp_path):
-    path = str(tmp_path / "big.json")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(document([photo(i, ["man"]) for i in range(300)]), f, indent=2)
+    text = json.dumps({"others": [{"filename": "x"}, {}]} | document(photos) | {"photos2": [{"filename": "y"}]}, **layout)
+    path.write_bytes(text.replace("\n", line_end).encode())
+    with small_splits(spark, 900):
+        assert spark.read.text(str(path), lineSep=L.PIECE_END).rdd.getNumPartitions() > 5
+        rows = L.read_library(spark, str(path)).orderBy("photo_id").collect()
+    assert [(r["photo_id"], r["filename"]) for r in rows] == [(i, f"p{i}.jpg") for i in range(40)]
+    assert rows == L.read_library_document(spark, str(path)).orderBy("photo_id").collect()
+    assert rows[3]["tags"] == ["a}b", "]"] and rows[3]["full_path"] == "\\\\" and rows[2]["flags"]["has_dogs"] is None
+
+
+@contextlib.contextmanager
+def small_splits(spark, size):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
-        assert spark.read.text(path, lineSep=L.PHOTO_START).rdd.getNumPartitions() > 3
-        rows = L.read_library(spark, path).orderBy("photo_id").collect()
+        yield
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert [(r["photo_id"], r["filename"]) for r in rows] == [(i, f"p{i}.jpg") for i in range(300)]
+
+
+def test_documents_of_different_layouts_keep_their_order(spark, tmp_path):
+    for k, layout in enumerate([{"indent": 2}, {}, {"indent": 1}]):
+        (tmp_path / f"{k}.json").write_text(json.dumps(document([photo(10 * k + i, ["man"]) for i in range(k + 2)]), **layout))
+    (tmp_path / "3.json").write_text(json.dumps(document([])))
+    (tmp_path / "4.json").write_text('{"photos": [{"filename": "last.jpg", "uploaded_at": 5, "keywords": "none"}]}')
+    with small_splits(spark, 300):
+        rows = L.read_library(spark, str(tmp_path)).orderBy("photo_id").collect()
+    assert [r["filename"] for r in rows] == [f"p{i}.jpg" for i in (0, 1, 10, 11, 12, 20, 21, 22, 23)] + ["last.jpg"]
+    assert [r["photo_id"] for r in rows] == list(range(10)) and rows[-1]["tags"] is None and rows[-1]["flags"] is None
+
+
+def test_objects_are_cut_alike_at_any_border():
+    chosen = random.Random(3)
+    text = lambda: "".join(chosen.choice('{}[]"\\,: aé\n') for _ in range(chosen.randint(0, 12)))
+    opening = jsoncuts.list_opening("photos")
+    for _ in range(60):
+        photos = [{text(): text(), "x": [{}, {text(): [text()]}], "photos": [{"a": text()}]} for _ in range(chosen.randint(0, 6))]
+        data = json.dumps({"m": {text(): [1, {"photos": [{}]}]}, text(): [{}], "photos": photos, "z": [{"b": 1}]}, indent=chosen.choice([None, 1]), ensure_ascii=chosen.random() < 0.5)
+        pieces = [p + b"}" for p in data.encode().split(b"}")]
+        splits = []
+        while pieces:
+            n = chosen.randint(1, 4)
+            splits.append(pieces[:n])
+            pieces = pieces[n:]
+        state, depth, found, effects = False, 0, [], []
+        for split in splits:
+            effects.append(jsoncuts.Effect(opening))
+            for piece in split:
+                effects[-1].add(piece)
+        listed = False
+        for split, effect in zip(splits, effects):
+            cutter = jsoncuts.Cutter(opening, state, depth, listed)
+            for piece in split:
+                for number, whole, cut in cutter.cut(piece):
+                    found.append([cut]) if number >= 0 else found[-1].append(cut)
+            for number, whole, cut in cutter.rest():
+                found.append([cut]) if number >= 0 else found[-1].append(cut)
+            opened = [x for x in effect.lists[state] if x[0] + depth == jsoncuts.LIST]
+            if opened:
+                listed = opened[-1][1] + depth >= jsoncuts.LIST
+            elif effect.least[state] + depth <= jsoncuts.DOCUMENT:
+                listed = False
+            state, depth = effect.inside[state], depth + effect.depth[state]
+        assert [json.loads(b"".join(f)) for f in found] == photos
+
+
+def test_written_document_is_one_document(spark, tmp_path):
+    path = str(tmp_path / "library")
+    rows = [(i * 7, f"p{i}.jpg", f'text "{i}"\n}} {{', f"/photos/p{i}.jpg", ["man"] if i % 2 else None) for i in range(50)]
+    df = spark.createDataFrame(rows, "photo_id long, filename string, description string, full_path string, tags array<string>")
+    assert L.write_document(df.limit(3), path, "old.txt") == 3
+    old = L.current_parts(spark, path)
+    assert L.write_document(df.repartition(6), path, "new.txt", "/photos", "é") == 50
+    parts = L.current_parts(spark, path)
+    assert not set(parts) & set(old) and L.read_library(spark, old[0]).count() == 3
+    whole = json.loads("".join(open(p, encoding="utf-8").read() for p in parts))
+    assert whole["metadata"] == {"total_photos": 50, "source_file": "new.txt", "source_directory": "/photos", "conversion_info": "é"}
+    assert [p["filename"] for p in whole["photos"]] == [f"p{i}.jpg" for i in range(50)] and whole["photos"][1]["keywords"] == ["man"]
+    with small_splits(spark, 500):
+        read = L.read_library(spark, path).orderBy("photo_id").collect()
+    assert [(r["photo_id"], r["filename"], r["description"]) for r in read] == [(i, *r[1:3]) for i, r in enumerate(rows)]
+    assert tuple(L.read_library_header(spark, path).first()) == (50, "new.txt", "/photos", "é")
+    # Parts of several files are one document too, and an empty library is one without photos.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        L.write_document(df, path, "many.txt")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(L.current_parts(spark, path)) > 2 and [r["filename"] for r in L.read_library(spark, path).orderBy("photo_id").collect()] == [r[1] for r in rows]
+    assert L.write_document(df.limit(0), path) == 0 and L.read_library(spark, path).collect() == []
+    assert L.read_library_header(spark, path).first()["total_photos"] == 0
 
 
 ENTRIES = """junk before the first entry
