@@ -17,7 +17,7 @@ from pictorium.operators.ordering import file_place, numbered, numbered_by_file
 from pictorium.session import ship_package
 
 PHOTOS = jsoncuts.list_opening("photos")
-# Documents are read in pieces that end with this character, wherever it stands.
+# Documents are read in pieces between places of this character, wherever it stands.
 PIECE_END = "}"
 # Bytes of a document that a task looks at together.
 CHUNK_BYTES = 4 << 20
@@ -43,17 +43,22 @@ def _typed(photo: Column, photo_id: Column) -> list[Column]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bytes]]:
-    """Pieces of one split together, with the other columns of its rows."""
+    """Pieces of one split together, with the other columns of its rows.
+
+    The character between two pieces goes to the later one: before all but the
+    first piece of a file one stands for certain.
+    """
+    split = None
     for batch in batches:
         others = [c for c in batch.schema.names if c != "value"]
-        held, size, split = [], 0, None
+        held, size = [], 0
         for value, *now in zip(batch.column("value").to_pylist(), *(batch.column(c).to_pylist() for c in others)):
             if held and (now != split or size > CHUNK_BYTES):
                 yield tuple(split), b"".join(held)
                 held, size = [], 0
-            split = now
-            held.append(value + PIECE_END.encode())
+            held.append(value if now != split and now[2] == 0 else PIECE_END.encode() + value)
             size += len(value) + 1
+            split = now
         if held:
             yield tuple(split), b"".join(held)
 

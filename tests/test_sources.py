@@ -114,7 +114,7 @@ def test_objects_are_cut_alike_at_any_border():
     for _ in range(60):
         photos = [{text(): text(), "x": [{}, {text(): [text()]}], "photos": [{"a": text()}]} for _ in range(chosen.randint(0, 6))]
         data = json.dumps({"m": {text(): [1, {"photos": [{}]}]}, text(): [{}], "photos": photos, "z": [{"b": 1}]}, indent=chosen.choice([None, 1]), ensure_ascii=chosen.random() < 0.5)
-        pieces = [p + b"}" for p in data.encode().split(b"}")]
+        pieces = [b"}" * (k > 0) + p for k, p in enumerate(data.encode().split(b"}"))]
         splits = []
         while pieces:
             n = chosen.randint(1, 4)
