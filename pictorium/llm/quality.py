@@ -66,39 +66,42 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text more than once. Windows are told apart by a 64-bit hash of their words.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    df = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    df = df.select(
-        "doc_id",
-        F.filter(F.split("text", BLANKS), lambda w: w != "").alias("words"),
-        F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD_CHAR)).alias("lines"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+    words = F.filter(F.split("text", BLANKS), lambda w: w != "")
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD_CHAR))
+    df = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).select(
+        "doc_id", F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), _bound(words, _of_words).alias("w"), _bound(lines, _of_lines).alias("l"),
     )
-    df = df.select(
-        "doc_id", "words", "n_symbols",
-        F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+    return df.select("doc_id", *(F.col(c if c == "n_symbols" else f"{'l' if 'lines' in c else 'w'}.{c}").cast("long").alias(c) for c in MEASURES))
+
+
+def _bound(value: Column, fn) -> Column:
+    """``fn(value)`` with the value bound once, as the variable of a one-element transform.
+
+    However filters move and projections merge, ``fn`` never repeats what makes the value.
+    """
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+def _of_words(words: Column) -> Column:
+    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(*(F.try_element_at(words, i + j) for j in range(WINDOW))))
+    windows = F.when(F.size(words) >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>"))
+    return F.struct(
+        F.size(words).alias("n_words"), F.char_length(F.array_join(words, "")).alias("word_chars"), _bound(windows, _covered).alias("n_repeat_words"),
     )
-    windows = F.when(
-        F.col("n_words") >= WINDOW,
-        F.transform(
-            F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)),
-            lambda i: F.xxhash64(*(F.try_element_at("words", i + j) for j in range(WINDOW))),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    df = df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", windows.alias("windows"))
-    return df.withColumn("n_repeat_words", _covered("windows").cast("long")).select("doc_id", *MEASURES)
-
-
-def _covered(windows: str) -> Column:
+
+
+def _of_lines(lines: Column) -> Column:
+    return F.struct(F.size(lines).alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"))
+
+
+def _covered(windows: Column) -> Column:
     """Words in windows whose hash occurs more than once.
 
     Most texts repeat nothing, which one pass over a hash set tells. Otherwise
     windows are sorted by hash, those equal to a neighbour give their positions,
     and each position covers the words up to the next one, five at most.
     """
-    sort = F.array_sort(F.transform(F.col(windows), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    sort = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def places(pairs: Column) -> Column:
         n = F.size(pairs)
@@ -112,10 +115,7 @@ def _covered(windows: str) -> Column:
         steps = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
         return F.aggregate(steps, F.lit(0), lambda total, step: total + step)
 
-    # A one-element transform binds a value once, so that the sort is not repeated in each use of it.
-    pairs = F.get(F.transform(F.array(sort), lambda p: places(p)), 0)
-    total = F.get(F.transform(F.array(pairs), lambda at: count(at)), 0)
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(total)
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_bound(_bound(sort, places), count))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -121,6 +122,14 @@ def test_policies_read_stored_bits_and_ablations_count_them(documents, odd_docum
     assert quality.ledger(odd_documents.limit(0)).collect() == []
 
 
+def test_long_texts_are_judged_in_linear_time(documents):
+    entries = quality.ledger(documents((1, " ".join(f"w{i}" for i in range(100_000))), (2, "a b c d e " * 20_000), (3, "few")))
+    start = time.perf_counter()
+    assert [r.doc_id for r in quality.judge(entries).filter("kept").collect()] == [1]
+    assert [r.n_repeat_words for r in entries.filter("n_words > 10 and fail_bits > 0").collect()] == [100_000]
+    assert time.perf_counter() - start < 60
+
+
 def test_listed_rules(spark):
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
     cases = {
