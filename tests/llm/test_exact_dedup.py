@@ -1,5 +1,6 @@
 import hashlib
 import tempfile
+import time
 from collections import defaultdict
 
 from pictorium.llm import exact_dedup
@@ -55,3 +56,13 @@ def test_trie_spills_whole_subtrees_and_loses_nothing():
             expected[key].append(i)
         found = {key: value for key, value in trie.entries()}
     assert {k: (v[0], v[2], sorted(v[3])) for k, v in found.items()} == {k: (max(v), len(v), v) for k, v in expected.items()}
+
+
+def test_many_equal_rows_take_linear_time():
+    trie = exact_dedup.PatriciaTrie(exact_dedup._merger(True))
+    start = time.perf_counter()
+    for i in range(200_000):
+        trie.put(b"the same text", (i, i, 1, [i]))
+    ((key, (doc, _, count, groups)),) = trie.entries()
+    assert (key, doc, count, len(groups)) == (b"the same text", 199_999, 200_000, 200_000)
+    assert time.perf_counter() - start < 10
