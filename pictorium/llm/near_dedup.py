@@ -1,25 +1,29 @@
 """Near-duplicates: MinHash signatures, a multi-index Hamming join, exact confirmation.
 
 A text is the set of its five-word shingles. Texts with equal sets are one class
-from the start. A class has a signature of ``CHUNKS x SLOTS`` MinHash values of
-16 bits. If two signatures differ in fewer than ``2 * CHUNKS`` slots, then by the
-pigeonhole principle some chunk differs in at most one, so both hold the chunk
-without that slot: with a key for each chunk and each slot left out, every pair
-under the distance meets in a bucket. Longer signatures then tell most pairs
-apart before the full sets are compared.
+from the start. A class has a signature of MinHash values of 16 bits, cut into
+chunks. If two signatures differ in fewer than twice as many slots as there are
+chunks, then by the pigeonhole principle some chunk differs in at most one, so
+both hold the chunk without that slot: with a key for each chunk and each slot
+left out, every pair under the distance meets in a bucket. ``keys_for`` takes as
+many chunks as the wanted similarity needs. Longer signatures then tell most
+pairs apart before the full sets are compared.
 
 A bucket may hold a third of all classes, so it never gives all of its pairs.
-First every class is compared with a few hubs of its buckets. Components of the
-links found so leave pairs open only between different components, and only
-those are looked at, in blocks of a bounded size; how many shingles of a set
-stand in no other open class bounds its similarity with all of them. A link is
-confirmed on full sets always. A pair with exactly the wanted similarity has more than the
-allowed slots different with a probability of 1.3e-8 at 0.85 and 3.3e-6 at 0.8.
+First every class is compared with a few hubs of its buckets, then with the
+member that has most company in them, which copies of one text have in common
+even where they are unlike each other. Components of the links found so leave
+pairs open only between different components, and only those are looked at, in
+blocks of a bounded size; how many shingles of a set stand in no other open class
+bounds its similarity with all of them. A link is confirmed on full sets always.
+A pair with exactly the wanted similarity has more than the allowed slots
+different with a probability of 1.3e-8 at 0.85, 3.3e-6 at 0.8 and 1e-5 at most elsewhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 from math import comb
 
@@ -31,15 +35,42 @@ from pyspark.sql import DataFrame, functions as F
 from pictorium.llm import common, shingles
 from pictorium.llm.components import components
 
-CHUNKS, SLOTS = 12, 4
-KEY_SLOTS = CHUNKS * SLOTS
+# Slots of a signature beyond those of the keys.
 MORE_SLOTS = 208
 MISS = 1e-9
+# Probability with which a pair of exactly the wanted similarity may differ in more slots than keys allow.
+KEY_MISS = 1e-5
+LEAST_PERCENT = 50
 # Rows of a bucket that are compared with each other in one task.
 BLOCK = 2048
 _random = np.random.default_rng(7)
-_FACTOR = _random.integers(0, 1 << 63, KEY_SLOTS + MORE_SLOTS, dtype=np.uint64) | np.uint64(1)
-_TURN = _random.integers(0, 1 << 63, KEY_SLOTS + MORE_SLOTS, dtype=np.uint64)
+_FACTOR = _random.integers(0, 1 << 63, 1024, dtype=np.uint64) | np.uint64(1)
+_TURN = _random.integers(0, 1 << 63, 1024, dtype=np.uint64)
+
+
+@dataclass(frozen=True)
+class Keys:
+    """How the first slots are cut into chunks; two signatures meet if some chunk differs in one slot at most."""
+
+    chunks: int
+    slots: int
+
+    @property
+    def size(self) -> int:
+        return self.chunks * self.slots
+
+    @property
+    def distance(self) -> int:
+        """Differing slots up to which two signatures meet for certain."""
+        return 2 * self.chunks - 1
+
+
+def keys_for(percent: int) -> Keys:
+    """Few long chunks where they cover the similarity, else as many chunks of three slots as it takes."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent is between {LEAST_PERCENT} and 100")
+    tried = [Keys(12, 4), *(Keys(n, 3) for n in range(14, 256))]
+    return next(k for k in tried if allowed(k.size, percent / 100, KEY_MISS) <= k.distance)
 
 
 def allowed(slots: int, similarity: float, miss: float = MISS) -> int:
@@ -51,16 +82,16 @@ def allowed(slots: int, similarity: float, miss: float = MISS) -> int:
     return n
 
 
-def signatures(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def signatures(found: list[np.ndarray], keys: Keys) -> tuple[np.ndarray, np.ndarray]:
     """For non-empty sets: MinHash values of 16 bits for the keys, and more of 8 bits."""
     sizes = np.array([len(s) for s in found])
     starts = np.cumsum(sizes) - sizes
     values = np.concatenate(found)
-    least = np.empty((len(found), KEY_SLOTS + MORE_SLOTS), np.uint64)
+    least = np.empty((len(found), keys.size + MORE_SLOTS), np.uint64)
     for k in range(least.shape[1]):
         least[:, k] = np.minimum.reduceat((values ^ _TURN[k]) * _FACTOR[k], starts)
     least = shingles.mix(least)
-    return least[:, :KEY_SLOTS].astype(np.uint16), least[:, KEY_SLOTS:].astype(np.uint8)
+    return least[:, :keys.size].astype(np.uint16), least[:, keys.size:].astype(np.uint8)
 
 
 _SETS = pa.schema([
@@ -69,22 +100,25 @@ _SETS = pa.schema([
 ])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=1)
-    for batch in common.pieces(batches, "text"):
-        texts = [t.lower() for t in common.utf8(batch.column("text"))]
-        found = shingles.sets(texts)
-        full = [i for i, s in enumerate(found) if len(s)]
-        sig: list = [None] * len(found)
-        more, key, body = list(sig), list(sig), list(sig)
-        if full:
-            for i, a, b in zip(full, *signatures([found[i] for i in full])):
-                sig[i], more[i] = a.tobytes(), b.tobytes()
-                key[i], body[i] = blake2b(found[i].tobytes(), digest_size=16).digest(), packer.compress(texts[i])
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in found], pa.int64()), pa.array(key, pa.binary()),
-            pa.array(sig, pa.binary()), pa.array(more, pa.binary()), pa.array(body, pa.binary()),
-        ], schema=_SETS)
+def _sets(keys: Keys):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in common.pieces(batches, "text"):
+            texts = [t.lower() for t in common.utf8(batch.column("text"))]
+            found = shingles.sets(texts)
+            full = [i for i, s in enumerate(found) if len(s)]
+            sig: list = [None] * len(found)
+            more, key, body = list(sig), list(sig), list(sig)
+            if full:
+                for i, a, b in zip(full, *signatures([found[i] for i in full], keys)):
+                    sig[i], more[i] = a.tobytes(), b.tobytes()
+                    key[i], body[i] = blake2b(found[i].tobytes(), digest_size=16).digest(), packer.compress(texts[i])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in found], pa.int64()), pa.array(key, pa.binary()),
+                pa.array(sig, pa.binary()), pa.array(more, pa.binary()), pa.array(body, pa.binary()),
+            ], schema=_SETS)
+
+    return run
 
 
 def _rows_of(column: pa.Array, dtype) -> np.ndarray:
@@ -92,24 +126,29 @@ def _rows_of(column: pa.Array, dtype) -> np.ndarray:
     return np.array([np.frombuffer(v, dtype) for v in column.to_pylist()], dtype)
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """Keys of each signature: each chunk without each of its slots, in 54 bits."""
-    wide = sig.astype(np.int64).reshape(len(sig), CHUNKS, SLOTS)
-    keys = np.empty((len(sig), CHUNKS, SLOTS), np.int64)
-    for drop in range(SLOTS):
-        rest = [s for s in range(SLOTS) if s != drop]
-        joined = (wide[:, :, rest[0]] << 32) | (wide[:, :, rest[1]] << 16) | wide[:, :, rest[2]]
-        keys[:, :, drop] = ((np.arange(CHUNKS, dtype=np.int64) * SLOTS + drop) << 48) | joined
-    return keys.reshape(len(sig), KEY_SLOTS)
+def chunk_keys(sig: np.ndarray, keys: Keys) -> np.ndarray:
+    """Keys of each signature: each chunk without each of its slots, with their number in the upper bits."""
+    wide = sig.astype(np.int64).reshape(len(sig), keys.chunks, keys.slots)
+    found = np.empty((len(sig), keys.chunks, keys.slots), np.int64)
+    for drop in range(keys.slots):
+        joined = np.zeros((len(sig), keys.chunks), np.int64)
+        for s in range(keys.slots):
+            if s != drop:
+                joined = (joined << 16) | wide[:, :, s]
+        found[:, :, drop] = ((np.arange(keys.chunks, dtype=np.int64) * keys.slots + drop) << 48) | joined
+    return found.reshape(len(sig), keys.size)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, len(batch), 2000):
-            part = batch.slice(at, 2000)
-            keys = chunk_keys(_rows_of(part.column("sig"), np.uint16))
-            nodes = np.repeat(part.column("node").to_numpy(), KEY_SLOTS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], ["key", "node"])
+def _keys(keys: Keys):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = batch.slice(at, 2000)
+                found = chunk_keys(_rows_of(part.column("sig"), np.uint16), keys)
+                nodes = np.repeat(part.column("node").to_numpy(), keys.size)
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(nodes)], ["key", "node"])
+
+    return run
 
 
 def _close(a: pa.RecordBatch | dict, i: np.ndarray, j: np.ndarray, limits: tuple[int, int], percent: int) -> np.ndarray:
@@ -145,7 +184,7 @@ def _near_hubs(limits: tuple[int, int], percent: int):
     return run
 
 
-def _across(limits: tuple[int, int], percent: int):
+def _across(limits: tuple[int, int], percent: int, keys: Keys):
     """Close pairs of different components within the blocks of a sorted partition.
 
     A pair that shares several buckets is given in the first of them.
@@ -166,7 +205,7 @@ def _across(limits: tuple[int, int], percent: int):
             close = _close(rows, x, y, limits, percent)
             x, y = x[close], y[close]
             if len(x):
-                same = chunk_keys(rows["sig"][x]) == chunk_keys(rows["sig"][y])
+                same = chunk_keys(rows["sig"][x], keys) == chunk_keys(rows["sig"][y], keys)
                 first = same.argmax(1) == rows["key"][x] >> 48
                 x, y = x[first], y[first]
                 if len(x):
@@ -249,42 +288,58 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     when 100 times the intersection reaches ``percent`` times the union;
     ``component_id`` is the smallest id that links reach and ``kept`` marks the
     row that has it. A text without words, or a null one, has an empty set and
-    is linked with nothing. Rows with a null id get their component from their
-    text, or null where it is linked with nothing else. Repeated rows are linked
+    is linked with nothing. Texts of rows with a null id link like all others, so
+    two ids may be joined through one; a component without any id is null. Repeated rows are linked
     as equal texts; rows that share an id but not a text are told apart by text.
     An empty table gives an empty result; other columns are not looked at.
+    ``percent`` is at least ``LEAST_PERCENT``, from where keys cover the similarity.
     ``with_marks`` adds ``mark``, the ``xxhash64`` of the text.
     """
-    limits = (2 * CHUNKS - 1, allowed(KEY_SLOTS + MORE_SLOTS, percent / 100))
+    slots = keys_for(percent)
+    limits = (slots.distance, allowed(slots.size + MORE_SLOTS, percent / 100))
     texts = common.id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     schema = "doc_id long, mark long, n_shingles long, set_key binary, sig binary, more binary, body binary"
-    rows = common.store(common.map_batches(texts, _sets, schema), "near-sets")
+    rows = common.store(common.map_batches(texts, _sets(slots), schema), "near-sets")
     full = rows.filter(F.col("set_key").isNotNull())
-    # Equal sets have equal signatures; whichever body comes first has the same set.
-    classes = full.filter(F.col("doc_id").isNotNull()).groupBy("set_key").agg(
-        F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "more", "body"))
-    ).withColumnRenamed("n_shingles", "n")
+    # Equal sets have equal signatures; whichever body comes first has the same set. Where no row has an id, a number
+    # below all ids stands for the class; it links like any other, and its component is the smallest real id.
+    nameless = F.shiftrightunsigned(F.xxhash64("set_key"), 1) - F.lit((1 << 63) - 1) - 1
+    classes = full.groupBy("set_key").agg(
+        F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "more", "body"))
+    ).withColumnRenamed("n_shingles", "n").withColumn("node", F.coalesce("least", nameless)).withColumn("named", F.col("least").isNotNull()).drop("least")
     classes = common.store(classes, "near-classes")
     marks = classes.select("node", "n", "sig", "more")
+    hub_marks = marks.select(F.col("node").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("n", "sig", "more")))
 
-    keys = common.map_batches(classes.select("node", "sig"), _keys, "key long, node long")
+    def near_hubs(pairs: DataFrame) -> DataFrame:
+        """Confirmed links ``u, v`` among pairs ``node, hub``."""
+        stars = pairs.filter("node <> hub").select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
+        stars = stars.join(marks, "node").join(hub_marks, "hub")
+        return common.store(_confirmed(common.map_batches(stars, _near_hubs(limits, percent), "u long, v long"), classes, percent), "near-links")
+
+    keys = common.map_batches(classes.select("node", "sig"), _keys(slots), "key long, node long")
     buckets = keys.groupBy("key").agg(
         F.count("*").alias("size"), F.min("node").alias("hub0"),
         *(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"hub{k}") for k in (1, 2)),
     ).filter("size > 1")
     buckets = common.store(buckets, "near-buckets")
     members = common.store(keys.join(buckets, "key"), "near-members")
-    hubs = members.select("node", F.explode(F.array("hub0", "hub1", "hub2")).alias("hub")).filter("node <> hub")
-    stars = hubs.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
-    stars = stars.join(marks, "node").join(marks.select(F.col("node").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("n", "sig", "more"))), "hub")
-    stars = common.map_batches(stars, _near_hubs(limits, percent), "u long, v long")
-    links = common.store(_confirmed(stars, classes, percent), "near-links")
-
+    links = near_hubs(members.select("node", F.explode(F.array("hub0", "hub1", "hub2")).alias("hub")))
+
+    def still_open(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with theirs."""
+        rows = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        return common.store(rows.join(common.store(mixed.select("key"), "near-mixed-keys"), "key"), "near-mixed")
+
+    open_members = still_open(members.select("key", "size", "node"), common.store(components(links), "near-components"))
+    # Copies of one text may each be like it and unlike each other. All its keys are theirs too, so it has most company
+    # in its buckets: the member with most in each bucket is its next hub.
+    company = open_members.groupBy("node").agg(F.sum("size").alias("company"))
+    centres = open_members.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    links = links.union(near_hubs(open_members.select("key", "node").join(centres, "key").select("node", "hub")))
     first = common.store(components(links), "near-components")
-    open_members = members.select("key", "size", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = open_members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    mixed = common.store(mixed, "near-mixed-keys")
-    open_members = common.store(open_members.join(mixed.select("key"), "key"), "near-mixed")
+    open_members = still_open(open_members.drop("component"), first)
     # Shingles that no other class of these buckets has cannot be common to a pair; a set with too many of them has no links left.
     of_node = open_members.select("node").distinct().join(classes.select("node", "body"), "node")
     own = common.map_batches(of_node, _shingles, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
@@ -297,13 +352,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "component"
     )
     open_members = open_members.join(marks, "node").repartition(common.partitions(docs), "key", "a", "b").sortWithinPartitions("key", "a", "b")
-    rest = common.store(common.map_batches(open_members, _across(limits, percent), "u long, v long").distinct(), "near-open")
+    rest = common.store(common.map_batches(open_members, _across(limits, percent, slots), "u long, v long").distinct(), "near-open")
     more = _confirmed(rest, classes, percent)
     # What the stars have joined is one link to its component now.
     joined = first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     final = common.store(components(joined), "near-components")
 
-    of_set = classes.select("set_key", "node").join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    of_set = classes.select("set_key", "node", "named").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # The smallest real id of a component; none where all its rows lack one.
+    real = of_set.filter("named").groupBy("component").agg(F.min("node").alias("component_id"))
+    of_set = of_set.join(real, "component", "left").select("set_key", "component_id")
     # Empty sets match no class; a key of their own deals them out.
     alone = F.concat(F.lit("-"), F.xxhash64("doc_id", "mark", "n_shingles").cast("string")).cast("binary")
     found = rows.select("doc_id", "mark", "n_shingles", F.coalesce("set_key", alone).alias("set_key")).join(of_set, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

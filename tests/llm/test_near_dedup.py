@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,9 +72,57 @@ def test_empty_table(odd_documents):
     assert near_dedup.near_duplicates(odd_documents.limit(0)).collect() == []
 
 
-def test_distance_covers_the_similarity():
-    assert near_dedup.allowed(near_dedup.KEY_SLOTS, 0.85) <= 2 * near_dedup.CHUNKS
-    assert near_dedup.allowed(near_dedup.KEY_SLOTS, 0.80, 1e-5) <= 2 * near_dedup.CHUNKS
+@pytest.mark.parametrize("percent", [50, 60, 70, 75, 79, 80, 85, 90, 100])
+def test_keys_cover_the_similarity(percent):
+    keys = near_dedup.keys_for(percent)
+    n, s = keys.size, percent / 100
+    beyond = sum(math.comb(n, k) * (1 - s) ** k * s ** (n - k) for k in range(keys.distance + 1, n + 1))
+    assert beyond <= near_dedup.KEY_MISS
+    # Pigeonhole: as many differences as allowed leave some key equal, wherever they are.
+    chosen = np.random.default_rng(percent)
+    one = chosen.integers(0, 1 << 16, (200, n)).astype(np.uint16)
+    other = one.copy()
+    for row in other:
+        row[chosen.choice(n, keys.distance, replace=False)] += 1
+    assert (near_dedup.chunk_keys(one, keys) == near_dedup.chunk_keys(other, keys)).any(1).all()
+    with pytest.raises(ValueError):
+        near_dedup.keys_for(near_dedup.LEAST_PERCENT - 1)
+
+
+@pytest.mark.parametrize("percent", [50, 65])
+def test_low_similarities_equal_comparing_all(documents, percent):
+    texts = near_copies(11, 40, 80, 0.06) + near_copies(12, 40, 80, 0.09) + near_copies(13, 20, 300, 0.04)
+    rows = list(enumerate(texts))
+    found = near_dedup.near_duplicates(documents(*rows), percent).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == plain(rows, percent)
+
+
+def test_documents_are_joined_through_a_text_without_id(documents):
+    words = prose(5, 100).split(" ")
+    middle = words[:92] + prose(61, 8).split(" ")
+    texts = [" ".join(w) for w in (words, middle, prose(62, 6).split(" ") + middle[6:])]
+    rows = [(7, texts[0]), (None, texts[1]), (3, texts[2]), (None, "nothing like it at all in here"), (None, "nothing like it at all in here")]
+    found = near_dedup.near_duplicates(documents(*rows), 80).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == plain(rows, 80)
+    assert {r.component_id for r in found if r.n_shingles > 20} == {3} and near_dedup.near_duplicates(documents(rows[0], rows[2]), 80).filter("kept").count() == 2
+
+
+def test_copies_of_one_text_leave_few_pairs_open(documents, monkeypatch):
+    # Each copy is like the original, and unlike the other copies.
+    base = prose(21, 400).split(" ")
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        changed = list(base)
+        for k in random.Random(i).sample(range(5, 395, 6), 6):
+            changed[k] = f"w{i}x{k}"
+        rows.append((i, " ".join(changed)))
+    stored = {}
+    store = near_dedup.common.store
+    monkeypatch.setattr(near_dedup.common, "store", lambda df, label: stored.setdefault(label, store(df, label)) if label == "near-open" else store(df, label))
+    shuffled = [(1000 - i, t) for i, t in rows]
+    found = near_dedup.near_duplicates(documents(*shuffled), 85).collect()
+    assert {r.component_id for r in found} == {851} and len(found) == 150
+    assert stored["near-open"].count() < 300
 
 
 def test_shingles_are_words_in_order():
