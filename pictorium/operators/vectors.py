@@ -24,6 +24,7 @@ from pictorium.session import ship_package
 
 ENCODE_BATCH = 32  # fixed value: texts for each call of an encoder
 MAX_BROADCAST_ROWS = 4_096
+MAX_BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 2_048
 CORPUS_BLOCK = 200_000
 
@@ -128,33 +129,38 @@ def combine_phrases(phrases: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- scoring
 
 
-def _asking_side(vectors: DataFrame, cap: int) -> tuple[int, pa.Table | None]:
-    """The common size of the vectors, and the table itself when it has at most ``cap`` rows.
+def asking_side(vectors: DataFrame, cap: int) -> tuple[int, pa.Table | None]:
+    """The common size of the vectors, and the table itself when it has at most ``cap`` rows and ``MAX_BROADCAST_BYTES``.
 
-    Vectors of several sizes raise, however many rows there are.
+    Vectors of several sizes raise, however many rows there are. A small table
+    is computed once: its sizes are checked where it has been brought.
     """
     ship_package(vectors.sparkSession)
     known = vectors.filter(F.col("embedding").isNotNull())
-    size = known.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), F.count("*").alias("n")).first()
-    if size["n"] and size["low"] != size["high"]:
-        raise ValueError(f"query vectors of several sizes: {size['low']} to {size['high']}")
-    return size["low"] or 0, (known.toArrow().combine_chunks() if size["n"] <= cap else None)
+    few = known.limit(cap + 1).toArrow().combine_chunks() if cap else None
+    if few is not None and few.num_rows <= cap:
+        sizes = pc.min_max(pc.list_value_length(few.column("embedding"))).as_py()
+        low, high = sizes["min"], sizes["max"]
+        held = few if few.nbytes <= MAX_BROADCAST_BYTES else None
+    else:
+        sizes = known.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+        low, high, held = sizes["low"], sizes["high"], None
+    if low != high:
+        raise ValueError(f"query vectors of several sizes: {low} to {high}")
+    return low or 0, held
 
 
-def _usable(vectors: DataFrame, dim: int) -> DataFrame:
+def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") == dim))
 
 
-def _single(table: pa.Table, name: str) -> pa.Array:
+def single(table: pa.Table, name: str) -> pa.Array:
     column = table.column(name)
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def _topk_schema(queries: DataFrame) -> str:
-    return (
-        f"query_id {queries.schema['query_id'].dataType.simpleString()}, photo_id long, semantic double, "
-        "similarity double, phrase_matched boolean, word_matches int"
-    )
+def topk_schema(query_id: str) -> str:
+    return f"query_id {query_id}, photo_id long, semantic double, similarity double, phrase_matched boolean, word_matches int"
 
 
 def _numbers(n: int) -> Column:
@@ -193,12 +199,12 @@ def partial_topk(
     phrase_matched, word_matches``.
     """
     queries = queries.select("query_id", "embedding")
-    schema = _topk_schema(queries)
-    dim, table = _asking_side(queries, max_broadcast)
-    corpus, queries = _usable(corpus, dim), _usable(queries, dim)
+    schema = topk_schema(queries.schema["query_id"].dataType.simpleString())
+    dim, table = asking_side(queries, max_broadcast)
+    corpus, queries = usable(corpus, dim), usable(queries, dim)
 
     if table is not None:
-        query_ids, vectors = _single(table, "query_id"), kernels.matrix(table.column("embedding"), dim)
+        query_ids, vectors = single(table, "query_id"), kernels.matrix(table.column("embedding"), dim)
         if hits is not None:
             corpus = corpus.join(_hits_by_photo(hits), "photo_id", "left")
         words = None if evidence is None else evidence(query_ids)
@@ -230,7 +236,7 @@ def partial_topk(
         right = right.join(_hits_by_photo(blocked, "qb"), ["photo_id", "qb"], "left")
 
     def merge(query_part: pa.Table, corpus_part: pa.Table) -> pa.Table:
-        ids = _single(query_part, "query_id")
+        ids = single(query_part, "query_id")
         state = kernels.TopK(kernels.matrix(query_part.column("embedding"), dim), k, min_score, rounded)
         if corpus_part.num_rows and query_part.num_rows:
             found = (
@@ -297,9 +303,9 @@ def scores_above(
     queries: DataFrame, vectors: DataFrame, min_score: float, max_broadcast: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
     """Every pair ``query_id, photo_id, score`` that reaches ``min_score``."""
-    dim, table = _asking_side(queries.select("query_id", "embedding"), max_broadcast)
-    corpus = _usable(vectors.select("photo_id", "embedding"), dim)
-    queries = _usable(queries.select("query_id", "embedding"), dim)
+    dim, table = asking_side(queries.select("query_id", "embedding"), max_broadcast)
+    corpus = usable(vectors.select("photo_id", "embedding"), dim)
+    queries = usable(queries.select("query_id", "embedding"), dim)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, photo_id long, score double"
 
     def found(ids: pa.Array, matrix: np.ndarray, photo_ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
@@ -309,7 +315,7 @@ def scores_above(
         )
 
     if table is not None:
-        query_ids, matrix = _single(table, "query_id"), kernels.matrix(table.column("embedding"), dim)
+        query_ids, matrix = single(table, "query_id"), kernels.matrix(table.column("embedding"), dim)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -327,7 +333,7 @@ def scores_above(
         return pa.Table.from_batches(
             [
                 found(
-                    _single(query_part, "query_id"), kernels.matrix(query_part.column("embedding"), dim),
+                    single(query_part, "query_id"), kernels.matrix(query_part.column("embedding"), dim),
                     corpus_part.column("photo_id").to_numpy(), kernels.matrix(corpus_part.column("embedding"), dim),
                 )
             ]
@@ -353,11 +359,11 @@ def nearest_reference(
     than the references is near none: its reference and distance are null. A
     zero reference is near no face. No references at all raise.
     """
-    dim, table = _asking_side(refs.select("ref_id", "embedding"), max_broadcast)
+    dim, table = asking_side(refs.select("ref_id", "embedding"), max_broadcast)
     if not dim:
         raise ValueError("there are no reference faces")
-    refs = _usable(refs, dim).select("ref_id", "ref_name", "embedding")
-    usable = _usable(faces, dim).select("photo_id", "face_no", "embedding")
+    refs = usable(refs, dim).select("ref_id", "ref_name", "embedding")
+    usable = usable(faces, dim).select("photo_id", "face_no", "embedding")
     schema = "photo_id long, face_no int, ref_id long, distance double"
 
     def best(photo, face, rows: np.ndarray, numbers: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
@@ -391,7 +397,7 @@ def nearest_reference(
                 )
             ref_part = ref_part.sort_by("query_id")
             batch = best(
-                _single(face_part, "photo_id"), _single(face_part, "face_no"),
+                single(face_part, "photo_id"), single(face_part, "face_no"),
                 kernels.matrix(face_part.column("embedding"), dim),
                 ref_part.column("query_id").to_numpy(), kernels.matrix(ref_part.column("embedding"), dim),
             )

@@ -9,10 +9,12 @@ from pictorium.functions import ranking as R
 from pictorium.functions import text as T
 from pictorium.operators import hybrid as H
 from pictorium.operators import keyword as KW
+from pictorium.operators import vectorindex
 from pictorium.operators import vectors as V
 from pictorium.plans import sqlbits as S
 from pictorium.plans.catalog_queries import turn_queries
 from pictorium.plans.registry import Inputs, query
+from pictorium.session import scratch_path
 
 # ---------------------------------------------------------------- check texts for keyword search
 
@@ -289,6 +291,24 @@ def _(inputs):
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
+def _index(inputs) -> str:
+    path = scratch_path(inputs.spark, "vector-index")
+    vectorindex.build(V.same_model(inputs.vectors, "driver-64"), path)
+    return path
+
+
+@query("cosine_topk_indexed", _COSINE, ("face_refs", "vectors"))
+def _(inputs):
+    hits = vectorindex.search(reference_queries(inputs), inputs.spark, _index(inputs), 20, None).rows
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("cosine_topk_index_blocks", _COSINE + " AND similarity >= 0.3", ("face_refs", "vectors"))
+def _(inputs):
+    hits = vectorindex.search(reference_queries(inputs), inputs.spark, _index(inputs), 20, 0.3, max_broadcast=0).rows
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("top_k_per_query", _COSINE.replace("rank <= 20", "rank <= 5"), ("face_refs", "vectors"))
 def _(inputs):
     hits = V.cosine_topk(reference_queries(inputs), inputs.vectors, 5, None)
@@ -411,9 +431,11 @@ def _(inputs):
     return H.noun_phrase_split(inputs.annotations.withColumnRenamed("photo_id", "query_id"))
 
 
-_PAIRS = """SELECT m.photo_id, m.pos, lower(m.token) AS adj, lower(n.token) AS noun
-    FROM annotations m JOIN annotations n ON n.photo_id = m.photo_id AND n.pos = m.head_pos
-    WHERE m.dep = 'amod' AND n.upos = 'NOUN'"""
+# The head of a word is the next one of its text (``head_pos`` is ``pos + 1``).
+_PAIRS = """SELECT photo_id, pos, lower(token) AS adj, lower(head) AS noun
+    FROM (SELECT photo_id, pos, token, dep, lead(token) OVER w AS head, lead(upos) OVER w AS head_upos FROM annotations
+          WINDOW w AS (PARTITION BY photo_id ORDER BY pos)) p
+    WHERE dep = 'amod' AND head_upos = 'NOUN'"""
 
 
 @query("adj_noun_pairs", _PAIRS, ("annotations",))

@@ -460,7 +460,7 @@ def test_every_face_counts(spark, limit):
 def test_query_vectors_of_several_sizes_raise_at_every_bound(spark, limit):
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0])], "query_id int, embedding array<float>")
     with pytest.raises(ValueError, match="several sizes"):
-        V._asking_side(asked, limit)
+        V.asking_side(asked, limit)
 
 
 @pytest.mark.parametrize("max_queries", [0, 64])
