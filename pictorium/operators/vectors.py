@@ -363,7 +363,7 @@ def nearest_reference(
     if not dim:
         raise ValueError("there are no reference faces")
     refs = usable(refs, dim).select("ref_id", "ref_name", "embedding")
-    usable = usable(faces, dim).select("photo_id", "face_no", "embedding")
+    known = usable(faces, dim).select("photo_id", "face_no", "embedding")
     schema = "photo_id long, face_no int, ref_id long, distance double"
 
     def best(photo, face, rows: np.ndarray, numbers: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
@@ -383,10 +383,10 @@ def nearest_reference(
                     rows = kernels.matrix(batch.column("embedding"), dim)
                     yield best(batch.column("photo_id"), batch.column("face_no"), rows, numbers, matrix)
 
-        found = usable.mapInArrow(scan, schema)
+        found = known.mapInArrow(scan, schema)
     else:
         keyed = refs.select(F.col("ref_id").alias("query_id"), "embedding")
-        left, right = _blocks(keyed, usable, F.struct("photo_id", "face_no"))
+        left, right = _blocks(keyed, known, F.struct("photo_id", "face_no"))
 
         def merge(ref_part: pa.Table, face_part: pa.Table) -> pa.Table:
             if not ref_part.num_rows or not face_part.num_rows:
@@ -419,10 +419,12 @@ def nearest_reference(
         F.col("photo_id").cast("long"), F.col("face_no").cast("int"), F.lit(None).cast("long").alias("ref_id"),
         F.lit(None).cast("double").alias("distance"),
     )
-    names = refs.select("ref_id", "ref_name")
+    names = refs.select(F.col("ref_id").alias("named"), "ref_name")
     if table is not None:
         names = F.broadcast(names)  # no more rows than were just brought into the tasks
-    return found.unionByName(apart).join(names, "ref_id", "left").select(
+    # Faces near no reference are dealt out by their own key, not under one null.
+    key = F.coalesce("ref_id", F.xxhash64("photo_id", "face_no"))
+    return found.unionByName(apart).join(names, (key == F.col("named")) & F.col("ref_id").isNotNull(), "left").select(
         "photo_id", "face_no", "ref_id", "ref_name", "distance",
         (1.0 - F.col("distance") / 2.0).alias("match_confidence"),
         F.coalesce(F.col("distance") < threshold, F.lit(False)).alias("matched"),
