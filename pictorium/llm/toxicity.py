@@ -1,27 +1,30 @@
-"""Toxicity by class-conditional Kneser-Ney language models.
-
-Two bigram models, of toxic and of ordinary labelled texts, are compared on
-every text: the mean difference of their log-likelihoods over its words. Both
-discount their counts and back off to one shared distribution, in which a word
-weighs as many different words as it follows in either class. A pair that no
-labelled text has, or whose first word only one class has, falls to the single
-word in both models alike; a word that no labelled text has says nothing.
-
-Counts cover all labelled texts of the learning folds and all their n-grams, and
-are summed in shuffles. The model is a table of n-grams: a word has its
-difference, a pair what it adds to that of its word. So a text sums up over its
-n-grams, each looked up by itself. Tasks get the most frequent n-grams, at most
-one over a given share for each class and order; all others are joined to the
-table. Differences are whole multiples of 1 / ``UNIT``: sums are the same in any
-order and for any share. A logistic regression on another fold turns the
-comparison into a probability.
+"""Toxicity by class-conditional Kneser-Ney language models of spelling.
+
+Two models, of toxic and of ordinary labelled texts, give every word a
+likelihood letter by letter: the letters of a word, its beginning and its end
+follow each other with interpolated Kneser-Ney probabilities of up to ``ORDER``
+letters. The highest order counts in how many texts of its class the words with
+that string stand; each lower one counts how many different strings of the next order end in a
+string. A string that one class lacks backs off there while the other class has
+it, and the orders up to ``SHARED`` count both classes together, so letters of a
+language say nothing and a rare expression is judged by the spelling that it
+shares with others. No string is dropped, however rare.
+
+A text is compared by the mean difference of the log-likelihoods of its words, and
+by that of its ``TOP`` words with the largest difference. A logistic regression on
+another fold turns both into a probability.
+
+A word's difference does not depend on its neighbours. So probabilities are
+found by joins for the different strings of the different words of all texts,
+and texts sum up differences of words. The most frequent words, a fixed number,
+are brought into the tasks; all others are joined, with the same scores.
+Differences are whole multiples of 1 / ``UNIT``: sums are the same in any order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,49 +39,65 @@ FOLDS = 5
 HELD_OUT = 0
 CALIBRATE = 4
 DISCOUNT = 0.75
-# Share of the words of a class from which an n-gram is brought into the tasks; rarer ones are joined.
-SHARE = 2.0**-20
+ORDER = 6
+SHARED = 2
+TOP = 4
 UNIT = 1 << 20
-# Difference of log-likelihoods from which a word counts as a strong sign.
-STRONG = 2.0
-# Upper half of the key of a single word; that of a pair is the word before.
-_SINGLE = -1 << 32
-_SPLIT = bytes(32 if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127) else c for c in range(256)).lower()
+# Words that are brought into the tasks, 12 bytes each.
+HEAD_WORDS = 1 << 20
+# What stands before and after the letters of a word; no word holds them.
+BEGIN, END = "\x02", "\x03"
+_SPLIT = bytes(32 if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127) else c for c in range(256))
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit ids of the words of all texts (letters and figures, A-Z lower-cased), and the words of each text."""
-    found, counts = shingles.words([t.translate(_SPLIT) for t in texts])
-    return (found >> np.uint64(32)).astype(np.int64), counts
+def words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of all texts (letters and figures), their 64-bit hashes, and the number of words of each text."""
+    texts = [t.translate(_SPLIT) for t in texts]
+    found, counts = shingles.words(texts)
+    return b" ".join(texts).split(), found, counts
 
 
-def bigrams(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Word before and word in one integer; the first word of a text follows 0."""
-    before = np.concatenate([[0], found[:-1]])
-    starts = (np.cumsum(counts) - counts)[counts > 0]
-    before[starts] = 0
-    return (before << 32) | found if len(found) else found
+def _distinct(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different words of each text: all words, then for each different one where it stands, its hash, text and count; words of each text."""
+    spelled, found, counts = words(texts)
+    text = np.repeat(np.arange(len(texts)), counts)
+    order = np.lexsort((found, text))
+    found, text = found[order], text[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    return spelled, order[first], found[first], text[first], np.diff(first, append=len(found)), counts
 
 
-_COUNTS = pa.schema([("pair", pa.int64()), ("toxic", pa.int64()), ("ordinary", pa.int64())])
+_WORDS = pa.schema([("key", pa.int64()), ("word", pa.string()), ("toxic", pa.int64()), ("ordinary", pa.int64())])
+_WORDS_DDL = "key long, word string, toxic long, ordinary long"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_rows(texts: list[bytes], labels: np.ndarray) -> pa.RecordBatch:
+    """In how many texts of each class a word stands; a text counts a word once."""
+    spelled, at, found, text, _, _ = _distinct(texts)
+    keys, first, which = np.unique(found, return_index=True, return_inverse=True)
+    toxic = np.bincount(which, labels[text], len(keys)).astype(np.int64)
+    every = np.bincount(which, minlength=len(keys))
+    names = [spelled[i].decode() for i in at[first].tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(names, pa.string()), pa.array(toxic), pa.array(every - toxic)], schema=_WORDS)
+
+
+def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for at in range(0, len(batch), 1000):
-            texts = [unpack(b) for b in batch.column("body").slice(at, 1000).to_pylist()]
-            label = np.array(batch.column("label").slice(at, 1000).to_pylist(), np.int64)
-            found, counts = words(texts)
-            pairs, text = bigrams(found, counts), np.repeat(np.arange(len(texts)), counts)
-            # A text counts a pair once: one that repeats its words proves no more than one that does not.
-            order = np.lexsort((text, pairs))
-            pairs, text = pairs[order], text[order]
-            new = (np.diff(pairs, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0)
-            pairs, which = np.unique(pairs[new], return_inverse=True)
-            toxic = np.bincount(which, label[text[new]], len(pairs)).astype(np.int64)
-            every = np.bincount(which, minlength=len(pairs))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int64)), pa.array(toxic), pa.array(every - toxic)], schema=_COUNTS)
+            part = batch.slice(at, 1000)
+            yield _word_rows([unpack(b) for b in part.column("body").to_pylist()], np.array(part.column("label").to_pylist(), np.int64))
+
+
+def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in common.pieces(batches, "text"):
+        yield _word_rows(common.utf8(batch.column("text")), np.zeros(len(batch), np.int64))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.first("word").alias("word"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,58 +107,134 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), pa.array(bodies, pa.binary())], ["doc_id", "fold", "body"])
 
 
-# What an n-gram adds to a text: difference, strong sign, number of strong signs.
-_ADDS = ("diff", "strong", "signs")
+def strings(word: Column) -> Column:
+    """For each letter of a word and its end the last ``ORDER`` letters up to it, back to the beginning at most."""
+    letters = F.split(F.concat(F.lit(BEGIN), word, F.lit(END)), "")
+    return F.get(F.transform(F.array(letters), lambda s: F.transform(
+        F.sequence(F.lit(2), F.size(s)), lambda i: F.array_join(F.slice(s, F.greatest(F.lit(1), i - (ORDER - 1)), F.least(i, F.lit(ORDER))), "")
+    )), 0)
+
+
+def _cut(string: Column | str, order: int) -> Column:
+    return F.right(string, F.lit(order))
+
+
+def _context(string: Column | str) -> Column:
+    column = F.col(string) if isinstance(string, str) else string
+    return F.left(column, F.length(column) - 1)
+
+
+_CLASSES = ("toxic", "ordinary")
+
+
+@dataclass
+class Order:
+    """Counts of one order: of its strings, and of what follows each context."""
+
+    strings: DataFrame  # string, toxic, ordinary
+    contexts: DataFrame  # context, n_toxic, k_toxic, n_ordinary, k_ordinary
+
+
+def _orders(counted: DataFrame) -> list[Order]:
+    """Counts of all orders, the lowest first, from ``word, toxic, ordinary``."""
+    table = counted.select(F.explode(strings(F.col("word"))).alias("string"), *_CLASSES).groupBy("string").agg(*(F.sum(c).alias(c) for c in _CLASSES))
+    found = []
+    for order in range(ORDER, 0, -1):
+        if order < ORDER:
+            kinds = [F.count_if(F.col(c) > 0) if order > SHARED else F.count("*") for c in _CLASSES]
+            table = table.groupBy(_cut("string", order).alias("string")).agg(*(k.alias(c) for k, c in zip(kinds, _CLASSES)))
+        table = common.store(table, "toxic-strings")
+        contexts = table.groupBy(_context("string").alias("context")).agg(*(
+            x for c in _CLASSES for x in (F.sum(c).alias(f"n_{c}"), F.count_if(F.col(c) > 0).alias(f"k_{c}"))
+        ))
+        found.append(Order(table, common.store(contexts, "toxic-contexts")))
+    return found[::-1]
+
+
+def _probabilities(orders: list[Order], wanted: DataFrame) -> DataFrame:
+    """``string, p_toxic, p_ordinary`` of the last letter of each wanted ``string`` after those before it."""
+    needed = [common.store(wanted.distinct(), "toxic-wanted")]
+    for order in range(ORDER - 1, 0, -1):
+        needed.append(needed[-1].select(_cut("string", order).alias("string")).distinct())
+    # Every letter that was ever seen, and all others as one.
+    letters = orders[0].strings.count() + 1
+    lower = None
+    for order, (counts, strings_) in enumerate(zip(orders, reversed(needed)), 1):
+        rows = strings_.withColumn("context", _context("string")).join(counts.strings, "string", "left").join(counts.contexts, "context", "left")
+        if lower is None:
+            rows = rows.withColumns({f"low_{c}": F.lit(1.0 / letters) for c in _CLASSES})
+        else:
+            shorter = lower.select(F.col("string").alias("shorter"), *(F.col(f"p_{c}").alias(f"low_{c}") for c in _CLASSES))
+            rows = rows.withColumn("shorter", _cut("string", order - 1)).join(shorter, "shorter")
+        lower = common.store(rows.select("string", *(
+            F.when(F.col(f"n_{c}") > 0, (F.greatest(F.coalesce(c, F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"k_{c}") * F.col(f"low_{c}")) / F.col(f"n_{c}"))
+            .otherwise(F.col(f"low_{c}")).alias(f"p_{c}") for c in _CLASSES
+        )), "toxic-probabilities")
+    return lower
+
+
+def _differences(orders: list[Order], vocabulary: DataFrame) -> DataFrame:
+    """``key, diff`` of words ``key, word``: log-likelihood as a toxic word less that as an ordinary one."""
+    each = vocabulary.select("key", F.explode(strings(F.col("word"))).alias("string"))
+    each = each.groupBy("string", "key").agg(F.count("*").alias("times"))
+    likely = _probabilities(orders, each.select("string")).select("string", F.round((F.log("p_toxic") - F.log("p_ordinary")) * UNIT).cast("long").alias("diff"))
+    return each.join(likely, "string").groupBy("key").agg(F.sum(F.col("diff") * F.col("times")).alias("diff"))
+
+
+_ROWS = pa.schema([
+    ("id", pa.int64()), ("label", pa.int64()), ("words", pa.int64()), ("diff", pa.int64()), ("top", pa.list_(pa.int64())), ("key", pa.int64()), ("word", pa.string()), ("times", pa.int64()),
+])
+_ROWS_DDL = "id long, label long, words long, diff long, top array<long>, key long, word string, times long"
 
 
 @dataclass
 class Head:
-    """The n-grams that tasks look up in place: sorted keys with what each adds."""
+    """Words that tasks look up in place: sorted hashes with their differences."""
 
     key: np.ndarray
-    adds: np.ndarray
-    whole: bool  # no other n-gram is in the model
-
-    def rows(self, texts: list[bytes], ids: pa.Array, labels: pa.Array) -> Iterator[pa.RecordBatch]:
-        """For each text a row of sums (label, words and what its n-grams of the head add), and one for each other n-gram."""
-        found, counts = words(texts)
-        text = np.tile(np.repeat(np.arange(len(texts)), counts), 2)
-        keys = np.concatenate([found | _SINGLE, bigrams(found, counts)])
-        at, known = _find(self.key, keys)
-        sums = [np.bincount(text[known], self.adds[at[known], j], len(texts)) for j in range(len(_ADDS))]
-        sums = np.stack([np.array(labels.to_pylist(), np.int64), counts, *sums], 1).astype(np.int64)
-        ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(sums.tolist(), pa.list_(pa.int64()))], schema=_ROWS)
-        if not self.whole and not known.all():
-            keys, text = keys[~known], text[~known]
-            order = np.lexsort((text, keys))
-            keys, text = keys[order], text[order]
-            first = np.flatnonzero((np.diff(keys, prepend=keys[0] - 1) != 0) | (np.diff(text, prepend=-1) != 0))
-            n = np.diff(first, append=len(keys))
-            for i in range(0, len(first), 100_000):
-                part = first[i:i + 100_000]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[text[part]]), pa.array(keys[part]), pa.array(n[i:i + 100_000].astype(np.int64)), pa.nulls(len(part), pa.list_(pa.int64()))
-                ], schema=_ROWS)
-
-
-_ROWS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sums", pa.list_(pa.int64()))])
+    diff: np.ndarray
+
+    def rows(self, texts: list[bytes], ids: np.ndarray, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """For each text a row of its sums over the words of the head, and a row for each other word."""
+        spelled, at, found, text, times, counts = _distinct(texts)
+        where = np.minimum(np.searchsorted(self.key, found), max(0, len(self.key) - 1))
+        known = self.key[where] == found if len(self.key) else np.zeros(len(found), bool)
+        diff, of = self.diff[where[known]] if len(self.key) else np.zeros(0, np.int64), text[known]
+        total = np.zeros(len(texts), np.int64)
+        np.add.at(total, of, diff * times[known])
+        order = np.lexsort((-diff, of))
+        starts = np.searchsorted(of[order], np.arange(len(texts) + 1))
+        top = [diff[order[a:min(a + TOP, b)]].tolist() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        n = len(texts)
+        none = lambda kind: pa.nulls(n, kind)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(ids), pa.array(labels), pa.array(counts.astype(np.int64)), pa.array(total), pa.array(top, pa.list_(pa.int64())), none(pa.int64()), none(pa.string()), none(pa.int64()),
+        ], schema=_ROWS)
+        rest = np.flatnonzero(~known)
+        for i in range(0, len(rest), 100_000):
+            part = rest[i:i + 100_000]
+            n = len(part)
+            names = [spelled[j].decode() for j in at[part].tolist()]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids[text[part]]), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int64())), pa.array(found[part].view(np.int64)),
+                pa.array(names, pa.string()), pa.array(times[part].astype(np.int64)),
+            ], schema=_ROWS)
 
 
 @dataclass
 class Model:
-    """The n-grams in two parts, and the calibration."""
+    """Counts of all orders, differences of known words, the head of those, and the calibration."""
 
-    head: Head
-    others: DataFrame | None = None
+    orders: list[Order] = field(default_factory=list)
+    words: DataFrame | None = None  # key, diff
+    head: Head | None = None
     weights: np.ndarray | None = None
     shift: float = 0.0
 
     def features(self, texts: DataFrame) -> DataFrame:
         """``id, label, copies, values`` from ``id, label`` and ``text`` or packed ``body``; rows with one id have equal texts and labels.
 
-        The values are mean difference, mean of the strong signs, and how many
-        strong signs there are (logarithm).
+        The values are the mean difference of all words and that of the ``TOP`` words with the largest one.
         """
         shipped = texts.sparkSession.sparkContext.broadcast(self.head)
         packed = "body" in texts.columns
@@ -150,109 +245,80 @@ class Model:
                 for at in range(0, len(batch), 1000):
                     part = batch.slice(at, 1000)
                     bodies = [unpack(b) for b in part.column("body").to_pylist()] if packed else common.utf8(part.column("text"))
-                    yield from shipped.value.rows(bodies, part.column("id"), part.column("label"))
-
-        rows = common.map_batches(texts, run, "id long, key long, n long, sums array<long>")
-        own = F.col("sums").isNotNull()
-        if self.others is None:
-            rows = rows.select("id", *(F.col("sums")[i].alias(c) for i, c in enumerate(("label", "words", *_ADDS))), F.lit(1).alias("copies"))
-        else:
-            # One way to join at every size. The row of sums of a text is dealt out by its id; what it may meet there is not added.
-            rows = rows.join(self.others.hint("merge"), "key", "left").filter(own | F.col("diff").isNotNull())
-            rows = rows.select(
-                "id", *(F.when(own, F.col("sums")[i]).otherwise(0).alias(c) for i, c in enumerate(("label", "words"))),
-                *(F.when(own, F.col("sums")[i + 2]).otherwise(F.col("n") * F.col(c)).alias(c) for i, c in enumerate(_ADDS)), own.cast("int").alias("copies"),
-            )
-        total = rows.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("label", "words", *_ADDS, "copies")))
-        # Every copy of a text adds the same.
-        n = F.greatest(F.col("words"), F.lit(1)) * F.lit(float(UNIT))
-        values = F.array(F.col("diff") / n, F.col("strong") / n, F.log1p(F.col("signs") / F.col("copies")))
-        return total.select("id", (F.col("label") / F.col("copies")).alias("label"), F.col("copies").cast("double").alias("copies"), values.alias("values"))
+                    yield from shipped.value.rows(bodies, *(part.column(c).to_numpy().astype(np.int64) for c in ("id", "label")))
+
+        rows = common.store(common.map_batches(texts, run, _ROWS_DDL), "toxic-rows")
+        # Copies of a text give the same rows.
+        own = rows.filter(F.col("key").isNull()).groupBy("id").agg(*(F.first(c).alias(c) for c in ("label", "words", "diff", "top")), F.count("*").alias("copies"))
+        rest = rows.filter(F.col("key").isNotNull()).groupBy("id", "key").agg(F.first("word").alias("word"), F.first("times").alias("times"))
+        rest = common.store(rest, "toxic-rest")
+        known = self.words
+        unknown = rest.join(known, "key", "left_anti").groupBy("key").agg(F.first("word").alias("word"))
+        if not unknown.isEmpty():
+            known = known.union(common.store(_differences(self.orders, common.store(unknown, "toxic-unknown")), "toxic-differences"))
+        # The largest few of a text, so that no text gathers all of its words.
+        most = F.slice(F.sort_array(F.collect_list("diff"), asc=False), 1, TOP)
+        joined = rest.select("id", "key", "times").join(known, "key")
+        sums = joined.groupBy("id").agg(F.sum(F.col("diff") * F.col("times")).alias("more"), most.alias("others"))
+        found = own.join(sums, "id", "left")
+        every = F.slice(F.sort_array(F.concat("top", F.coalesce("others", F.array().cast("array<long>"))), asc=False), 1, TOP)
+        most = F.aggregate(every, F.lit(0).cast("long"), lambda a, x: a + x)
+        mean = (F.col("diff") + F.coalesce("more", F.lit(0))) / (F.greatest("words", F.lit(1)) * F.lit(float(UNIT)))
+        return found.select("id", "label", F.col("copies").cast("double").alias("copies"), F.array(mean, most / F.lit(float(TOP * UNIT))).alias("values"))
 
     def scores(self, docs: DataFrame) -> DataFrame:
         """``id, score`` for every different text of ``docs``, by its hash."""
         if self.weights is None:
             return docs.select(_text_id(F.col("text")).alias("id")).distinct().withColumn("score", F.lit(0.0))
-        texts = docs.select(_text_id(F.col("text")).alias("id"), F.lit(0).alias("label"), "text")
-        line = reduce(lambda a, b: a + b, (F.col("values")[i] * float(w) for i, w in enumerate(self.weights)))
-        return self.features(texts).select("id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line + self.shift))))).alias("score"))
+        texts = docs.select(_text_id(F.col("text")).alias("id"), F.lit(0).alias("label"), _lower("text"))
+        line = sum((F.col("values")[i] * float(w) for i, w in enumerate(self.weights)), F.lit(self.shift))
+        return self.features(texts).select("id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line))))).alias("score"))
 
 
 def _text_id(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+def _lower(name: str) -> Column:
+    return F.lower(name).alias("text")
 
 
-def _head(df: DataFrame, whole: bool) -> Head:
-    """A bounded table as sorted keys with their values."""
-    table = df.select("key", *_ADDS).toArrow().sort_by("key")
-    adds = np.stack([table.column(c).to_numpy() for c in _ADDS], 1) if len(table) else np.zeros((0, len(_ADDS)))
-    return Head(table.column("key").to_numpy().astype(np.int64), adds.astype(np.int32), whole)
+def _head(vocabulary: DataFrame, differences: DataFrame, head: int) -> Head:
+    """The ``head`` most frequent words."""
+    frequent = vocabulary.select("key", (F.col("toxic") + F.col("ordinary")).alias("n")).orderBy(F.col("n").desc(), "key").limit(head)
+    table = frequent.join(differences, "key").select("key", "diff").toArrow()
+    keys, diff = table.column("key").to_numpy().astype(np.int64).view(np.uint64), table.column("diff").to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    return Head(keys[order], diff[order])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic",
-          share: float = SHARE) -> Model:
+          head: int = HEAD_WORDS) -> Model:
     """The two models and their calibration from all labelled rows outside the held-out fold.
 
     The fold of a row is the CRC-32 of its id as text modulo ``FOLDS``. Rows of
     the fold ``CALIBRATE`` fit the regression, the others are counted. Null
     labels and null ids are no labels; an id with several labels is toxic if one
     of them is 1. Without labelled rows of both classes the model scores 0.
-    ``share`` only says which n-grams are brought into the tasks.
+    ``head`` only says how many words are brought into the tasks.
     """
     fold = common.crc_fold(F.col("doc_id"), FOLDS)
-    texts = common.id_and_text(docs, id_col, text_col).filter(F.col("doc_id").isNotNull()).withColumn("fold", fold).filter(F.col("fold") != HELD_OUT)
-    packed = common.map_batches(texts.select("doc_id", F.col("fold").cast("int").alias("fold"), "text"), _pack, "doc_id long, fold int, body binary")
+    texts = common.id_and_text(docs, id_col, text_col).select("doc_id", _lower("text"))
+    learnt = texts.filter(F.col("doc_id").isNotNull()).withColumn("fold", fold.cast("int")).filter(F.col("fold") != HELD_OUT)
+    packed = common.map_batches(learnt.select("doc_id", "fold", "text"), _pack, "doc_id long, fold int, body binary")
     marks = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     # One way to join at every size: labels grow with the texts.
     rows = common.store(packed.join(marks.hint("merge"), "doc_id").select("doc_id", "fold", "body", F.when(F.col("label") == 1, 1).otherwise(0).alias("label")), "toxic-labelled")
-    counted = common.map_batches(rows.filter(F.col("fold") != CALIBRATE).select("body", "label"), _count, "pair long, toxic long, ordinary long")
-    pairs = common.store(counted.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "toxic-pairs")
-    sums = [F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")]
-    singles = common.store(pairs.groupBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")).agg(*sums, F.count("*").alias("before")), "toxic-words")
-    total = singles.agg(*sums, F.count_if(F.col("toxic") > 0), F.count_if(F.col("ordinary") > 0), F.sum("before")).first()
-    totals = [float(v or 0) for v in total]
-    if min(totals[:2]) <= 0:
-        return Model(Head(np.zeros(0, np.int64), np.zeros((0, len(_ADDS)), np.int32), True))
-    # No more than 1 / share n-grams of a class can reach the share.
-    floor = [int(np.ceil(share * n)) for n in totals[:2]]
-    frequent = ((F.col("toxic") >= floor[0]) | (F.col("ordinary") >= floor[1])).alias("frequent")
-
-    def likelihood(n: Column, of: Column, kinds: Column, lower: Column) -> Column:
-        return F.greatest(n - DISCOUNT, F.lit(0.0)) / of + DISCOUNT * kinds / of * lower
-
-    def adds(toxic: Column, ordinary: Column, lower: tuple[Column, ...] = (F.lit(0),) * len(_ADDS)) -> list[Column]:
-        diff = F.round((F.log(toxic) - F.log(ordinary)) * UNIT).cast("long")
-        strong = diff > int(STRONG * UNIT)
-        return [(v - low).cast("long").alias(c) for c, v, low in zip(_ADDS, (diff, F.when(strong, diff).otherwise(0), strong.cast("int")), lower)]
-
-    shared = F.col("before") / totals[4]
-    single = singles.select("word", "toxic", "ordinary", *(
-        likelihood(F.col(c), F.lit(totals[i]), F.lit(totals[2 + i]), shared).alias(f"p_{c}") for i, c in enumerate(("toxic", "ordinary"))
-    ))
-    words_ = single.select("word", frequent, "p_toxic", "p_ordinary", *adds(F.col("p_toxic"), F.col("p_ordinary")))
-    context = F.shiftrightunsigned("pair", 32).alias("context")
-    after = pairs.groupBy(context).agg(
-        F.sum("toxic").alias("n_toxic"), F.sum("ordinary").alias("n_ordinary"), F.count_if(F.col("toxic") > 0).alias("k_toxic"),
-        F.count_if(F.col("ordinary") > 0).alias("k_ordinary"),
-    ).filter((F.col("n_toxic") > 0) & (F.col("n_ordinary") > 0))
-    two = pairs.select("pair", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word"), context, "toxic", "ordinary", frequent)
-    two = two.join(after.hint("merge"), "context").join(words_.drop("frequent").hint("merge"), "word").select("pair", "frequent", *adds(
-        *(likelihood(F.col(c), F.col(f"n_{c}"), F.col(f"k_{c}"), F.col(f"p_{c}")) for c in ("toxic", "ordinary")), tuple(F.col(c) for c in _ADDS)
-    ))
-    table = common.store(words_.select(F.col("word").bitwiseOR(F.lit(_SINGLE)).alias("key"), "frequent", *_ADDS).union(
-        two.withColumnRenamed("pair", "key").select("key", "frequent", *_ADDS)
-    ), "toxic-model")
-    others = table.filter(~F.col("frequent")).drop("frequent")
-    whole = others.isEmpty()
-    model = Model(_head(table.filter("frequent"), whole), None if whole else others)
+    counted = common.map_batches(rows.filter(F.col("fold") != CALIBRATE).select("body", "label"), _labelled_words, _WORDS_DDL)
+    counted = common.store(_summed(counted), "toxic-words")
+    totals = counted.agg(*(F.sum(c) for c in _CLASSES)).first()
+    if not all(totals):
+        return Model()
+    orders = _orders(counted)
+    vocabulary = common.store(_summed(common.map_batches(texts.select("text"), _all_words, _WORDS_DDL)), "toxic-vocabulary")
+    differences = common.store(_differences(orders, vocabulary), "toxic-differences")
+    model = Model(orders, differences, _head(vocabulary, differences, head))
     held = rows.filter(F.col("fold") == CALIBRATE).select(F.xxhash64("doc_id", "body", "label").alias("id"), "label", "body")
     held = common.store(model.features(held).select("label", "copies", "values"), "toxic-features")
     if held.select("label").distinct().count() == 2:

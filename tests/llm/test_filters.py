@@ -210,17 +210,89 @@ def test_toxic_texts_of_the_held_out_fold_are_found(labelled, odd_documents):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
-def test_scores_do_not_depend_on_the_share(spark):
+def test_rare_words_count_at_every_share(spark):
     rows, labels = [], []
     for i in range(600):
-        # Each sign stands in two toxic texts.
+        # Each sign stands in two or three of the texts that are counted.
         sign = f"sign{i % 100 // 4 + 25 * (i // 4 % 3)}" if i % 4 == 0 else f"calm{i % 100}"
         rows.append((i, f"{prose(i, 12)} {sign} {prose(1000 + i, 12)}"))
         labels.append((i, int(i % 4 == 0)))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    # All n-grams in the tasks, some, and none.
-    found = [{r.doc_id: r.score for r in toxicity.score(docs, toxicity.learn(docs, labels, share=s)).collect()} for s in (0.0, 2e-3, 1.0)]
+    # All words in the tasks, some, and none.
+    found = [{r.doc_id: r.score for r in toxicity.score(docs, toxicity.learn(docs, labels, head=n)).collect()} for n in (toxicity.HEAD_WORDS, 300, 0)]
     assert len(found[0]) == len(rows) and found[1] == pytest.approx(found[0], abs=1e-9) and found[2] == pytest.approx(found[0], abs=1e-9)
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((found[0][i] >= 0.5) == (i % 4 == 0) for i in held) >= 0.85 * len(held)
+    assert sum(found[0][i] >= 0.5 for i in held) >= 0.6 * sum(i % 4 == 0 for i in held)
+
+
+def plain_strings(word):
+    letters = "\x02" + word + "\x03"
+    return [letters[max(0, i - toxicity.ORDER + 1):i + 1] for i in range(1, len(letters))]
+
+
+def plain_differences(counts, wanted):
+    """Log-likelihood differences of words by counting strings in dictionaries, from ``{word: (toxic, ordinary)}``."""
+    orders = {toxicity.ORDER: Counter()}, {toxicity.ORDER: Counter()}
+    for word, both in counts.items():
+        for string in plain_strings(word):
+            for table, n in zip(orders, both):
+                table[toxicity.ORDER][string] += n
+    for order in range(toxicity.ORDER - 1, 0, -1):
+        longer = [{g for g, n in table[order + 1].items() if n > 0} for table in orders]
+        every = set(orders[0][order + 1]) | set(orders[1][order + 1])
+        for table, own in zip(orders, longer):
+            table[order] = Counter(g[-order:] for g in (own if order > toxicity.SHARED else every))
+    letters = len(set(orders[0][1]) | set(orders[1][1])) + 1
+    follows = [{order: {} for order in table} for table in orders]
+    for table, after in zip(orders, follows):
+        for order, strings in table.items():
+            for g, n in strings.items():
+                if n > 0:
+                    total, kinds = after[order].get(g[:-1], (0, 0))
+                    after[order][g[:-1]] = total + n, kinds + 1
+
+    def likely(which, string):
+        p = 1 / letters
+        for order in range(1, toxicity.ORDER + 1):
+            g = string[-order:]
+            total, kinds = follows[which][order].get(g[:-1], (0, 0))
+            if total:
+                p = max(orders[which][order][g] - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * kinds / total * p
+        return p
+
+    return {w: sum(math.log(likely(0, g)) - math.log(likely(1, g)) for g in plain_strings(w)) for w in wanted}
+
+
+def test_differences_equal_plain_counting(spark, documents, odd_documents):
+    rows = [(i, prose(i, 15) + (" vile vilest" if i % 3 == 0 else " mild")) for i in range(60)]
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows]
+    docs = documents(*rows).unionByName(odd_documents)
+    model = toxicity.learn(docs, spark.createDataFrame(labels + [(1, None), (None, 1)], "doc_id long, toxic int"))
+    counts, named = {}, {}
+    texts = rows + [(r.doc_id, r.text) for r in odd_documents.collect()]
+    label = dict(labels)
+    for doc, text in texts:
+        own = set(re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", (text or "").lower()))
+        named |= dict.fromkeys(own)
+        if doc in label and zlib.crc32(str(doc).encode()) % 5 not in (toxicity.HELD_OUT, toxicity.CALIBRATE):
+            for w in own:
+                toxic, ordinary = counts.get(w, (0, 0))
+                counts[w] = toxic + label[doc], ordinary + 1 - label[doc]
+    expected = plain_differences(counts, named)
+    keys = {w: int(k) for w, k in zip(named, toxicity.words([w.encode() for w in named])[1].view(np.int64))}
+    found = {r.key: r.diff / toxicity.UNIT for r in model.words.collect()}
+    assert len(found) == len(named)
+    # Each string is rounded once.
+    assert all(abs(found[keys[w]] - d) <= len(w) + 2 and abs(found[keys[w]] - d) < 1e-5 * (len(w) + 2) for w, d in expected.items())
+    assert expected["vile"] > 2 and expected["mild"] < -1
+
+
+def test_words_that_no_document_had_are_judged_by_their_spelling(spark, documents):
+    rows = [(i, f"{prose(i, 20)} {'grumph' + 'aeiou'[i % 5] if i % 4 == 0 else ''}") for i in range(400)]
+    model = toxicity.learn(documents(*rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    new = documents((1, prose(1, 20) + " grumphation grumphy"), (2, prose(2, 20) + " gladly"))
+    assert {r.doc_id: r.predicted for r in toxicity.score(new, model).collect()} == {1: 1, 2: 0}
 
 
 def test_toxicity_without_both_classes(labelled, odd_documents):
