@@ -15,10 +15,10 @@ by that of its ``TOP`` words with the largest difference. A logistic regression
 another fold turns both into a probability.
 
 A word's difference does not depend on its neighbours. So probabilities are
-found by joins for the different strings of the different words of all texts,
-and texts sum up differences of words. The most frequent words, a fixed number,
-are brought into the tasks; all others are joined, with the same scores.
-Differences are whole multiples of 1 / ``UNIT``: sums are the same in any order.
+found by joins for the different strings of the words of all texts, and texts sum
+up differences of strings. The most frequent strings, a fixed number, are brought
+into the tasks; a word with any other string is looked up by a join, with the same
+score. Differences are whole multiples of 1 / ``UNIT``: sums are the same in any order.
 """
 
 from __future__ import annotations
@@ -43,8 +43,8 @@ ORDER = 6
 SHARED = 2
 TOP = 4
 UNIT = 1 << 20
-# Words that are brought into the tasks, 12 bytes each.
-HEAD_WORDS = 1 << 20
+# Strings that are brought into the tasks, 16 bytes each.
+HEAD_STRINGS = 1 << 20
 # What stands before and after the letters of a word; no word holds them.
 BEGIN, END = "\x02", "\x03"
 _SPLIT = bytes(32 if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127) else c for c in range(256))
@@ -91,9 +91,48 @@ def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield _word_rows([unpack(b) for b in part.column("body").to_pylist()], np.array(part.column("label").to_pylist(), np.int64))
 
 
-def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spelling(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all words with what stands before and after them; of each string its word, last letter and 64-bit hash."""
+    text = "".join(f"{BEGIN}{w}{END}" for w in b" ".join(spelled).decode().split(" ")) if spelled else ""
+    letters = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    begins = letters == ord(BEGIN)
+    word = np.cumsum(begins) - 1
+    place = np.arange(len(letters)) - np.flatnonzero(begins)[word] if len(letters) else word
+    last = np.flatnonzero(~begins)
+    keys = np.zeros(len(last), np.uint64)
+    for back in range(ORDER - 1, -1, -1):
+        there = place[last] >= back
+        keys[there] = shingles.mix(keys[there] * np.uint64(0x9E3779B97F4A7C15) + letters[last[there] - back] + np.uint64(1))
+    return letters, word[last], last, keys
+
+
+def string_keys(strings_: list[str]) -> np.ndarray:
+    """The hashes that ``spelling`` gives the strings."""
+    size = max(map(len, strings_), default=0)
+    keys = np.zeros(len(strings_), np.uint64)
+    grid = np.array([[0] * (size - len(t)) + [ord(c) for c in t] for t in strings_], np.uint64).reshape(len(strings_), size)
+    for column in grid.T:
+        there = column > 0
+        keys[there] = shingles.mix(keys[there] * np.uint64(0x9E3779B97F4A7C15) + column[there] + np.uint64(1))
+    return keys
+
+
+_STRINGS = pa.schema([("string", pa.string()), ("n", pa.int64())])
+
+
+def _all_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of the words of all texts, and how many words have them."""
     for batch in common.pieces(batches, "text"):
-        yield _word_rows(common.utf8(batch.column("text")), np.zeros(len(batch), np.int64))
+        spelled, found, _ = words(common.utf8(batch.column("text")))
+        _, first, times = np.unique(found, return_index=True, return_counts=True)
+        letters, word, last, keys = spelling([spelled[i] for i in first.tolist()])
+        _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        n = np.bincount(which, times[word], len(one)).astype(np.int64)
+        # A string goes back to the beginning of its word at most.
+        start = np.maximum(last[one] - ORDER + 1, np.flatnonzero(letters == ord(BEGIN))[word[one]]) if len(one) else one
+        text = letters.tobytes().decode("utf-32-le")
+        names = [text[a:b + 1] for a, b in zip(start.tolist(), last[one].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n)], schema=_STRINGS)
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -153,7 +192,7 @@ def _orders(counted: DataFrame) -> list[Order]:
 
 def _probabilities(orders: list[Order], wanted: DataFrame) -> DataFrame:
     """``string, p_toxic, p_ordinary`` of the last letter of each wanted ``string`` after those before it."""
-    needed = [common.store(wanted.distinct(), "toxic-wanted")]
+    needed = [wanted.distinct()]
     for order in range(ORDER - 1, 0, -1):
         needed.append(needed[-1].select(_cut("string", order).alias("string")).distinct())
     # Every letter that was ever seen, and all others as one.
@@ -173,12 +212,9 @@ def _probabilities(orders: list[Order], wanted: DataFrame) -> DataFrame:
     return lower
 
 
-def _differences(orders: list[Order], vocabulary: DataFrame) -> DataFrame:
-    """``key, diff`` of words ``key, word``: log-likelihood as a toxic word less that as an ordinary one."""
-    each = vocabulary.select("key", F.explode(strings(F.col("word"))).alias("string"))
-    each = each.groupBy("string", "key").agg(F.count("*").alias("times"))
-    likely = _probabilities(orders, each.select("string")).select("string", F.round((F.log("p_toxic") - F.log("p_ordinary")) * UNIT).cast("long").alias("diff"))
-    return each.join(likely, "string").groupBy("key").agg(F.sum(F.col("diff") * F.col("times")).alias("diff"))
+def _string_differences(orders: list[Order], wanted: DataFrame) -> DataFrame:
+    """``string, diff``: log-likelihood of the last letter in toxic words less that in ordinary ones."""
+    return _probabilities(orders, wanted).select("string", F.round((F.log("p_toxic") - F.log("p_ordinary")) * UNIT).cast("long").alias("diff"))
 
 
 _ROWS = pa.schema([
@@ -189,17 +225,30 @@ _ROWS_DDL = "id long, label long, words long, diff long, top array<long>, key lo
 
 @dataclass
 class Head:
-    """Words that tasks look up in place: sorted hashes with their differences."""
+    """Strings that tasks look up in place: sorted hashes with their differences."""
 
     key: np.ndarray
     diff: np.ndarray
 
+    def differences(self, spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Differences of words, and whether all their strings are known here."""
+        _, word, _, keys = spelling(spelled)
+        total, known = np.zeros(len(spelled), np.int64), np.zeros(len(spelled), bool)
+        if len(self.key) and len(keys):
+            keys, which = np.unique(keys, return_inverse=True)
+            where = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+            there = (self.key[where] == keys)[which]
+            known = np.bincount(word, ~there, len(spelled)) == 0
+            np.add.at(total, word, np.where(there, self.diff[where][which], 0))
+        return total, known
+
     def rows(self, texts: list[bytes], ids: np.ndarray, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """For each text a row of its sums over the words of the head, and a row for each other word."""
+        """For each text a row of its sums over the words that are known here, and a row for each other word."""
         spelled, at, found, text, times, counts = _distinct(texts)
-        where = np.minimum(np.searchsorted(self.key, found), max(0, len(self.key) - 1))
-        known = self.key[where] == found if len(self.key) else np.zeros(len(found), bool)
-        diff, of = self.diff[where[known]] if len(self.key) else np.zeros(0, np.int64), text[known]
+        _, first, which = np.unique(found, return_index=True, return_inverse=True)
+        of_word, whole = self.differences([spelled[i] for i in at[first].tolist()])
+        known = whole[which]
+        diff, of = of_word[which[known]], text[known]
         total = np.zeros(len(texts), np.int64)
         np.add.at(total, of, diff * times[known])
         order = np.lexsort((-diff, of))
@@ -223,14 +272,23 @@ class Head:
 
 @dataclass
 class Model:
-    """Counts of all orders, differences of known words, the head of those, and the calibration."""
+    """Counts of all orders, differences of the strings of known texts, the head of those, and the calibration."""
 
     orders: list[Order] = field(default_factory=list)
-    words: DataFrame | None = None  # key, diff
+    strings: DataFrame | None = None  # string, diff
     head: Head | None = None
     weights: np.ndarray | None = None
     shift: float = 0.0
 
+    def differences(self, vocabulary: DataFrame) -> DataFrame:
+        """``key, diff`` of words ``key, word``: log-likelihood as a toxic word less that as an ordinary one."""
+        each = common.store(vocabulary.select("key", F.explode(strings(F.col("word"))).alias("string")), "toxic-spelling")
+        known = self.strings
+        new = each.select("string").distinct().join(known, "string", "left_anti")
+        if not new.isEmpty():
+            known = known.union(_string_differences(self.orders, new))
+        return each.join(known, "string").groupBy("key").agg(F.sum("diff").alias("diff"))
+
     def features(self, texts: DataFrame) -> DataFrame:
         """``id, label, copies, values`` from ``id, label`` and ``text`` or packed ``body``; rows with one id have equal texts and labels.
 
@@ -252,10 +310,7 @@ class Model:
         own = rows.filter(F.col("key").isNull()).groupBy("id").agg(*(F.first(c).alias(c) for c in ("label", "words", "diff", "top")), F.count("*").alias("copies"))
         rest = rows.filter(F.col("key").isNotNull()).groupBy("id", "key").agg(F.first("word").alias("word"), F.first("times").alias("times"))
         rest = common.store(rest, "toxic-rest")
-        known = self.words
-        unknown = rest.join(known, "key", "left_anti").groupBy("key").agg(F.first("word").alias("word"))
-        if not unknown.isEmpty():
-            known = known.union(common.store(_differences(self.orders, common.store(unknown, "toxic-unknown")), "toxic-differences"))
+        known = self.differences(rest.groupBy("key").agg(F.first("word").alias("word")))
         # The largest few of a text, so that no text gathers all of its words.
         most = F.slice(F.sort_array(F.collect_list("diff"), asc=False), 1, TOP)
         joined = rest.select("id", "key", "times").join(known, "key")
@@ -283,24 +338,23 @@ def _lower(name: str) -> Column:
     return F.lower(name).alias("text")
 
 
-def _head(vocabulary: DataFrame, differences: DataFrame, head: int) -> Head:
-    """The ``head`` most frequent words."""
-    frequent = vocabulary.select("key", (F.col("toxic") + F.col("ordinary")).alias("n")).orderBy(F.col("n").desc(), "key").limit(head)
-    table = frequent.join(differences, "key").select("key", "diff").toArrow()
-    keys, diff = table.column("key").to_numpy().astype(np.int64).view(np.uint64), table.column("diff").to_numpy().astype(np.int64)
+def _head(frequent: DataFrame, differences: DataFrame, head: int) -> Head:
+    """The ``head`` most frequent strings."""
+    table = frequent.orderBy(F.col("n").desc(), "string").limit(head).join(differences, "string").select("string", "diff").toArrow()
+    keys, diff = string_keys(table.column("string").to_pylist()), table.column("diff").to_numpy().astype(np.int64)
     order = np.argsort(keys)
     return Head(keys[order], diff[order])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic",
-          head: int = HEAD_WORDS) -> Model:
+          head: int = HEAD_STRINGS) -> Model:
     """The two models and their calibration from all labelled rows outside the held-out fold.
 
     The fold of a row is the CRC-32 of its id as text modulo ``FOLDS``. Rows of
     the fold ``CALIBRATE`` fit the regression, the others are counted. Null
     labels and null ids are no labels; an id with several labels is toxic if one
     of them is 1. Without labelled rows of both classes the model scores 0.
-    ``head`` only says how many words are brought into the tasks.
+    ``head`` only says how many strings are brought into the tasks.
     """
     fold = common.crc_fold(F.col("doc_id"), FOLDS)
     texts = common.id_and_text(docs, id_col, text_col).select("doc_id", _lower("text"))
@@ -316,9 +370,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not all(totals):
         return Model()
     orders = _orders(counted)
-    vocabulary = common.store(_summed(common.map_batches(texts.select("text"), _all_words, _WORDS_DDL)), "toxic-vocabulary")
-    differences = common.store(_differences(orders, vocabulary), "toxic-differences")
-    model = Model(orders, differences, _head(vocabulary, differences, head))
+    spelled = common.map_batches(texts.select("text"), _all_strings, "string string, n long").groupBy("string").agg(F.sum("n").alias("n"))
+    spelled = common.store(spelled, "toxic-spelled")
+    differences = common.store(_string_differences(orders, spelled.select("string")), "toxic-differences")
+    model = Model(orders, differences, _head(spelled, differences, head))
     held = rows.filter(F.col("fold") == CALIBRATE).select(F.xxhash64("doc_id", "body", "label").alias("id"), "label", "body")
     held = common.store(model.features(held).select("label", "copies", "values"), "toxic-features")
     if held.select("label").distinct().count() == 2:

@@ -218,8 +218,8 @@ def test_rare_words_count_at_every_share(spark):
         rows.append((i, f"{prose(i, 12)} {sign} {prose(1000 + i, 12)}"))
         labels.append((i, int(i % 4 == 0)))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    # All words in the tasks, some, and none.
-    found = [{r.doc_id: r.score for r in toxicity.score(docs, toxicity.learn(docs, labels, head=n)).collect()} for n in (toxicity.HEAD_WORDS, 300, 0)]
+    # All strings in the tasks, some, and none.
+    found = [{r.doc_id: r.score for r in toxicity.score(docs, toxicity.learn(docs, labels, head=n)).collect()} for n in (toxicity.HEAD_STRINGS, 300, 0)]
     assert len(found[0]) == len(rows) and found[1] == pytest.approx(found[0], abs=1e-9) and found[2] == pytest.approx(found[0], abs=1e-9)
     held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((found[0][i] >= 0.5) == (i % 4 == 0) for i in held) >= 0.85 * len(held)
@@ -280,11 +280,13 @@ def test_differences_equal_plain_counting(spark, documents, odd_documents):
                 toxic, ordinary = counts.get(w, (0, 0))
                 counts[w] = toxic + label[doc], ordinary + 1 - label[doc]
     expected = plain_differences(counts, named)
-    keys = {w: int(k) for w, k in zip(named, toxicity.words([w.encode() for w in named])[1].view(np.int64))}
-    found = {r.key: r.diff / toxicity.UNIT for r in model.words.collect()}
-    assert len(found) == len(named)
+    vocabulary = spark.createDataFrame([(i, w) for i, w in enumerate(named)], "key long, word string")
+    joined = {r.key: r.diff / toxicity.UNIT for r in model.differences(vocabulary).collect()}
+    inside, whole = model.head.differences([w.encode() for w in named])
+    assert len(joined) == len(named) and whole.all()
     # Each string is rounded once.
-    assert all(abs(found[keys[w]] - d) <= len(w) + 2 and abs(found[keys[w]] - d) < 1e-5 * (len(w) + 2) for w, d in expected.items())
+    for i, w in enumerate(named):
+        assert abs(joined[i] - expected[w]) < 1e-5 * (len(w) + 2) and inside[i] / toxicity.UNIT == joined[i]
     assert expected["vile"] > 2 and expected["mild"] < -1
 
 
