@@ -15,7 +15,7 @@ from pictorium.operators.ordering import numbered
 from pictorium.plans import sqlbits as S
 from pictorium.plans.registry import Inputs, query
 from pictorium.session import scratch_path
-from pictorium.sources import descriptions, embeddings, library, searchlog
+from pictorium.sources import descriptions, embeddings, folders, library, media, searchlog
 
 
 def stamp(column: str):
@@ -107,6 +107,24 @@ def _(inputs):
     return embeddings.write_embeddings(inputs.vectors, scratch_path(inputs.spark, "vectors"))
 
 
+@query("watch_files", """
+    SELECT photo_id, photo_id % 10 AS album, strlen(description) + 1 AS size FROM library WHERE photo_id % 10 <> 7
+""", ("library",))
+def _(inputs):
+    """A folder with a file for each photo: arrivals in two runs of a stream, then an album goes and a sweep finds that."""
+    spark = inputs.spark
+    root, listing, state = (scratch_path(spark, n) for n in ("media", "listing", "state"))
+    photos = inputs.library.select("photo_id", F.pmod("photo_id", F.lit(10)).alias("album"), "description")
+    for arriving in ("album < 5 OR album = 7", "album >= 5 AND album <> 7"):
+        photos.filter(arriving).write.mode("append").partitionBy("album", "photo_id").text(root)
+        media.watch_files(spark, root, listing, state, 2_000).awaitTermination()
+    folders.remove(spark, f"{root}/album=7")
+    media.sweep(spark, root, listing)
+    known = media.stored_listing(spark, listing).filter(F.col("path").endswith(".txt"))
+    number = lambda name: F.regexp_extract("path", f"{name}=(\\d+)", 1).cast("long").alias(name)
+    return known.select(number("photo_id"), number("album"), "size")
+
+
 @query("embedding_metadata", _EMBEDDING_METADATA, ("vectors",))
 def _(inputs):
     return V.embedding_metadata(inputs.vectors)

@@ -357,6 +357,26 @@ def _(inputs):
     return monitor.report(stats, score_threshold=0.1).drop("first_seq")
 
 
+@query("windowed_monitor", f"""
+    SELECT {S.stamp("time_bucket(INTERVAL 1 day, logged_at)")} AS start, query, count(*) AS searches,
+           round(avg(top_score), 6) AS avg_top_score
+    FROM searchlog GROUP BY 1, 2
+""", ("searchlog",))
+def _(inputs):
+    spark = inputs.spark
+    incoming, state, checkpoint = (scratch_path(spark, n) for n in ("incoming", "windows", "state"))
+    log = inputs.searchlog.select("seq", "logged_at", "query", "expanded_query", "top_score")
+    # Two runs from one checkpoint. Files come in any order of time, and the log spans less than the lateness.
+    for half in (0, 1):
+        log.filter(F.pmod("seq", F.lit(2)) == half).repartition(2, "seq").write.mode("append").parquet(incoming)
+        monitor.windowed_monitor(spark, incoming, state, checkpoint, "1 day", "1000 days", 1, merge_every=3).awaitTermination()
+    found = monitor.latest_snapshot(spark, state, monitor.WINDOW_KEYS)
+    return found.select(
+        F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "query", "searches",
+        F.round("avg_top_score", 6).alias("avg_top_score"),
+    )
+
+
 @query("windowed_quality", f"""
     SELECT {S.stamp("time_bucket(INTERVAL 1 day, logged_at)")} AS start, query, count(*) AS searches,
            round(avg(top_score), 6) AS avg_top_score

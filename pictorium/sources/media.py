@@ -1,9 +1,23 @@
-"""File listings of media folders."""
+"""Listings of media folders, whole and kept up to date; file contents are never read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from pictorium.sources.folders import numbered_folders
+
+_CHANGES = "path string, size bigint, modified timestamp, change string"
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _listing(files: DataFrame) -> DataFrame:
+    return files.select(
+        F.regexp_replace("path", "^file:/*", "/").alias("path"),
+        F.col("length").alias("size"),
+        F.col("modificationTime").alias("modified"),
+    )
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
@@ -12,9 +26,72 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     Folders that start with a dot or an underscore are passed over, so trash
     folders do not come back in.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(
-        F.regexp_replace("path", "^file:/*", "/").alias("path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"),
+    return _listing(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
+
+
+def listing_changes(current: DataFrame, stored: DataFrame) -> DataFrame:
+    """``path, size, modified, change`` of files that were added, changed (size or time) or are gone since ``stored``.
+
+    A file that is gone has its last known size and time. Paths do not repeat.
+    """
+    now = current.select("path", F.struct("size", "modified").alias("now"))
+    then = stored.select("path", F.struct("size", "modified").alias("then"))
+    change = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "gone").when(F.col("now") != F.col("then"), "changed")
+    both = now.join(then, "path", "full").withColumn("change", change).filter(F.col("change").isNotNull())
+    return both.select("path", F.coalesce("now.size", "then.size").alias("size"), F.coalesce("now.modified", "then.modified").alias("modified"), "change")
+
+
+def _versions(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame | None:
+    versions = [v for v in numbered_folders(spark, path, "version") if before is None or v < before]
+    if not versions:
+        return None
+    return spark.read.option("basePath", path).schema(f"{schema}, version long").parquet(*(f"{path}/version={v}" for v in versions))
+
+
+def stored_listing(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The listing that all changes written below ``path`` add up to, or those before a micro-batch; empty before the first.
+
+    A sweep comes after the micro-batch that it names, and before the next one.
+    """
+    rows = spark.createDataFrame([], f"{_CHANGES}, after long, sweep long")
+    arrivals = _versions(spark, f"{path}/arrivals", _CHANGES, before)
+    if arrivals is not None:
+        rows = rows.unionByName(arrivals.withColumn("sweep", F.lit(0).cast("long")).withColumnRenamed("version", "after"))
+    sweeps = _versions(spark, f"{path}/sweeps", f"{_CHANGES}, after long")
+    if sweeps is not None:
+        sweeps = sweeps if before is None else sweeps.filter(F.col("after") < before)
+        rows = rows.unionByName(sweeps.withColumn("sweep", F.col("version") + 1).drop("version"))
+    last = rows.groupBy("path").agg(F.max_by(F.struct("size", "modified", "change"), F.struct("after", "sweep")).alias("r"))
+    return last.filter("r.change <> 'gone'").select("path", "r.size", "r.modified")
+
+
+def watch_files(spark: SparkSession, root: str, path: str, checkpoint: str, files_per_batch: int = 10_000) -> StreamingQuery:
+    """Write arriving files as changes below ``path``, a version for each micro-batch.
+
+    Files that the stored listing has with another size or time are changed, others are added. A stream
+    only sees files that come: ``sweep`` finds those that changed in place or went. A micro-batch that runs
+    again replaces its own version.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        found = _listing(batch)
+        # Only arrivals are compared, so nothing is gone here.
+        known = stored_listing(spark, path, batch_id).join(found.select("path"), "path", "left_semi")
+        listing_changes(found, known).write.mode("overwrite").parquet(f"{path}/arrivals/version={batch_id}")
+
+    files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(root)
+    return (
+        files.select("path", "modificationTime", "length")
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+
+
+def sweep(spark: SparkSession, root: str, path: str) -> int:
+    """Compare the whole folder with the stored listing, write what differs, and return the number of the sweep."""
+    last = max(numbered_folders(spark, f"{path}/arrivals", "version"), default=-1)
+    number = max(numbered_folders(spark, f"{path}/sweeps", "version"), default=-1) + 1
+    changes = listing_changes(scan_files(spark, root), stored_listing(spark, path))
+    changes.withColumn("after", F.lit(last).cast("long")).write.mode("overwrite").parquet(f"{path}/sweeps/version={number}")
+    return number

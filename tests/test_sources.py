@@ -321,15 +321,116 @@ def test_ingest_appends_each_upload_once(spark, tmp_path):
     assert sorted(r["photo_id"] for r in spark.read.parquet(vec).collect()) == [1, 4]
 
 
+def test_ingest_looks_up_what_its_filters_know(spark, tmp_path, monkeypatch):
+    # Filters of 64 bits are full at once, so nearly every id is looked up; the outcome is the same.
+    monkeypatch.setattr(ingest, "BUCKETS", 4)
+    outcomes = []
+    for bits in (64, 1 << 16):
+        incoming, lib, vec, state = (str(tmp_path / f"{n}{bits}") for n in ("in", "lib", "vec", "state"))
+        at = dt.datetime(2024, 1, 2)
+        for run in range(3):
+            rows = [(i if i % 50 else None, f"p{i}.jpg", 10, f"run {run}", at + dt.timedelta(run)) for i in range(40 * run, 40 * run + 80)]
+            spark.createDataFrame(rows, ingest.UPLOAD_SCHEMA).repartition(2).write.mode("append").parquet(incoming)
+            ingest.ingest_stream(spark, incoming, lib, vec, state, files_per_batch=1, filter_bits=bits).awaitTermination()
+        stored = spark.read.parquet(lib)
+        ids = [r["photo_id"] for r in stored.filter("photo_id is not null").collect()]
+        assert sorted(ids) == [i for i in range(160) if i % 50] and stored.filter("photo_id is null").count() == 6
+        outcomes.append(sorted((r["photo_id"], r["description"]) for r in stored.filter("photo_id is not null").collect()))
+    assert outcomes[0] == outcomes[1] and dict(outcomes[0])[79] == "run 0" and dict(outcomes[0])[81] == "run 1"
+
+
+def test_a_batch_that_runs_again_replaces_what_it_wrote(spark, tmp_path):
+    seen = ingest.SeenIds(spark, str(tmp_path / "ids"), 1 << 12)
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "photo_id long")
+    ids = lambda df: sorted(r[0] for r in df.collect())
+    assert ids(seen.fresh(rows(1, 2, 3), 0)) == [1, 2, 3]
+    for _ in range(2):
+        seen.add(rows(1, 2, 3), 0)
+        assert ids(seen.fresh(rows(3, 4), 1)) == [4] and ids(seen.fresh(rows(1, 2, 3), 0)) == [1, 2, 3]
+    seen.add(rows(4), 1)
+    seen.add(rows(), 2)
+    assert ids(seen.fresh(rows(1, 4, 5), 3)) == [5] and ids(seen.fresh(rows(), 3)) == []
+
+
+def test_an_unreadable_library_raises(spark, tmp_path):
+    incoming, lib, vec, state = (str(tmp_path / n) for n in ("in", "lib", "vec", "state"))
+    row = (1, "a.jpg", 10, "x", dt.datetime(2024, 1, 2))
+    spark.createDataFrame([row], ingest.UPLOAD_SCHEMA).write.mode("append").parquet(incoming)
+    ingest.ingest_stream(spark, incoming, lib, vec, state).awaitTermination()
+    for file in (tmp_path / "lib-ids" / "filters").rglob("part-*.parquet"):
+        file.write_bytes(b"broken")
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    spark.createDataFrame([row], ingest.UPLOAD_SCHEMA).write.mode("append").parquet(incoming)
+    with pytest.raises(Exception):
+        ingest.ingest_stream(spark, incoming, lib, vec, state).awaitTermination()
+    assert spark.read.parquet(lib).count() == 1
+
+
 def test_monitor_equals_the_batch_report(spark, tmp_path):
-    incoming, snapshots, state = (str(tmp_path / n) for n in ("in", "snap", "state"))
+    incoming, path, state = (str(tmp_path / n) for n in ("in", "snap", "state"))
     at = dt.datetime(2024, 1, 1)
-    rows = [(i, at + dt.timedelta(minutes=i), f"q{i % 3}", "x" if i % 2 else None, (i % 7) / 10) for i in range(60)]
+    rows = [(i, at + dt.timedelta(minutes=i), f"q{i % 3}" if i < 40 else "late", "x" if i % 2 else None, (i % 7) / 10) for i in range(60)]
     log = spark.createDataFrame(rows, monitor.LOG_SCHEMA)
-    log.repartition(3).write.parquet(incoming)
-    monitor.query_log_monitor(spark, incoming, snapshots, state, files_per_batch=1).awaitTermination()
-    got = monitor.report(monitor.latest_snapshot(spark, snapshots)).drop("first_seq").collect()
+    # Two runs from one checkpoint, with merges in between.
+    for part in (log.filter("seq < 40"), log.filter("seq >= 40")):
+        part.repartition(3).write.mode("append").parquet(incoming)
+        monitor.query_log_monitor(spark, incoming, path, state, files_per_batch=1, merge_every=2).awaitTermination()
+    got = monitor.report(monitor.latest_snapshot(spark, path)).drop("first_seq").collect()
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in Q.problematic_queries(log).collect())
+    # Later batches write what they change, not the whole state.
+    assert [r[0] for r in spark.read.parquet(f"{path}/changes/version=5").select("query").collect()] == ["late"]
+    with pytest.raises(ValueError):
+        monitor.latest_snapshot(spark, str(tmp_path / "nothing"))
+
+
+def test_windowed_monitor_restarts_and_drops_late_rows(spark, tmp_path):
+    incoming, path, state = (str(tmp_path / n) for n in ("in", "windows", "state"))
+    day = dt.datetime(2024, 1, 1)
+
+    def feed(*hours):
+        rows = [(int(10 * h), day + dt.timedelta(hours=h), "q", None, h / 100) for h in hours]
+        spark.createDataFrame(rows, monitor.LOG_SCHEMA).coalesce(1).write.mode("append").parquet(incoming)
+        monitor.windowed_monitor(spark, incoming, path, state, "1 hour", "2 hours", merge_every=2).awaitTermination()
+        found = monitor.latest_snapshot(spark, path, monitor.WINDOW_KEYS).collect()
+        return {r["start"].hour: (r["searches"], round(r["avg_top_score"], 4)) for r in found}
+
+    assert feed(0.1, 1.1, 10.1) == {0: (1, 0.001), 1: (1, 0.011), 10: (1, 0.101)}
+    # Within the lateness a row changes its window; beyond it, also after a restart, it does not.
+    assert feed(9.5, 10.5, 1.2) == {0: (1, 0.001), 1: (1, 0.011), 9: (1, 0.095), 10: (2, 0.103)}
+    assert feed(20.0)[20] == (1, 0.2)
+    assert feed(10.7, 19.0) == {0: (1, 0.001), 1: (1, 0.011), 9: (1, 0.095), 10: (2, 0.103), 19: (1, 0.19), 20: (1, 0.2)}
+
+
+def test_watched_folder_restarts_and_sweeps(spark, tmp_path):
+    root, listing, state = (str(tmp_path / n) for n in ("media", "listing", "state"))
+
+    def put(name, data):
+        file = tmp_path / "media" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(data)
+
+    def known():
+        return {r["path"].removeprefix(root + "/"): r["size"] for r in media.stored_listing(spark, listing).collect()}
+
+    assert known() == {}
+    put("a.jpg", b"1"), put("sub/b.mov", b"22")
+    media.watch_files(spark, root, listing, state, 1).awaitTermination()
+    assert known() == {"a.jpg": 1, "sub/b.mov": 2}
+    put("c.png", b"333")
+    media.watch_files(spark, root, listing, state, 1).awaitTermination()
+    assert known() == {"a.jpg": 1, "sub/b.mov": 2, "c.png": 3}
+    (tmp_path / "media/a.jpg").unlink()
+    put("sub/b.mov", b"4444")
+    first = media.sweep(spark, root, listing)
+    changes = {r["path"].removeprefix(root + "/"): (r["change"], r["size"]) for r in spark.read.parquet(f"{listing}/sweeps/version={first}").collect()}
+    assert changes == {"a.jpg": ("gone", 1), "sub/b.mov": ("changed", 4)} and known() == {"sub/b.mov": 4, "c.png": 3}
+    # A later arrival counts after the sweep, a second sweep finds nothing.
+    put("a.jpg", b"55555"), put("_trash/d.jpg", b"6")
+    media.watch_files(spark, root, listing, state, 1).awaitTermination()
+    assert media.sweep(spark, root, listing) == first + 1 and spark.read.parquet(f"{listing}/sweeps/version={first + 1}").count() <= 1
+    assert known() == {"a.jpg": 5, "sub/b.mov": 4, "c.png": 3}
+    plan = media.scan_files(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
 
 
 def test_windowed_quality_drops_late_rows(spark, tmp_path):
