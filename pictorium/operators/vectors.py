@@ -515,12 +515,16 @@ def repair_embeddings(
 
     The written copy is read back and a sample is verified before the metadata
     row says ``repaired``; the stored vectors stay as they are, as the backup.
+    Only stored vectors of ``model_name`` count. ``fresh`` is read several times:
+    give a stored table, or use ``encodings.repair_library``, so that texts are encoded once.
     Returns ``model_name, num_embeddings, embedding_dim, normalized, repaired, previous_mismatches``.
     """
     spark = library.sparkSession
-    mismatches = embedding_drift(library, stored, fresh, threshold).count()
+    # Vectors of another model are none of this one.
+    known = stored.filter(F.col("model_name") == model_name) if "model_name" in stored.columns else stored
+    mismatches = embedding_drift(library, known, fresh, threshold).count()
     if not mismatches:
-        current = embedding_metadata(stored)
+        current = embedding_metadata(known)
         return current.withColumns({"repaired": F.lit(False), "previous_mismatches": F.lit(0).cast("long")})
     wanted = fresh.join(library.select("photo_id"), "photo_id", "left_semi")
     wanted.select("photo_id", F.lit(model_name).alias("model_name"), "embedding").write.parquet(path)

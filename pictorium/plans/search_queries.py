@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from pictorium.functions import ranking as R
 from pictorium.functions import text as T
+from pictorium.operators import encodings
 from pictorium.operators import hybrid as H
 from pictorium.operators import keyword as KW
+from pictorium.operators import thresholds
 from pictorium.operators import vectorindex
 from pictorium.operators import vectors as V
 from pictorium.plans import sqlbits as S
@@ -404,6 +406,21 @@ def _(inputs):
     )
 
 
+@query("repair_library", f"""
+    WITH {hashed('e', 'photo_id', 'description', 'library')}, b AS (
+        SELECT photo_id, CASE WHEN photo_id % 7 = 0 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS old FROM e WHERE photo_id % 5 <> 0)
+    SELECT 'hash-64' AS model_name, count(*) AS num_embeddings, CAST(max(len(embedding)) AS INT) AS embedding_dim, true AS normalized, true AS repaired,
+           count(*) FILTER (WHERE old IS NULL OR list_dot_product(old, embedding) < 0.9) AS previous_mismatches
+    FROM e LEFT JOIN b USING (photo_id)
+""", ("library",))
+def _(inputs):
+    """Every fifth vector is missing and every seventh turned round; texts are encoded once for all of it."""
+    store = encodings.EncodingStore(scratch_path(inputs.spark, "encodings"), "hash-64")
+    turned = F.when(F.col("photo_id") % 7 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    old = store.vectors(inputs.library).filter("photo_id % 5 <> 0").withColumn("embedding", turned)
+    return encodings.repair_library(inputs.library, old, scratch_path(inputs.spark, "repaired"), store)
+
+
 # ---------------------------------------------------------------- annotated words
 
 
@@ -533,6 +550,13 @@ def _(inputs):
     return hits.select(*_HIT_COLUMNS)
 
 
+@query("hybrid_search_threshold", f"WITH {_hybrid('search_queries', 20)} SELECT {', '.join(_HIT_COLUMNS)} FROM hits",
+       ("library", "search_queries"))
+def _(inputs):
+    vectors = encodings.EncodingStore(scratch_path(inputs.spark, "encodings"), "hash-64").vectors(inputs.library)
+    return thresholds.hybrid_search(inputs.search_queries, None, inputs.library, vectors, top_k=20).rows.select(*_HIT_COLUMNS)
+
+
 @query("hybrid_search_filtered", f"""
     WITH {_hybrid('search_queries', 20, 'coalesce(has_characters, false) = true')}
     SELECT {', '.join(_HIT_COLUMNS)} FROM hits

@@ -1,6 +1,7 @@
 """Table operators against brute force on small tables."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -8,12 +9,14 @@ from pyspark.sql import functions as F
 
 from pictorium.functions import kernels
 from pictorium.operators import catalog as C
+from pictorium.operators import encodings
 from pictorium.operators import faces as FA
 from pictorium.operators import hybrid as H
 from pictorium.operators import keyword as KW
 from pictorium.operators import modelout as M
 from pictorium.operators import ordering as O
 from pictorium.operators import querylog as Q
+from pictorium.operators import thresholds
 from pictorium.operators import vectors as V
 
 
@@ -252,6 +255,29 @@ def test_repair_writes_only_when_vectors_have_drifted(spark, library, tmp_path):
     assert (fixed["repaired"], fixed["previous_mismatches"], fixed["num_embeddings"]) == (True, 2, 3)
 
 
+def test_every_text_is_encoded_once(spark, library, tmp_path):
+    log = tmp_path / "encoded"
+    log.mkdir()
+
+    def encoder(texts):
+        with open(log / f"{uuid.uuid4().hex}", "w", encoding="utf-8") as f:
+            f.write("".join(t + "\n" for t in texts))
+        return np.array([[float(len(t)) + 1, 1.0] for t in texts])
+
+    seen = lambda: sorted(line for file in log.iterdir() for line in file.read_text("utf-8").splitlines())
+    lib = library("one", "two", "one", "three", None, "", "été").repartition(4)
+    store = encodings.EncodingStore(str(tmp_path / "store"), "m", encoder)
+    old = spark.createDataFrame([(0, "m", [0.0, 1.0]), (0, "other", [1.0, 0.0])], "photo_id long, model_name string, embedding array<double>")
+    fixed = encodings.repair_library(lib, old, str(tmp_path / "new"), store).first()
+    # Photo 0 is near enough to no stored vector, all others have none.
+    assert (fixed["repaired"], fixed["num_embeddings"], fixed["previous_mismatches"]) == (True, 7, 7)
+    assert seen() == ["", "one", "three", "two", "été"]
+    again = encodings.repair_library(lib, spark.read.parquet(str(tmp_path / "new")), str(tmp_path / "unused"), store).first()
+    assert (again["repaired"], again["previous_mismatches"]) == (False, 0) and len(seen()) == 5
+    more = library("four", "one")
+    assert store.add(more) == 1 and sorted(r.photo_id for r in store.vectors(more).collect()) == [0, 1] and len(seen()) == 6
+
+
 # ---------------------------------------------------------------- hybrid search
 
 
@@ -310,6 +336,29 @@ def test_hybrid_search_equals_brute_force(spark, library, queries, monkeypatch,
     } == want
 
 
+@pytest.mark.parametrize("top_k, min_score, known", [(5, 0.0, 2_048), (3, None, 2_048), (5, 0.5, 2_048), (200, 0.0, 2_048), (5, 0.0, 0)])
+def test_threshold_search_gives_the_same_rows(spark, library, queries, tmp_path, top_k, min_score, known):
+    rng = random.Random(top_k)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 30))) for _ in range(150)]
+    # Vectors of their own, near a few of the queries; some negative, some missing.
+    chosen = np.random.default_rng(5)
+    vectors = chosen.normal(size=(150, 64)) * 0.1
+    lib = library(*texts).withColumn("has_dogs", F.col("photo_id") % 3 != 0)
+    qs = queries("red dog", "hair", "old house red", "" if top_k == 200 else "carpet", "dog dog")
+    asked = {r["query_id"]: np.array(r["embedding"]) for r in H.query_vectors(H.whole_query_phrases(qs)).collect()}
+    for i in range(150):
+        vectors[i] += list(asked.values())[i % len(asked)] * (1.2 if i % 2 == 0 else 0.1)
+    stored = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors) if i % 17], "photo_id long, embedding array<double>")
+    pairs = spark.createDataFrame([(0, "red", "dogs"), (10, "old", "house")], "photo_id long, adj string, noun string")
+    options = dict(top_k=top_k, min_score=min_score, max_queries=known, has_dogs=True)
+    found = thresholds.hybrid_search(qs, None, lib, stored, pairs, **options)
+    wanted = H.hybrid_search(qs, None, lib, stored, pairs, **options)
+    order = ("query_id", "rank")
+    assert found.rows.orderBy(*order).collect() == wanted.orderBy(*order).collect()
+    read = found.read.count()
+    assert (0 < read < 70 if top_k < 200 and known else read <= 100), read
+
+
 def test_noun_phrases(spark):
     def sizes(classes):
         rows = [(1, 0, i, f"t{i}", c) for i, c in enumerate(classes.split())]
