@@ -140,7 +140,7 @@ def _any_probe(library: DataFrame, probes: list[str]) -> DataFrame:
     return library.filter(test)
 
 
-def _evaluated(pairs: DataFrame, *keep: str) -> DataFrame:
+def evaluated(pairs: DataFrame, *keep: str) -> DataFrame:
     """Snippets of the first matching group of each joined (query, text) row."""
     group = K.first_matching_group(F.col("lowered"), F.col("groups"), F.col("d"))
     chosen = pairs.select("query_id", "photo_id", *keep, "tokens", "lowered", "d", group.alias("group"))
@@ -206,7 +206,7 @@ def _hits(parsed: DataFrame, library: DataFrame, *keep: str, max_literal: int =
     probed = parsed.withColumn("probes", _group_probes(F.col("groups")))
     known = rows_within(probed.select("probes", _as_json(probed)), max_literal)
     pairs = _index_pairs(parsed, library, *keep) if known is None else _scan_pairs(parsed, known, library, *keep)
-    return _evaluated(pairs, *keep)
+    return evaluated(pairs, *keep)
 
 
 def keyword_hits(

@@ -10,6 +10,7 @@ from pictorium.functions import text as T
 from pictorium.operators import encodings
 from pictorium.operators import hybrid as H
 from pictorium.operators import keyword as KW
+from pictorium.operators import keywordindex
 from pictorium.operators import thresholds
 from pictorium.operators import vectorindex
 from pictorium.operators import vectors as V
@@ -214,6 +215,15 @@ def _(inputs):
     return hits.withColumn("matches", matches_text(F.col("matches")))
 
 
+@query("keyword_search_stored", _KEYWORD_CHECK, _KEYWORD_VIEWS)
+def _(inputs):
+    searchable, path = _searchable(inputs), scratch_path(inputs.spark, "keyword-index")
+    for part in (0, 1):
+        keywordindex.add(searchable.filter(F.pmod("photo_id", F.lit(2)) == part), path)
+    hits = keywordindex.keyword_search(inputs.boolean_queries, searchable, path)
+    return hits.withColumn("matches", matches_text(F.col("matches")))
+
+
 @query("word_proximity", f"""
     WITH words AS (SELECT query_id, {S.blank_words('lower(query)')} AS w FROM boolean_queries),
     pairs AS (SELECT query_id, w, photo_id, {S.blank_words('lower(description)')} AS t FROM words, library
