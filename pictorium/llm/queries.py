@@ -144,7 +144,7 @@ URL_RULES = [
 
 
 @query("op8_url_filter", check=rf"""
-    WITH u AS (SELECT page_id, coalesce(url, '') AS url,
+    WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url,
                       translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}') AS host,
                       regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
          t AS (SELECT page_id, host, path, CASE WHEN contains(url, '://') THEN list_sort(list_distinct(
@@ -158,13 +158,11 @@ URL_RULES = [
          l AS (SELECT doc_id, bool_or(quality = 0) AS bad FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
          i AS (SELECT tokens, bad FROM t JOIN l ON doc_id = page_id),
          e AS (SELECT row_number() OVER () AS r, bad, tokens FROM i),
-         x AS (SELECT r, bad, unnest(tokens) AS k FROM e),
-         c AS (SELECT [k] AS s, bad FROM x
-               UNION ALL SELECT [a.k, b.k], a.bad FROM x a JOIN x b ON a.r = b.r AND a.k < b.k
-               UNION ALL SELECT [a.k, b.k, c.k], a.bad FROM x a JOIN x b ON a.r = b.r AND a.k < b.k JOIN x c ON a.r = c.r AND b.k < c.k),
-         m AS (SELECT s FROM c GROUP BY s
-               HAVING count_if(bad) >= ceil(greatest({url_filter.MIN_SUPPORT}, {url_filter.MIN_COUNT} / (SELECT count(*) FROM i)) * (SELECT count(*) FROM i))
-                  AND count_if(bad) >= {url_filter.MIN_CONFIDENCE} * count(*)),
+         c AS (SELECT r, bad, tokens, 0 AS k, CAST([] AS VARCHAR[]) AS s FROM e
+               UNION ALL SELECT r, bad, tokens, k + 1, CASE WHEN held THEN list_append(s, tokens[k + 1]) ELSE s END
+               FROM c, (SELECT unnest([true, false]) AS held) WHERE k < len(tokens)),
+         m AS (SELECT s FROM c WHERE k = len(tokens) AND len(s) > 0 GROUP BY s
+               HAVING count_if(bad) >= {url_filter.MIN_COUNT} AND count_if(bad) >= {url_filter.MIN_CONFIDENCE} * count(*)),
          v AS (SELECT page_id, host, path, CASE
                  WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
                  WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'

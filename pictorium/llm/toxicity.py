@@ -45,6 +45,8 @@ TOP = 4
 UNIT = 1 << 20
 # Strings that are brought into the tasks, 16 bytes each.
 HEAD_STRINGS = 1 << 20
+# Words that a task remembers, some 200 bytes each.
+REMEMBERED = 400_000
 # What stands before and after the letters of a word; no word holds them.
 BEGIN, END = "\x02", "\x03"
 _SPLIT = bytes(32 if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127) else c for c in range(256))
@@ -57,16 +59,26 @@ def words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return b" ".join(texts).split(), found, counts
 
 
-def _distinct(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different words of each text: all words, then for each different one where it stands, its hash, text and count; words of each text."""
+@dataclass
+class Spelled:
+    """Different words of a batch, and which of them each text has how often."""
+
+    names: list[bytes]
+    hashes: np.ndarray
+    text: np.ndarray  # for each different word of each text
+    word: np.ndarray
+    times: np.ndarray
+    counts: np.ndarray  # words of each text
+
+
+def _distinct(texts: list[bytes]) -> Spelled:
     spelled, found, counts = words(texts)
-    text = np.repeat(np.arange(len(texts)), counts)
-    order = np.lexsort((found, text))
-    found, text = found[order], text[order]
-    new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    return spelled, order[first], found[first], text[first], np.diff(first, append=len(found)), counts
+    hashes, first, which = np.unique(found, return_index=True, return_inverse=True)
+    size = max(1, len(hashes))
+    pairs = np.sort(np.repeat(np.arange(len(texts)), counts) * size + which)
+    start = np.flatnonzero(np.diff(pairs, prepend=-1))
+    text, word = np.divmod(pairs[start], size)
+    return Spelled([spelled[i] for i in first.tolist()], hashes, text, word, np.diff(start, append=len(pairs)), counts)
 
 
 _WORDS = pa.schema([("key", pa.int64()), ("word", pa.string()), ("toxic", pa.int64()), ("ordinary", pa.int64())])
@@ -75,12 +87,11 @@ _WORDS_DDL = "key long, word string, toxic long, ordinary long"
 
 def _word_rows(texts: list[bytes], labels: np.ndarray) -> pa.RecordBatch:
     """In how many texts of each class a word stands; a text counts a word once."""
-    spelled, at, found, text, _, _ = _distinct(texts)
-    keys, first, which = np.unique(found, return_index=True, return_inverse=True)
-    toxic = np.bincount(which, labels[text], len(keys)).astype(np.int64)
-    every = np.bincount(which, minlength=len(keys))
-    names = [spelled[i].decode() for i in at[first].tolist()]
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(names, pa.string()), pa.array(toxic), pa.array(every - toxic)], schema=_WORDS)
+    d = _distinct(texts)
+    toxic = np.bincount(d.word, labels[d.text], len(d.names)).astype(np.int64)
+    every = np.bincount(d.word, minlength=len(d.names))
+    names = [w.decode() for w in d.names]
+    return pa.RecordBatch.from_arrays([pa.array(d.hashes.view(np.int64)), pa.array(names, pa.string()), pa.array(toxic), pa.array(every - toxic)], schema=_WORDS)
 
 
 def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +132,21 @@ _STRINGS = pa.schema([("string", pa.string()), ("n", pa.int64())])
 
 
 def _all_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings of the words of all texts, and how many words have them."""
+    """The strings of the words of all texts; ``n`` says roughly how many words have them, and only orders them.
+
+    A task remembers words, a bounded number, whose strings it has given.
+    """
+    given: set[int] = set()
     for batch in common.pieces(batches, "text"):
         spelled, found, _ = words(common.utf8(batch.column("text")))
-        _, first, times = np.unique(found, return_index=True, return_counts=True)
+        hashes, first, times = np.unique(found, return_index=True, return_counts=True)
+        new = np.array([h not in given for h in hashes.tolist()], bool)
+        if not new.any():
+            continue
+        if len(given) + new.sum() > REMEMBERED:
+            given.clear()
+        given.update(hashes[new].tolist())
+        first, times = first[new], times[new]
         letters, word, last, keys = spelling([spelled[i] for i in first.tolist()])
         _, one, which = np.unique(keys, return_index=True, return_inverse=True)
         n = np.bincount(which, times[word], len(one)).astype(np.int64)
@@ -229,6 +251,20 @@ class Head:
 
     key: np.ndarray
     diff: np.ndarray
+    # Words that a task has looked up, by hash: a bounded number.
+    seen: dict = field(default_factory=dict)
+
+    def remembered(self, hashes: np.ndarray, spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``differences`` of the words with these hashes; each is spelled once for a task."""
+        names = hashes.tolist()
+        new = [i for i, h in enumerate(names) if h not in self.seen]
+        if len(self.seen) + len(new) > REMEMBERED:
+            self.seen.clear()
+            new = list(range(len(names)))
+        total, known = self.differences([spelled[i] for i in new])
+        self.seen.update(zip((names[i] for i in new), zip(total.tolist(), known.tolist())))
+        found = [self.seen[h] for h in names]
+        return np.array([d for d, _ in found], np.int64), np.array([k for _, k in found], bool)
 
     def differences(self, spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Differences of words, and whether all their strings are known here."""
@@ -244,14 +280,15 @@ class Head:
 
     def rows(self, texts: list[bytes], ids: np.ndarray, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
         """For each text a row of its sums over the words that are known here, and a row for each other word."""
-        spelled, at, found, text, times, counts = _distinct(texts)
-        _, first, which = np.unique(found, return_index=True, return_inverse=True)
-        of_word, whole = self.differences([spelled[i] for i in at[first].tolist()])
-        known = whole[which]
-        diff, of = of_word[which[known]], text[known]
+        d = _distinct(texts)
+        text, times, counts = d.text, d.times, d.counts
+        of_word, whole = self.remembered(d.hashes, d.names)
+        known = whole[d.word]
+        diff, of = of_word[d.word[known]], text[known]
         total = np.zeros(len(texts), np.int64)
         np.add.at(total, of, diff * times[known])
-        order = np.lexsort((-diff, of))
+        # Differences of a word are far below 2 ** 49 units, and a batch has a thousand texts.
+        order = np.argsort(of * (1 << 50) - diff)
         starts = np.searchsorted(of[order], np.arange(len(texts) + 1))
         top = [diff[order[a:min(a + TOP, b)]].tolist() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
         n = len(texts)
@@ -263,9 +300,9 @@ class Head:
         for i in range(0, len(rest), 100_000):
             part = rest[i:i + 100_000]
             n = len(part)
-            names = [spelled[j].decode() for j in at[part].tolist()]
+            names = [d.names[j].decode() for j in d.word[part].tolist()]
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[text[part]]), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int64())), pa.array(found[part].view(np.int64)),
+                pa.array(ids[text[part]]), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int64())), pa.array(d.hashes[d.word[part]].view(np.int64)),
                 pa.array(names, pa.string()), pa.array(times[part].astype(np.int64)),
             ], schema=_ROWS)
 

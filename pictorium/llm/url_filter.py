@@ -1,26 +1,27 @@
 """URL filters: a rule list by host and path, then association rules mined from labels.
 
 Tokens of a URL are its scheme, the labels of its host, the segments of its
-path without figures, its query keys and its fragment. FP-growth mines
-combinations of tokens from labelled URLs; a combination is a rule when it is
-frequent enough and labelled URLs that hold it are unwanted often enough. Rules
-stand in an inverted index by their rarest token. Different token sets are
-looked up once however many URLs share them.
+path without figures, its query keys and its fragment. Tokens that stand in the
+same labelled URLs make one class, since a rule may hold any of them for the
+same counts; a URL holds a class when it holds one of its tokens. A class that
+is unwanted by itself is a rule, and combinations with it are covered. FP-growth
+mines combinations of the other classes from unwanted URLs only; how many
+labelled URLs hold each is counted through the inverted index that matches rules
+afterwards: each rule stands under its rarest class. Different token sets are looked up
+once however many URLs share them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pictorium.llm import common
 
-UNWANTED = "label:unwanted"
-MIN_SUPPORT = 0.002
 MIN_COUNT = 10
 MIN_CONFIDENCE = 0.6
-# Longer rules that a rule of up to so many tokens covers are left out: they change no verdict.
-COVERING = 3
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -68,45 +69,76 @@ def listed(host_: Column, path_: Column, rules: list[tuple[str, str, str]]) -> C
     return found
 
 
+@dataclass
+class Rules:
+    """Mined rules over classes of tokens."""
+
+    rules: DataFrame  # classes (sorted), n (unwanted URLs), n_all (labelled URLs)
+    classes: DataFrame  # token, class (its smallest token), n, n_all
+
+
+def _classes(sets: DataFrame, least: int) -> DataFrame:
+    """Tokens of at least ``least`` unwanted URLs with their class: those in the same labelled URLs, by two hashes of these."""
+    marks = [F.sum(F.xxhash64("tokens", F.lit(seed)).cast("decimal(38,0)")).alias(f"mark{seed}") for seed in (0, 1)]
+    held = sets.select(F.explode("tokens").alias("token"), "tokens", "n", "n_all").groupBy("token").agg(
+        F.sum("n").alias("n"), F.sum("n_all").alias("n_all"), F.count("*").alias("sets"), *marks
+    ).filter(F.col("n") >= least)
+    same = ["sets", "mark0", "mark1"]
+    return held.join(held.groupBy(*same).agg(F.min("token").alias("class")), same).select("token", "class", "n", "n_all")
+
+
+def _of_classes(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``tokens, held`` of the sets that hold some class; each set once."""
+    each = sets.select("tokens", F.explode("tokens").alias("token")).join(classes.select("token", "class"), "token")
+    return each.groupBy("tokens").agg(F.array_sort(F.collect_set("class")).alias("held"))
+
+
+def _holding(sets: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``tokens, rule`` of sets ``tokens, held`` with the rules ``classes`` that they hold, by the rarest class of each rule."""
+    count = classes.filter("token = class").select("class", "n_all")
+    index = rules.select(F.col("classes").alias("rule"), F.explode("classes").alias("class")).join(count, "class")
+    index = index.groupBy("rule").agg(F.min_by("class", F.struct("n_all", "class")).alias("class"))
+    found = sets.select("tokens", "held", F.explode("held").alias("class")).join(index, "class")
+    return found.filter(F.size(F.array_except("rule", "held")) == 0).select("tokens", "rule")
+
+
 def mine(urls: DataFrame, labels: DataFrame, url_col: str = "url", id_col: str = "page_id", label_id: str = "doc_id", label_col: str = "quality",
-         bad: int = 0, min_support: float = 0.0, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules ``tokens, confidence, n``: combinations of any number of tokens whose labelled URLs are mostly unwanted.
+         bad: int = 0, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> Rules:
+    """Rules: combinations of any number of classes whose labelled URLs are mostly unwanted.
 
     URLs and labels meet by id; an id is unwanted when any of its labels is
-    ``bad``, null labels count for nothing. A rule needs ``n`` unwanted URLs, at
-    least ``min_support`` of all labelled ones and ``min_count``, and their share
-    among the labelled URLs with its tokens must reach ``min_confidence``. Of the
-    rules with more than ``COVERING`` tokens, those that hold a shorter rule of
-    up to so many are left out. The least number does not grow with the table.
+    ``bad``, null labels count for nothing. A rule needs ``min_count`` unwanted URLs at
+    every size of the table, and their share among the labelled URLs that hold it must reach
+    ``min_confidence``. Combinations with a class that is a rule by itself are left
+    out: they change no verdict.
     """
     judged = labels.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{label_id}`").isNotNull()).groupBy(F.col(f"`{label_id}`").cast("long").alias("__id")).agg(
         F.bool_or(F.col(f"`{label_col}`") == bad).alias("__bad")
     )
-    items = urls.select(F.col(f"`{id_col}`").cast("long").alias("__id"), tokens(F.col(f"`{url_col}`").cast("string")).alias("items"))
-    items = items.join(judged, "__id").select(F.when(F.col("__bad"), F.array_append("items", F.lit(UNWANTED))).otherwise(F.col("items")).alias("items"))
-    total = items.count()
-    empty = urls.sparkSession.createDataFrame([], "tokens array<string>, confidence double, n long")
-    if not total:
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / total)), minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter(F.element_at("consequent", 1) == UNWANTED)
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * total).cast("long").alias("n"))
-    rules = common.store(rules, "url-rules")
-    short, long = rules.filter(F.size("tokens") <= COVERING), rules.filter(F.size("tokens") > COVERING)
-    return short.union(long.join(matches(long.select("tokens"), short), "tokens", "left_anti"))
-
-
-def matches(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """``tokens`` of the sets that hold all tokens of some rule; each set once.
-
-    The index has each rule under its rarest token among the rules' own, so a
-    common token leads to few rules.
-    """
-    use = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
-    index = rules.withColumn("token", F.explode("tokens")).join(use, "token").groupBy("tokens").agg(F.min_by("token", F.struct("uses", "token")).alias("token"))
-    index = index.groupBy("token").agg(F.collect_set("tokens").alias("rules"))
-    found = token_sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    return found.filter(F.exists("rules", lambda r: F.size(F.array_except(r, "tokens")) == 0)).select("tokens").distinct()
+    items = urls.select(F.col(f"`{id_col}`").cast("long").alias("__id"), tokens(F.col(f"`{url_col}`").cast("string")).alias("tokens"))
+    sets = items.join(judged, "__id").groupBy("tokens").agg(F.count_if("__bad").alias("n"), F.count("*").alias("n_all"))
+    sets = common.store(sets, "url-sets")
+    classes = common.store(_classes(sets, min_count), "url-classes")
+    own = classes.filter("token = class").withColumn("rule", F.col("n") >= min_confidence * F.col("n_all"))
+    single = own.filter("rule").select(F.array("class").alias("classes"), "n", "n_all")
+    held = common.store(_of_classes(sets, classes.join(own.filter("NOT rule").select("class"), "class", "left_semi")), "url-held")
+    # A row for each unwanted URL.
+    unwanted = held.join(sets.filter("n > 0"), "tokens").select("held", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    baskets = unwanted.count()
+    if baskets < min_count:
+        return Rules(single, classes)
+    frequent = FPGrowth(itemsCol="held", minSupport=min_count / baskets).fit(unwanted).freqItemsets
+    frequent = frequent.filter((F.size("items") > 1) & (F.col("freq") >= min_count))
+    frequent = common.store(frequent.select(F.array_sort("items").alias("classes"), F.col("freq").alias("n")), "url-frequent")
+    every = _holding(held, frequent, classes).join(sets.select("tokens", "n_all"), "tokens").groupBy("rule").agg(F.sum("n_all").alias("n_all"))
+    several = frequent.join(every.withColumnRenamed("rule", "classes"), "classes").filter(F.col("n") >= min_confidence * F.col("n_all"))
+    return Rules(common.store(single.unionByName(several), "url-rules"), classes)
+
+
+def matches(token_sets: DataFrame, mined: Rules) -> DataFrame:
+    """``tokens`` of the sets that hold all classes of some rule; each set once."""
+    held = _of_classes(token_sets, mined.classes)
+    return _holding(held, mined.rules, mined.classes).select("tokens").distinct()
 
 
 def judge(urls: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", id_col: str = "page_id", **options) -> DataFrame:
