@@ -45,8 +45,10 @@ TOP = 4
 UNIT = 1 << 20
 # Strings that are brought into the tasks, 16 bytes each.
 HEAD_STRINGS = 1 << 20
-# Words that a task remembers, some 200 bytes each.
+# Words that a task remembers, 16 bytes each.
 REMEMBERED = 400_000
+# Bytes of text that a task splits into words together; some forty times as many are held for it.
+SLICE = 2 << 20
 # What stands before and after the letters of a word; no word holds them.
 BEGIN, END = "\x02", "\x03"
 _SPLIT = bytes(32 if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127) else c for c in range(256))
@@ -97,8 +99,8 @@ def _word_rows(texts: list[bytes], labels: np.ndarray) -> pa.RecordBatch:
 def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.slice(at, 1000)
+        for at in range(0, len(batch), 500):
+            part = batch.slice(at, 500)
             yield _word_rows([unpack(b) for b in part.column("body").to_pylist()], np.array(part.column("label").to_pylist(), np.int64))
 
 
@@ -131,21 +133,44 @@ def string_keys(strings_: list[str]) -> np.ndarray:
 _STRINGS = pa.schema([("string", pa.string()), ("n", pa.int64())])
 
 
+class Remembered:
+    """Sorted hashes with a number each; emptied when it would hold more than ``REMEMBERED``."""
+
+    def __init__(self):
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        return _found(self.keys, hashes)[1]
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Sorted hashes that are not there yet."""
+        if len(self.keys) + len(hashes) > REMEMBERED:
+            self.__init__()
+        where = np.searchsorted(self.keys, hashes)
+        self.keys, self.values = np.insert(self.keys, where, hashes), np.insert(self.values, where, values)
+
+
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys stand in a sorted table, and whether they do."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    where = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return where, table[where] == keys
+
+
 def _all_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The strings of the words of all texts; ``n`` says roughly how many words have them, and only orders them.
 
     A task remembers words, a bounded number, whose strings it has given.
     """
-    given: set[int] = set()
-    for batch in common.pieces(batches, "text"):
+    given = Remembered()
+    for batch in common.pieces(batches, "text", SLICE):
         spelled, found, _ = words(common.utf8(batch.column("text")))
         hashes, first, times = np.unique(found, return_index=True, return_counts=True)
-        new = np.array([h not in given for h in hashes.tolist()], bool)
+        new = ~given.has(hashes)
         if not new.any():
             continue
-        if len(given) + new.sum() > REMEMBERED:
-            given.clear()
-        given.update(hashes[new].tolist())
+        given.add(hashes[new], times[new])
         first, times = first[new], times[new]
         letters, word, last, keys = spelling([spelled[i] for i in first.tolist()])
         _, one, which = np.unique(keys, return_index=True, return_inverse=True)
@@ -251,20 +276,20 @@ class Head:
 
     key: np.ndarray
     diff: np.ndarray
-    # Words that a task has looked up, by hash: a bounded number.
-    seen: dict = field(default_factory=dict)
+    # Words that a task has looked up: twice their difference, and one more for those not known here.
+    seen: Remembered = field(default_factory=Remembered)
 
     def remembered(self, hashes: np.ndarray, spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """``differences`` of the words with these hashes; each is spelled once for a task."""
-        names = hashes.tolist()
-        new = [i for i, h in enumerate(names) if h not in self.seen]
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen.clear()
-            new = list(range(len(names)))
-        total, known = self.differences([spelled[i] for i in new])
-        self.seen.update(zip((names[i] for i in new), zip(total.tolist(), known.tolist())))
-        found = [self.seen[h] for h in names]
-        return np.array([d for d, _ in found], np.int64), np.array([k for _, k in found], bool)
+        """``differences`` of the words with these sorted hashes; each is spelled once for a task."""
+        new = np.flatnonzero(~self.seen.has(hashes))
+        if len(self.seen.keys) + len(new) > REMEMBERED:
+            self.seen, new = Remembered(), np.arange(len(hashes))
+        total, known = self.differences([spelled[i] for i in new.tolist()])
+        if len(hashes) > REMEMBERED:
+            return total, known
+        self.seen.add(hashes[new], 2 * total + ~known)
+        values = self.seen.values[_found(self.seen.keys, hashes)[0]]
+        return values >> 1, values % 2 == 0
 
     def differences(self, spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Differences of words, and whether all their strings are known here."""
@@ -272,8 +297,8 @@ class Head:
         total, known = np.zeros(len(spelled), np.int64), np.zeros(len(spelled), bool)
         if len(self.key) and len(keys):
             keys, which = np.unique(keys, return_inverse=True)
-            where = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-            there = (self.key[where] == keys)[which]
+            where, there = _found(self.key, keys)
+            there = there[which]
             known = np.bincount(word, ~there, len(spelled)) == 0
             np.add.at(total, word, np.where(there, self.diff[where][which], 0))
         return total, known
@@ -336,9 +361,9 @@ class Model:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpack = zstandard.ZstdDecompressor().decompress
-            for batch in batches if packed else common.pieces(batches, "text"):
-                for at in range(0, len(batch), 1000):
-                    part = batch.slice(at, 1000)
+            for batch in batches if packed else common.pieces(batches, "text", SLICE):
+                for at in range(0, len(batch), 500):
+                    part = batch.slice(at, 500)
                     bodies = [unpack(b) for b in part.column("body").to_pylist()] if packed else common.utf8(part.column("text"))
                     yield from shipped.value.rows(bodies, *(part.column(c).to_numpy().astype(np.int64) for c in ("id", "label")))
 
