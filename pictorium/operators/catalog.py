@@ -121,25 +121,30 @@ def name_collisions(paths: DataFrame) -> DataFrame:
 
 
 def assign_unique_names(
-    files: DataFrame, taken: DataFrame | None = None, key: str = "path", range_rows: int | None = None
+    files: DataFrame, taken: DataFrame | None = None, key: str = "path", range_rows: int | None = None, directories: bool = False
 ) -> DataFrame:
     """``files`` with ``target``: a name that no other file and no ``taken`` name has.
 
     Files with one ``name`` are served in ``key`` order. The first keeps the
     name; later ones get ``stem_1``, ``stem_2`` and so on, passing over names
     that are taken or that other files carry. Numbers come from free slots, so
-    one name shared by most files is handled in many tasks.
+    one name shared by most files is handled in many tasks. The name of a
+    directory has no suffix: its number stands at the end, whatever dots it has.
     """
+    whole = lambda _: F.lit("")
+    suffix_of = whole if directories else N.suffix
+    stem_of = (lambda name: name) if directories else N.stem
+    numbered_name = r"(?s)^(.*)_([1-9][0-9]{0,17})()$" if directories else r"(?s)^(.*)_([1-9][0-9]{0,17})(\.[^.]+)?$"
     options = {} if range_rows is None else {"range_rows": range_rows}
     ordered = numbered(files, [(key, True)], ("name",), "_copy", **options)
     sizes = ordered.groupBy("name").agg(F.max("_copy").alias("_copies"))
 
     own = files.select("name").distinct()
     fixed = own if taken is None else own.unionByName(taken.select("name")).distinct()
-    clash = F.regexp_extract("name", r"(?s)^(.*)_([1-9][0-9]{0,17})(\.[^.]+)?$", 2)
-    base = F.regexp_extract("name", r"(?s)^(.*)_([1-9][0-9]{0,17})(\.[^.]+)?$", 1)
+    clash = F.regexp_extract("name", numbered_name, 2)
+    base = F.regexp_extract("name", numbered_name, 1)
     used = (
-        fixed.withColumns({"suffix": N.suffix(F.col("name")), "_slot": clash, "_base": base})
+        fixed.withColumns({"suffix": suffix_of(F.col("name")), "_slot": clash, "_base": base})
         .filter(F.col("_slot") != "")
         .select(F.concat("_base", "suffix").alias("name"), F.col("_slot").cast("long").alias("_slot"))
     )
@@ -160,7 +165,7 @@ def assign_unique_names(
         allowMissingColumns=True,
     )
     placed = numbered(mixed, [("_m", True), ("_used", True), ("_slot", True)], ("name",), "_target", **options)
-    stem, suffix = N.stem(F.col("name")), N.suffix(F.col("name"))
+    stem, suffix = stem_of(F.col("name")), suffix_of(F.col("name"))
     later = placed.filter(F.col("_used") == 0).withColumn(
         "target", F.concat(stem, F.lit("_"), F.col("_target").cast("string"), suffix)
     )

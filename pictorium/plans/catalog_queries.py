@@ -634,6 +634,30 @@ def _(inputs):
     return C.assign_unique_names(named, key="path_id").select("path_id", "name", "target")
 
 
+_FOLDER = "split_part(path, '/', 3)"
+
+
+@query("assign_unique_directories", f"""
+    WITH copies AS (SELECT path_id, {_FOLDER} AS name, row_number() OVER (PARTITION BY {_FOLDER} ORDER BY path_id) - 1 AS c FROM paths),
+    taken AS (SELECT DISTINCT name FROM copies WHERE contains(name, '.') UNION SELECT DISTINCT concat(name, '_2') FROM copies),
+    fixed AS (SELECT name FROM copies UNION SELECT name FROM taken),
+    places AS (SELECT path_id, name, c + CASE WHEN name IN (SELECT name FROM taken) THEN 1 ELSE 0 END AS m FROM copies),
+    sizes AS (SELECT name, max(m) AS most FROM places GROUP BY name),
+    slots AS (
+        SELECT name, n, row_number() OVER (PARTITION BY name ORDER BY n) AS m
+        FROM (SELECT s.name, unnest(range(1, s.most + 1 + (SELECT count(*) FROM fixed))) AS n FROM sizes s WHERE s.most > 0)
+        WHERE concat(name, '_', CAST(n AS STRING)) NOT IN (SELECT name FROM fixed))
+    SELECT p.path_id, p.name, CASE WHEN p.m = 0 THEN p.name ELSE concat(p.name, '_', CAST(s.n AS STRING)) END AS target
+    FROM places p LEFT JOIN slots s ON s.name = p.name AND s.m = p.m
+""", ("paths",))
+def _(inputs):
+    """Each file asks for a new folder named after its own; folders with dots, and some numbered ones, are there already."""
+    wanted = inputs.paths.select("path_id", F.split_part("path", F.lit("/"), F.lit(3)).alias("name"))
+    names = wanted.select("name").distinct()
+    taken = names.filter(F.contains("name", F.lit("."))).union(names.select(F.concat("name", F.lit("_2"))))
+    return C.assign_unique_names(wanted, taken, "path_id", directories=True).select("path_id", "name", "target")
+
+
 @query("regenerate_queue", f"""
     SELECT photo_id, filename FROM library WHERE description IS NOT NULL AND {S.incomplete('description')}
 """, ("library",))
