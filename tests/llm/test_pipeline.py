@@ -70,10 +70,32 @@ def test_query_equals_its_check(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     found = QUERIES[name](spark, sf_dir)
     engine = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "conversations"):
         if os.path.exists(f"{sf_dir}/{table}.parquet"):
             engine.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     result = engine.execute(CHECKS[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(found.columns)
     assert sorted(map(repr, (tuple(r) for r in found.select(*names).collect()))) == sorted(map(repr, result.fetchall()))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_odd_tables(spark, odd_documents, tmp_path, empty):
+    """Nulls, repeated rows, clashing names and no rows at all go through every stage; other columns stay."""
+    labels = [(i, int(i in (7, 9))) for i in range(12)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd_documents.limit(0) if empty else odd_documents
+    columns, before = docs.columns, docs.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns, name
+            rows = docs.collect()
+            assert len(rows) <= before and all(r.row in ("row", None) for r in rows)
+            before = len(rows)
+    if empty:
+        assert docs.count() == 0
+    else:
+        # Every row that was kept is packed, also those without a text.
+        assert docs.select("doc_id", "sequence_id").count() >= before > 0
