@@ -48,7 +48,7 @@ HEAD_STRINGS = 1 << 20
 # Words that a task remembers, 16 bytes each.
 REMEMBERED = 400_000
 # Bytes of text that a task splits into words together; some forty times as many are held for it.
-SLICE = 2 << 20
+SLICE = 512 << 10
 # What stands before and after the letters of a word; no word holds them.
 BEGIN, END = "\x02", "\x03"
 _SPLIT = bytes(32 if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127) else c for c in range(256))
@@ -83,6 +83,14 @@ def _distinct(texts: list[bytes]) -> Spelled:
     return Spelled([spelled[i] for i in first.tolist()], hashes, text, word, np.diff(start, append=len(pairs)), counts)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the batches, some ``SLICE`` bytes of text at a time; what a batch held goes back to the system."""
+    for batch in batches:
+        yield from common.pieces(iter([batch]), "text", SLICE)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 _WORDS = pa.schema([("key", pa.int64()), ("word", pa.string()), ("toxic", pa.int64()), ("ordinary", pa.int64())])
 _WORDS_DDL = "key long, word string, toxic long, ordinary long"
 
@@ -164,7 +172,7 @@ def _all_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A task remembers words, a bounded number, whose strings it has given.
     """
     given = Remembered()
-    for batch in common.pieces(batches, "text", SLICE):
+    for batch in _slices(batches):
         spelled, found, _ = words(common.utf8(batch.column("text")))
         hashes, first, times = np.unique(found, return_index=True, return_counts=True)
         new = ~given.has(hashes)
@@ -188,7 +196,7 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
-    for batch in common.pieces(batches, "text"):
+    for batch in _slices(batches):
         bodies = [packer.compress(t) for t in common.utf8(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), pa.array(bodies, pa.binary())], ["doc_id", "fold", "body"])
 
@@ -361,7 +369,7 @@ class Model:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpack = zstandard.ZstdDecompressor().decompress
-            for batch in batches if packed else common.pieces(batches, "text", SLICE):
+            for batch in batches if packed else _slices(batches):
                 for at in range(0, len(batch), 500):
                     part = batch.slice(at, 500)
                     bodies = [unpack(b) for b in part.column("body").to_pylist()] if packed else common.utf8(part.column("text"))
