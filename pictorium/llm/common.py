@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,23 +15,31 @@ from pictorium.session import scratch_path, ship_package
 BATCH_BYTES = 4 << 20
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _TABLES: dict[str, list[str]] = {}
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Write a table into the cluster's shared folder and read it back: lineage ends there.
 
     Nothing needs the shuffle files of the write afterwards, so Spark is asked
-    to remove them with it.
+    to remove them with it. ``batch_rows`` bounds the rows that Python tasks of the
+    write get together, where the session would give them more.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    asked = {_CLEAN: "true"}
+    if batch_rows:
+        held = int(spark.conf.get(_BATCH))
+        asked[_BATCH] = str(min(held, batch_rows) if held > 0 else batch_rows)
+    before = {key: spark.conf.get(key) for key in asked}
     try:
+        for key, value in asked.items():
+            spark.conf.set(key, value)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -83,6 +92,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return memory to the system that a worker has freed; workers go on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions that the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

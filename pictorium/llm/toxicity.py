@@ -49,6 +49,8 @@ HEAD_STRINGS = 1 << 20
 REMEMBERED = 400_000
 # Bytes of text that a task splits into words together; some forty times as many are held for it.
 SLICE = 512 << 10
+# Rows of texts that a task gets together.
+BATCH_ROWS = 1_000
 # What stands before and after the letters of a word; no word holds them.
 BEGIN, END = "\x02", "\x03"
 _SPLIT = bytes(32 if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127) else c for c in range(256))
@@ -86,9 +88,8 @@ def _distinct(texts: list[bytes]) -> Spelled:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the batches, some ``SLICE`` bytes of text at a time; what a batch held goes back to the system."""
     for batch in batches:
+        common.give_back()
         yield from common.pieces(iter([batch]), "text", SLICE)
-        del batch
-        pa.default_memory_pool().release_unused()
 
 
 _WORDS = pa.schema([("key", pa.int64()), ("word", pa.string()), ("toxic", pa.int64()), ("ordinary", pa.int64())])
@@ -375,7 +376,7 @@ class Model:
                     bodies = [unpack(b) for b in part.column("body").to_pylist()] if packed else common.utf8(part.column("text"))
                     yield from shipped.value.rows(bodies, *(part.column(c).to_numpy().astype(np.int64) for c in ("id", "label")))
 
-        rows = common.store(common.map_batches(texts, run, _ROWS_DDL), "toxic-rows")
+        rows = common.store(common.map_batches(texts, run, _ROWS_DDL), "toxic-rows", BATCH_ROWS)
         # Copies of a text give the same rows.
         own = rows.filter(F.col("key").isNull()).groupBy("id").agg(*(F.first(c).alias(c) for c in ("label", "words", "diff", "top")), F.count("*").alias("copies"))
         rest = rows.filter(F.col("key").isNotNull()).groupBy("id", "key").agg(F.first("word").alias("word"), F.first("times").alias("times"))
@@ -433,15 +434,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     # One way to join at every size: labels grow with the texts.
-    rows = common.store(packed.join(marks.hint("merge"), "doc_id").select("doc_id", "fold", "body", F.when(F.col("label") == 1, 1).otherwise(0).alias("label")), "toxic-labelled")
+    rows = common.store(packed.join(marks.hint("merge"), "doc_id").select("doc_id", "fold", "body", F.when(F.col("label") == 1, 1).otherwise(0).alias("label")), "toxic-labelled", BATCH_ROWS)
     counted = common.map_batches(rows.filter(F.col("fold") != CALIBRATE).select("body", "label"), _labelled_words, _WORDS_DDL)
-    counted = common.store(_summed(counted), "toxic-words")
+    counted = common.store(_summed(counted), "toxic-words", BATCH_ROWS)
     totals = counted.agg(*(F.sum(c) for c in _CLASSES)).first()
     if not all(totals):
         return Model()
     orders = _orders(counted)
     spelled = common.map_batches(texts.select("text"), _all_strings, "string string, n long").groupBy("string").agg(F.sum("n").alias("n"))
-    spelled = common.store(spelled, "toxic-spelled")
+    spelled = common.store(spelled, "toxic-spelled", BATCH_ROWS)
     differences = common.store(_string_differences(orders, spelled.select("string")), "toxic-differences")
     model = Model(orders, differences, _head(spelled, differences, head))
     held = rows.filter(F.col("fold") == CALIBRATE).select(F.xxhash64("doc_id", "body", "label").alias("id"), "label", "body")
