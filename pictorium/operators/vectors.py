@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from pictorium.functions import kernels
 from pictorium.functions import text as T
-from pictorium.session import ship_package
+from pictorium.session import scratch_path, ship_package
 
 ENCODE_BATCH = 32  # fixed value: texts for each call of an encoder
 MAX_BROADCAST_ROWS = 4_096
 MAX_BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 2_048
 CORPUS_BLOCK = 200_000
+PAIR_BLOCK = (16_384, 32_768)  # queries and vectors that meet in one place, where all pairs are wanted
 
 
 # ---------------------------------------------------------------- encoding
@@ -167,10 +168,12 @@ def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
-def _blocks(queries: DataFrame, corpus: DataFrame, corpus_key: Column) -> tuple[DataFrame, DataFrame]:
+def _blocks(
+    queries: DataFrame, corpus: DataFrame, corpus_key: Column, sizes: tuple[int, int] = (QUERY_BLOCK, CORPUS_BLOCK)
+) -> tuple[DataFrame, DataFrame]:
     """Both sides with block numbers ``qb, cb``; every query block meets every corpus block once."""
-    n_q = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    n_c = max(1, math.ceil(corpus.count() / CORPUS_BLOCK))
+    n_q = max(1, math.ceil(queries.count() / sizes[0]))
+    n_c = max(1, math.ceil(corpus.count() / sizes[1]))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
         "cb", F.explode(_numbers(n_c))
     )
@@ -299,6 +302,13 @@ def cosine_topk(
     return best.select("query_id", "rank", "photo_id", "similarity")
 
 
+def _computed_once(vectors: DataFrame) -> DataFrame:
+    """Vectors that are counted and read, written to a scratch table so that texts are not encoded for both."""
+    path = scratch_path(vectors.sparkSession, "block-vectors")
+    vectors.write.parquet(path)
+    return vectors.sparkSession.read.schema(vectors.schema).parquet(path)
+
+
 def scores_above(
     queries: DataFrame, vectors: DataFrame, min_score: float, max_broadcast: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
@@ -308,38 +318,49 @@ def scores_above(
     queries = usable(queries.select("query_id", "embedding"), dim)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, photo_id long, score double"
 
-    def found(ids: pa.Array, matrix: np.ndarray, photo_ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        q, photo, score = kernels.pairs_above(photo_ids, rows, matrix, min_score)
-        return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(q)), pa.array(photo), pa.array(score)], names=["query_id", "photo_id", "score"]
-        )
+    def found(ids: pa.Array, matrix: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        photo_ids, rows = batch.column("photo_id").to_numpy(zero_copy_only=False), kernels.matrix(batch.column("embedding"), dim)
+        for q, photo, score in kernels.pairs_above(photo_ids, rows, matrix, min_score):
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(q)), pa.array(photo), pa.array(score)], names=["query_id", "photo_id", "score"]
+            )
 
     if table is not None:
         query_ids, matrix = single(table, "query_id"), kernels.matrix(table.column("embedding"), dim)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield found(
-                    query_ids, matrix,
-                    batch.column("photo_id").to_numpy(zero_copy_only=False),
-                    kernels.matrix(batch.column("embedding"), dim),
-                )
+                yield from found(query_ids, matrix, batch)
 
         return corpus.mapInArrow(scan, schema)
 
-    left, right = _blocks(queries, corpus, F.col("photo_id"))
-
-    def merge(query_part: pa.Table, corpus_part: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(
-            [
-                found(
-                    single(query_part, "query_id"), kernels.matrix(query_part.column("embedding"), dim),
-                    corpus_part.column("photo_id").to_numpy(), kernels.matrix(corpus_part.column("embedding"), dim),
-                )
-            ]
-        )
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(merge, schema)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of each block, whose queries come first."""
+        block, asked, known = None, [], None
+        for batch in batches:
+            blocks = list(zip(batch.column("qb").to_pylist(), batch.column("cb").to_pylist()))
+            photo = batch.column("side").to_numpy()
+            borders = [0, *(i for i in range(1, len(blocks)) if blocks[i] != blocks[i - 1] or photo[i] != photo[i - 1]), len(blocks)]
+            for lo, hi in zip(borders, borders[1:]):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if blocks[lo] != block:
+                    block, asked, known = blocks[lo], [], None
+                if not photo[lo]:
+                    asked.append(part)
+                elif asked:
+                    if known is None:
+                        whole = pa.Table.from_batches(asked)
+                        known = single(whole, "query_id"), kernels.matrix(whole.column("embedding"), dim)
+                    yield from found(*known, part)
+
+    # Blocks come sorted and are read as they come: a task holds the queries of one block and a batch of vectors.
+    left, right = _blocks(_computed_once(queries), _computed_once(corpus), F.col("photo_id"), PAIR_BLOCK)
+    none = F.lit(None)
+    left = left.select("qb", "cb", F.lit(0).alias("side"), "query_id", none.cast("long").alias("photo_id"), "embedding")
+    right = right.select("qb", "cb", F.lit(1).alias("side"), none.cast(queries.schema["query_id"].dataType).alias("query_id"), F.col("photo_id").cast("long"), "embedding")
+    return left.unionByName(right).repartition("qb", "cb").sortWithinPartitions("qb", "cb", "side").mapInArrow(merge, schema)
 
 
 def multi_phrase_score(

@@ -192,6 +192,27 @@ def test_topk_equals_full_sort(spark, monkeypatch, limit):
     assert len(above) == int((rows @ asked.T >= 0.3).sum())
 
 
+def test_scores_above_hold_few_pairs_at_a_time(spark, monkeypatch):
+    rows, asked = unit_rows(300, 8, 5), unit_rows(40, 8, 6)
+    monkeypatch.setattr(kernels, "MAX_CELLS", 400)
+    monkeypatch.setattr(kernels, "MAX_PAIRS", 7)
+    parts = list(kernels.pairs_above(np.arange(300) + 5, rows, asked, 0.1))
+    assert len(parts) > 300 * 40 // 400 and max(len(q) for q, _, _ in parts) <= 7
+    r, q = np.nonzero(rows @ asked.T >= 0.1)
+    assert sorted((a, b) for part in parts for a, b in zip(part[0].tolist(), part[1].tolist())) == sorted(zip(q.tolist(), (r + 5).tolist()))
+    assert list(kernels.pairs_above(np.arange(0), rows[:0], asked, 0.1)) == []
+
+
+@pytest.mark.parametrize("sizes", [(3, 20), (100, 1000)])
+def test_scores_above_in_blocks_meet_every_pair(spark, monkeypatch, sizes):
+    monkeypatch.setattr(V, "PAIR_BLOCK", sizes)
+    rows, asked = unit_rows(70, 8, 1), unit_rows(7, 8, 2)
+    corpus = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)] * 2, "photo_id long, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame([(f"q{i}", r.tolist()) for i, r in enumerate(asked)] + [(None, asked[0].tolist())], "query_id string, embedding array<double>")
+    few, many = (sorted(map(str, V.scores_above(queries, corpus, 0.3, max_broadcast=n).collect())) for n in (100, 0))
+    assert few == many and len(few) == 2 * int((rows @ np.vstack([asked, asked[:1]]).T >= 0.3).sum())
+
+
 @pytest.mark.parametrize("limit", [100, 0])
 def test_nearest_reference_takes_the_first_on_ties(spark, monkeypatch, limit):
     monkeypatch.setattr(V, "QUERY_BLOCK", 2)
