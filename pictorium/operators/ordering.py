@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 20_000
 MAX_RANGES = 512
-RANGE_ROWS = 1_000_000
+RANGE_ROWS = 50_000  # rows may be whole texts, and a range is a task
 MAX_TOP_ROWS = 100_000
 
 Order = list[tuple[str, bool]]  # (column, ascending)

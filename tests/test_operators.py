@@ -192,6 +192,15 @@ def test_topk_equals_full_sort(spark, monkeypatch, limit):
     assert len(above) == int((rows @ asked.T >= 0.3).sum())
 
 
+def test_rows_of_a_large_table_are_numbered_in_several_tasks(spark):
+    """Rows may carry whole texts: a table under a million rows is no single task."""
+    rows = spark.range(120_000, numPartitions=6).select(F.pmod(F.col("id") * 7919, F.lit(120_000)).alias("id"), F.lit("text").alias("text"))
+    got = O.numbered(rows, [("id", True)], name="n")
+    assert len(O._bounds(rows, [("id", True)], 120_000, O.RANGE_ROWS)) == 2
+    assert "_range" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.filter(F.col("n") != F.col("id") + 1).count() == 0 and got.count() == 120_000
+
+
 def test_scores_above_hold_few_pairs_at_a_time(spark, monkeypatch):
     rows, asked = unit_rows(300, 8, 5), unit_rows(40, 8, 6)
     monkeypatch.setattr(kernels, "MAX_CELLS", 400)
