@@ -36,6 +36,11 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in raw.splitlines() if line)}
 
 
+def cuttable(text: str) -> bool:
+    """No blank of the text stands before another one or at its end: it may be cut before each blank."""
+    return not _BLANKS.search(text)
+
+
 def cut(text: str) -> tuple[str, list[str]]:
     """The first word of a text and the others, each of which follows a blank.
 
@@ -43,7 +48,7 @@ def cut(text: str) -> tuple[str, list[str]]:
     else than a blank, so words are encoded one by one and repeat. A text with
     other blanks is one word.
     """
-    if _BLANKS.search(text):
+    if not cuttable(text):
         return text, []
     first, *rest = text.split(" ")
     return first, rest

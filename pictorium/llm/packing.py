@@ -13,11 +13,13 @@ adding the counts of earlier partitions, so no length is numbered in one task.
 from __future__ import annotations
 
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -36,7 +38,8 @@ STEPS = 400
 
 # How a byte-level tokenizer spells bytes: printable ones as themselves, the others by the characters from 256 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_SPELLED = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
+_OTHERS = sorted(set(range(256)) - _PRINTABLE)
+_SPELLED = "".join(chr(b) if b in _PRINTABLE else chr(256 + _OTHERS.index(b)) for b in range(256))
 
 
 class Words:
@@ -54,10 +57,9 @@ class Words:
         self.model = self.whole.model
         self.find = regex.compile(pattern).findall
         self.matches = bpe.Memory(self._match, KEPT)
-        self.words = bpe.Memory(lambda word: self._ids(" " + word), KEPT)
 
     def _match(self, match: str) -> bytes:
-        spelled = match.encode().decode("latin-1").translate(_SPELLED)
+        spelled = charmap_decode(match.encode(), "strict", _SPELLED)[0]
         return array("I", [token.id for token in self.model.tokenize(spelled)]).tobytes()
 
     def _ids(self, text: str) -> bytes:
@@ -67,8 +69,59 @@ class Words:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.added and self.added.search(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        first, rest = bpe.cut(text)
-        return self._ids(first) + b"".join(map(self.words.__getitem__, rest))
+        return self._ids(text)
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` of many texts, null ones empty. Different words are cut by the pattern, all in one pass, and looked up once."""
+        texts = texts.fill_null("")
+        found: list[bytes | None] = [None] * len(texts)
+        plain = []
+        for i, text in enumerate(texts.to_pylist()):
+            if (self.added and self.added.search(text)) or not bpe.cuttable(text):
+                found[i] = self.encode(text)
+            else:
+                plain.append(i)
+        if not plain:
+            return found
+        # The first word of a text has no blank before it.
+        parts = pc.split_pattern(texts.take(pa.array(plain, pa.int64())) if len(plain) < len(texts) else texts, " ", max_splits=1)
+        border = parts.offsets.to_numpy()
+        halves = parts.flatten()
+        heads = [self._ids(t) for t in halves.take(pa.array(border[:-1])).to_pylist()]
+        several = np.diff(border) > 1
+        lists = pc.split_pattern(halves.take(pa.array(border[:-1][several] + 1)), " ")
+        coded = lists.flatten().dictionary_encode()
+        ids, start, size = self._word_ids(coded.dictionary)
+        code = coded.indices.to_numpy()
+        size = size[code]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        # A run of places for each word: one step within a word, a jump to the next.
+        place = np.repeat(start[code] - ends[:-1], size)
+        place += np.arange(len(place))
+        values = memoryview(ids[place]).cast("B")
+        at = iter((4 * ends[lists.offsets.to_numpy()]).tolist())
+        begin = next(at, 0)
+        for i, head, more in zip(plain, heads, several.tolist()):
+            if more:
+                end = next(at)
+                found[i] = head + values[begin:end]
+                begin = end
+            else:
+                found[i] = head
+        return found
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different words that follow a blank each, one after the other; where they start and how many they are."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pieces = self.find(" " + " ".join(words.to_pylist()))
+        ids = list(map(self.matches.__getitem__, pieces))
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        # Words hold no blank, so that a match that begins with one begins a word.
+        begins = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
+        ends = np.cumsum(length)
+        start = (ends - length)[begins]
+        return np.frombuffer(b"".join(ids), "<u4"), start, np.diff(start, append=ends[-1])
 
 
 _LOADED: dict[int, Words] = {}
@@ -102,8 +155,8 @@ def token_runs(docs: DataFrame, tokenizer_path: str, pattern: str, window: int =
         part, places = TaskContext.get().partitionId(), [0] * (window + 1)
         for batch in common.pieces(batches, "text"):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = _LOADED[key].encode(text or "") + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), _LOADED[key].encode_all(batch.column("text"))):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     held = ids[4 * start:4 * (start + window)]

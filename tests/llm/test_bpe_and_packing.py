@@ -4,6 +4,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -116,3 +117,18 @@ def test_least_squares_meet_a_histogram_that_pairs_exactly():
         for n in row[row > 0]:
             built[n] += x
     assert np.abs(built - histogram).max() < 15
+
+
+def test_texts_together_have_the_ids_of_the_tokenizer_and_words_are_cut_once():
+    with open(TOKENIZER, "rb") as file:
+        raw = file.read()
+    words, plain = packing.Words(raw, public_tokenizers.PATTERN, True), Tokenizer.from_file(TOKENIZER)
+    texts = [noise(seed, seed % 40) for seed in range(400)] + [None, "", " ", "one", " one", "one ", "a  b", "it's o'clock.\nNew\n line", "x <|endoftext|> y", "é\u00a0ü \u00a0z"]
+    expected = [ids_of(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert words.encode_all(pa.array(texts, pa.string())) == expected
+    assert words.encode_all(pa.array(["left out", *texts, "as well"], pa.string()).slice(1, len(texts))) == expected
+    assert words.encode_all(pa.array([], pa.string())) == []
+    cut, find = [], words.find
+    words.find = lambda text: cut.append(text) or find(text)
+    words.encode_all(pa.array(["same words again"] * 500, pa.string()))
+    assert sum(t.count("again") for t in cut) == 1
