@@ -45,6 +45,8 @@ TOP = 4
 UNIT = 1 << 20
 # Strings that are brought into the tasks, 16 bytes each.
 HEAD_STRINGS = 1 << 20
+# Strings that the driver spells out at a time.
+KEYS_TOGETHER = 20_000
 # Words that a task remembers, 16 bytes each.
 REMEMBERED = 400_000
 # Bytes of text that a task splits into words together; some forty times as many are held for it.
@@ -128,8 +130,13 @@ def spelling(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return letters, word[last], last, keys
 
 
-def string_keys(strings_: list[str]) -> np.ndarray:
-    """The hashes that ``spelling`` gives the strings."""
+def string_keys(strings_: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The hashes that ``spelling`` gives the strings, spelled out few at a time."""
+    parts = (strings_.slice(at, KEYS_TOGETHER).to_pylist() for at in range(0, len(strings_), KEYS_TOGETHER))
+    return np.concatenate([np.zeros(0, np.uint64), *map(_keys, parts)])
+
+
+def _keys(strings_: list[str]) -> np.ndarray:
     size = max(map(len, strings_), default=0)
     keys = np.zeros(len(strings_), np.uint64)
     grid = np.array([[0] * (size - len(t)) + [ord(c) for c in t] for t in strings_], np.uint64).reshape(len(strings_), size)
@@ -412,9 +419,13 @@ def _lower(name: str) -> Column:
 def _head(frequent: DataFrame, differences: DataFrame, head: int) -> Head:
     """The ``head`` most frequent strings."""
     table = frequent.orderBy(F.col("n").desc(), "string").limit(head).join(differences, "string").select("string", "diff").toArrow()
-    keys, diff = string_keys(table.column("string").to_pylist()), table.column("diff").to_numpy().astype(np.int64)
+    keys, diff = string_keys(table.column("string")), table.column("diff").to_numpy().astype(np.int64)
     order = np.argsort(keys)
-    return Head(keys[order], diff[order])
+    found = Head(keys[order], diff[order])
+    # The driver goes on from stage to stage.
+    del table, keys, diff, order
+    common.give_back()
+    return found
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic",
