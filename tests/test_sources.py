@@ -433,6 +433,21 @@ def test_watched_folder_restarts_and_sweeps(spark, tmp_path):
     assert "content" not in plan
 
 
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    root, listing, state = (str(tmp_path / n) for n in ("media", "listing", "state"))
+    for n in range(60):
+        (tmp_path / f"media/album={n}").mkdir(parents=True)
+        (tmp_path / f"media/album={n}/a.jpg").write_bytes(b"1" * (n + 1))
+    before = spark.conf.get(media._LISTING_TASKS)
+    stream = media.watch_files(spark, root, listing, state, 50)
+    stream.awaitTermination()
+    assert {r["size"] for r in media.stored_listing(spark, listing).collect()} == set(range(1, 61))
+    tracker, bound = spark.sparkContext.statusTracker(), 2 * spark.sparkContext.defaultParallelism
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(stream.runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= bound
+    assert spark.conf.get(media._LISTING_TASKS) == before
+
+
 def test_windowed_quality_drops_late_rows(spark, tmp_path):
     incoming, state = str(tmp_path / "in"), str(tmp_path / "state")
     out = str(tmp_path / "out")
