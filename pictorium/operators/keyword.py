@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pictorium.functions import keywords as K
 from pictorium.functions import text as T
-from pictorium.session import rows_within
+from pictorium.session import rows_within, scratch_path
 
 MAX_LITERAL_QUERIES = 1_000
 MAX_LITERAL_PROBES = 256
@@ -140,9 +140,36 @@ def _any_probe(library: DataFrame, probes: list[str]) -> DataFrame:
     return library.filter(test)
 
 
+def stored(table: DataFrame, label: str) -> DataFrame:
+    """The table written to the scratch folder and read back: it is computed once, and the planner knows its size."""
+    path = scratch_path(table.sparkSession, label)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def asked_texts(pairs: DataFrame, parsed: DataFrame, library: DataFrame, *keep: str, hits_only: bool = True) -> DataFrame:
+    """Each text with each query that ``pairs`` (``query_id, photo_id``) names, and the ``group`` that matches it.
+
+    Texts are shuffled as they are, and split once for up to about
+    ``ANSWERED_TOGETHER`` queries. Without ``hits_only`` pairs without a matching group stay.
+    """
+    packs = max(1, math.ceil(parsed.count() / ANSWERED_TOGETHER))
+    pack = F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("pack")
+    asked = pairs.join(parsed, "query_id").groupBy("photo_id", pack).agg(F.collect_list(F.struct("query_id", "d", "groups")).alias("asked"))
+    columns = list(dict.fromkeys((*keep, "description")))
+    texts = tokenised(library.select("photo_id", *columns).join(asked, "photo_id"), *keep, "asked")
+    judged = F.transform("asked", lambda q: F.struct(
+        q["query_id"].alias("query_id"), q["d"].alias("d"), K.first_matching_group(F.col("lowered"), q["groups"], q["d"]).alias("group")
+    ))
+    found = F.filter(judged, lambda q: q["group"].isNotNull()) if hits_only else judged
+    # As in ``_matching``, the outer explode keeps the queries from being evaluated twice.
+    rows = texts.select("photo_id", *keep, "tokens", "lowered", F.explode_outer(found).alias("_q")).filter(F.col("_q").isNotNull())
+    return rows.select("photo_id", *keep, "tokens", "lowered", "_q.*")
+
+
 def evaluated(pairs: DataFrame, *keep: str) -> DataFrame:
     """Snippets of the first matching group of each joined (query, text) row."""
-    group = K.first_matching_group(F.col("lowered"), F.col("groups"), F.col("d"))
+    group = F.col("group") if "group" in pairs.columns else K.first_matching_group(F.col("lowered"), F.col("groups"), F.col("d"))
     chosen = pairs.select("query_id", "photo_id", *keep, "tokens", "lowered", "d", group.alias("group"))
     return chosen.select(
         "query_id",
@@ -185,21 +212,18 @@ def _scan_pairs(parsed: DataFrame, known: list[Row], library: DataFrame, *keep:
 
 
 def _index_pairs(parsed: DataFrame, library: DataFrame, *keep: str) -> DataFrame:
-    """Any query table: candidates through the vocabulary, equi-joins only."""
+    """Any query table: candidates through the vocabulary, equi-joins only.
+
+    The words of the texts, the vocabulary and its matches are stored, so each text is split once for all of them.
+    """
     probes = parsed.select("query_id", F.explode(F.array_distinct(_group_probes(F.col("groups")))).alias("term"))
-    terms = probes.select("term").distinct()
-    matched = term_match(terms, vocabulary(library))
-    words = library.select(
-        "photo_id", F.explode(F.array_distinct(K.lower_all(T.words(F.col("description"))))).alias("word")
-    )
+    distinct = F.array_distinct(K.lower_all(F.array_distinct(T.words(F.col("description")))))
+    words = stored(library.select("photo_id", distinct.alias("words")), "words").select("photo_id", F.explode("words").alias("word"))
+    known = stored(words.select("word").distinct(), "vocabulary")
+    matched = stored(term_match(probes.select("term").distinct(), known), "matched")
     holders = words.join(matched, "word").select("term", "photo_id").distinct()
     candidates = holders.join(probes, "term").select("query_id", "photo_id").distinct()
-    hit = K.first_matching_group(F.col("lowered"), F.col("groups"), F.col("d")).isNotNull()
-    texts = tokenised(library, *keep, "description")
-    joined = candidates.join(parsed, "query_id").alias("q").join(
-        texts.alias("t"), (F.col("q.photo_id") == F.col("t.photo_id")) & hit
-    )
-    return joined.drop(F.col("q.photo_id"))
+    return asked_texts(candidates, parsed, library, *keep)
 
 
 def _hits(parsed: DataFrame, library: DataFrame, *keep: str, max_literal: int = MAX_LITERAL_QUERIES) -> DataFrame:
