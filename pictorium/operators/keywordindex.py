@@ -10,23 +10,56 @@ read but never multiplied. Distances are judged on sorted positions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pictorium.functions import keywords as K
 from pictorium.functions import text as T
 from pictorium.operators import keyword as KW
+from pictorium.session import ship_package
 from pictorium.sources.folders import numbered_folders
 
 BUCKETS = 64
+SLICE_WORDS = 1 << 20  # words that a task sorts at once, unless one text has more
 
 
 def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def _steps(positions: Column) -> Column:
-    return F.transform(positions, lambda p, i: p - F.when(i > 0, F.get(positions, i - 1)).otherwise(0))
+_LISTED = pa.schema([("word", pa.string()), ("photo_id", pa.int64()), ("steps", pa.list_(pa.int32()))])
+
+
+def _listed(ids: pa.Array, words: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+    """``word, photo_id, steps`` of a few texts, from their words in order."""
+    coded = words.dictionary_encode()
+    kinds = max(1, len(coded.dictionary))
+    at = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = np.repeat(np.arange(len(sizes)), sizes) * kinds + coded.indices.to_numpy(zero_copy_only=False)
+    # A stable order keeps the positions of a word in a text ascending.
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    again = np.concatenate([[False], key[1:] == key[:-1]])[: len(key)]
+    steps = at - np.where(again, np.roll(at, 1), 0)
+    first = np.flatnonzero(~again)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(steps, pa.int32()))
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key[first] % kinds)), ids.take(pa.array(key[first] // kinds)), lists], schema=_LISTED)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of ``photo_id, lowered`` rows, a bounded number of words at once."""
+    for batch in batches:
+        ids, lowered = batch.column("photo_id"), batch.column("lowered")
+        ends, first = lowered.offsets.to_numpy(), 0
+        while first < len(lowered):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_WORDS, "right")) - 1)
+            words = lowered.values.slice(ends[first], ends[last] - ends[first])
+            yield _listed(ids.slice(first, last - first), words, np.diff(ends[first : last + 1]))
+            first = last
 
 
 def _positions(steps: Column) -> Column:
@@ -44,10 +77,10 @@ def add(library: DataFrame, path: str) -> int:
     """Index ``photo_id, description`` rows as a new version; returns its number. Ids of earlier versions must not come again."""
     spark = library.sparkSession
     number = max(numbered_folders(spark, f"{path}/words", "version"), default=-1) + 1
-    tokens = library.select("photo_id", F.posexplode(K.lower_all(T.words(F.col("description")))).alias("pos", "word"))
+    ship_package(spark)
     # Positions of a word in a photo are bounded by its text.
-    listed = tokens.groupBy("word", "photo_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    postings = listed.select("word", "photo_id", _steps(F.col("positions")).alias("steps"), _bucket(F.col("word")).alias("bucket"))
+    tokens = library.filter(F.col("description").isNotNull()).select(F.col("photo_id").cast("long"), K.lower_all(T.words(F.col("description"))).alias("lowered"))
+    postings = tokens.mapInArrow(_postings, "word string, photo_id long, steps array<int>").withColumn("bucket", _bucket(F.col("word")))
     # A word of most photos is written by many tasks.
     spread = postings.repartition("bucket", F.pmod(F.xxhash64("photo_id"), F.lit(8)))
     spread.sortWithinPartitions("bucket", "word", "photo_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/version={number}")
@@ -108,7 +141,8 @@ def matching_groups(queries: DataFrame, spark: SparkSession, path: str, distance
     groups = parsed.withColumn("keywords", keywords)
     asked = groups.select("query_id", "group_no", F.explode("keywords").alias("term"))
     terms = asked.select("term").distinct()
-    matched = KW.term_match(terms, words.select("word").distinct())
+    # Few pairs are broadcast to the postings, which else were all shuffled.
+    matched = KW.stored(KW.term_match(terms, words.select("word").distinct()), "matched")
     # How many photos may hold a keyword decides which is looked at first.
     counts = matched.join(words.groupBy("word").agg(F.sum("n").alias("n")), "word").groupBy("term").agg(F.sum("n").alias("n"))
     weighed = asked.join(counts, "term")
@@ -137,6 +171,5 @@ def keyword_search(queries: DataFrame, library: DataFrame, path: str, distance:
     count = F.coalesce("word_count", F.lit(0)) if "word_count" in library.columns else F.lit(0)
     source = library.withColumns({"word_count": count, "description_length": F.length("description")})
     keep = ("filename", "full_path", "description_length", "word_count")
-    texts = KW.tokenised(source, *keep, "description").join(hits, "photo_id")
-    pairs = texts.join(KW.parsed_queries(queries, distance), "query_id")
+    pairs = KW.asked_texts(hits, KW.parsed_queries(queries, distance), source, *keep, hits_only=False)
     return KW.evaluated(pairs, *keep).select("query_id", "photo_id", "filename", "matches", "full_path", "description_length", "word_count")

@@ -47,3 +47,36 @@ def test_texts_are_read_for_hits_only(spark, library, queries, tmp_path):
     plan = X.matching_groups(queries("red dog"), spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "description" not in plan and "regexp_extract_all" not in plan
     assert [tuple(r) for r in X.matching_groups(queries("red dog", "cat or dog"), spark, path).orderBy("query_id", "photo_id").collect()] == [(0, 0, 0), (1, 0, 1), (1, 1, 0)]
+
+
+def test_texts_are_split_once_and_after_the_shuffle(spark, library, queries, tmp_path):
+    path = str(tmp_path / "index")
+    lib = library("red dog house", "cat", "the red hair")
+    X.add(lib, path)
+    asked = queries("red dog", "house or hair")
+    for found in (X.keyword_search(asked, lib, path), KW.keyword_search(asked, lib, max_literal=0)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        splits = [line for line in plan.splitlines() if "regexp_extract_all" in line]
+        assert len(splits) == 1 and plan.index(splits[0]) < plan.index("Join")
+
+
+def test_repeated_ids_and_queries_give_the_rows_of_the_scan(spark, library, queries):
+    lib = library("red dog", "red hair", None).unionByName(library("red dog house", "x"))
+    asked = queries("red dog", "hair or dog", "  ").unionByName(queries("house", "red"))
+    assert rows(KW.keyword_search(asked, lib, max_literal=0)) == rows(KW.keyword_search(asked, lib))
+
+
+def test_postings_of_bounded_slices(spark, tmp_path, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(X, "SLICE_WORDS", 3)
+    texts = [["b", "a", "b"], [], ["c"], ["a"] * 5, ["b", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, None, 9, 1, 2], pa.int64()), pa.array(texts, pa.list_(pa.string()))], ["photo_id", "lowered"])
+    for whole in (batch, batch.slice(1), batch.slice(1, 1)):
+        found = [r for b in X._postings(iter([whole])) for r in b.to_pylist()]
+        wanted = {}
+        for photo_id, words in zip(*(c.to_pylist() for c in whole.columns)):
+            for pos, word in enumerate(words):
+                wanted.setdefault((word, photo_id), []).append(pos)
+        assert {(r["word"], r["photo_id"]): np.cumsum(r["steps"]).tolist() for r in found} == wanted and len(found) == len(wanted)
