@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pictorium.functions import keywords as K
 from pictorium.functions import text as T
-from pictorium.session import rows_within, scratch_path
+from pictorium.session import rows_within, stored
 
 MAX_LITERAL_QUERIES = 1_000
 MAX_LITERAL_PROBES = 256
@@ -140,13 +140,6 @@ def _any_probe(library: DataFrame, probes: list[str]) -> DataFrame:
     return library.filter(test)
 
 
-def stored(table: DataFrame, label: str) -> DataFrame:
-    """The table written to the scratch folder and read back: it is computed once, and the planner knows its size."""
-    path = scratch_path(table.sparkSession, label)
-    table.write.parquet(path)
-    return table.sparkSession.read.schema(table.schema).parquet(path)
-
-
 def asked_texts(pairs: DataFrame, parsed: DataFrame, library: DataFrame, *keep: str, hits_only: bool = True) -> DataFrame:
     """Each text with each query that ``pairs`` (``query_id, photo_id``) names, and the ``group`` that matches it.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pictorium.functions import keywords as K
 from pictorium.functions import text as T
 from pictorium.operators import keyword as KW
-from pictorium.session import ship_package
+from pictorium.session import ship_package, stored
 from pictorium.sources.folders import numbered_folders
 
 BUCKETS = 64
@@ -142,7 +142,7 @@ def matching_groups(queries: DataFrame, spark: SparkSession, path: str, distance
     asked = groups.select("query_id", "group_no", F.explode("keywords").alias("term"))
     terms = asked.select("term").distinct()
     # Few pairs are broadcast to the postings, which else were all shuffled.
-    matched = KW.stored(KW.term_match(terms, words.select("word").distinct()), "matched")
+    matched = stored(KW.term_match(terms, words.select("word").distinct()), "matched")
     # How many photos may hold a keyword decides which is looked at first.
     counts = matched.join(words.groupBy("word").agg(F.sum("n").alias("n")), "word").groupBy("term").agg(F.sum("n").alias("n"))
     weighed = asked.join(counts, "term")

@@ -14,7 +14,7 @@ from pictorium.operators import vectors as V
 from pictorium.operators.ordering import numbered
 from pictorium.plans import sqlbits as S
 from pictorium.plans.registry import Inputs, query
-from pictorium.session import scratch_path
+from pictorium.session import scratch_path, stored
 from pictorium.sources import descriptions, embeddings, folders, library, media, searchlog
 
 
@@ -461,7 +461,8 @@ _SELECTIONS = {
     for m, o in _SELECTIONS.items()
 ), ("paths",))
 def _(inputs):
-    paths = inputs.paths
+    # The listing is joined once, by all cores: six joins below a union would each be left with one or two tasks.
+    paths = stored(inputs.paths, "paths")
     parts = [
         C.select_files(paths, m, max_files=40, seed=7, images_only=True, key="path_id")
         .select(F.lit(m).alias("method"), "path_id", "name")
