@@ -23,13 +23,15 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pictorium.llm import common
 
 # Distinct bytes that a task holds in a trie before it hands rows on or spills.
 TRIE_BYTES = 48 << 20
 LOCAL_ROWS = 200_000
+# Rows of texts that a task gets together.
+BATCH_ROWS = 1_000
 _HEAD = struct.Struct("<QQ?qqI")
 
 
@@ -257,7 +259,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         raise ValueError("keep is 'largest' or 'smallest'")
     largest = keep == "largest"
     texts = common.id_and_text(docs, id_col, text_col)
-    rows = common.store(common.map_batches(texts, _local_groups(largest, trie_bytes), LOCAL), "exact-rows")
+    rows = common.store(common.map_batches(texts, _local_groups(largest, trie_bytes), LOCAL), "exact-rows", BATCH_ROWS)
     heads = rows.filter(F.col("body").isNotNull())
     heads = heads.repartition(common.partitions(docs), "length", "content_hash").select(*_HEADS)
     found = common.map_batches(heads, _owners(largest, trie_bytes), "group_id long, keep_id long, keep_row long, group_size long")
@@ -273,11 +275,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are told apart by id and text: of repeated rows with the same id and
     text one stays, whichever its other columns are.
     """
-    stay = owners(docs, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
-    rows = common.boxed(docs, id=F.col(f"`{id_col}`").cast("long"), sha=text_digest(text_col))
-    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("sha") == F.col("stay_sha")), "left_semi")
-    same = Window.partitionBy("id", "sha").orderBy(F.lit(0))
-    return rows.withColumn("n", F.row_number().over(same)).filter("n = 1").select("row.*")
+    kept = owners(docs, id_col, text_col, keep).filter("kept")
+    stay = kept.select(*(c.alias(n) for n, c in _row_key(F.col("doc_id"), F.col("text_sha256")).items()))
+    rows = common.boxed(docs, **_row_key(F.col(f"`{id_col}`").cast("long"), text_digest(text_col)))
+    # Plain equality: whole rows are shuffled and sorted once, for the join and for what repeats.
+    return rows.join(stay, stay.columns, "left_semi").dropDuplicates(stay.columns).select("row.*")
+
+
+def _row_key(doc_id: Column, sha: Column) -> dict[str, Column]:
+    """Columns that are never null and tell rows apart by id, null or not, and text."""
+    return {"id": F.coalesce(doc_id, F.lit(0)), "no_id": doc_id.isNull(), "sha": sha}
 
 
 def text_digest(text_col: str):

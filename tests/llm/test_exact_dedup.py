@@ -3,7 +3,7 @@ import tempfile
 import time
 from collections import defaultdict
 
-from pictorium.llm import exact_dedup
+from pictorium.llm import common, exact_dedup
 
 
 def lower(text):
@@ -66,3 +66,44 @@ def test_many_equal_rows_take_linear_time():
     ((key, (doc, _, count, groups)),) = trie.entries()
     assert (key, doc, count, len(groups)) == (b"the same text", 199_999, 200_000, 200_000)
     assert time.perf_counter() - start < 10
+
+
+def test_whole_rows_are_shuffled_once(spark, documents):
+    docs = documents((1, "one"), (1, "one"), (0, "two"), (None, "two"), (None, None), (None, ""), (0, "three"), (None, "Four"), (None, "four"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = exact_dedup.deduplicate(docs)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        found = sorted(((r.doc_id, lower(r.text)) for r in left.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    # Whole rows go through one exchange and one sort; a null id is not the id 0.
+    below = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "sha#" in line]
+    assert len(below) == 2, plan  # the rows, and the keys of those that stay
+    assert plan.count("Sort [id#") == 2, plan
+    assert found == sorted([(1, b"one"), (0, b"two"), (None, b""), (0, b"three"), (None, b"four")], key=repr)
+
+
+def test_tasks_get_few_texts_at_a_time(spark, documents, monkeypatch):
+    asked, store = {}, common.store
+
+    def stored(df, label, batch_rows=None):
+        asked[label] = batch_rows
+        return store(df, label, batch_rows)
+
+    monkeypatch.setattr(common, "store", stored)
+    exact_dedup.owners(documents((1, "one")))
+    assert asked["exact-rows"] == exact_dedup.BATCH_ROWS
+
+
+def test_a_worker_hands_memory_back_after_its_task(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append("back"))
+
+    def fn(batches):
+        yield from batches
+        done.append("over")
+
+    assert list(common.handing_back(fn)(iter([1, 2]))) == [1, 2]
+    assert done == ["over", "back"]
