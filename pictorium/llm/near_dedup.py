@@ -41,6 +41,10 @@ MISS = 1e-9
 # Probability with which a pair of exactly the wanted similarity may differ in more slots than keys allow.
 KEY_MISS = 1e-5
 LEAST_PERCENT = 50
+# Rows of texts that a task gets together.
+BATCH_ROWS = 1_000
+# Bytes of text whose words a task hashes together; some forty times as many are held for it.
+SLICE = 512 << 10
 # Rows of a bucket that are compared with each other in one task.
 BLOCK = 2048
 _random = np.random.default_rng(7)
@@ -103,7 +107,7 @@ _SETS = pa.schema([
 def _sets(keys: Keys):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        for batch in common.pieces(batches, "text"):
+        for batch in common.pieces(batches, "text", SLICE):
             texts = [t.lower() for t in common.utf8(batch.column("text"))]
             found = shingles.sets(texts)
             full = [i for i, s in enumerate(found) if len(s)]
@@ -299,7 +303,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     limits = (slots.distance, allowed(slots.size + MORE_SLOTS, percent / 100))
     texts = common.id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     schema = "doc_id long, mark long, n_shingles long, set_key binary, sig binary, more binary, body binary"
-    rows = common.store(common.map_batches(texts, _sets(slots), schema), "near-sets")
+    rows = common.store(common.map_batches(texts, _sets(slots), schema), "near-sets", BATCH_ROWS)
     full = rows.filter(F.col("set_key").isNotNull())
     # Equal sets have equal signatures; whichever body comes first has the same set. Where no row has an id, a number
     # below all ids stands for the class; it links like any other, and its component is the smallest real id.

@@ -31,6 +31,8 @@ WINDOW = 2048
 END_ID = 1
 # Entries of a task's memories before they start anew.
 KEPT = 500_000
+# Rows of texts that a task gets together.
+BATCH_ROWS = 2_000
 # Combinations for each length, and steps of the solver.
 PARTNERS = 12
 STEPS = 400
@@ -349,4 +351,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, window: i
                    id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Tokenise and pack whole documents: the columns of ``token_runs`` without ``part, place``, with ``sequence_id, offset``."""
     runs = token_runs(docs, tokenizer_path, pattern, window, end_id, with_ids, id_col, text_col, added_tokens)
-    return pack(common.store(runs, "token-runs"), window)
+    return pack(common.store(runs, "token-runs", BATCH_ROWS), window)

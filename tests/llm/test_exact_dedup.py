@@ -3,7 +3,10 @@ import tempfile
 import time
 from collections import defaultdict
 
-from pictorium.llm import common, exact_dedup
+import public_tokenizers
+import pyarrow as pa
+
+from pictorium.llm import common, exact_dedup, near_dedup, packing
 
 
 def lower(text):
@@ -93,8 +96,22 @@ def test_tasks_get_few_texts_at_a_time(spark, documents, monkeypatch):
         return store(df, label, batch_rows)
 
     monkeypatch.setattr(common, "store", stored)
-    exact_dedup.owners(documents((1, "one")))
+    docs = documents((1, "one"))
+    exact_dedup.owners(docs)
+    near_dedup.near_duplicates(docs)
+    packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     assert asked["exact-rows"] == exact_dedup.BATCH_ROWS
+    assert asked["near-sets"] == near_dedup.BATCH_ROWS
+    assert asked["token-runs"] == packing.BATCH_ROWS
+
+
+def test_words_are_hashed_a_slice_at_a_time(monkeypatch):
+    asked, pieces = [], common.pieces
+    monkeypatch.setattr(common, "pieces", lambda batches, column, limit=common.BATCH_BYTES: asked.append(limit) or pieces(batches, column, limit))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "mark": [1, 2], "text": ["one two", None]})
+    (found,) = near_dedup._sets(near_dedup.keys_for(80))(iter([batch]))
+    assert asked == [near_dedup.SLICE]
+    assert found.column("n_shingles").to_pylist() == [1, 0]
 
 
 def test_a_worker_hands_memory_back_after_its_task(monkeypatch):
