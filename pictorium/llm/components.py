@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from pictorium.llm import common
 
+# Links for which a round takes another task.
+LINKS_A_TASK = 10_000
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -47,24 +49,37 @@ def _small(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` of every node of the undirected edges ``u, v``: the smallest node that it reaches.
+def _settled(edges: DataFrame) -> tuple[bool, int]:
+    """Whether the links are stars around nodes that are linked to no smaller one, and how many links there are."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    links, left = nodes.agg(F.sum("up"), F.count_if(F.expr("up > 1 or (up > 0 and down > 0)"))).first()
+    return not left, links or 0
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Links ``u, v`` from every node of the undirected edges ``u, v`` but the smallest of each component to that one.
 
     Each round replaces links by links to smaller nodes, so chains shrink in
-    logarithmically many rounds, and every round is one stored table. A node
-    with very many links is no group: minima are aggregated and joined back.
+    logarithmically many rounds, and every round is one stored table, in as many
+    files as its links need. A node with very many links is no group: minima are
+    aggregated and joined back.
     """
     edges = common.store(common.map_batches(edges.filter("u <> v"), _forest, "u long, v long"), "links")
-    made, last = [common.scratch_tables(edges.sparkSession)[-1]], None
+    made = [common.scratch_tables(edges.sparkSession)[-1]]
     while True:
-        # Order-free fingerprint of the set of links: rounds end when it stands still.
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
-        edges = common.store(_small(_large(edges)).distinct(), "links")
+        settled, links = _settled(edges)
+        if settled:
+            return edges
+        # A round has no more links than the one before it, but one for each node at most.
+        edges = common.store(common.narrowed(_small(_large(edges)).distinct(), links, LINKS_A_TASK), "links")
         made.append(common.scratch_tables(edges.sparkSession)[-1])
         common.release(edges.sparkSession, made[:-1])
         made = made[-1:]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component`` of every node of the undirected edges ``u, v``: the smallest node that it reaches."""
+    edges = stars(edges)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

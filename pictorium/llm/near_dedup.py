@@ -10,9 +10,9 @@ many chunks as the wanted similarity needs. Longer signatures then tell most
 pairs apart before the full sets are compared.
 
 A bucket may hold a third of all classes, so it never gives all of its pairs.
-First every class is compared with a few hubs of its buckets, then with the
-member that has most company in them, which copies of one text have in common
-even where they are unlike each other. Components of the links found so leave
+First every class is compared with a few hubs of its buckets, one of which is the
+member that has most company in its own buckets, which copies of one text have in
+common even where they are unlike each other. Components of the links found so leave
 pairs open only between different components, and only those are looked at, in
 blocks of a bounded size; how many shingles of a set stand in no other open class
 bounds its similarity with all of them. A link is confirmed on full sets always.
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from pictorium.llm import common, shingles
-from pictorium.llm.components import components
+from pictorium.llm.components import stars as smallest
 
 # Slots of a signature beyond those of the keys.
 MORE_SLOTS = 208
@@ -45,6 +45,8 @@ LEAST_PERCENT = 50
 BATCH_ROWS = 1_000
 # Bytes of text whose words a task hashes together; some forty times as many are held for it.
 SLICE = 512 << 10
+# Texts for which a step takes another task, up to the session's partitions.
+TEXTS_A_TASK = 1_000
 # Rows of a bucket that are compared with each other in one task.
 BLOCK = 2048
 _random = np.random.default_rng(7)
@@ -274,13 +276,14 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``u, v`` whose full sets have the similarity."""
+def _confirmed(pairs: DataFrame, classes: DataFrame, percent: int, texts: int) -> DataFrame:
+    """Pairs ``u, v`` whose full sets have the similarity, among ``texts`` rows."""
     bodies = classes.select("node", "body")
     both = pairs.join(bodies.withColumnRenamed("node", "u"), "u").join(
         bodies.select(F.col("node").alias("v"), F.col("body").alias("other")), "v"
     )
-    return common.map_batches(both.select("u", "v", "body", "other"), _confirm(percent), "u long, v long")
+    both = common.narrowed(both.select("u", "v", "body", "other"), texts, TEXTS_A_TASK)
+    return common.map_batches(both, _confirm(percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", with_marks: bool = False) -> DataFrame:
@@ -303,7 +306,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     limits = (slots.distance, allowed(slots.size + MORE_SLOTS, percent / 100))
     texts = common.id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     schema = "doc_id long, mark long, n_shingles long, set_key binary, sig binary, more binary, body binary"
-    rows = common.store(common.map_batches(texts, _sets(slots), schema), "near-sets", BATCH_ROWS)
+    with common.batches_of(docs.sparkSession, BATCH_ROWS):
+        rows = common.store(common.map_batches(texts, _sets(slots), schema), "near-sets")
+    size = rows.count()
+
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        return common.store(common.narrowed(df, size, TEXTS_A_TASK), label)
+
     full = rows.filter(F.col("set_key").isNotNull())
     # Equal sets have equal signatures; whichever body comes first has the same set. Where no row has an id, a number
     # below all ids stands for the class; it links like any other, and its component is the smallest real id.
@@ -311,44 +320,38 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     classes = full.groupBy("set_key").agg(
         F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "more", "body"))
     ).withColumnRenamed("n_shingles", "n").withColumn("node", F.coalesce("least", nameless)).withColumn("named", F.col("least").isNotNull()).drop("least")
-    classes = common.store(classes, "near-classes")
+    classes = stored(classes, "near-classes")
     marks = classes.select("node", "n", "sig", "more")
     hub_marks = marks.select(F.col("node").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("n", "sig", "more")))
-
-    def near_hubs(pairs: DataFrame) -> DataFrame:
-        """Confirmed links ``u, v`` among pairs ``node, hub``."""
-        stars = pairs.filter("node <> hub").select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
-        stars = stars.join(marks, "node").join(hub_marks, "hub")
-        return common.store(_confirmed(common.map_batches(stars, _near_hubs(limits, percent), "u long, v long"), classes, percent), "near-links")
-
     keys = common.map_batches(classes.select("node", "sig"), _keys(slots), "key long, node long")
     buckets = keys.groupBy("key").agg(
         F.count("*").alias("size"), F.min("node").alias("hub0"),
         *(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"hub{k}") for k in (1, 2)),
     ).filter("size > 1")
-    buckets = common.store(buckets, "near-buckets")
-    members = common.store(keys.join(buckets, "key"), "near-members")
-    links = near_hubs(members.select("node", F.explode(F.array("hub0", "hub1", "hub2")).alias("hub")))
-
-    def still_open(rows: DataFrame, parts: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components, with theirs."""
-        rows = rows.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        return common.store(rows.join(common.store(mixed.select("key"), "near-mixed-keys"), "key"), "near-mixed")
-
-    open_members = still_open(members.select("key", "size", "node"), common.store(components(links), "near-components"))
+    buckets = stored(buckets, "near-buckets")
+    members = stored(keys.join(buckets, "key"), "near-members")
     # Copies of one text may each be like it and unlike each other. All its keys are theirs too, so it has most company
-    # in its buckets: the member with most in each bucket is its next hub.
-    company = open_members.groupBy("node").agg(F.sum("size").alias("company"))
-    centres = open_members.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
-    links = links.union(near_hubs(open_members.select("key", "node").join(centres, "key").select("node", "hub")))
-    first = common.store(components(links), "near-components")
-    open_members = still_open(open_members.drop("component"), first)
+    # in its buckets: the member with most in each bucket is its last hub. Two members are a pair already.
+    wide = members.filter("size > 2").select("key", "node")
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    centres = wide.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    wide = wide.join(stored(centres, "near-centres"), "key").select("node", "hub")
+    pairs = members.select("node", F.explode(F.array("hub0", "hub1", "hub2")).alias("hub")).union(wide).filter("node <> hub")
+    pairs = pairs.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
+    pairs = common.narrowed(pairs.join(marks, "node").join(hub_marks, "hub"), size, TEXTS_A_TASK)
+    links = _confirmed(common.map_batches(pairs, _near_hubs(limits, percent), "u long, v long"), classes, percent, size)
+    first = smallest(links)
+    # Members of buckets that hold several components, with theirs. A node without a link is one.
+    open_members = members.select("key", "size", "node").join(first.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left")
+    open_members = open_members.withColumn("component", F.coalesce("component", "node"))
+    mixed = open_members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    open_members = stored(open_members.join(stored(mixed.select("key"), "near-mixed-keys"), "key"), "near-mixed")
     # Shingles that no other class of these buckets has cannot be common to a pair; a set with too many of them has no links left.
     of_node = open_members.select("node").distinct().join(classes.select("node", "body"), "node")
+    of_node = common.narrowed(of_node, size, TEXTS_A_TASK)
     own = common.map_batches(of_node, _shingles, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
     own = own.filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-    marks = common.store(marks.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "near-shared")
+    marks = stored(marks.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "near-shared")
     marks = marks.filter(100 * F.col("shared") >= percent * F.col("n"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     open_members = open_members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks)})
@@ -356,11 +359,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "component"
     )
     open_members = open_members.join(marks, "node").repartition(common.partitions(docs), "key", "a", "b").sortWithinPartitions("key", "a", "b")
-    rest = common.store(common.map_batches(open_members, _across(limits, percent, slots), "u long, v long").distinct(), "near-open")
-    more = _confirmed(rest, classes, percent)
-    # What the stars have joined is one link to its component now.
-    joined = first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
-    final = common.store(components(joined), "near-components")
+    open_members = common.narrowed(open_members, size, TEXTS_A_TASK)
+    rest = stored(common.map_batches(open_members, _across(limits, percent, slots), "u long, v long").distinct(), "near-open")
+    # What the hubs have joined is one link to its component now.
+    final = smallest(first.union(_confirmed(rest, classes, percent, size))).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
     of_set = classes.select("set_key", "node", "named").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # The smallest real id of a component; none where all its rows lack one.

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pictorium.llm import near_dedup, shingles
-from pictorium.llm.components import components
+from pictorium.llm.components import components, stars
 
 from .samples import prose
 
@@ -138,3 +138,35 @@ def test_components_of_chains_and_stars(spark):
     found = components(edges).groupBy("component").agg(F.count("*").alias("n"), F.countDistinct("node").alias("d")).collect()
     assert sorted(map(tuple, found)) == [(0, 301, 301), (1000, 400, 400), (6000, 2, 2)]
     assert components(edges.limit(0)).collect() == []
+
+
+def test_settled_links_take_no_further_round(spark, monkeypatch):
+    rounds = []
+    store = near_dedup.common.store
+    monkeypatch.setattr(near_dedup.common, "store", lambda df, label: rounds.append(label) or store(df, label))
+    settled = spark.createDataFrame([(i, i % 3) for i in range(3, 90)], "u long, v long").coalesce(1)
+    assert sorted(map(tuple, stars(settled).collect())) == [(i, i % 3) for i in range(3, 90)] and len(rounds) == 1
+    rounds.clear()
+    assert stars(settled.limit(0)).collect() == [] and len(rounds) == 1
+    rounds.clear()
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long").repartition(5)
+    assert sorted(map(tuple, stars(chain).collect())) == [(i, 0) for i in range(1, 41)] and len(rounds) > 1
+
+
+def test_many_shuffle_partitions_write_few_files_of_small_tables(documents, spark, monkeypatch):
+    files = {}
+    store = near_dedup.common.store
+    monkeypatch.setattr(near_dedup.common, "store", lambda df, label: files.setdefault(label, []).append(out := store(df, label)) or out)
+    rows = list(enumerate(near_copies(31, 30, 60, 0.03)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "31")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = near_dedup.near_duplicates(documents(*rows), 85).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == plain(rows, 85)
+    assert max(len(t.inputFiles()) for tables in files.values() for t in tables) <= spark.sparkContext.defaultParallelism
+    # One round of hubs: candidates are compared and confirmed for the hubs and for the open pairs.
+    assert "near-centres" in files and len(files["near-mixed"]) == 1
