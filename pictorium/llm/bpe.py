@@ -29,6 +29,8 @@ PAIRS_KEPT = 500_000
 
 # A blank before another blank: the only texts that may not be cut before each blank.
 _BLANKS = regex.compile(r" (?:[\s\x1c-\x1f]|$)")
+# The same for Arrow's regular expressions, whose ``\s`` holds no more than five characters.
+UNCUTTABLE = r" (?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:

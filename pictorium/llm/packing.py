@@ -54,8 +54,7 @@ class Words:
 
     def __init__(self, raw: bytes, pattern: str, added: bool = False):
         self.whole = Tokenizer.from_buffer(raw)
-        contents = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
-        self.added = regex.compile("|".join(map(regex.escape, contents))) if contents else None
+        self.contents = [t.content for t in self.whole.get_added_tokens_decoder().values()] if added else []
         self.model = self.whole.model
         self.find = regex.compile(pattern).findall
         self.matches = bpe.Memory(self._match, KEPT)
@@ -69,20 +68,20 @@ class Words:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.added and self.added.search(text):
+        if any(content in text for content in self.contents):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return self._ids(text)
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
-        """``encode`` of many texts, null ones empty. Different words are cut by the pattern, all in one pass, and looked up once."""
+        """``encode`` of many texts, null ones empty. Different words are cut by the pattern and looked up once, all in one pass."""
         texts = texts.fill_null("")
         found: list[bytes | None] = [None] * len(texts)
-        plain = []
-        for i, text in enumerate(texts.to_pylist()):
-            if (self.added and self.added.search(text)) or not bpe.cuttable(text):
-                found[i] = self.encode(text)
-            else:
-                plain.append(i)
+        whole = pc.match_substring_regex(texts, bpe.UNCUTTABLE)
+        for content in self.contents:
+            whole = pc.or_(whole, pc.match_substring(texts, content))
+        for i in pc.indices_nonzero(whole).to_pylist():
+            found[i] = self.encode(texts[i].as_py())
+        plain = pc.indices_nonzero(pc.invert(whole)).to_pylist()
         if not plain:
             return found
         # The first word of a text has no blank before it.
@@ -116,7 +115,7 @@ class Words:
         """The ids of different words that follow a blank each, one after the other; where they start and how many they are."""
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pieces = self.find(" " + " ".join(words.to_pylist()))
+        pieces = self.find(" " + _joined(words))
         ids = list(map(self.matches.__getitem__, pieces))
         length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         # Words hold no blank, so that a match that begins with one begins a word.
@@ -126,6 +125,11 @@ class Words:
         return np.frombuffer(b"".join(ids), "<u4"), start, np.diff(start, append=ends[-1])
 
 
+def _joined(words: pa.Array) -> str:
+    """All values with a blank between them."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words), " ")[0].as_py()
+
+
 _LOADED: dict[int, Words] = {}
 _RUNS = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),

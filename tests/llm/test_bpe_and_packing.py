@@ -5,6 +5,7 @@ from hashlib import sha256
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -132,3 +133,20 @@ def test_texts_together_have_the_ids_of_the_tokenizer_and_words_are_cut_once():
     words.find = lambda text: cut.append(text) or find(text)
     words.encode_all(pa.array(["same words again"] * 500, pa.string()))
     assert sum(t.count("again") for t in cut) == 1
+
+
+def test_arrow_finds_the_texts_that_may_not_be_cut():
+    texts = [f"a {chr(c)}b" for c in range(0x3100) if not 0xD800 <= c < 0xE000] + ["a ", " ", "", "a", "a \n", " a", "\n", "a  b", "a 🙂 b", "a \U000e0001"]
+    found = pc.match_substring_regex(pa.array(texts), bpe.UNCUTTABLE).to_pylist()
+    assert found == [not bpe.cuttable(t) for t in texts] and 20 < sum(found) < 40
+
+
+def test_words_are_carried_over_in_one_string(monkeypatch):
+    with open(TOKENIZER, "rb") as file:
+        words = packing.Words(file.read(), public_tokenizers.PATTERN, True)
+    joined, join = [], packing._joined
+    monkeypatch.setattr(packing, "_joined", lambda values: joined.append(len(values)) or join(values))
+    texts = ["one two three two", None, "two one", "four  blanks here", "x <|endoftext|> y"]
+    plain = Tokenizer.from_file(TOKENIZER)
+    assert words.encode_all(pa.array(texts)) == [ids_of(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert joined == [3]
