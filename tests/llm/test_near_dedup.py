@@ -156,7 +156,7 @@ def test_settled_links_take_no_further_round(spark, monkeypatch):
 def test_many_shuffle_partitions_write_few_files_of_small_tables(documents, spark, monkeypatch):
     files = {}
     store = near_dedup.common.store
-    monkeypatch.setattr(near_dedup.common, "store", lambda df, label: files.setdefault(label, []).append(out := store(df, label)) or out)
+    monkeypatch.setattr(near_dedup.common, "store", lambda df, label, *more: files.setdefault(label, []).append(out := store(df, label, *more)) or out)
     rows = list(enumerate(near_copies(31, 30, 60, 0.03)))
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     try:
