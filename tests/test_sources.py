@@ -15,7 +15,7 @@ from pictorium.functions import names as N
 from pictorium.operators import catalog as C
 from pictorium.operators import querylog as Q
 from pictorium.plans import QUERIES, registry
-from pictorium.sources import descriptions, embeddings, media, searchlog
+from pictorium.sources import descriptions, embeddings, folders, media, searchlog
 from pictorium.session import spread
 from pictorium.sources import library as L
 from pictorium.streaming import ingest, monitor
@@ -448,6 +448,80 @@ def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
     assert spark.conf.get(media._LISTING_TASKS) == before
 
 
+def test_watched_folder_is_merged_now_and_then(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "MERGE_EVERY", 2)
+    root, listing = (str(tmp_path / n) for n in ("media", "listing"))
+    put = lambda name, data: (tmp_path / "media" / name).write_bytes(data)
+    known = lambda: {r["path"].removeprefix(root + "/"): r["size"] for r in media.stored_listing(spark, listing).collect()}
+    folders_read = lambda: {f.split(listing)[1].rsplit("/", 1)[0] for f in media.stored_listing(spark, listing).inputFiles()}
+    (tmp_path / "media").mkdir()
+    for n in range(5):
+        put(f"{n}.jpg", b"1" * (n + 1))
+    media.watch_files(spark, root, listing, str(tmp_path / "state"), 1).awaitTermination()
+    assert known() == {f"{n}.jpg": n + 1 for n in range(5)}
+    # The base of four versions and the one after it are read; of older bases one is left.
+    assert folders_read() == {"/base/version=3", "/arrivals/version=4"}
+    assert sorted(p.name for p in (tmp_path / "listing/base").iterdir()) == ["version=1", "version=3"]
+    (tmp_path / "media/0.jpg").unlink()
+    put("3.jpg", b"1" * 9)
+    media.sweep(spark, root, listing)
+    put("5.jpg", b"1" * 6), put("6.jpg", b"1" * 7)
+    media.watch_files(spark, root, listing, str(tmp_path / "state"), 1).awaitTermination()
+    # Sweeps stand over a base that is made later.
+    assert folders_read() == {"/base/version=5", "/arrivals/version=6", "/sweeps/version=0"}
+    assert known() == {"1.jpg": 2, "2.jpg": 3, "3.jpg": 9, "4.jpg": 5, "5.jpg": 6, "6.jpg": 7}
+    # What came before a micro-batch is known also where later bases are there.
+    earlier = {r["path"].removeprefix(root + "/"): r["size"] for r in media.stored_listing(spark, listing, 5).collect()}
+    assert len(earlier) == 4 and earlier["3.jpg"] == 9
+    # A stream that begins anew writes its versions anew, without the bases of the one before.
+    (tmp_path / "media/0.jpg").write_bytes(b"22")
+    for name in ("sweeps", "arrivals"):
+        folders.remove(spark, f"{listing}/{name}")
+    media.watch_files(spark, root, listing, str(tmp_path / "state-2"), 100).awaitTermination()
+    assert known() == {"0.jpg": 2, "1.jpg": 2, "2.jpg": 3, "3.jpg": 9, "4.jpg": 5, "5.jpg": 6, "6.jpg": 7}
+    assert folders_read() == {"/arrivals/version=0"}
+
+
+def test_arriving_files_are_scanned_in_few_tasks(spark, tmp_path):
+    root, listing, state = (str(tmp_path / n) for n in ("media", "listing", "state"))
+    (tmp_path / "media").mkdir()
+    bound = 2 * spark.sparkContext.defaultParallelism
+    for n in range(2 * bound):
+        (tmp_path / f"media/{n}.jpg").write_bytes(b"1")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        stream = media.watch_files(spark, root, listing, state)
+        stream.awaitTermination()
+        assert media.stored_listing(spark, listing).count() == 2 * bound
+        assert media.scan_files(spark, root).rdd.getNumPartitions() <= bound
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(stream.runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= bound
+    assert len(list((tmp_path / "listing/arrivals/version=0").glob("*.parquet"))) == 1
+
+
+def test_texts_are_written_as_by_the_writer(spark, tmp_path):
+    rows = [(1, 7, "a"), (1, 7, "b\nc"), (1, 8, None), (2, 7, ""), (-2, 7, "größe"), (None, None, "x"), (1, 7, "a"), (1, 7, "\r")]
+    texts = spark.createDataFrame(rows, "album long, id long, text string").repartition(3)
+
+    def found(path):
+        files = [f for f in path.rglob("*") if f.is_file() and not f.name.startswith((".", "_"))]
+        return sorted((str(f.parent.relative_to(path)), f.name[:10], f.suffix, f.read_bytes()) for f in files)
+
+    texts.write.partitionBy("album", "id").text(str(tmp_path / "spark"))
+    folders.append_texts(texts, f"file://{tmp_path}/own", ("album", "id"), "text")
+    assert found(tmp_path / "own") == found(tmp_path / "spark")
+    # No part of a file is left, and a second call adds files.
+    assert not list((tmp_path / "own").rglob(".*"))
+    folders.append_texts(texts, str(tmp_path / "own"), ("album", "id"), "text")
+    assert found(tmp_path / "own") == sorted(2 * found(tmp_path / "spark"))
+    folders.append_texts(texts.filter("id > 100"), str(tmp_path / "empty"), ("album", "id"), "text")
+    assert (tmp_path / "empty").is_dir() and not found(tmp_path / "empty")
+
+
 def test_windowed_quality_drops_late_rows(spark, tmp_path):
     incoming, state = str(tmp_path / "in"), str(tmp_path / "state")
     out = str(tmp_path / "out")
